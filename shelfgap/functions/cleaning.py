@@ -11,16 +11,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_WS = "(?U)\\s"
+# --- fixed values: the characters Python's str.strip() treats as whitespace --
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003"
+                 "\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+# the same set as a Java regex character class
+_WS = ("[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029"
+       "\\u202F\\u205F\\u3000]")
+# ---------------------------------------------------------------------------
 
 
 def col_(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _has_any(s: Column, chars: str) -> Column:
+    """True when ``s`` contains one of ``chars`` (a translate, no regex)."""
+    return F.length(F.translate(s, chars, "")) != F.length(s)
+
+
 def strip(c: Column | str) -> Column:
-    """Remove leading and trailing whitespace (any Unicode space, tab, newline)."""
-    return F.regexp_replace(col_(c), f"^{_WS}+|{_WS}+$", "")
+    """Remove leading and trailing whitespace (any Unicode space, tab, newline).
+
+    Values without any whitespace skip the regex (the common case).
+    """
+    s = col_(c)
+    return F.when(_has_any(s, PY_WHITESPACE), F.regexp_replace(s, f"^{_WS}+|{_WS}+$", "")
+                  ).otherwise(s)
 
 
 def as_text(c: Column | str) -> Column:
@@ -33,10 +49,14 @@ def clean_id(c: Column | str) -> Column:
     The '.0' test runs before whitespace removal, as in the reference.
     Nulls stay null (deliberate deviation: the reference turns them into 'nan').
     """
-    s = strip(as_text(c))
+    raw = as_text(c)
+    s = strip(raw)
     s = F.translate(s, "\"'=", "")
     s = F.regexp_replace(s, "\\.0$", "")
-    return F.regexp_replace(s, f"{_WS}+", "")
+    slow = F.regexp_replace(s, f"{_WS}+", "")
+    # fast path: nothing to strip, drop or remove -> the value itself
+    dirty = _has_any(raw, PY_WHITESPACE + "\"'=") | raw.endswith(".0")
+    return F.when(dirty, slow).otherwise(raw)
 
 
 def clean_site(c: Column | str) -> Column:

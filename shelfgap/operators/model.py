@@ -1,14 +1,17 @@
 """The loss model: universe, SKU x site grid and the 29-column detail
 (SURVEY C5, C6, D2, D6-D9, D12, F4, I1, I3, B24-B30).
 
-Plan shape (one big shuffle per input, all on aggregated data):
-  universe ⟕ unit price (on sku)  -> name + prices once per sku, not per grid row
-  explode over the channel's virtual sites -> grid (a narrow Generate, no join)
-  grid ⟕ stock day counts ⟕ site sales  on (channel?, sku, virtual_site)
-The site list is small and bounded (a channel has a handful of virtual sites);
-it is read once, checked against ``MAX_GRID_SITES`` and put in the plan as a
-literal array.  The grid is the product of SKUs and sites by definition --
-that is the reference's output contract, one row per pair.
+Plan shape (one big shuffle per input, every join on aggregated data):
+  orders  -> Σ per (sku, stock_code, name)  -> per sku: prices + window sums pivoted per site
+  stock   -> Σ per (channel, day, sku, site) -> per sku: in-stock/recorded days per site
+  universe ⟕ sales ⟕ stock  on sku  (all three hash-partitioned by sku: no extra exchange)
+  explode over the channel's virtual sites -> the SKU x site grid (narrow, last)
+So the grid -- the largest intermediate, |SKUs| x |sites| rows -- is never
+shuffled; it is generated right before the measures and the write.  The site
+list is small and bounded (a channel has a handful of virtual sites): it is
+read once, checked against ``MAX_GRID_SITES`` and becomes literals in the
+plan.  Above ``MAX_PIVOT_SITES`` the per-sku pivot would get too wide and the
+grid is joined on (sku, site) instead.
 """
 
 from __future__ import annotations
@@ -82,30 +85,80 @@ def explode_grid(skus: DataFrame, sites: list[tuple[str, str]]) -> DataFrame:
     return g.drop("_u_channel") if "_u_channel" in g.columns else g
 
 
+# Above this many grid sites the per-sku pivot gets too wide; the detail is
+# then assembled with joins on (sku, virtual_site) instead.
+MAX_PIVOT_SITES = 256
+
+
+def _site_entries(sites: list[tuple[str, str]], sales_index: dict | None) -> F.Column:
+    """Array of one struct per grid site, reading that site's pivot columns."""
+    entries = []
+    for j, (c, v) in enumerate(sites):
+        fields = [F.lit(c).alias("channel"), F.lit(v).alias("virtual_site"),
+                  F.col(f"in_stock_{j}").alias("in_stock_days"),
+                  F.col(f"recorded_{j}").alias("recorded_days")]
+        if sales_index is not None:
+            i = sales_index[(c, v)]
+            fields += [F.col(f"recent_qty_{i}").alias("recent_qty"),
+                       F.col(f"fallback_qty_{i}").alias("fallback_qty"),
+                       F.col(f"actual_qty_{i}").alias("actual_qty_jan")]
+        entries.append(F.struct(*fields))
+    return F.array(*entries)
+
+
+def _explode_entries(base: DataFrame, arr: F.Column) -> DataFrame:
+    if "channel" in base.columns:   # per-channel universe: only that channel's sites
+        arr = F.filter(arr, lambda e: e["channel"] == F.col("channel"))
+        base = base.drop("channel")
+    return base.withColumn("_e", F.explode(arr)).select("*", "_e.*").drop("_e")
+
+
 def oos_days(inputs: ModelInputs, cfg: ModelConfig,
              sites: list[tuple[str, str]] | None = None) -> DataFrame:
     """Grid of universe SKUs x sites with recorded / in-stock / OOS days and ratio."""
     sites = sites if sites is not None else grid_sites(inputs.site_map)
     skus = universe(inputs.product, cfg).select("sku").distinct()
-    grid = explode_grid(skus, sites)
-    counts = K.stock_day_counts(K.day_balance(inputs.stock, inputs.site_map, cfg))
-    joined = grid.join(counts, ["channel", "sku", "virtual_site"], "left")
+    day_bal = K.day_balance(inputs.stock, inputs.site_map, cfg)
+    if len(sites) > MAX_PIVOT_SITES:
+        grid = explode_grid(skus, sites)
+        joined = grid.join(K.stock_day_counts(day_bal), ["channel", "sku", "virtual_site"], "left")
+    else:
+        base = skus.join(K.stock_by_sku(day_bal, sites), "sku", "left")
+        joined = _explode_entries(base.select("sku", _site_entries(sites, None).alias("_a")),
+                                  F.col("_a"))
     return K.with_oos_measures(joined, cfg).select(
         "channel", "sku", "virtual_site", "observed_days_jan", "recorded_days", "in_stock_days",
         "oos_days_jan", "oos_ratio_jan")
 
 
-def loss_detail(inputs: ModelInputs, cfg: ModelConfig,
-                sites: list[tuple[str, str]] | None = None) -> DataFrame:
-    """The detail table -- 29 columns plus ``channel``.
+def _assembled_by_sku(inputs: ModelInputs, cfg: ModelConfig, sites, uni: DataFrame) -> DataFrame:
+    """Grid with stock and sales columns, every join on sku (grid never shuffled).
 
-    Sorting (H1) is left to the sinks; the frame itself is unordered.
+    universe ⟕ sales_by_sku ⟕ stock_by_sku are all aggregated by sku, so the
+    joins are co-partitioned; the grid comes last from a narrow explode.
     """
-    sites = sites if sites is not None else grid_sites(inputs.site_map)
-    uni = universe(inputs.product, cfg)
-
-    site = S.site_sales(inputs.orders, cfg, with_totals=True)
-    price = S.unit_price_from_site_sales(site)
+    orders_have_channel = "channel" in inputs.orders.columns
+    keys = sorted(set(sites)) if orders_have_channel else sorted({v for _, v in sites})
+    index = {k: i for i, k in enumerate(keys)}
+    sales_index = {(c, v): index[(c, v) if orders_have_channel else v] for c, v in sites}
+    lines = S.sales_lines(inputs.orders, cfg, with_totals=True)
+    sales = S.sales_by_sku(lines, keys)
+    stock = K.stock_by_sku(K.day_balance(inputs.stock, inputs.site_map, cfg), sites)
+    base = (uni.join(sales, "sku", "left").join(stock, "sku", "left")
+            .select(*uni.columns, "order_name", "gross_per_unit", "net_per_unit",
+                    _site_entries(sites, sales_index).alias("_a")))
+    base = (base.withColumn("product_name", F.coalesce(F.col("product_name"), F.col("order_name")))
+            .withColumn("gross_per_unit", F.coalesce(F.col("gross_per_unit"), F.lit(0.0)))
+            .withColumn("net_per_unit", F.coalesce(F.col("net_per_unit"), F.lit(0.0)))
+            .drop("order_name"))
+    return _explode_entries(base, F.col("_a")).drop("_a")
+
+
+def _assembled_by_join(inputs: ModelInputs, cfg: ModelConfig, sites, uni: DataFrame) -> DataFrame:
+    """Fallback for very many sites: grid exploded first, then joined on (sku, site)."""
+    lines = S.sales_lines(inputs.orders, cfg, with_totals=True)
+    site = S.site_sales_from_lines(lines)
+    price = S.unit_price_from_lines(lines)
     pkeys = [k for k in ["channel"] if k in price.columns and k in uni.columns] + ["sku"]
     named = (uni.join(price.withColumnRenamed("product_name", "order_name"), pkeys, "left")
              .select(*uni.columns,
@@ -115,21 +168,29 @@ def loss_detail(inputs: ModelInputs, cfg: ModelConfig,
              .withColumn("product_name", F.coalesce(F.col("product_name"), F.col("order_name")))
              .drop("order_name"))
     grid = explode_grid(named, sites)
-
     counts = K.stock_day_counts(K.day_balance(inputs.stock, inputs.site_map, cfg))
     skeys = (["channel"] if "channel" in site.columns else []) + ["sku", "virtual_site"]
-    site_cols = site.select(*skeys, "recent_qty", "fallback_qty", "actual_qty_jan",
-                            "recent_rows", "fallback_rows")
+    site_cols = site.select(*skeys, "recent_qty", "fallback_qty", "actual_qty_jan")
+    return (grid.join(counts, ["channel", "sku", "virtual_site"], "left")
+            .join(site_cols, skeys, "left"))
+
+
+def loss_detail(inputs: ModelInputs, cfg: ModelConfig,
+                sites: list[tuple[str, str]] | None = None) -> DataFrame:
+    """The detail table -- 29 columns plus ``channel``.
 
-    d = (grid.join(counts, ["channel", "sku", "virtual_site"], "left")
-         .join(site_cols, skeys, "left"))
+    Sorting (H1) is left to the sinks; the frame itself is unordered.
+    """
+    sites = sites if sites is not None else grid_sites(inputs.site_map)
+    uni = universe(inputs.product, cfg)
+    if len(sites) > MAX_PIVOT_SITES:
+        d = _assembled_by_join(inputs, cfg, sites, uni)
+    else:
+        d = _assembled_by_sku(inputs, cfg, sites, uni)
     d = K.with_oos_measures(d, cfg)
-    # Pairs without window rows keep zeros and the "no history" labels
-    has_window = (F.coalesce(F.col("recent_rows"), F.lit(0))
-                  + F.coalesce(F.col("fallback_rows"), F.lit(0))) > 0
-    d = (d.withColumn("recent_qty", F.when(has_window, F.col("recent_qty")).otherwise(0.0))
-         .withColumn("fallback_qty", F.when(has_window, F.col("fallback_qty")).otherwise(0.0))
-         .withColumn("actual_qty_jan", F.coalesce(F.col("actual_qty_jan"), F.lit(0.0))))
+    # No sales rows -> zero quantities and the "no history" labels
+    d = d.withColumns({c: F.coalesce(F.col(c), F.lit(0.0))
+                       for c in ("recent_qty", "fallback_qty", "actual_qty_jan")})
     d = d.withColumns(S.baseline_columns(cfg))
     # measures
     days = F.lit(cfg.eval_days)

@@ -26,13 +26,19 @@ def _keys(df: DataFrame) -> list[str]:
     return ["channel"] if "channel" in df.columns else []
 
 
-def site_sales(orders: DataFrame, cfg: ModelConfig, with_totals: bool = True) -> DataFrame:
-    """E5 + E6 + E7 (+ E4 parts): per (sku, virtual_site = stock_code).
-
-    Columns: recent_qty, fallback_qty, actual_qty_jan (double), recent_rows,
-    fallback_rows, actual_rows and, with ``with_totals``, total_qty/gross/net
-    plus the first product name.  Without totals the scan is limited to the
-    fallback start .. month end range, which pushes down to the source.
+def sales_lines(orders: DataFrame, cfg: ModelConfig, with_totals: bool = True) -> DataFrame:
+    """The one big aggregation over order lines: per (sku, stock_code, product_name).
+
+    Every window total (E5-E7) is a conditional sum and the all-time totals
+    (E4) ride along, so the order lines are scanned and shuffled once, with a
+    map-side partial aggregate (a hot sku is combined before the shuffle).
+    The product name is a grouping key, not an aggregate buffer, so the
+    aggregate stays a hash aggregate (string min/first buffers would force a
+    sort-based one).  All measures are packed in one struct column ``m``: both
+    consumers (site sales and unit price) then read the identical plan and
+    Spark reuses its shuffle instead of recomputing the order lines.
+    Without ``with_totals`` the scan is limited to fallback start .. month end,
+    which pushes down to the source.
     """
     o = orders.filter(~F.col("excluded_prefix_p"))
     if not with_totals:
@@ -42,7 +48,7 @@ def site_sales(orders: DataFrame, cfg: ModelConfig, with_totals: bool = True) ->
     in_recent = in_range(d, cfg.recent_start, cfg.anchor)
     in_fallback = in_range(d, cfg.fallback_start, cfg.recent_start)
     in_month = in_range(d, cfg.anchor, cfg.next_anchor)
-    aggs = [
+    fields = [
         F.sum(F.when(in_recent, q)).alias("recent_sum"),
         F.sum(F.when(in_fallback, q)).alias("fallback_sum"),
         F.sum(F.when(in_month, q)).alias("actual_sum"),
@@ -51,18 +57,24 @@ def site_sales(orders: DataFrame, cfg: ModelConfig, with_totals: bool = True) ->
         F.count_if(in_month).alias("actual_rows"),
     ]
     if with_totals:
-        has_ord = "row_ord" in orders.columns
-        name_key = (F.when(F.col("product_name").isNotNull(), F.col("row_ord")) if has_ord
-                    else F.col("product_name"))
-        aggs += [
-            F.sum(q).alias("total_qty"),
-            F.sum("gross").alias("total_gross"),
-            F.sum("net").alias("total_net"),
-            F.min_by(F.col("product_name"), name_key).alias("first_name"),
-            F.min(name_key).alias("first_name_key"),
-        ]
-    out = (o.withColumnRenamed("stock_code", "virtual_site")
-           .groupBy(*_keys(orders), "sku", "virtual_site").agg(*aggs))
+        fields += [F.sum(q).alias("total_qty"), F.sum("gross").alias("total_gross"),
+                   F.sum("net").alias("total_net")]
+        if "row_ord" in orders.columns:
+            fields.append(F.min("row_ord").alias("name_ord"))
+    return (o.withColumnRenamed("stock_code", "virtual_site")
+            .groupBy(*_keys(orders), "sku", "virtual_site", "product_name")
+            .agg(F.struct(*fields).alias("m")))
+
+
+def site_sales_from_lines(lines: DataFrame) -> DataFrame:
+    """E5 + E6 + E7 per (sku, virtual_site): window sums as double, row counts."""
+    out = lines.groupBy(*_keys(lines), "sku", "virtual_site").agg(
+        F.sum("m.recent_sum").alias("recent_sum"),
+        F.sum("m.fallback_sum").alias("fallback_sum"),
+        F.sum("m.actual_sum").alias("actual_sum"),
+        F.sum("m.recent_rows").alias("recent_rows"),
+        F.sum("m.fallback_rows").alias("fallback_rows"),
+        F.sum("m.actual_rows").alias("actual_rows"))
     return (out
             .withColumn("recent_qty", F.coalesce(F.col("recent_sum").cast("double"), F.lit(0.0)))
             .withColumn("fallback_qty", F.coalesce(F.col("fallback_sum").cast("double"), F.lit(0.0)))
@@ -70,6 +82,10 @@ def site_sales(orders: DataFrame, cfg: ModelConfig, with_totals: bool = True) ->
             .drop("recent_sum", "fallback_sum", "actual_sum"))
 
 
+def site_sales(orders: DataFrame, cfg: ModelConfig, with_totals: bool = False) -> DataFrame:
+    return site_sales_from_lines(sales_lines(orders, cfg, with_totals))
+
+
 def window_sales(orders: DataFrame, cfg: ModelConfig) -> DataFrame:
     """C8 + E5-E7 as one table: pairs with any row in a window or in the month."""
     s = site_sales(orders, cfg, with_totals=False)
@@ -114,18 +130,58 @@ def baseline(orders: DataFrame, cfg: ModelConfig) -> DataFrame:
     return s.withColumns(baseline_columns(cfg)).select(*_keys(orders), *BASELINE_COLUMNS)
 
 
-def unit_price_from_site_sales(site: DataFrame) -> DataFrame:
-    """E4 from per-site totals: Σgross/Σqty, Σnet/Σqty per sku (0 if Σqty <= 0)."""
-    keys = _keys(site)
-    agg = site.groupBy(*keys, "sku").agg(
-        F.sum("total_qty").alias("tq"), F.sum("total_gross").alias("tg"),
-        F.sum("total_net").alias("tn"),
-        F.min_by(F.col("first_name"), F.col("first_name_key")).alias("product_name"))
+def unit_price_from_lines(lines: DataFrame) -> DataFrame:
+    """Σgross/Σqty, Σnet/Σqty per sku over all orders (0 if Σqty <= 0) and the
+    first product name (lowest file position when known, else the smallest)."""
+    keys = _keys(lines)
+    name = F.col("product_name")
+    has_ord = "name_ord" in lines.schema["m"].dataType.fieldNames()
+    name_key = F.when(name.isNotNull(), F.col("m.name_ord") if has_ord else name)
+    agg = lines.groupBy(*keys, "sku").agg(
+        F.sum("m.total_qty").alias("tq"), F.sum("m.total_gross").alias("tg"),
+        F.sum("m.total_net").alias("tn"), F.min_by(name, name_key).alias("product_name"))
     tq, tg, tn = (F.col(c).cast("double") for c in ("tq", "tg", "tn"))
     return agg.select(*keys, "sku", "product_name",
                       safe_div(tg, tq).alias("gross_per_unit"),
                       safe_div(tn, tq).alias("net_per_unit"))
 
 
+def sales_by_sku(lines: DataFrame, site_keys: list) -> DataFrame:
+    """E4 + E5-E7 per sku in one aggregate over the order-line aggregate.
+
+    Unit prices use every site's totals; the window sums are pivoted to one
+    column per grid site (``recent_<i>`` ...), so the detail joins sales on sku
+    alone.  ``site_keys`` are virtual-site names, or (channel, site) pairs when
+    the orders carry a channel column.
+    """
+    name = F.col("product_name")
+    has_ord = "name_ord" in lines.schema["m"].dataType.fieldNames()
+    name_key = F.when(name.isNotNull(), F.col("m.name_ord") if has_ord else name)
+    aggs = [F.sum("m.total_qty").alias("tq"), F.sum("m.total_gross").alias("tg"),
+            F.sum("m.total_net").alias("tn"), F.min_by(name, name_key).alias("order_name")]
+    for i, key in enumerate(site_keys):
+        if isinstance(key, tuple):
+            here = (F.col("channel") == key[0]) & (F.col("virtual_site") == key[1])
+        else:
+            here = F.col("virtual_site") == key
+        aggs += [
+            F.sum(F.when(here, F.col("m.recent_sum"))).alias(f"recent_sum_{i}"),
+            F.sum(F.when(here, F.col("m.fallback_sum"))).alias(f"fallback_sum_{i}"),
+            F.sum(F.when(here, F.col("m.actual_sum"))).alias(f"actual_sum_{i}"),
+        ]
+    agg = lines.groupBy("sku").agg(*aggs)
+    tq, tg, tn = (F.col(c).cast("double") for c in ("tq", "tg", "tn"))
+    out = agg.withColumns({"gross_per_unit": safe_div(tg, tq), "net_per_unit": safe_div(tn, tq)})
+    for i in range(len(site_keys)):
+        out = out.withColumns({
+            f"recent_qty_{i}": F.coalesce(F.col(f"recent_sum_{i}").cast("double"), F.lit(0.0)),
+            f"fallback_qty_{i}": F.coalesce(F.col(f"fallback_sum_{i}").cast("double"), F.lit(0.0)),
+            f"actual_qty_{i}": F.coalesce(F.col(f"actual_sum_{i}").cast("double"), F.lit(0.0)),
+        })
+    keep = ["sku", "order_name", "gross_per_unit", "net_per_unit"] + [
+        f"{m}_qty_{i}" for i in range(len(site_keys)) for m in ("recent", "fallback", "actual")]
+    return out.select(*keep)
+
+
 def unit_price(orders: DataFrame, cfg: ModelConfig) -> DataFrame:
-    return unit_price_from_site_sales(site_sales(orders, cfg, with_totals=True))
+    return unit_price_from_lines(sales_lines(orders, cfg, with_totals=True))

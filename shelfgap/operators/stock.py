@@ -45,6 +45,22 @@ def stock_day_counts(day_bal: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).cast("int").alias("recorded_days")))
 
 
+def stock_by_sku(day_bal: DataFrame, sites: list[tuple[str, str]]) -> DataFrame:
+    """E2 + E3 pivoted per sku: ``in_stock_<j>`` / ``recorded_<j>`` for grid site j.
+
+    One aggregate keyed by sku over the daily balances (at most one row per
+    day per site per sku), so the result joins the universe on sku alone and
+    the SKU x site grid never has to be shuffled.
+    """
+    ch, vs, bal = F.col("channel"), F.col("virtual_site"), F.col("stock_balance")
+    aggs = []
+    for j, (c, v) in enumerate(sites):
+        here = (ch == c) & (vs == v)
+        aggs += [F.count_if(here & (bal > 0)).cast("int").alias(f"in_stock_{j}"),
+                 F.count_if(here).cast("int").alias(f"recorded_{j}")]
+    return day_bal.groupBy("sku").agg(*aggs)
+
+
 def with_oos_measures(df: DataFrame, cfg: ModelConfig) -> DataFrame:
     """D3/D4 fills + B23 + B21 on a grid already left-joined with the day counts."""
     days = F.lit(cfg.eval_days)

@@ -29,7 +29,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def _tt(spark: SparkSession, sf_dir: str) -> A.TestTables:
-    return A.TestTables(spark, sf_dir)
+    return A.open_tables(spark, sf_dir)
 
 
 def inputs(spark: SparkSession, sf_dir: str, channels=(A.TEST_CHANNEL,)) -> M.ModelInputs:

@@ -19,7 +19,8 @@ BROADCAST_MAX_ROWS = 2_000_000
 
 
 def build_session(master: str | None = None, app_name: str = "shelfgap",
-                  shuffle_partitions: int | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None,
+                  driver_memory: str | None = None) -> SparkSession:
     """Create (or reuse) a session tuned for the batch jobs in this package.
 
     AQE stays on: it coalesces small shuffle partitions, turns joins whose
@@ -32,6 +33,7 @@ def build_session(master: str | None = None, app_name: str = "shelfgap",
     builder = (
         builder
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -40,6 +42,8 @@ def build_session(master: str | None = None, app_name: str = "shelfgap",
     )
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory is not None:   # only takes effect when this call starts the JVM
+        builder = builder.config("spark.driver.memory", driver_memory)
     spark = builder.getOrCreate()
     ensure_checkpoint_dir(spark)
     return spark

@@ -36,17 +36,52 @@ TEST_CHANNEL_2 = ChannelProfile(key="tpch2", label="TPCH2",
 # ---------------------------------------------------------------------------
 
 
+_OPEN: dict[tuple[int, str], "TestTables"] = {}
+
+
+def open_tables(spark: SparkSession, sf_dir: str) -> "TestTables":
+    """Shared lazy table handles per (session, folder): each file is listed and
+    its footer read once, however many queries use it."""
+    key = (id(spark), os.path.abspath(sf_dir))
+    if key not in _OPEN:
+        _OPEN[key] = TestTables(spark, sf_dir)
+    return _OPEN[key]
+
+
 def test_config(**overrides) -> ModelConfig:
     return ModelConfig(eval_year=EVAL_YEAR, eval_month=EVAL_MONTH, **overrides)
 
 
+# Fact tables whose per-row work (joins, cleaning, partial aggregates) is
+# worth spreading when the file yields fewer scan partitions than cores.
+FACT_TABLES = ("lineitem", "orders", "part")
+
+
 @dataclass
 class TestTables:
     spark: SparkSession
     sf_dir: str
 
+    def __post_init__(self) -> None:
+        self._frames: dict[str, DataFrame] = {}
+
     def t(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+        if name not in self._frames:
+            self._frames[name] = self._read(name)
+        return self._frames[name]
+
+    def _read(self, name: str) -> DataFrame:
+        """One test table.  The test files hold a single Parquet row group, so a
+        scan is one task no matter how many cores there are; a fact table with
+        fewer scan partitions than cores is spread round-robin first.  On real
+        inputs (many row groups / files) the scan already has enough
+        partitions and nothing is added."""
+        df = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+        if name in FACT_TABLES:
+            cores = self.spark.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < cores:
+                df = df.repartition(cores)
+        return df
 
 
 def sku_of(p_type: Column, p_partkey: Column) -> Column:
@@ -54,8 +89,9 @@ def sku_of(p_type: Column, p_partkey: Column) -> Column:
     return F.concat(F.when(p_type == "PROMO", "P").otherwise("K"), p_partkey.cast("string"))
 
 
-def _sign(cond: Column) -> Column:
-    return F.when(cond, F.lit(-1)).otherwise(F.lit(1))
+def _signed(negative: Column, value: Column) -> Column:
+    """value, negated where ``negative`` (keeps the decimal type compact)."""
+    return F.when(negative, -value).otherwise(value)
 
 
 def _supplier_region(tt: TestTables) -> DataFrame:
@@ -118,13 +154,15 @@ def sales_raw(tt: TestTables) -> DataFrame:
     j = (li.join(o, li.l_orderkey == o.o_orderkey)
          .join(p, li.l_partkey == p.p_partkey)
          .join(sr, li.l_suppkey == sr.s_suppkey))
-    sign = _sign(F.col("l_returnflag") == "R")
-    gross = sign * F.col("l_extendedprice").cast("decimal(18,2)")
+    is_return = F.col("l_returnflag") == "R"
+    qty = F.col("l_quantity").cast("decimal(18,2)")
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    gross = F.when(is_return, -price).otherwise(price)
     return j.select(
         F.col("o_orderdate").cast("date").alias("Purchase Date"),
         sku_of(F.col("p_type"), F.col("p_partkey")).alias("Sku"),
         F.lower(F.replace(F.col("r_name"), F.lit(" "), F.lit("-"))).alias("stock"),
-        (sign * F.col("l_quantity").cast("decimal(18,2)")).alias("Quantity"),
+        F.when(is_return, -qty).otherwise(qty).alias("Quantity"),
         gross.alias("Gross"),
         (gross * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")))
         .cast("decimal(18,4)").alias("Net"),
@@ -141,7 +179,7 @@ def stock_raw(tt: TestTables) -> DataFrame:
         F.col("l_shipdate").cast("date").alias("posting_date"),
         F.col("l_suppkey").cast("string").alias("site_code"),
         sku_of(F.col("p_type"), F.col("p_partkey")).alias("article_code"),
-        (_sign(F.col("l_linestatus") != "F") * F.col("l_quantity").cast("decimal(18,2)"))
+        _signed(F.col("l_linestatus") != "F", F.col("l_quantity").cast("decimal(18,2)"))
         .alias("stock_balance"))
 
 
@@ -162,7 +200,7 @@ def warehouse_stock(tt: TestTables) -> DataFrame:
         F.col("n_name").alias("location"),
         sku_of(F.col("p_type"), F.col("p_partkey")).alias("article_code"),
         F.col("p_name").alias("latest_article_description"),
-        (_sign(F.col("l_linestatus") != "F") * F.col("l_quantity").cast("decimal(18,2)"))
+        _signed(F.col("l_linestatus") != "F", F.col("l_quantity").cast("decimal(18,2)"))
         .alias("stock_balance"))
 
 
