@@ -42,9 +42,13 @@ def run_loss_job(spark: SparkSession, inputs: M.ModelInputs, cfg: ModelConfig,
     channel, period = profile.key, cfg.period
     paths = {name: os.path.join(root, name) for name in sinks.SHEETS}
 
+    schemas = {}
+
     def write(name: str, df: DataFrame) -> DataFrame:
         sinks.write_partitioned(df, paths[name], channel, period)
-        back = sinks.read_partition(spark, paths[name], channel, period).drop("channel", "period")
+        schemas[name] = sinks.written_schema(df)
+        back = sinks.read_partition(spark, paths[name], channel, period,
+                                    schemas[name]).drop("channel", "period")
         if csv:
             sinks.export_csv(back, paths[name] + "_csv", name)
         return back
@@ -63,7 +67,7 @@ def run_loss_job(spark: SparkSession, inputs: M.ModelInputs, cfg: ModelConfig,
         "qa_summary": write("qa_summary", Q.qa_summary(inputs, cfg, detail=detail,
                                                        unmapped=unmapped, sites=sites)),
     }
-    sinks.verify_written(spark, paths)
+    sinks.verify_written(spark, paths, schemas)
     counts = reduce(DataFrame.unionByName, [
         df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("dataset"), "rows")
         for name, df in out.items()])

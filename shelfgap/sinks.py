@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .profiles import ChannelProfile, export_code
 
@@ -56,9 +57,21 @@ def write_partitioned(df: DataFrame, path: str, channel: str, period: str) -> st
     return path
 
 
-def read_partition(spark: SparkSession, path: str, channel: str, period: str) -> DataFrame:
-    """Read one run's partition back (partition pruning on channel/period)."""
-    return (spark.read.parquet(path)
+def written_schema(df: DataFrame) -> T.StructType:
+    """Schema of a dataset as written: its columns plus the partition columns."""
+    fields = [f for f in df.schema.fields if f.name not in ("channel", "period")]
+    return T.StructType(fields + [T.StructField("channel", T.StringType()),
+                                  T.StructField("period", T.StringType())])
+
+
+def read_partition(spark: SparkSession, path: str, channel: str, period: str,
+                   schema: T.StructType | None = None) -> DataFrame:
+    """Read one run's partition back (partition pruning on channel/period).
+
+    With the schema given, an empty dataset (no data files) reads as empty
+    instead of failing schema inference."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return (reader.parquet(path)
             .filter((F.col("channel") == channel) & (F.col("period") == period)))
 
 
@@ -70,16 +83,17 @@ def export_csv(df: DataFrame, path: str, dataset: str) -> str:
     return path
 
 
-def verify_written(spark: SparkSession, paths: dict[str, str]) -> None:
-    """K7: every expected dataset can be opened (schema read from the files).
+def verify_written(spark: SparkSession, paths: dict[str, str],
+                   schemas: dict[str, T.StructType]) -> None:
+    """K7: every expected dataset folder exists and opens with its schema.
 
     Uses the same filesystem layer as the writes, so it works for any shared
-    store, not only a local disk.
+    store, not only a local disk; an empty dataset still has its folder.
     """
     missing = []
     for name, p in paths.items():
         try:
-            spark.read.parquet(p).schema
+            spark.read.schema(schemas[name]).parquet(p).schema
         except Exception:  # noqa: BLE001 -- any failure to open counts as missing
             missing.append(name)
     if missing:
