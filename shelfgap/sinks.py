@@ -28,15 +28,15 @@ SHEETS = {
 OUTPUT_NAME = "OOS_Opportunity_Lost_{code}_{period}_V5"
 # ---------------------------------------------------------------------------
 
-# H1-H4: the order each dataset is shown in
+# H1-H4: the order each dataset is shown in, as (column, descending) pairs
 SORT_KEYS = {
-    "detail": [F.desc("lost_value_net_raw"), F.asc("sku"), F.asc("virtual_site")],
-    "summary_site": [F.desc("lost_value_net_raw"), F.asc("virtual_site")],
-    "summary_sku": [F.desc("lost_value_net_raw"), F.asc("sku")],
-    "unmapped_sites": [F.desc("rows"), F.asc("site_code")],
-    "qa_summary": [F.asc("seq")],
-    "calculation_example": [F.asc("seq")],
-    "summary_total": [F.asc("metric")],
+    "detail": [("lost_value_net_raw", True), ("sku", False), ("virtual_site", False)],
+    "summary_site": [("lost_value_net_raw", True), ("virtual_site", False)],
+    "summary_sku": [("lost_value_net_raw", True), ("sku", False)],
+    "unmapped_sites": [("rows", True), ("site_code", False)],
+    "qa_summary": [("seq", False)],
+    "calculation_example": [("seq", False)],
+    "summary_total": [("metric", False)],
 }
 
 
@@ -77,7 +77,7 @@ def read_partition(spark: SparkSession, path: str, channel: str, period: str,
 
 def export_csv(df: DataFrame, path: str, dataset: str) -> str:
     """Ordered CSV with a header for people (H1-H4 order)."""
-    keys = SORT_KEYS.get(dataset)
+    keys = [F.desc(c) if desc else F.asc(c) for c, desc in SORT_KEYS.get(dataset, [])]
     out = df.orderBy(*keys) if keys else df
     out.write.mode("overwrite").option("header", True).csv(path)
     return path

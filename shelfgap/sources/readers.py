@@ -8,10 +8,12 @@ of failing the job.  A "workbook" is a folder with one delimited file per sheet
 
 from __future__ import annotations
 
+import csv
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
@@ -39,19 +41,27 @@ def read_orders_export(spark: SparkSession, path: str) -> DataFrame:
 def read_sheet_table(spark: SparkSession, path: str, header_row: int = 1) -> DataFrame:
     """A4: one sheet exported as one delimited file with ``header_row`` title lines.
 
-    The file is read unsplit (one partition, file order kept), the title lines
-    are dropped and the next line becomes the column names.
+    The first ``header_row + 1`` lines are read (a bounded ``limit``) to learn
+    the column names from the header line; the data is then read with that
+    all-string schema, the first line skipped by the reader and the remaining
+    leading lines (header / further titles) dropped by value.
     """
-    raw = (spark.read.option("header", False).option("inferSchema", False)
-           .option("multiLine", True).csv(path)
-           .withColumn("_line", F.monotonically_increasing_id()))
-    header = raw.orderBy("_line").limit(header_row + 1).collect()
-    if len(header) <= header_row:
+    lead = [r["value"] for r in spark.read.text(path).limit(header_row + 1).collect()]
+    if len(lead) <= header_row:
         raise ValueError(f"Sheet table {path} has no header row")
-    names = [str(v) if v is not None else f"_c{i}" for i, v in
-             enumerate(list(header[header_row])[:-1])]
-    data = raw.filter(F.col("_line") > header_row).drop("_line")
-    return data.toDF(*names)
+    parsed = [next(csv.reader([line])) if line else [] for line in lead]
+    names = [n if n else f"_c{i}" for i, n in enumerate(parsed[header_row])]
+    schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
+    data = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+            .csv(path))
+    for values in parsed[1:]:
+        padded = (values + [None] * len(names))[:len(names)]
+        same = F.lit(True)
+        for n, v in zip(names, padded):
+            c = F.col(f"`{n}`")
+            same = same & (c.isNull() if v in (None, "") else c.eqNullSafe(F.lit(v)))
+        data = data.filter(~same)
+    return data
 
 
 def sheet_path(workbook_dir: str, sheet: str) -> str:
