@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The reference has no stream, watermark, window or stateful logic; every
+entry point is a one-shot batch (SURVEY §2.L).  Nothing is built here.
+"""
