@@ -64,12 +64,19 @@ class TestTables:
 
     def __post_init__(self) -> None:
         self._frames: dict[str, DataFrame] = {}
+        self.landed: dict[str, str] = {}     # derived input name -> Parquet path
 
     def t(self, name: str) -> DataFrame:
         if name not in self._frames:
             self._frames[name] = self._read(name)
         return self._frames[name]
 
+    def landed_frame(self, name: str) -> DataFrame:
+        key = f"landed:{name}"
+        if key not in self._frames:
+            self._frames[key] = self.spark.read.parquet(self.landed[name])
+        return self._frames[key]
+
     def _read(self, name: str) -> DataFrame:
         """One test table.  The test files hold a single Parquet row group, so a
         scan is one task no matter how many cores there are; a fact table with
@@ -145,6 +152,12 @@ def product_sheets_raw(tt: TestTables) -> dict[str, DataFrame]:
 
 
 def sales_raw(tt: TestTables) -> DataFrame:
+    if "sales_raw" in tt.landed:
+        return tt.landed_frame("sales_raw")
+    return _sales_raw(tt)
+
+
+def _sales_raw(tt: TestTables) -> DataFrame:
     """One order line per line item; returns (flag R) are negative."""
     li = tt.t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity",
                                  "l_extendedprice", "l_discount", "l_returnflag")
@@ -170,6 +183,12 @@ def sales_raw(tt: TestTables) -> DataFrame:
 
 
 def stock_raw(tt: TestTables) -> DataFrame:
+    if "stock_raw" in tt.landed:
+        return tt.landed_frame("stock_raw")
+    return _stock_raw(tt)
+
+
+def _stock_raw(tt: TestTables) -> DataFrame:
     """Daily stock movement per (ship date, supplier, part); open lines are negative."""
     li = tt.t("lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_linestatus",
                                  "l_shipdate")
@@ -184,6 +203,12 @@ def stock_raw(tt: TestTables) -> DataFrame:
 
 
 def warehouse_stock(tt: TestTables) -> DataFrame:
+    if "warehouse_stock" in tt.landed:
+        return tt.landed_frame("warehouse_stock")
+    return _warehouse_stock(tt)
+
+
+def _warehouse_stock(tt: TestTables) -> DataFrame:
     """Warehouse daily-stock table for the snapshot job (A11): location = supplier
     nation, description = part name."""
     li = tt.t("lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_linestatus",
@@ -215,3 +240,22 @@ def snapshot_sku_filter(tt: TestTables) -> DataFrame:
     """SKU list shared by all channels: live products, under an aliased column name."""
     return (product_raw(tt).filter(F.col("status") == "live")
             .select(F.col("skuNo").alias("Article Code")))
+
+
+def land_inputs(tt: TestTables, root: str) -> dict[str, str]:
+    """Write the derived order lines, daily stock and warehouse table once as
+    Parquet under ``root`` (the shared folder) and read them from there from
+    now on -- the shape real inputs have: stored, splittable tables.  Stock
+    tables are range-clustered by date so a month filter skips whole files."""
+    cores = tt.spark.sparkContext.defaultParallelism
+    out = {}
+    for name, build, order in (("sales_raw", _sales_raw, None),
+                               ("stock_raw", _stock_raw, "posting_date"),
+                               ("warehouse_stock", _warehouse_stock, "posting_date")):
+        path = os.path.join(root, f"{name}.parquet")
+        df = build(tt)
+        df = df.repartitionByRange(cores, order) if order else df.repartition(cores)
+        df.write.mode("overwrite").parquet(path)
+        out[name] = path
+    tt.landed.update(out)
+    return out
