@@ -12,6 +12,7 @@ import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import model as M
 from ..profiles import ModelConfig, get_profile
@@ -36,13 +37,21 @@ def _is_parquet(path: str) -> bool:
         n.endswith(".csv") for n in os.listdir(path)))
 
 
+def _is_workbook(path: str) -> bool:
+    return os.path.isdir(path) and any(n.endswith(".csv") for n in os.listdir(path))
+
+
 def read_orders(spark: SparkSession, path: str, channel: str) -> DataFrame:
-    """A1-A3: base channel = UTF-16 TSV export (or Parquet landed from it);
-    other channels = the sales sheet of a workbook folder, title row above."""
+    """A1-A3: base channel = UTF-16 TSV export (or Parquet landed from it, or
+    the first sheet of a workbook folder); other channels = their sales sheet
+    of a workbook folder, title row above the header."""
     profile = get_profile(channel)
     if _is_parquet(path):
         return spark.read.parquet(path)
     if profile.sales_sheet is None:
+        if _is_workbook(path):                                    # A2: first sheet
+            first = RD.available_sheets(path)[0]
+            return RD.read_sheet_table(spark, RD.sheet_path(path, first), header_row=0)
         return RD.read_orders_export(spark, path)
     sheet = RD.read_workbook_sheets(spark, path, (profile.sales_sheet,),
                                     contract_for("sales", profile.key).header_row)
@@ -58,10 +67,37 @@ def read_products(spark: SparkSession, path: str, channel: str):
                                    contract_for("sku_live", profile.key).header_row)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """Parquet, a delimited file, or (with ``sheet``) that sheet of a workbook folder."""
+    if sheet is not None and _is_workbook(path):
+        return RD.read_sheet_table(spark, RD.sheet_path(path, sheet), header_row=0)
     return spark.read.parquet(path) if _is_parquet(path) else RD.read_delimited(spark, path)
 
 
+# --- fixed value: the site-map sheet of a workbook ------------------------
+SITE_MAP_SHEET = "Include"
+# ---------------------------------------------------------------------------
+
+
+def register_views(inputs: M.ModelInputs, prefix: str = "") -> list[str]:
+    """Expose the normalized inputs as temp views for ad-hoc SQL."""
+    names = []
+    for name in ("product", "orders", "stock", "site_map"):
+        view = f"{prefix}{name}"
+        getattr(inputs, name).createOrReplaceTempView(view)
+        names.append(view)
+    return names
+
+
+def suggest_month_from_path(spark: SparkSession, stock_path: str) -> DataFrame:
+    """Month suggestion reading only the posting_date column."""
+    from ..functions.dates import month_first_timestamp
+    from ..operators.quality import month_suggestion
+    raw = read_table(spark, stock_path).select("posting_date")
+    days = raw.select(F.to_date(month_first_timestamp(raw, "posting_date")).alias("posting_date"))
+    return month_suggestion(days)
+
+
 def load_inputs(spark: SparkSession, paths: InputPaths) -> M.ModelInputs:
     channel = get_profile(paths.channel).key
     orders = L.load_orders(read_orders(spark, paths.orders, channel), channel)
@@ -72,7 +108,7 @@ def load_inputs(spark: SparkSession, paths: InputPaths) -> M.ModelInputs:
         product=L.load_products(read_products(spark, paths.product, channel), channel),
         orders=orders,
         stock=L.load_daily_stock(read_table(spark, paths.daily_stock)),
-        site_map=L.load_site_map(read_table(spark, paths.site_mapping), channel),
+        site_map=L.load_site_map(read_table(spark, paths.site_mapping, SITE_MAP_SHEET), channel),
     )
 
 

@@ -56,14 +56,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     it is unset (local tests) a scratch folder is created and registered.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    sc = None
+    try:
+        sc = spark.sparkContext
+        current = current or sc.getCheckpointDir()
+    except Exception:  # noqa: BLE001 -- Connect sessions expose no SparkContext
+        sc = None
     if not current:
         current = tempfile.mkdtemp(prefix="shelfgap-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-        spark.sparkContext.setCheckpointDir(current)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(current)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
     return current
 
 

@@ -91,3 +91,14 @@ def test_snapshot_job(spark, tmp_path):
     assert "daily_stock - 2026-03-01_to_2026-03-31" in res.rows_path
     assert rows(res.summary) == [("th", "TH", 1, 1, 1), ("tht", "THT", 1, 1, 1)]
     assert spark.read.parquet(res.rows_path).filter(F.col("channel") == "th").count() == 1
+
+
+def test_workbook_site_map_and_month(spark, tmp_path):
+    from shelfgap.plans.jobs import read_table, suggest_month_from_path, SITE_MAP_SHEET
+    wb = tmp_path / "site_wb"
+    wb.mkdir()
+    write(wb / f"{SITE_MAP_SHEET}.csv", "Virtual Location,Site,Active\nWH-BKK,1110,X\n")
+    assert rows(read_table(spark, str(wb), SITE_MAP_SHEET)) == [("WH-BKK", "1110", "X")]
+    d = th_files(tmp_path)
+    r = suggest_month_from_path(spark, str(d / "stock.csv")).first()
+    assert (r["eval_year"], r["eval_month"], r["is_confident"]) == (2026, 2, True)
