@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cleaning import blank_to_empty
+from ..session import sized_broadcast
 from ..sources.contracts import resolve_article_code_column
 
 SNAPSHOT_KEYS = ["posting_date", "site_code", "location", "article_code",
@@ -48,7 +49,7 @@ def stock_snapshot(warehouse: DataFrame, channel_sites: DataFrame, sku_list: Dat
     Ordering (H7: date, location, article) is applied by the sink.
     """
     skus = sku_filter_table(sku_list)
-    sites = channel_sites.select("channel", "site_code").distinct()
+    sites = sized_broadcast(channel_sites.select("channel", "site_code").distinct())
     s = (warehouse.filter(F.col("posting_date").between(F.lit(start), F.lit(end)))
          .select(*SNAPSHOT_KEYS, "stock_balance"))
     j = s.join(sites, "site_code")

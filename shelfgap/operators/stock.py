@@ -2,8 +2,8 @@
 and unmapped sites (SURVEY C7, C9, C10, D1-D4, E1-E3, E9, I2).
 
 Plan shape: the month filter is a half-open range so it reaches the Parquet
-scan; the site map join fans a site out to every virtual site it maps to
-(reference semantics); E1 sums per (channel, day, sku, virtual site) with a
+scan; the site map join (broadcast when its size is proven small) fans a site
+out to every virtual site it maps to (reference semantics); E1 sums per (channel, day, sku, virtual site) with a
 map-side partial aggregate, so a hot sku/site is combined before the shuffle;
 E2/E3 then see at most one row per day per (sku, site) -- 31 rows -- and are
 computed in one pass with ``count_if``/``count`` instead of two distinct counts.
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import clip0, safe_div
 from ..functions.dates import in_range
 from ..profiles import ModelConfig
+from ..session import sized_broadcast
 
 
 def eval_month_stock(stock: DataFrame, cfg: ModelConfig) -> DataFrame:
@@ -28,7 +29,9 @@ def eval_month_stock(stock: DataFrame, cfg: ModelConfig) -> DataFrame:
 def day_balance(stock: DataFrame, site_map: DataFrame, cfg: ModelConfig) -> DataFrame:
     """D1 + E1: Σ stock_balance per (channel, posting_date, sku, virtual_site)."""
     s = eval_month_stock(stock, cfg).select("posting_date", "site_code", "sku", "stock_balance")
-    m = site_map.select("channel", "site_code", "virtual_site")
+    # the site map is a small dimension: broadcast it when its size is proven
+    # (bounded count), so the month of stock is shuffled once (for E1), not twice
+    m = sized_broadcast(site_map.select("channel", "site_code", "virtual_site"))
     mapped = s.join(m, "site_code")
     return (mapped.groupBy("channel", "posting_date", "sku", "virtual_site")
             .agg(F.sum("stock_balance").alias("stock_balance")))
@@ -80,6 +83,6 @@ def unmapped_sites(stock: DataFrame, site_map: DataFrame, cfg: ModelConfig) -> D
     Order (rows desc, H4) is applied by the sinks, not here.
     """
     s = eval_month_stock(stock, cfg).select("site_code")
-    m = site_map.select("site_code")
+    m = sized_broadcast(site_map.select("site_code").distinct())
     return (s.join(m, "site_code", "left_anti")
             .groupBy("site_code").agg(F.count(F.lit(1)).alias("rows")))
