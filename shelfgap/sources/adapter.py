@@ -36,16 +36,18 @@ TEST_CHANNEL_2 = ChannelProfile(key="tpch2", label="TPCH2",
 # ---------------------------------------------------------------------------
 
 
-_OPEN: dict[tuple[int, str], "TestTables"] = {}
+_OPEN: dict[str, "TestTables"] = {}
 
 
 def open_tables(spark: SparkSession, sf_dir: str) -> "TestTables":
-    """Shared lazy table handles per (session, folder): each file is listed and
-    its footer read once, however many queries use it."""
-    key = (id(spark), os.path.abspath(sf_dir))
-    if key not in _OPEN:
-        _OPEN[key] = TestTables(spark, sf_dir)
-    return _OPEN[key]
+    """Shared lazy table handles per folder for the current session: each file
+    is listed and its footer read once, however many queries use it.  A new
+    session (the same object is required, not just an equal id) starts fresh."""
+    key = os.path.abspath(sf_dir)
+    tt = _OPEN.get(key)
+    if tt is None or tt.spark is not spark:
+        tt = _OPEN[key] = TestTables(spark, sf_dir)
+    return tt
 
 
 def test_config(**overrides) -> ModelConfig:
