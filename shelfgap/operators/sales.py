@@ -3,10 +3,12 @@ and unit prices (SURVEY B20, B22, B26, C8, D5, E4-E8).
 
 The reference scans orders three times (recent, fallback, month) and joins
 the recent and fallback totals with a full outer join.  Here one aggregation
-over (sku, stock_code) computes every window total as a conditional sum, plus
-the all-time totals that the per-sku unit price needs; the unit price is then a
-second, small aggregation over those per-site rows.  One scan, one big
-shuffle (with map-side combine), no outer join.
+over (sku, stock_code, product_name) computes every window total as a
+conditional sum plus the all-time totals the unit price needs (``sales_lines``).
+A second, small aggregation turns that into per-sku prices and per-site window
+sums (``sales_by_sku``, used by the detail) or per-(sku, site) rows
+(``site_sales_from_lines``, used by the standalone window/baseline queries).
+One scan, one big shuffle with map-side combine, no outer join.
 
 Sums are taken in the input's own numeric type (exact for decimals) and cast
 to double once.

@@ -41,6 +41,13 @@ def _is_workbook(path: str) -> bool:
     return os.path.isdir(path) and any(n.endswith(".csv") for n in os.listdir(path))
 
 
+def with_file_order(df: DataFrame) -> DataFrame:
+    """Attach ``row_ord``: position in file order for a single delimited file
+    (splits of one file are scanned in offset order).  Used to break "first
+    row" ties (F1, F2, E4) the way the reference's file order does."""
+    return df.withColumn("row_ord", F.monotonically_increasing_id())
+
+
 def read_orders(spark: SparkSession, path: str, channel: str) -> DataFrame:
     """A1-A3: base channel = UTF-16 TSV export (or Parquet landed from it, or
     the first sheet of a workbook folder); other channels = their sales sheet
@@ -98,14 +105,21 @@ def suggest_month_from_path(spark: SparkSession, stock_path: str) -> DataFrame:
     return month_suggestion(days)
 
 
+def _ordered(x):
+    if isinstance(x, dict):
+        return {k: with_file_order(v) for k, v in x.items()}
+    return x if "row_ord" in x.columns else with_file_order(x)
+
+
 def load_inputs(spark: SparkSession, paths: InputPaths) -> M.ModelInputs:
     channel = get_profile(paths.channel).key
-    orders = L.load_orders(read_orders(spark, paths.orders, channel), channel)
+    orders = L.load_orders(_ordered(read_orders(spark, paths.orders, channel)), channel)
     if paths.orders_actual:
-        current = L.load_orders(read_orders(spark, paths.orders_actual, channel), channel)
+        current = L.load_orders(_ordered(read_orders(spark, paths.orders_actual, channel)),
+                                channel)
         orders = L.append_orders(orders, current)          # I12 / F5
     return M.ModelInputs(
-        product=L.load_products(read_products(spark, paths.product, channel), channel),
+        product=L.load_products(_ordered(read_products(spark, paths.product, channel)), channel),
         orders=orders,
         stock=L.load_daily_stock(read_table(spark, paths.daily_stock)),
         site_map=L.load_site_map(read_table(spark, paths.site_mapping, SITE_MAP_SHEET), channel),
