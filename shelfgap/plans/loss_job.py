@@ -55,7 +55,8 @@ def run_loss_job(spark: SparkSession, inputs: M.ModelInputs, cfg: ModelConfig,
 
     sites = M.grid_sites(inputs.site_map)
     site_names = [v for c, v in sites if c == channel]
-    detail = write("detail", M.loss_detail(inputs, cfg, sites).drop("channel"))
+    detail = write("detail", sinks.with_comments(M.loss_detail(inputs, cfg, sites).drop("channel"),
+                                                 sinks.DETAIL_COMMENTS))
     unmapped = write("unmapped_sites", K.unmapped_sites(inputs.stock, inputs.site_map, cfg))
     out = {
         "detail": detail,

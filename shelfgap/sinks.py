@@ -40,6 +40,46 @@ SORT_KEYS = {
 }
 
 
+# K3 "Definitions": what each detail column means, kept as column comments in
+# the written schema instead of a separate sheet.
+DETAIL_COMMENTS = {
+    "virtual_site": "virtual site from the site map",
+    "observed_days_jan": "calendar days of the evaluation month",
+    "recorded_days": "days with any mapped stock row for the sku and site",
+    "in_stock_days": "days whose summed stock balance is above zero",
+    "oos_days_jan": "month days minus in-stock days (a day without a row counts as out of stock)",
+    "oos_ratio_jan": "oos_days_jan / observed_days_jan",
+    "baseline_source": "window that gave the baseline: recent, previous (fallback) or none",
+    "baseline_window_start": "first day of the chosen baseline window",
+    "baseline_window_end": "last day of the chosen baseline window",
+    "baseline_window_days": "calendar days in the chosen baseline window",
+    "recent_qty": "quantity sold in the recent window",
+    "fallback_qty": "quantity sold in the fallback window",
+    "baseline_qty_window": "quantity of the chosen window",
+    "baseline_daily_qty": "baseline_qty_window / baseline_window_days",
+    "expected_qty_jan": "baseline_daily_qty x observed_days_jan",
+    "actual_qty_jan": "quantity sold in the evaluation month",
+    "is_actual_zero_jan": "true when the month's quantity is zero or less; only then loss is kept",
+    "qty_gap_jan": "expected minus actual quantity, not below zero",
+    "lost_qty_raw": "baseline_daily_qty x oos_days_jan, zero when the sku sold in the month",
+    "gross_per_unit": "all-time gross / quantity of the sku",
+    "net_per_unit": "all-time net / quantity of the sku",
+    "lost_value_gross_raw": "lost_qty_raw x gross_per_unit",
+    "lost_value_net_raw": "lost_qty_raw x net_per_unit",
+    "lost_qty": "same as lost_qty_raw",
+    "loss_gross": "same as lost_value_gross_raw",
+    "loss_net": "same as lost_value_net_raw",
+}
+
+
+def with_comments(df: DataFrame, comments: dict[str, str]) -> DataFrame:
+    """Attach column comments as schema metadata (kept by Parquet)."""
+    for name, text in comments.items():
+        if name in df.columns:
+            df = df.withMetadata(name, {"comment": text})
+    return df
+
+
 def output_name(profile: ChannelProfile, period: str) -> str:
     """K6: output base name of one run."""
     return OUTPUT_NAME.format(code=export_code(profile), period=period)

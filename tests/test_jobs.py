@@ -61,6 +61,8 @@ def test_run_from_paths_with_append(spark, tmp_path):
     assert detail[("K1", "wh-bkk")]["product_name"] == "กระเป๋า"
     assert detail[("K1", "wh-bkk")]["gross_per_unit"] == 1116 / 93
     assert os.path.isdir(out.paths["detail"] + "_csv")
+    meta = spark.read.parquet(out.paths["detail"]).schema["oos_days_jan"].metadata
+    assert "month days" in meta["comment"]
 
 
 def test_workbook_sheet_tables(spark, tmp_path):
