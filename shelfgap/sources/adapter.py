@@ -56,7 +56,7 @@ def test_config(**overrides) -> ModelConfig:
 
 # Fact tables whose per-row work (joins, cleaning, partial aggregates) is
 # worth spreading when the file yields fewer scan partitions than cores.
-FACT_TABLES = ("lineitem", "orders", "part")
+FACT_TABLES = ("lineitem",)
 
 
 @dataclass

@@ -55,11 +55,13 @@ def main() -> None:
     for s in tail:
         dur = (s.get("Completion Time", 0) - s.get("Submission Time", 0)) / 1000
         acc = {a["Name"]: a.get("Value") for a in s.get("Accumulables", [])}
-        print(f"stage {s['Stage ID']:4d} {dur:6.2f}s tasks={s['Number of Tasks']:3d} "
+        run = int(acc.get("internal.metrics.executorRunTime", 0) or 0) / 1000
+        print(f"stage {s['Stage ID']:4d} {dur:6.2f}s cpu={run:6.2f}s tasks={s['Number of Tasks']:3d} "
+              f"rows_out={acc.get('internal.metrics.shuffle.write.recordsWritten', 0)} "
               f"shuffle_write={acc.get('internal.metrics.shuffle.write.bytesWritten', 0)} "
-              f"{s['Stage Name'][:60]}")
-    if plans:
-        print(plans[-1][:12000])
+              f"{s['Stage Name'][:40]}")
+    if plans and os.environ.get("SHOW_PLAN"):
+        print(plans[-1][:20000])
 
 
 if __name__ == "__main__":
