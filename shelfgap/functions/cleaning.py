@@ -52,7 +52,8 @@ def clean_id(c: Column | str) -> Column:
     raw = as_text(c)
     s = strip(raw)
     s = F.translate(s, "\"'=", "")
-    s = F.regexp_replace(s, "\\.0$", "")
+    # '$' as in Python: end of text or before one final '\n' only (UNIX_LINES)
+    s = F.regexp_replace(s, "(?d)\\.0$", "")
     slow = F.regexp_replace(s, f"{_WS}+", "")
     # fast path: nothing to strip, drop or remove -> the value itself
     dirty = _has_any(raw, PY_WHITESPACE + "\"'=") | raw.endswith(".0")
