@@ -206,6 +206,18 @@ def q_loss_detail_two_channels(spark, sf_dir):
     return _detail(spark, sf_dir, (A.TEST_CHANNEL, A.TEST_CHANNEL_2))
 
 
+def q_loss_detail_toggles_off(spark, sf_dir):
+    """I3 with both model toggles off: every non-P SKU, loss kept even when sold."""
+    cfg = A.test_config(use_live_skus_only=False, loss_only_when_actual_zero=False)
+    return M.loss_detail(inputs(spark, sf_dir), cfg).drop("channel")
+
+
+def q_loss_detail_feb(spark, sf_dir):
+    """I3 for a 28-day month (1998-02): windows 184 / 181 days."""
+    cfg = M.ModelConfig(eval_year=1998, eval_month=2)
+    return M.loss_detail(inputs(spark, sf_dir), cfg).drop("channel")
+
+
 def q_unmapped_sites(spark, sf_dir):
     i = inputs(spark, sf_dir)
     return K.unmapped_sites(i.stock, i.site_map, A.test_config())
@@ -349,6 +361,8 @@ QUERIES: dict[str, QueryFn] = {
     "unit_price": q_unit_price,
     "loss_detail": q_loss_detail,
     "loss_detail_two_channels": q_loss_detail_two_channels,
+    "loss_detail_toggles_off": q_loss_detail_toggles_off,
+    "loss_detail_feb": q_loss_detail_feb,
     "unmapped_sites": q_unmapped_sites,
     "summary_total": q_summary_total,
     "summary_site": q_summary_site,

@@ -11,6 +11,14 @@ from __future__ import annotations
 M_START, M_END = "DATE '1998-06-01'", "DATE '1998-07-01'"
 R_START, F_START = "DATE '1997-12-01'", "DATE '1997-06-01'"
 DAYS, RECENT_DAYS, FALLBACK_DAYS = 30, 182, 183
+# model parameters: month, windows (start / inclusive end), day counts, toggles
+P_JUNE = dict(m_start="1998-06-01", m_end="1998-07-01", r_start="1997-12-01", r_end="1998-05-31",
+              f_start="1997-06-01", f_end="1997-11-30", days=30, rdays=182, fdays=183,
+              live_only=True, zero_rule=True)
+P_TOGGLES_OFF = dict(P_JUNE, live_only=False, zero_rule=False)
+P_FEB = dict(m_start="1998-02-01", m_end="1998-03-01", r_start="1997-08-01", r_end="1998-01-31",
+             f_start="1997-02-01", f_end="1997-07-31", days=28, rdays=184, fdays=181,
+             live_only=True, zero_rule=True)
 TH_SITES = ("wh-bkk", "bkk-out", "dmk-out", "hkt-out", "cnx-out", "bs-hkt", "bs-cnx",
             "mjets-out")
 REGION_SITES = ("africa", "america", "asia", "europe", "middle-east")
@@ -74,21 +82,6 @@ universe AS (
   SELECT DISTINCT sku, product_name FROM product
   WHERE NOT excluded_prefix_p
     AND (status = 'live' OR NOT EXISTS (SELECT 1 FROM product WHERE NOT excluded_prefix_p AND status = 'live'))),
-site_sales AS (
-  SELECT sku, stock_code AS virtual_site,
-    CAST(coalesce(sum(quantity) FILTER (WHERE purchase_date >= {R_START} AND purchase_date < {M_START}), 0) AS DOUBLE) AS recent_qty,
-    CAST(coalesce(sum(quantity) FILTER (WHERE purchase_date >= {F_START} AND purchase_date < {R_START}), 0) AS DOUBLE) AS fallback_qty,
-    CAST(coalesce(sum(quantity) FILTER (WHERE purchase_date >= {M_START} AND purchase_date < {M_END}), 0) AS DOUBLE) AS actual_qty_jan,
-    count(*) FILTER (WHERE purchase_date >= {R_START} AND purchase_date < {M_START}) AS recent_rows,
-    count(*) FILTER (WHERE purchase_date >= {F_START} AND purchase_date < {R_START}) AS fallback_rows,
-    count(*) FILTER (WHERE purchase_date >= {M_START} AND purchase_date < {M_END}) AS actual_rows,
-    sum(quantity) AS tq, sum(gross) AS tg, sum(net) AS tn, min(product_name) AS first_name
-  FROM orders_n WHERE NOT excluded_prefix_p GROUP BY sku, stock_code),
-price AS (
-  SELECT sku, min(first_name) AS product_name,
-    CASE WHEN CAST(sum(tq) AS DOUBLE) > 0 THEN CAST(sum(tg) AS DOUBLE) / CAST(sum(tq) AS DOUBLE) ELSE 0.0 END AS gross_per_unit,
-    CASE WHEN CAST(sum(tq) AS DOUBLE) > 0 THEN CAST(sum(tn) AS DOUBLE) / CAST(sum(tq) AS DOUBLE) ELSE 0.0 END AS net_per_unit
-  FROM site_sales GROUP BY sku),
 window_sales AS (
   SELECT sku, stock_code AS virtual_site,
     CAST(coalesce(sum(quantity) FILTER (WHERE purchase_date >= {R_START} AND purchase_date < {M_START}), 0) AS DOUBLE) AS recent_qty,
@@ -101,30 +94,52 @@ window_sales AS (
 """
 
 
-def baseline_cols(q: str = "") -> str:
+def baseline_cols(q: str = "", p: dict = P_JUNE) -> str:
     """Baseline choice columns from recent_qty / fallback_qty (prefix ``q``)."""
     r, f = f"{q}recent_qty", f"{q}fallback_qty"
     use_r = f"({r} > 0)"
     use_f = f"(NOT ({r} > 0) AND {f} > 0)"
-    days = f"CAST(CASE WHEN {use_r} THEN {RECENT_DAYS} WHEN {use_f} THEN {FALLBACK_DAYS} ELSE 0 END AS INTEGER)"
+    days = (f"CAST(CASE WHEN {use_r} THEN {p['rdays']} WHEN {use_f} THEN {p['fdays']} "
+            f"ELSE 0 END AS INTEGER)")
     qty = f"(CASE WHEN {use_r} THEN {r} WHEN {use_f} THEN {f} ELSE 0.0 END)"
     return f"""
     'rolling_6m_with_6m_fallback' AS baseline_method,
     CASE WHEN {use_r} THEN 'recent_6m' WHEN {use_f} THEN 'fallback_prev_6m' ELSE 'no_history' END AS baseline_source,
-    CASE WHEN {use_r} THEN '1997-12-01' WHEN {use_f} THEN '1997-06-01' ELSE '' END AS baseline_window_start,
-    CASE WHEN {use_r} THEN '1998-05-31' WHEN {use_f} THEN '1997-11-30' ELSE '' END AS baseline_window_end,
+    CASE WHEN {use_r} THEN '{p['r_start']}' WHEN {use_f} THEN '{p['f_start']}' ELSE '' END AS baseline_window_start,
+    CASE WHEN {use_r} THEN '{p['r_end']}' WHEN {use_f} THEN '{p['f_end']}' ELSE '' END AS baseline_window_end,
     {days} AS baseline_window_days,
     {qty} AS baseline_qty_window,
     CASE WHEN {days} > 0 THEN {qty} / {days} ELSE 0.0 END AS baseline_daily_qty"""
 
 
-def model_ctes(site_map: str = "site_map") -> str:
-    """day_bal / day_counts / detail over the given site-map CTE."""
+def model_ctes(site_map: str = "site_map", p: dict = P_JUNE) -> str:
+    """site_sales / price / day_bal / day_counts / detail for parameters ``p``."""
+    ms, me = f"DATE '{p['m_start']}'", f"DATE '{p['m_end']}'"
+    rs, fs = f"DATE '{p['r_start']}'", f"DATE '{p['f_start']}'"
+    days = p["days"]
+    live = ("AND (status = 'live' OR NOT EXISTS (SELECT 1 FROM product "
+            "WHERE NOT excluded_prefix_p AND status = 'live'))") if p["live_only"] else ""
+    lost = ("CASE WHEN actual_qty_jan <= 0.0 THEN baseline_daily_qty * oos_days_jan ELSE 0.0 END"
+            if p["zero_rule"] else "baseline_daily_qty * oos_days_jan")
     return f"""
+site_sales AS (
+  SELECT sku, stock_code AS virtual_site,
+    CAST(coalesce(sum(quantity) FILTER (WHERE purchase_date >= {rs} AND purchase_date < {ms}), 0) AS DOUBLE) AS recent_qty,
+    CAST(coalesce(sum(quantity) FILTER (WHERE purchase_date >= {fs} AND purchase_date < {rs}), 0) AS DOUBLE) AS fallback_qty,
+    CAST(coalesce(sum(quantity) FILTER (WHERE purchase_date >= {ms} AND purchase_date < {me}), 0) AS DOUBLE) AS actual_qty_jan,
+    sum(quantity) AS tq, sum(gross) AS tg, sum(net) AS tn, min(product_name) AS first_name
+  FROM orders_n WHERE NOT excluded_prefix_p GROUP BY sku, stock_code),
+price AS (
+  SELECT sku, min(first_name) AS product_name,
+    CASE WHEN CAST(sum(tq) AS DOUBLE) > 0 THEN CAST(sum(tg) AS DOUBLE) / CAST(sum(tq) AS DOUBLE) ELSE 0.0 END AS gross_per_unit,
+    CASE WHEN CAST(sum(tq) AS DOUBLE) > 0 THEN CAST(sum(tn) AS DOUBLE) / CAST(sum(tq) AS DOUBLE) ELSE 0.0 END AS net_per_unit
+  FROM site_sales GROUP BY sku),
+uni_m AS (
+  SELECT DISTINCT sku, product_name FROM product WHERE NOT excluded_prefix_p {live}),
 day_bal AS (
   SELECT m.channel, s.posting_date, s.sku, m.virtual_site, sum(s.stock_balance) AS stock_balance
   FROM stock_n s JOIN {site_map} m ON s.site_code = m.site_code
-  WHERE s.posting_date >= {M_START} AND s.posting_date < {M_END} AND NOT s.excluded_prefix_p
+  WHERE s.posting_date >= {ms} AND s.posting_date < {me} AND NOT s.excluded_prefix_p
   GROUP BY m.channel, s.posting_date, s.sku, m.virtual_site),
 day_counts AS (
   SELECT channel, sku, virtual_site,
@@ -134,7 +149,7 @@ day_counts AS (
 grid AS (
   SELECT s.channel, u.sku, coalesce(u.product_name, p.product_name) AS product_name, s.virtual_site,
          coalesce(p.gross_per_unit, 0.0) AS gross_per_unit, coalesce(p.net_per_unit, 0.0) AS net_per_unit
-  FROM universe u LEFT JOIN price p ON u.sku = p.sku
+  FROM uni_m u LEFT JOIN price p ON u.sku = p.sku
   CROSS JOIN (SELECT DISTINCT channel, virtual_site FROM {site_map}) s),
 d0 AS (
   SELECT g.*, coalesce(c.in_stock_days, 0) AS in_stock_days, coalesce(c.recorded_days, 0) AS recorded_days,
@@ -144,14 +159,14 @@ d0 AS (
   LEFT JOIN day_counts c ON c.channel = g.channel AND c.sku = g.sku AND c.virtual_site = g.virtual_site
   LEFT JOIN site_sales ss ON ss.sku = g.sku AND ss.virtual_site = g.virtual_site),
 d1 AS (
-  SELECT *, {DAYS} AS observed_days_jan, CAST(greatest({DAYS} - in_stock_days, 0) AS INTEGER) AS oos_days_jan,
-         {baseline_cols()}
+  SELECT *, {days} AS observed_days_jan, CAST(greatest({days} - in_stock_days, 0) AS INTEGER) AS oos_days_jan,
+         {baseline_cols("", p)}
   FROM d0),
 d2 AS (
   SELECT *, CAST(oos_days_jan AS DOUBLE) / CAST(observed_days_jan AS DOUBLE) AS oos_ratio_jan,
-         baseline_daily_qty * {DAYS} AS expected_qty_jan,
+         baseline_daily_qty * {days} AS expected_qty_jan,
          actual_qty_jan <= 0.0 AS is_actual_zero_jan,
-         CASE WHEN actual_qty_jan <= 0.0 THEN baseline_daily_qty * oos_days_jan ELSE 0.0 END AS lost_qty_raw
+         {lost} AS lost_qty_raw
   FROM d1),
 detail_c AS (
   SELECT channel, sku, product_name, virtual_site, observed_days_jan, recorded_days, in_stock_days,
@@ -168,7 +183,7 @@ detail_c AS (
 detail AS (SELECT * EXCLUDE (channel) FROM detail_c),
 unmapped AS (
   SELECT s.site_code, count(*) AS "rows" FROM stock_n s
-  WHERE s.posting_date >= {M_START} AND s.posting_date < {M_END} AND NOT s.excluded_prefix_p
+  WHERE s.posting_date >= {ms} AND s.posting_date < {me} AND NOT s.excluded_prefix_p
     AND NOT EXISTS (SELECT 1 FROM {site_map} m WHERE m.site_code = s.site_code)
   GROUP BY s.site_code)
 """
@@ -263,8 +278,8 @@ snap AS (
 """
 
 
-def sql(final: str, site_map: str = "site_map", extra: str = "") -> str:
-    parts = [BASE, model_ctes(site_map), REPORT_CTES, SNAPSHOT_CTES]
+def sql(final: str, site_map: str = "site_map", extra: str = "", p: dict = P_JUNE) -> str:
+    parts = [BASE, model_ctes(site_map, p), REPORT_CTES, SNAPSHOT_CTES]
     if extra:
         parts.append(extra)
     return "WITH " + ",\n".join(p.strip().rstrip(",") for p in parts) + "\n" + final
@@ -425,6 +440,8 @@ FROM window_sales WHERE recent_rows + fallback_rows > 0""")
     q["unit_price"] = sql("SELECT sku, product_name, gross_per_unit, net_per_unit FROM price")
     q["loss_detail"] = sql("SELECT * FROM detail")
     q["loss_detail_two_channels"] = sql("SELECT * FROM detail_c", site_map="site_map2")
+    q["loss_detail_toggles_off"] = sql("SELECT * FROM detail", p=P_TOGGLES_OFF)
+    q["loss_detail_feb"] = sql("SELECT * FROM detail", p=P_FEB)
     q["unmapped_sites"] = sql('SELECT site_code, "rows" FROM unmapped')
     q["summary_total"] = sql("SELECT metric, value FROM summary_total")
     q["summary_site"] = sql("SELECT * FROM summary_site")
