@@ -78,3 +78,19 @@ def test_safe_div_and_clip(spark):
     out = df.select(C.safe_div(F.col("x"), F.col("y")).alias("d"),
                     C.clip0(F.col("x") - F.lit(2.0)).alias("c")).collect()
     assert [tuple(r) for r in out] == [(2.0, 4.0), (0.0, 0.0), (0.0, 0.0)]
+
+
+def test_channel_keys(spark):
+    import pytest as _pt
+    from shelfgap.profiles import (channel_alias_df, channel_key_column, export_code,
+                                   get_profile, normalize_channel_key, resolve_channels)
+    assert normalize_channel_key(" King-Power CN ") == "kingpowercn"
+    assert resolve_channels("th, KPCN,tht,th") == ["th", "kingpowercn", "tht"]
+    assert export_code(get_profile("cn")) == "CN" and export_code(get_profile("tht")) == "THT"
+    with _pt.raises(ValueError, match="Unsupported channel"):
+        normalize_channel_key("xx")
+    df = text_frame(spark, ["c"], [(" K P/CN ",), ("Th",), ("other",)])
+    keyed = df.select(channel_key_column(F.col("c")).alias("alias"))
+    out = keyed.join(channel_alias_df(spark), "alias", "left").select("alias", "channel")
+    assert sorted(tuple(r) for r in out.collect()) == [("kpcn", "kingpowercn"), ("other", None),
+                                                        ("th", "th")]
