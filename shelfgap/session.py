@@ -81,12 +81,18 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> int | None:
     return n if n <= max_rows else None
 
 
+_SMALL: dict[tuple[int, int, int], bool] = {}
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Hint a broadcast only when the side is proven to hold <= ``max_rows``.
 
     Beyond the bound the frame is returned unchanged and the planner falls back
     to a shuffled join (AQE can still convert it once real sizes are known).
+    The bounded count runs once per logical plan and session (keyed by the
+    plan's semantic hash); the decision only picks the join strategy.
     """
-    if row_count_at_most(df, max_rows) is not None:
-        return F.broadcast(df)
-    return df
+    key = (id(df.sparkSession), df.semanticHash(), max_rows)
+    if key not in _SMALL:
+        _SMALL[key] = row_count_at_most(df, max_rows) is not None
+    return F.broadcast(df) if _SMALL[key] else df
