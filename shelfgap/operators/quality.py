@@ -254,27 +254,32 @@ def overview_totals(summary_total: DataFrame) -> DataFrame:
 
 
 def overview(detail: DataFrame, qa: DataFrame, unmapped: DataFrame, findings: DataFrame,
-             period: str, is_current: bool = True) -> DataFrame:
-    """Overview numbers and the trust reasons, one row."""
-    from .reports import summary_total
-    totals = overview_totals(summary_total(detail))
+             period: str, is_current: bool = True,
+             changes: DataFrame | None = None) -> DataFrame:
+    """Overview numbers and the trust reasons, one row.
+
+    ``changes`` (from ``changed_inputs``) decides "current" inside the plan:
+    the run is current when no input fingerprint changed since it was stored.
+    """
+    # one pass over the detail: row count and the three totals (E10 / E21 values)
     head = detail.agg(F.count(F.lit(1)).alias("detail_row_count"),
-                      F.coalesce(exact_sum("lost_value_net_raw"), F.lit(0.0))
-                      .alias("lost_value_net_raw"))
+                      *[F.coalesce(exact_sum(src), F.lit(0.0)).alias(name)
+                        for (_, src), name in zip(TOTAL_METRICS, TOTAL_COLUMNS)])
     qa_rows = qa.select(F.count(F.lit(1))).scalar()
     unmapped_rows = unmapped.select(F.count(F.lit(1))).scalar()
     warnings = findings.select(F.count_if(F.col("severity") == "warning")).scalar()
+    current = F.lit(is_current)
+    if changes is not None:
+        current = current & ~changes.filter(F.col("changed")).exists()
     reasons = F.array_compact(F.array(
         F.when(warnings > 0, F.format_string("%d upload warning(s)", warnings)),
         F.when(unmapped_rows > 0, F.format_string("%d unmapped site row(s)", unmapped_rows)),
-        F.lit(None if is_current else "staged inputs changed after the last successful run")
-        .cast("string")))
+        F.when(~current, F.lit("staged inputs changed after the last successful run"))))
     return head.select(
         F.lit(period).alias("period"), "detail_row_count",
         qa_rows.alias("qa_summary_row_count"), unmapped_rows.alias("unmapped_site_count"),
-        "lost_value_net_raw",
-        *[totals.select(c).scalar().alias(c) for c in TOTAL_COLUMNS],
-        warnings.alias("warning_count"), F.lit(is_current).alias("is_current"),
+        F.col("total_lost_value_net_raw").alias("lost_value_net_raw"), *TOTAL_COLUMNS,
+        warnings.alias("warning_count"), current.alias("is_current"),
         F.array_join(reasons, "; ").alias("trust_reasons"))
 
 

@@ -101,3 +101,25 @@ def test_fingerprint_changes(spark):
     assert rows(fa) == rows(fb)                       # order does not matter
     assert rows(Q.changed_inputs(fa, fc), "changed") == [(True,)]
     assert rows(Q.changed_inputs(fa, fb), "changed") == [(False,)]
+
+
+def test_overview_staleness(spark):
+    from shelfgap.operators import reports as R
+    detail = spark.createDataFrame(
+        [("K1", "a", 30, 10, 1.0, 2.0, 3.0, 1.0, 2.0, 3.0)],
+        "sku string, virtual_site string, observed_days_jan int, oos_days_jan int, "
+        "lost_qty_raw double, lost_value_gross_raw double, lost_value_net_raw double, "
+        "lost_qty double, loss_gross double, loss_net double")
+    qa = spark.createDataFrame([(1, "m", 1.0)], "seq int, metric string, value double")
+    unmapped = spark.createDataFrame([("Z", 2)], "site_code string, rows long")
+    findings = spark.createDataFrame([], Q.FINDING_SCHEMA)
+    a = text_frame(spark, STOCK, [("2026-02-01", "B", "S", 1)])
+    b = text_frame(spark, STOCK, [("2026-02-02", "B", "S", 1)])
+    same = Q.changed_inputs(Q.fingerprint(a, "stock"), Q.fingerprint(a, "stock"))
+    diff = Q.changed_inputs(Q.fingerprint(b, "stock"), Q.fingerprint(a, "stock"))
+    r = Q.overview(detail, qa, unmapped, findings, "2026-02", changes=same).first()
+    assert (r["is_current"], r["trust_reasons"]) == (True, "1 unmapped site row(s)")
+    r = Q.overview(detail, qa, unmapped, findings, "2026-02", changes=diff).first()
+    assert r["is_current"] is False
+    assert r["trust_reasons"].endswith("staged inputs changed after the last successful run")
+    assert r["total_lost_value_net_raw"] == 3.0 and r["detail_row_count"] == 1
