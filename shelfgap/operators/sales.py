@@ -161,28 +161,18 @@ def sales_by_sku(lines: DataFrame, site_keys: list) -> DataFrame:
     name_key = F.when(name.isNotNull(), F.col("m.name_ord") if has_ord else name)
     aggs = [F.sum("m.total_qty").alias("tq"), F.sum("m.total_gross").alias("tg"),
             F.sum("m.total_net").alias("tn"), F.min_by(name, name_key).alias("order_name")]
+    ch, vs = F.col("channel"), F.col("virtual_site")
+    sums = {m: F.col(f"m.{m}_sum") for m in ("recent", "fallback", "actual")}
     for i, key in enumerate(site_keys):
-        if isinstance(key, tuple):
-            here = (F.col("channel") == key[0]) & (F.col("virtual_site") == key[1])
-        else:
-            here = F.col("virtual_site") == key
-        aggs += [
-            F.sum(F.when(here, F.col("m.recent_sum"))).alias(f"recent_sum_{i}"),
-            F.sum(F.when(here, F.col("m.fallback_sum"))).alias(f"fallback_sum_{i}"),
-            F.sum(F.when(here, F.col("m.actual_sum"))).alias(f"actual_sum_{i}"),
-        ]
+        here = (ch == key[0]) & (vs == key[1]) if isinstance(key, tuple) else vs == key
+        aggs += [F.sum(F.when(here, c)).alias(f"{m}_sum_{i}") for m, c in sums.items()]
     agg = lines.groupBy("sku").agg(*aggs)
     tq, tg, tn = (F.col(c).cast("double") for c in ("tq", "tg", "tn"))
-    out = agg.withColumns({"gross_per_unit": safe_div(tg, tq), "net_per_unit": safe_div(tn, tq)})
-    for i in range(len(site_keys)):
-        out = out.withColumns({
-            f"recent_qty_{i}": F.coalesce(F.col(f"recent_sum_{i}").cast("double"), F.lit(0.0)),
-            f"fallback_qty_{i}": F.coalesce(F.col(f"fallback_sum_{i}").cast("double"), F.lit(0.0)),
-            f"actual_qty_{i}": F.coalesce(F.col(f"actual_sum_{i}").cast("double"), F.lit(0.0)),
-        })
-    keep = ["sku", "order_name", "gross_per_unit", "net_per_unit"] + [
-        f"{m}_qty_{i}" for i in range(len(site_keys)) for m in ("recent", "fallback", "actual")]
-    return out.select(*keep)
+    zero = F.lit(0.0)
+    qty = [F.coalesce(F.col(f"{m}_sum_{i}").cast("double"), zero).alias(f"{m}_qty_{i}")
+           for i in range(len(site_keys)) for m in ("recent", "fallback", "actual")]
+    return agg.select("sku", "order_name", safe_div(tg, tq).alias("gross_per_unit"),
+                      safe_div(tn, tq).alias("net_per_unit"), *qty)
 
 
 def unit_price(orders: DataFrame, cfg: ModelConfig) -> DataFrame:

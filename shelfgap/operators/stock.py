@@ -55,11 +55,12 @@ def stock_by_sku(day_bal: DataFrame, sites: list[tuple[str, str]]) -> DataFrame:
     day per site per sku), so the result joins the universe on sku alone and
     the SKU x site grid never has to be shuffled.
     """
-    ch, vs, bal = F.col("channel"), F.col("virtual_site"), F.col("stock_balance")
+    ch, vs = F.col("channel"), F.col("virtual_site")
+    positive = F.col("stock_balance") > 0
     aggs = []
     for j, (c, v) in enumerate(sites):
         here = (ch == c) & (vs == v)
-        aggs += [F.count_if(here & (bal > 0)).cast("int").alias(f"in_stock_{j}"),
+        aggs += [F.count_if(here & positive).cast("int").alias(f"in_stock_{j}"),
                  F.count_if(here).cast("int").alias(f"recorded_{j}")]
     return day_bal.groupBy("sku").agg(*aggs)
 
@@ -67,14 +68,15 @@ def stock_by_sku(day_bal: DataFrame, sites: list[tuple[str, str]]) -> DataFrame:
 def with_oos_measures(df: DataFrame, cfg: ModelConfig) -> DataFrame:
     """D3/D4 fills + B23 + B21 on a grid already left-joined with the day counts."""
     days = F.lit(cfg.eval_days)
-    return (df
-            .withColumn("in_stock_days", F.coalesce(F.col("in_stock_days"), F.lit(0)))
-            .withColumn("recorded_days", F.coalesce(F.col("recorded_days"), F.lit(0)))
-            .withColumn("observed_days_jan", days.cast("int"))
-            .withColumn("oos_days_jan", clip0(days - F.col("in_stock_days")).cast("int"))
-            .withColumn("oos_ratio_jan",
-                        safe_div(F.col("oos_days_jan").cast("double"),
-                                 F.col("observed_days_jan").cast("double"))))
+    in_stock = F.coalesce(F.col("in_stock_days"), F.lit(0))
+    oos = clip0(days - in_stock).cast("int")
+    return df.withColumns({
+        "in_stock_days": in_stock,
+        "recorded_days": F.coalesce(F.col("recorded_days"), F.lit(0)),
+        "observed_days_jan": days.cast("int"),
+        "oos_days_jan": oos,
+        "oos_ratio_jan": safe_div(oos.cast("double"), days.cast("double")),
+    })
 
 
 def unmapped_sites(stock: DataFrame, site_map: DataFrame, cfg: ModelConfig) -> DataFrame:
