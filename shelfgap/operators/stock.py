@@ -21,9 +21,16 @@ from ..session import sized_broadcast
 
 
 def eval_month_stock(stock: DataFrame, cfg: ModelConfig) -> DataFrame:
-    """C7 + C5: stock rows of the evaluation month without excluded SKUs."""
-    return stock.filter(in_range(F.col("posting_date"), cfg.anchor, cfg.next_anchor)
-                        & ~F.col("excluded_prefix_p"))
+    """C7 + C5: stock rows of the evaluation month without excluded SKUs.
+
+    With a month-partitioned store (``posting_month``) the same month is also
+    required of the partition column, so only that month's files are listed
+    and read (partition pruning); the date range still decides row by row.
+    """
+    cond = in_range(F.col("posting_date"), cfg.anchor, cfg.next_anchor) & ~F.col("excluded_prefix_p")
+    if "posting_month" in stock.columns:
+        cond = cond & (F.col("posting_month") == F.lit(cfg.period))
+    return stock.filter(cond)
 
 
 def day_balance(stock: DataFrame, site_map: DataFrame, cfg: ModelConfig) -> DataFrame:

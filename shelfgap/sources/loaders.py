@@ -12,6 +12,7 @@ Logical schemas:
   orders      purchase_date, sku, stock_code, quantity, gross, net, product_name,
               excluded_prefix_p [, row_ord]
   daily_stock posting_date, site_code, sku, stock_balance, location, excluded_prefix_p
+              [, posting_month when read from a month-partitioned store]
 """
 
 from __future__ import annotations
@@ -204,6 +205,8 @@ def load_daily_stock(raw: DataFrame) -> DataFrame:
     require_columns(raw, STOCK_COLUMNS, "Daily stock file")
     types = {f.name: f.dataType for f in raw.schema.fields}
     location = F.col("location").cast("string") if "location" in raw.columns else F.lit("")
+    # a month-partitioned store keeps its partition column for pruning
+    extra = [F.col("posting_month")] if "posting_month" in raw.columns else []
     out = raw.select(
         to_day(month_first_timestamp(raw, "posting_date")).alias("posting_date"),
         C.clean_id("site_code").alias("site_code"),
@@ -211,5 +214,6 @@ def load_daily_stock(raw: DataFrame) -> DataFrame:
         C.parse_number("stock_balance", types["stock_balance"], strip_commas=False)
         .alias("stock_balance"),
         location.alias("location"),
+        *extra,
     ).filter(F.col("posting_date").isNotNull() & (F.col("sku") != ""))
     return out.withColumn("excluded_prefix_p", C.is_excluded_sku("sku"))

@@ -89,6 +89,15 @@ def read_workbook_sheets(spark: SparkSession, workbook_dir: str, sheets: tuple[s
     return {s: read_sheet_table(spark, sheet_path(workbook_dir, s), header_row) for s in sheets}
 
 
+def land_stock_by_month(raw_stock: DataFrame, path: str) -> str:
+    """Store a daily-stock table partitioned by ``posting_month`` (yyyy-MM of the
+    month-first reading of ``posting_date``), so the evaluation-month filter
+    prunes whole partitions instead of scanning every month."""
+    from ..functions.dates import month_bucket, month_first_timestamp
+    month = month_bucket(F.to_date(month_first_timestamp(raw_stock, "posting_date")))
+    return land_as_parquet(raw_stock.withColumn("posting_month", month), path, ["posting_month"])
+
+
 def land_as_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
     """Write a source once to Parquet so later reads are splittable and pruned."""
     w = df.write.mode("overwrite")

@@ -30,3 +30,24 @@ def test_month_filter_pushed_to_scan(spark):
     text = plan_text(E.queries()["day_balance"](spark, SF_SMALL))
     assert "GreaterThanOrEqual(l_shipdate,1998-06-01" in text
     assert "LessThan(l_shipdate,1998-07-01" in text
+
+
+def test_month_partitioned_stock_is_pruned(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from shelfgap.operators import stock as K
+    from shelfgap.plans import catalog as CAT
+    from shelfgap.sources import adapter as A
+    from shelfgap.sources import loaders as L
+    from shelfgap.sources import readers as RD
+    cfg = A.test_config()
+    tt = A.open_tables(spark, SF_SMALL)
+    path = RD.land_stock_by_month(A.stock_raw(tt), str(tmp_path / "stock"))
+    landed = L.load_daily_stock(spark.read.parquet(path))
+    i = CAT.inputs(spark, SF_SMALL)
+    got = K.day_balance(landed, i.site_map, cfg)
+    text = plan_text(got)
+    assert "PartitionFilters" in text and "posting_month" in text
+    want = K.day_balance(i.stock, i.site_map, cfg)
+    cols = ["channel", "posting_date", "sku", "virtual_site", "stock_balance"]
+    as_rows = lambda df: sorted(tuple(r) for r in df.select(*cols).collect())
+    assert as_rows(got) == as_rows(want)
