@@ -178,18 +178,17 @@ def dataset_findings(slot: str, raw: DataFrame, channel: str, dataset: str | Non
     field = contract.date_field
     if field:
         days = raw.select(_parsed_day(slot, raw, field).alias("d"))
-        n_months = (days.filter(F.col("d").isNotNull())
-                    .select(month_bucket(F.col("d")).alias("m")).distinct()
-                    .select(F.count(F.lit(1))).scalar())
     else:
-        days, n_months = raw.select(F.lit(None).cast("date").alias("d")), F.lit(0)
-    stats = days.agg(F.count(F.lit(1)).alias("n"))
+        days = raw.select(F.lit(None).cast("date").alias("d"))
+    # one pass: row count and the number of distinct months together
+    stats = days.agg(F.count(F.lit(1)).alias("n"),
+                     F.countDistinct(month_bucket(F.col("d"))).alias("months"))
     checks = F.array(
         F.when(F.col("n") == 0, _finding(dataset, "warning", "empty_dataset", MSG_EMPTY)),
         F.when((F.col("n") > 0) & (F.col("n") <= NEAR_EMPTY_ROW_COUNT),
                _finding(dataset, "warning", "near_empty_dataset", MSG_NEAR_EMPTY)),
-        F.when(n_months > 1, _finding(dataset, "warning", "multiple_month_hints",
-                                      MSG_MULTI_MONTH)))
+        F.when(F.col("months") > 1, _finding(dataset, "warning", "multiple_month_hints",
+                                             MSG_MULTI_MONTH)))
     return stats.select(F.explode(checks).alias("f")).filter(F.col("f").isNotNull()).select("f.*")
 
 
