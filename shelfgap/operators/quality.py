@@ -107,17 +107,6 @@ def _parsed_day(slot: str, raw: DataFrame, field: str) -> Column:
     return F.to_date(month_first_timestamp(raw, field))
 
 
-def _months_text(days: DataFrame) -> Column:
-    """Sorted distinct 'YYYY-MM' of a one-column date frame, joined by ','.
-
-    Distinct first (a distributed aggregate), so the final list holds one
-    entry per calendar month only.
-    """
-    months = (days.filter(F.col("d").isNotNull()).select(month_bucket(F.col("d")).alias("m"))
-              .distinct().agg(F.array_join(F.sort_array(F.collect_list("m")), ",")))
-    return F.coalesce(months.scalar(), F.lit(""))
-
-
 def input_profile(slot: str, raw: DataFrame, channel: str) -> DataFrame:
     """Row count, date field, min/max date and month hints of one input."""
     field = contract_for(slot, channel).date_field
@@ -128,10 +117,12 @@ def input_profile(slot: str, raw: DataFrame, channel: str) -> DataFrame:
             F.lit(None).cast("date").alias("min_date"), F.lit(None).cast("date").alias("max_date"),
             F.lit("").alias("month_hints"))
     days = raw.select(_parsed_day(slot, raw, field).alias("d"))
+    # one pass; the month set holds one entry per calendar month present
+    months = F.array_join(F.sort_array(F.collect_set(month_bucket(F.col("d")))), ",")
     return days.agg(F.count(F.lit(1)).alias("row_count"), F.min("d").alias("min_date"),
-                    F.max("d").alias("max_date")).select(
+                    F.max("d").alias("max_date"), months.alias("month_hints")).select(
         F.lit(slot).alias("dataset"), "row_count", F.lit(field).alias("date_field"),
-        "min_date", "max_date", _months_text(days).alias("month_hints"))
+        "min_date", "max_date", "month_hints")
 
 
 def input_profiles(raw: dict[str, DataFrame], channel: str) -> DataFrame:
