@@ -28,14 +28,31 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str
             .csv(path))
 
 
-def read_orders_export(spark: SparkSession, path: str) -> DataFrame:
-    """A1: UTF-16 tab-separated order export.
-
-    ``multiLine`` is needed for correct UTF-16 decoding and makes the file
-    unsplittable, so large exports should be landed to Parquet once
-    (``land_as_parquet``) and read from there.
+def read_orders_export(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """A1: UTF-16 tab-separated order export, split across tasks.
+
+    Spark's default line reader splits on the byte 0x0A, which cuts UTF-16 code
+    units apart; with the encoding's byte order and an explicit line separator
+    the reader splits on the encoded newline instead, so one large export is
+    read by many tasks.  The byte order comes from the BOM seen in the header;
+    the BOM and a CR before the line end are removed.  ``multiline=True`` keeps
+    the single-task reader for exports whose quoted fields contain newlines.
     """
-    return read_delimited(spark, path, sep="\t", encoding="UTF-16", multiline=True)
+    if multiline:
+        return read_delimited(spark, path, sep="\t", encoding="UTF-16", multiline=True)
+
+    def read(encoding: str) -> DataFrame:
+        return (spark.read.option("header", True).option("inferSchema", False)
+                .option("sep", "\t").option("encoding", encoding).option("lineSep", "\n")
+                .csv(path))
+
+    df = read("UTF-16LE")
+    if df.columns and df.columns[0].startswith("\ufffe"):   # BOM read backwards
+        df = read("UTF-16BE")
+    names = [c.lstrip("\ufeff").rstrip("\r") for c in df.columns]
+    df = df.toDF(*names)
+    last = names[-1]
+    return df.withColumn(last, F.regexp_replace(F.col(f"`{last}`"), "\r$", ""))
 
 
 def read_sheet_table(spark: SparkSession, path: str, header_row: int = 1) -> DataFrame:

@@ -104,3 +104,30 @@ def test_workbook_site_map_and_month(spark, tmp_path):
     d = th_files(tmp_path)
     r = suggest_month_from_path(spark, str(d / "stock.csv")).first()
     assert (r["eval_year"], r["eval_month"], r["is_confident"]) == (2026, 2, True)
+
+
+def test_utf16_export_is_split_and_exact(spark, tmp_path):
+    """The splittable reader equals the single-task reader, CRLF and BOM included."""
+    lines = ["Purchase Date\tSku\tstock\tQuantity\tGross\tNet\tProduct Name"]
+    lines += [f"2026-02-{i % 28 + 1:02d}\tK{i}\tWH-BKK\t{i % 7}\t1,{i % 1000:03d}\t{i % 50}\tกระเป๋า {i}"
+              for i in range(30000)]
+    path = tmp_path / "big.tsv"
+    write(path, "\r\n".join(lines) + "\r\n", encoding="utf-16")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(256 * 1024))
+    try:
+        split = RD.read_orders_export(spark, str(path))
+        one = RD.read_orders_export(spark, str(path), multiline=True)
+        assert split.rdd.getNumPartitions() > 1
+        assert split.columns == one.columns == lines[0].split("\t")
+        assert split.count() == 30000
+        assert split.exceptAll(one).count() == 0 and one.exceptAll(split).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_utf16_big_endian_export(spark, tmp_path):
+    path = tmp_path / "be.tsv"
+    write(path, "﻿Purchase Date\tSku\tstock\n2026-02-01\tK1\tWH-BKK\n", encoding="utf-16-be")
+    df = RD.read_orders_export(spark, str(path))
+    assert df.columns == ["Purchase Date", "Sku", "stock"]
+    assert rows(df) == [("2026-02-01", "K1", "WH-BKK")]
