@@ -55,13 +55,16 @@ def read_orders_export(spark: SparkSession, path: str, multiline: bool = False)
     return df.withColumn(last, F.regexp_replace(F.col(f"`{last}`"), "\r$", ""))
 
 
-def read_sheet_table(spark: SparkSession, path: str, header_row: int = 1) -> DataFrame:
+def read_sheet_table(spark: SparkSession, path: str, header_row: int = 1,
+                     multiline: bool = False) -> DataFrame:
     """A4: one sheet exported as one delimited file with ``header_row`` title lines.
 
     The first ``header_row + 1`` lines are read (a bounded ``limit``) to learn
     the column names from the header line; the data is then read with that
     all-string schema, the first line skipped by the reader and the remaining
-    leading lines (header / further titles) dropped by value.
+    leading lines (header / further titles) dropped by value.  The read is
+    splittable (a large sales sheet is read by many tasks) unless
+    ``multiline`` is asked for quoted fields that contain newlines.
     """
     lead = [r["value"] for r in spark.read.text(path).limit(header_row + 1).collect()]
     if len(lead) <= header_row:
@@ -69,7 +72,7 @@ def read_sheet_table(spark: SparkSession, path: str, header_row: int = 1) -> Dat
     parsed = [next(csv.reader([line])) if line else [] for line in lead]
     names = [n if n else f"_c{i}" for i, n in enumerate(parsed[header_row])]
     schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
-    data = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+    data = (spark.read.schema(schema).option("header", True).option("multiLine", multiline)
             .csv(path))
     for values in parsed[1:]:
         padded = (values + [None] * len(names))[:len(names)]
