@@ -45,6 +45,9 @@ def sales_lines(orders: DataFrame, cfg: ModelConfig, with_totals: bool = True) -
     o = orders.filter(~F.col("excluded_prefix_p"))
     if not with_totals:
         o = o.filter(in_range(F.col("purchase_date"), cfg.fallback_start, cfg.next_anchor))
+        if "purchase_month" in orders.columns:      # month-partitioned store: prune
+            o = o.filter(F.col("purchase_month").between(
+                F.lit(cfg.fallback_start.strftime("%Y-%m")), F.lit(cfg.period)))
     d = F.col("purchase_date")
     q = F.col("quantity")
     in_recent = in_range(d, cfg.recent_start, cfg.anchor)

@@ -10,7 +10,7 @@ Logical schemas:
   site_map    channel, site_code, virtual_site
   product     sku, product_name, status, excluded_prefix_p
   orders      purchase_date, sku, stock_code, quantity, gross, net, product_name,
-              excluded_prefix_p [, row_ord]
+              excluded_prefix_p [, row_ord] [, purchase_month when month-partitioned]
   daily_stock posting_date, site_code, sku, stock_balance, location, excluded_prefix_p
               [, posting_month when read from a month-partitioned store]
 """
@@ -179,8 +179,9 @@ def load_orders(raw: DataFrame, channel=CHANNEL_TH) -> DataFrame:
         C.parse_number("Net", types["Net"]).alias("net"),
         F.col("Product Name").cast("string").alias("product_name"),
     ]
-    if "row_ord" in raw.columns:
-        cols.append(F.col("row_ord"))
+    for extra in ("row_ord", "purchase_month"):   # file order / month-partition column
+        if extra in raw.columns:
+            cols.append(F.col(extra))
     out = raw.select(*cols).filter(F.col("purchase_date").isNotNull() & (F.col("sku") != ""))
     return out.withColumn("excluded_prefix_p", C.is_excluded_sku("sku"))
 
@@ -191,7 +192,7 @@ def append_orders(history: DataFrame, current: DataFrame) -> DataFrame:
     Like the reference this also collapses repeated identical lines.  The
     distinct is a hash aggregate with a map-side combine.
     """
-    cols = [c for c in history.columns if c != "row_ord"]
+    cols = [c for c in history.columns if c not in ("row_ord", "purchase_month")]
     return history.select(*cols).unionByName(current.select(*cols)).distinct()
 
 

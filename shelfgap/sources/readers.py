@@ -118,6 +118,16 @@ def land_stock_by_month(raw_stock: DataFrame, path: str) -> str:
     return land_as_parquet(raw_stock.withColumn("posting_month", month), path, ["posting_month"])
 
 
+def land_orders_by_month(raw_orders: DataFrame, path: str) -> str:
+    """Store order lines partitioned by ``purchase_month`` (yyyy-MM of the
+    best-coverage reading of ``Purchase Date``): queries that only need the
+    baseline windows then read 13 months instead of the whole history."""
+    from ..functions.dates import best_coverage_timestamp, month_bucket
+    month = month_bucket(F.to_date(best_coverage_timestamp(raw_orders, "Purchase Date")))
+    return land_as_parquet(raw_orders.withColumn("purchase_month", month), path,
+                           ["purchase_month"])
+
+
 def land_as_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
     """Write a source once to Parquet so later reads are splittable and pruned."""
     w = df.write.mode("overwrite")

@@ -51,3 +51,20 @@ def test_month_partitioned_stock_is_pruned(spark, tmp_path):
     cols = ["channel", "posting_date", "sku", "virtual_site", "stock_balance"]
     as_rows = lambda df: sorted(tuple(r) for r in df.select(*cols).collect())
     assert as_rows(got) == as_rows(want)
+
+
+def test_month_partitioned_orders_are_pruned(spark, tmp_path):
+    from shelfgap.operators import sales as S
+    from shelfgap.plans import catalog as CAT
+    from shelfgap.sources import adapter as A
+    from shelfgap.sources import loaders as L
+    from shelfgap.sources import readers as RD
+    cfg = A.test_config()
+    tt = A.open_tables(spark, SF_SMALL)
+    path = RD.land_orders_by_month(A.sales_raw(tt), str(tmp_path / "orders"))
+    landed = L.load_orders(spark.read.parquet(path), "th")
+    got = S.window_sales(landed, cfg)
+    text = plan_text(got)
+    assert "PartitionFilters" in text and "purchase_month" in text
+    want = S.window_sales(CAT.inputs(spark, SF_SMALL).orders, cfg)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
