@@ -199,7 +199,7 @@ def input_findings(raw: dict[str, DataFrame], channel: str,
 def quality_gate(findings: DataFrame, datasets: list[str]) -> DataFrame:
     """Per dataset error/warning counts and readiness, plus an 'ALL' row."""
     spark = _spark(findings)
-    names = sorted(set(datasets) | {d for d in datasets})
+    names = sorted(set(datasets))
     dims = spark.createDataFrame([(d,) for d in names], "dataset string")
     per = findings.groupBy("dataset").agg(
         F.count_if(F.col("severity") == "error").alias("error_count"),
