@@ -1,14 +1,38 @@
-"""A corpus pipeline of the training-text operators; each stage is written and read again."""
+"""A corpus pipeline of the training-text operators; each stage is written and read again.
+
+All stages but the last return the columns of ``documents``.  Rows are dropped
+by their document id, so rows that share an id share their fate; rows without
+an id are kept by the stages that drop.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfgap.llm import mixing, sharding
+from shelfgap.llm import decontaminate, mixing, ngram_join, sharding, toxicity
 from shelfgap.llm.common import land
 from shelfgap.llm.queries import MAX_REPEAT, N_SHARDS
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier does not reject."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    bad = toxicity.score(docs.select("doc_id", "text"), model).where("predicted = 1").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id; of rows repeated whole, one."""
+    found = ngram_join.near_duplicates(docs.select("doc_id", "text"))
+    extra = found.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Temperature mixing: rare sources are repeated up to MAX_REPEAT times, nothing is lost."""
     return mixing.mix(docs, max_repeat=MAX_REPEAT).select(*docs.columns)
@@ -20,15 +44,18 @@ def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("near copies", drop_near_copies),
+    ("decontamination", drop_leaks),
     ("mixing", mix_sources),
     ("sharding", assign_shards),
 ]
-# SQL cannot express the classifier and the edit distance search
+# SQL expresses neither the classifier nor the edit distance search
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = land(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = land(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +30,32 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of frames that are landed and no longer used.
+
+    It acts when the driver's garbage is collected, which may be long after a
+    large shuffle is done with.
+    """
+    gc.collect()
+    for _ in range(2):   # the first pass ends what holds the shuffles, the second the shuffles
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+BROADCAST_ROWS = 1_000_000   # of 8-byte keys
+
+
+def prefilter(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """``rows`` whose ``on`` is among the landed ``keys``, ahead of a join on it that moves the rows.
+
+    The keys are broadcast where their count is within BROADCAST_ROWS;
+    otherwise the rows stay as they are, and the join does it all.
+    """
+    if keys.count() > BROADCAST_ROWS:
+        return rows
+    return rows.join(F.broadcast(keys.select(on)), on, "left_semi")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

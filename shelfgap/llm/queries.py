@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, secrets, sharding, suffix_dedup, url_filter
+from . import (ann, decontaminate, mixing, ngram_join, quality, secrets, sharding, suffix_dedup, toxicity,
+               url_filter)
 
 N_SHARDS = 16
 MAX_REPEAT = 2.0
@@ -20,6 +21,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -47,21 +53,39 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("_mix_tokens").alias("n_tokens")))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), [1.0] * N_SHARDS,
                           grown_weights=[1.0] * (N_SHARDS + 1))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, url_filter.RULE_SCHEMA)
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where("vec_id % 20 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_ngram_join": op2_ngram_join,
     "op3_secrets": op3_secrets,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_mixing": op5_mixing,
+    "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
+    "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
+    "op10_ann": op10_ann,
 }

@@ -17,6 +17,11 @@ BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: classes of bytes: words by white space; letters and digits alone; those and, apart, other signs
+BY_SPACE = (~IS_SPACE).astype(np.uint8)
+ALNUM = np.zeros(256, np.uint8)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+ALNUM_OR_SIGN = np.where(ALNUM == 1, 1, 2).astype(np.uint8) * BY_SPACE
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
@@ -89,32 +94,30 @@ def doc_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[
         at = to
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of white-space separated words, and each document's first word index."""
+def word_spans(buf: np.ndarray, offsets: np.ndarray,
+               classes: np.ndarray = BY_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes of one class (class 0: none), and each document's first run."""
     if not len(buf):
         none = np.empty(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    word = ~IS_SPACE[buf]
-    first = np.empty(len(buf), bool)
-    first[0] = True
-    np.logical_not(word[:-1], out=first[1:])
-    inner = offsets[(offsets > 0) & (offsets < len(buf))]
-    first[inner] = True
-    last = np.empty(len(buf), bool)
-    last[-1] = True
-    np.logical_not(word[1:], out=last[:-1])
-    last[inner - 1] = True
-    starts = np.flatnonzero(word & first)
-    ends = np.flatnonzero(word & last) + 1
+    kind = classes[buf]
+    edge = np.empty(len(buf) + 1, bool)
+    edge[[0, -1]] = True
+    np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
+    edge[offsets] = True
+    word = kind > 0
+    starts = np.flatnonzero(word & edge[:-1])
+    ends = np.flatnonzero(word & edge[1:]) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word with A-Z lower-cased, and each document's first word index."""
-    starts, ends, bounds = word_spans(buf, offsets)
+def word_hashes(buf: np.ndarray, offsets: np.ndarray, classes: np.ndarray = BY_SPACE,
+                lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, with A-Z lower-cased, and each document's first word index."""
+    starts, ends, bounds = word_spans(buf, offsets, classes)
     if not len(starts):
         return np.empty(0, np.uint64), bounds
-    return Spans(LOWER[buf]).hash(starts, ends), bounds
+    return Spans(LOWER[buf] if lower else buf).hash(starts, ends), bounds
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int = 5) -> Iterator[np.ndarray]:
