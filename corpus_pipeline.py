@@ -23,9 +23,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id; of rows repeated whole, one."""
-    found = ngram_join.near_duplicates(docs.select("doc_id", "text"))
+    found = land(ngram_join.near_duplicates(docs.select("doc_id", "text")), "pipeline-components")
     extra = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    once = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
+    return once.union(kept.join(repeated, "doc_id", "left_semi").select(docs.columns)
+                      .dropDuplicates(["doc_id", "text"]))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
