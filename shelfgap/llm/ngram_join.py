@@ -3,8 +3,9 @@
 Tokens are shingle hashes.  The steps, each exact:
 
 1. Sets equal as sets are one class; only classes go on.
-2. Two linked sets share a token of their 20 % smallest hashes.  Classes that
-   share none there with another class have no link.
+2. In hash order, two linked sets share a token of their 20 % smallest, and
+   k + 1 tokens of 20 % and k.  Prefixes of 30 % are indexed by token; classes
+   that share too few of theirs with others have no link.
 3. The rest count how many classes hold each token.  A token held by one class
    only can match nothing: a class with too few shared tokens has no link.
 4. Prefixes, rarest tokens first.  A set may miss ``spare`` = n - ceil(t n) of
@@ -14,11 +15,11 @@ Tokens are shingle hashes.  The steps, each exact:
    the pairs of a sub-class's tokens; c of them take c - 1 misses, so the
    prefix is extended until the misses it bears exceed ``spare``.  With c
    tokens present on both sides the proof is that of prefix filtering.
-5. Classes with a signature in common are candidates.  Each signature's most
-   shared member is verified against the others, and components are formed.
-   Then the members of a signature that still lie in different components are
-   compared, in blocks, where they meet first (least common signature), by
-   size and by parity bitmaps; what passes is verified.  Verification
+5. Classes with a signature in common are candidates.  Each signature's hub,
+   its member with the least unshared tokens, is verified against the others,
+   and components are formed.  The members around a hub that still lie in
+   different components are compared in blocks, by size and by parity bitmaps,
+   which bound the intersection; what passes is verified.  Verification
    intersects the shared tokens.
 
 Sets are named by 64-bit hashes: N distinct sets collide with probability
@@ -36,16 +37,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textkit as tk
-from .common import land, shuffle_partitions, text_or_empty
+from .common import free_shuffles, land, prefilter, shuffle_partitions, text_or_empty
 from .graph import components
 
 SHINGLE = 5
 PERCENT = 80
+EXTRA_IN = 10        # one in so many tokens is added to the hash-ordered prefix
 RARE = 24            # a token in more classes than this is frequent
 LOCAL_HEAVY = 64     # a token in so many classes of one batch is counted there, not in its bucket
-BLOCK = 512          # members of a signature compared at once
+BLOCK = 512          # members of a hub compared at once, at most
+BLOCK_BYTES = 4 << 20  # and of their bitmaps
 SUBCLASS = 3         # prefix tokens of a set in a sub-class, about
-EMIT_BYTES = 24 << 20
+EMIT_BYTES = 12 << 20
 HEAVY = np.uint32(2 ** 32 - 1)
 
 
@@ -54,6 +57,11 @@ def spare(n: np.ndarray | int, percent: int):
     return n - (n * percent + 99) // 100
 
 
+def extra(n):
+    """Further tokens of the hash-ordered prefix, all of which two linked sets must share."""
+    return n // EXTRA_IN
+
+
 def _sets(it: Iterator[pa.RecordBatch], size: int, emit_bytes: int):
     """Per emission: rows (batch, row) and sets, for about ``emit_bytes`` of text."""
     held, weight = [], 0
@@ -74,7 +82,8 @@ def _long(values) -> pa.Array:
     return pa.array(np.asarray(values, dtype=np.uint64).view(np.int64) if len(values) else [], pa.int64())
 
 
-PROBE = "kind string, doc_id {id}, row_key long, key long, n long, bucket int, tokens binary, keys binary"
+PROBE = ("kind string, doc_id {id}, row_key long, key long, n long, bucket int, tokens binary, keys binary, "
+         "counts binary")
 
 
 def _probe(size: int, percent: int, buckets: int, schema: pa.Schema):
@@ -88,26 +97,36 @@ def _probe(size: int, percent: int, buckets: int, schema: pa.Schema):
                 pa.array(["doc"] * n), ids,
                 pa.concat_arrays([b.column("row_key").slice(i, 1) for b, i, _ in held]),
                 pa.array(keys, pa.int64()), pa.array([len(s) for _, _, s in held], pa.int64()),
-                pa.array(np.arange(n) % buckets, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
+                pa.array(np.arange(n) % buckets, pa.int32()), *[pa.nulls(n, pa.binary())] * 3,
             ], schema=schema)
-            distinct = {k: s[:spare(len(s), percent) + 1] for k, (_, _, s) in zip(keys, held) if k is not None}
+            distinct = {k: s[:spare(len(s), percent) + 1 + extra(len(s))] for k, (_, _, s) in zip(keys, held) if k is not None}
             tokens = np.concatenate([*distinct.values(), np.empty(0, np.uint64)])
             owner = np.repeat(np.array(list(distinct), np.int64), [len(s) for s in distinct.values()])
             # tokens are hash-ordered prefixes, so small: spread them again
-            rows = [(b, tokens[at].tobytes(), owner[at].tobytes())
+            rows = [(b, tokens[at].tobytes(), *_owners(owner[at]))
                     for b, at in tk.by_bucket(tk.bucket_of(tk.mix(tokens), buckets), buckets)]
             if rows:
                 m = len(rows)
                 none = pa.nulls(m, pa.int64())
                 yield pa.RecordBatch.from_arrays([
                     pa.array(["tok"] * m), pa.nulls(m, schema.field("doc_id").type), none, none, none,
-                    pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()),
-                    pa.array([r[2] for r in rows], pa.binary())], schema=schema)
+                    pa.array([r[0] for r in rows], pa.int32()),
+                    *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)]], schema=schema)
     return run
 
 
+def _owners(owner: np.ndarray) -> tuple[bytes, bytes]:
+    """Runs of equal owners: the owners and the runs' lengths."""
+    first = tk.group_starts(owner)
+    return owner[first].tobytes(), np.diff(np.append(first, len(owner))).astype(np.uint32).tobytes()
+
+
+def _per_token(keys: bytes, counts: bytes) -> np.ndarray:
+    return np.repeat(np.frombuffer(keys, np.int64), np.frombuffer(counts, np.uint32))
+
+
 def _shared(schema: pa.Schema):
-    """Passes ``doc`` rows on; turns a partition's tokens into a ``hit`` row per class that shares one."""
+    """Passes ``doc`` rows on; per class, the number of the partition's tokens it shares (a ``hit`` row's n)."""
     def run(it):
         tokens, keys = [], []
         for batch in it:
@@ -117,33 +136,41 @@ def _shared(schema: pa.Schema):
                 yield docs.select(["kind", "doc_id", "row_key", "key", "n"]).cast(schema)
             for i in np.flatnonzero(np.asarray(pa.compute.equal(kind, "tok"))):
                 tokens.append(np.frombuffer(batch.column("tokens")[int(i)].as_py(), np.uint64))
-                keys.append(np.frombuffer(batch.column("keys")[int(i)].as_py(), np.int64))
+                keys.append(_per_token(batch.column("keys")[int(i)].as_py(), batch.column("counts")[int(i)].as_py()))
         if tokens:
             t, k = np.concatenate(tokens), np.concatenate(keys)
             order = np.argsort(t)
             t, k = t[order], k[order]
             at = tk.group_starts(t)
             sizes = np.diff(np.append(at, len(t)))
-            differs = np.logical_or.reduceat(k != np.repeat(k[at], sizes), at)
-            hit = np.unique(k[np.repeat(differs, sizes)])
+            differs = np.repeat(np.logical_or.reduceat(k != np.repeat(k[at], sizes), at), sizes)
+            t, k = t[differs], k[differs]
+            order = np.lexsort((t, k))
+            t, k = t[order], k[order]
+            fresh = np.ones(len(t), bool)      # copies of a class that other tasks have read
+            fresh[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
+            hit, count = np.unique(k[fresh], return_counts=True)
             m = len(hit)
             if m:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(["hit"] * m), pa.nulls(m, schema.field("doc_id").type), pa.nulls(m, pa.int64()),
-                    pa.array(hit), pa.nulls(m, pa.int64())], schema=schema)
+                    pa.array(hit), pa.array(count, pa.int64())], schema=schema)
     return run
 
 
-COUNT = "kind string, bucket int, tokens binary, keys binary"
+COUNT = "kind string, bucket int, tokens binary, keys binary, counts binary"
 
 
 def _count_probe(size: int, buckets: int):
-    """Each class's tokens by bucket (``tok``); tokens heavy in the batch as answers (``own``) and marks."""
+    """Each class's tokens by bucket (``tok``), and its size (``size``, by class).
+
+    Tokens heavy in the batch are answers already (``own``), with a ``mark`` in their bucket.
+    """
     schema = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("tokens", pa.binary()),
-                        ("keys", pa.binary())])
+                        ("keys", pa.binary()), ("counts", pa.binary())])
 
     def rows(kind, tokens, owner, buckets_of):
-        out = [(kind, b, tokens[at].tobytes(), owner[at].tobytes())
+        out = [(kind, b, tokens[at].tobytes(), *_owners(owner[at]))
                for b, at in tk.by_bucket(buckets_of, buckets)]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)],
                                           schema=schema)
@@ -157,8 +184,10 @@ def _count_probe(size: int, buckets: int):
                     wanted[key] = s
             if not wanted:
                 continue
-            tokens = np.concatenate(list(wanted.values()))
-            owner = np.repeat(np.array(list(wanted), np.int64), [len(s) for s in wanted.values()])
+            tokens, names = np.concatenate(list(wanted.values())), np.array(list(wanted), np.int64)
+            sizes = np.array([len(s) for s in wanted.values()], np.int64)
+            yield rows("size", sizes.view(np.uint64), names, _home(names, buckets))
+            owner = np.repeat(names, sizes)
             order = np.argsort(tokens, kind="stable")
             at = tk.group_starts(tokens[order])
             sizes = np.diff(np.append(at, len(tokens)))
@@ -167,42 +196,52 @@ def _count_probe(size: int, buckets: int):
             heavy[order] = np.repeat(sizes >= LOCAL_HEAVY, sizes)
             yield rows("tok", tokens[~heavy], owner[~heavy], tk.bucket_of(tokens[~heavy], buckets))
             if len(marks):
-                yield rows("mark", marks, np.empty(len(marks), np.int64), tk.bucket_of(marks, buckets))
-                own = owner[heavy]
-                yield rows("own", tokens[heavy], own, (own % buckets + buckets) % buckets)
+                yield rows("mark", marks, np.zeros(len(marks), np.int64), tk.bucket_of(marks, buckets))
+                yield rows("own", tokens[heavy], owner[heavy], _home(owner[heavy], buckets))
     return run
 
 
-def _count(it):
-    """Per class: its tokens that another class holds too, with the number of classes."""
-    schema = pa.schema([("key", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary())])
-    tokens, keys, marks = [], [], [np.empty(0, np.uint64)]
+def _home(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The partition in which a class is assembled."""
+    return tk.bucket_of(tk.mix(keys.view(np.uint64)), buckets)
+
+
+ANSWER = "bucket int, tokens binary, keys binary, lengths binary, counts binary, sizes binary"
+
+
+def _count(buckets: int):
+    """The tokens that several classes hold, with the number of classes, by the classes' home partitions."""
+    schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("keys", pa.binary()),
+                        ("lengths", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary())])
 
     def answer(t, k, c):
         order = np.argsort(k, kind="stable")
         t, k, c = t[order], k[order], c[order]
-        ends = np.append(tk.group_starts(k), len(k))
-        spans = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
-        for i in range(0, len(spans), 20_000):
-            part = spans[i:i + 20_000]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([int(k[a]) for a, _ in part], pa.int64()),
-                pa.array([t[a:b].tobytes() for a, b in part], pa.binary()),
-                pa.array([c[a:b].tobytes() for a, b in part], pa.binary())], schema=schema)
+        rows = [(b, t[at].tobytes(), *_owners(k[at]), c[at].tobytes(), b"")
+                for b, at in tk.by_bucket(_home(k, buckets), buckets)]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)],
+                                          schema=schema)
 
-    for batch in it:
-        for kind, t, k in zip(batch.column("kind").to_pylist(), batch.column("tokens"), batch.column("keys")):
-            t = np.frombuffer(t.as_py(), np.uint64)
-            if kind == "mark":
-                marks.append(t)
-                continue
-            k = np.frombuffer(k.as_py(), np.int64)
-            if kind == "own":
-                yield from answer(t, k, np.full(len(t), HEAVY, np.uint32))
-            else:
-                tokens.append(t)
-                keys.append(k)
-    if tokens:
+    def run(it):
+        tokens, keys, marks = [], [], [np.empty(0, np.uint64)]
+        for batch in it:
+            for kind, b, t, k, c in zip(*(batch.column(x) for x in ("kind", "bucket", "tokens", "keys", "counts"))):
+                kind, t = kind.as_py(), np.frombuffer(t.as_py(), np.uint64)
+                if kind == "mark":
+                    marks.append(t)
+                    continue
+                k = _per_token(k.as_py(), c.as_py())
+                if kind == "own":
+                    yield answer(t, k, np.full(len(t), HEAVY, np.uint32))
+                elif kind == "size":
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([b.as_py()], pa.int32()), pa.array([b""]), pa.array([k.tobytes()]),
+                         pa.array([b""]), pa.array([b""]), pa.array([t.tobytes()])], schema=schema)
+                else:
+                    tokens.append(t)
+                    keys.append(k)
+        if not tokens:
+            return
         t, k = np.concatenate(tokens), np.concatenate(keys)
         order = np.lexsort((k, t))
         t, k = t[order], k[order]
@@ -215,7 +254,9 @@ def _count(it):
         counts[np.isin(t[at], np.concatenate(marks))] = HEAVY
         counts = np.repeat(counts, sizes)
         keep = counts > 1
-        yield from answer(t[keep], k[keep], counts[keep])
+        if keep.any():
+            yield answer(t[keep], k[keep], counts[keep])
+    return run
 
 
 def signatures(tokens: np.ndarray, counts: np.ndarray, n: int, percent: int) -> np.ndarray:
@@ -248,8 +289,8 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, n: int, percent: int) ->
 
 
 def bitmap_bytes(n: int) -> int:
-    """Eight to sixteen bits a token, a power of two."""
-    return 1 << max(4, int(n).bit_length())
+    """Four to eight bits a token, a power of two."""
+    return 1 << max(4, int(n).bit_length() - 1)
 
 
 def parity_bitmap(tokens: np.ndarray, n_bytes: int) -> np.ndarray:
@@ -264,25 +305,42 @@ def _assemble(percent: int):
                         ("tokens", pa.list_(pa.int64())), ("sigs", pa.list_(pa.int64())),
                         ("bits", pa.binary())])
 
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)],
+                                          schema=schema)
+
     def run(it):
+        tokens, keys, counts, names, sizes = ([np.empty(0, x)] for x in (
+            np.uint64, np.int64, np.uint32, np.int64, np.int64))
         for batch in it:
-            out = []
-            for key, n, parts in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(),
-                                     batch.column("parts")):
-                parts = parts.as_py()
-                t = np.concatenate([np.frombuffer(p["tokens"], np.uint64) for p in parts])
-                c = np.concatenate([np.frombuffer(p["counts"], np.uint32) for p in parts])
-                t, first = np.unique(t, return_index=True)   # copies of one class may have answered twice
-                c = c[first]
-                if n - len(t) > spare(n, percent):
-                    continue
-                order = np.lexsort((t, c))
-                sigs = signatures(t[order], c[order], n, percent)
-                out.append((key, n, len(t), t.view(np.int64), np.sort(sigs).view(np.int64),
-                            parity_bitmap(t, bitmap_bytes(n)).tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type)
-                                                  for i, f in enumerate(schema)], schema=schema)
+            for t, k, m, c, n in zip(*(batch.column(x) for x in ("tokens", "keys", "lengths", "counts", "sizes"))):
+                if n := n.as_py():
+                    names.append(np.frombuffer(k.as_py(), np.int64))
+                    sizes.append(np.frombuffer(n, np.int64))
+                else:
+                    tokens.append(np.frombuffer(t.as_py(), np.uint64))
+                    keys.append(_per_token(k.as_py(), m.as_py()))
+                    counts.append(np.frombuffer(c.as_py(), np.uint32))
+        t, k, c = np.concatenate(tokens), np.concatenate(keys), np.concatenate(counts)
+        names, first = np.unique(np.concatenate(names), return_index=True)
+        sizes = np.concatenate(sizes)[first]
+        order = np.lexsort((t, c, k))            # per class, rarest first
+        t, k, c = t[order], k[order], c[order]
+        fresh = np.ones(len(t), bool)            # copies of one class may have answered twice
+        fresh[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
+        t, k, c = t[fresh], k[fresh], c[fresh]
+        ends = np.searchsorted(k, names, "right").tolist()
+        out = []
+        for key, n, a, b in zip(names.tolist(), sizes.tolist(), np.searchsorted(k, names).tolist(), ends):
+            if n - (b - a) <= spare(n, percent):
+                sigs = signatures(t[a:b], c[a:b], n, percent)
+                out.append((key, n, b - a, np.sort(t[a:b]).view(np.int64), np.sort(sigs).view(np.int64),
+                            parity_bitmap(t[a:b], bitmap_bytes(n)).tobytes()))
+            if len(out) == 1000:
+                yield batch_of(out)
+                out = []
+        if out:
+            yield batch_of(out)
     return run
 
 
@@ -300,65 +358,42 @@ def _fold(bits: np.ndarray, n_bytes: int) -> np.ndarray:
 
 
 def _meet(percent: int):
-    """Pairs of two blocks of one signature that may link and meet in it first."""
+    """Pairs of two blocks around one hub that lie in different components and may link."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def side(members):
-        return {"key": np.array([m["key"] for m in members], np.int64),
-                "n": np.array([m["n"] for m in members], np.int64),
-                "s": np.array([m["shared"] for m in members], np.int64),
-                "c": np.array([m["component"] for m in members], np.int64),
-                "sigs": [np.array(m["sigs"], np.int64) for m in members],
-                "bits": [np.frombuffer(m["bits"], np.uint8) for m in members]}
-
-    def incidence(x, vocabulary, sig):
-        grid = np.zeros((len(x["key"]), len(vocabulary)), np.float32)
-        for i, s in enumerate(x["sigs"]):
-            s = s[s < sig]
-            at = np.searchsorted(vocabulary, s)
-            at = at[(at < len(vocabulary))]
-            s = s[:len(at)]
-            grid[i, at[vocabulary[at] == s]] = 1
-        return grid
-
-    def pairs(sig, a, b, same):
-        ok = (a["c"][:, None] != b["c"][None, :]) & _fits(a["n"][:, None], a["s"][:, None], b["n"][None, :],
-                                                         b["s"][None, :], percent)
+        out = {c: np.array([m[c] for m in members], np.int64) for c in ("key", "n", "shared", "component")}
+        return out | {"bits": [np.frombuffer(m["bits"], np.uint8) for m in members]}
+
+    def pairs(a, b, same):
+        ok = (a["component"][:, None] != b["component"][None, :]) & _fits(
+            a["n"][:, None], a["shared"][:, None], b["n"][None, :], b["shared"][None, :], percent)
         if same:
             ok = np.triu(ok, 1)
-        if not ok.any():
-            return None
-        earlier = [np.unique(np.concatenate([s[s < sig] for s in x["sigs"]])) for x in (a, b)]
-        common = np.intersect1d(*earlier, assume_unique=True)
-        if len(common):
-            ok &= (incidence(a, common, sig) @ incidence(b, common, sig).T) == 0
         i, j = np.nonzero(ok)
-        if not len(i):
-            return None
         need = (percent * (a["n"][i] + b["n"][j]) + 99 + percent) // (100 + percent)
         good = np.zeros(len(i), bool)
-        widths_a, widths_b = (np.array([len(x) for x in y["bits"]]) for y in (a, b))
-        width = np.minimum(widths_a[i], widths_b[j])
+        widths = [np.array([len(x) for x in y["bits"]]) for y in (a, b)]
+        width = np.minimum(widths[0][i], widths[1][j])
         for w in np.unique(width):
-            fa, fb = (np.stack([_fold(x, w) if len(x) >= w else np.resize(x, w) for x in y["bits"]])
-                      for y in (a, b))
-            at = np.flatnonzero(width == w)
-            for k in range(0, len(at), max(1, (8 << 20) // int(w))):
-                p = at[k:k + max(1, (8 << 20) // int(w))]
-                apart = np.bitwise_count(fa[i[p]] ^ fb[j[p]]).sum(axis=1, dtype=np.int64)
-                good[p] = (a["s"][i[p]] + b["s"][j[p]] - apart) // 2 >= need[p]
+            folded = [np.stack([_fold(x, w) if len(x) >= w else np.resize(x, w) for x in y["bits"]])
+                      for y in (a, b)]
+            at, step = np.flatnonzero(width == w), max(1, BLOCK_BYTES // int(w))
+            for k in range(0, len(at), step):
+                p = at[k:k + step]
+                apart = np.bitwise_count(folded[0][i[p]] ^ folded[1][j[p]]).sum(axis=1, dtype=np.int64)
+                good[p] = (a["shared"][i[p]] + b["shared"][j[p]] - apart) // 2 >= need[p]
         return a["key"][i[good]], b["key"][j[good]]
 
     def run(it):
         for batch in it:
-            for row in batch.to_pylist():
-                same = row["blk"] == row["blk2"]
-                a = side(row["members"])
-                b = a if same else side(row["members2"])
-                found = pairs(row["sig"], a, b, same)
-                if found is not None and len(found[0]):
-                    lo, hi = np.minimum(*found), np.maximum(*found)
-                    yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], schema=schema)
+            for r in range(batch.num_rows):
+                members, others = (batch.column(c)[r].as_py() for c in ("members", "members2"))
+                a = side(members)
+                x, y = pairs(a, a if others is None else side(others), others is None)
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))],
+                                                     schema=schema)
     return run
 
 
@@ -371,43 +406,43 @@ def _verified(pairs: DataFrame, core: DataFrame, percent: int) -> DataFrame:
             .where(both * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b"))
 
 
-def _candidate_links(core: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links that connect the classes, and each class's component (by class key)."""
+def links_between(core: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Verified links (a, b) between class keys: enough of them to give every component."""
     signed = core.select("key", "n", "shared", F.explode("sigs").alias("sig"))
     central = F.struct((F.col("shared") * 1_000_000 / F.col("n")).cast("long").alias("rank"), "key", "n", "shared")
     hubs = (signed.groupBy("sig").agg(F.max(central).alias("hub"), F.count(F.lit(1)).alias("m"))
             .where("m > 1").select("sig", "hub"))
-    stars = (signed.join(hubs, "sig").where(F.col("key") != F.col("hub.key"))
-             .where(_fits(F.col("n"), F.col("shared"), F.col("hub.n"), F.col("hub.shared"), percent))
-             .select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct())
-    links = land(_verified(stars, core, percent), "join-links")
-    return links, components(links)
-
-
-def links_between(core: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Verified links (a, b) between class keys: enough of them to give every component."""
-    links, parts = _candidate_links(core, percent)
-    named = core.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn(
-        "component", F.coalesce("component", "key"))
-    signed = land(named.select("key", "component", F.explode("sigs").alias("sig")), "join-signed")
-    split = signed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    order = Window.partitionBy("sig").orderBy("component", "key")
-    members = (signed.join(split.select("sig"), "sig", "left_semi")
-               .withColumn("blk", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-               .select("sig", "blk", "key"))
-    facts = named.select("key", "n", "shared", "component", "sigs", "bits")
-    blocks = land(members.join(facts, "key").groupBy("sig", "blk").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"),
-        F.collect_list(F.struct("key", "n", "shared", "component", "sigs", "bits")).alias("members")),
-        "join-blocks")
-    other = blocks.select("sig", F.col("blk").alias("blk2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"),
+    around = land(signed.join(hubs, "sig").select(
+        F.col("hub.key").alias("hub"), "key",
+        _fits(F.col("n"), F.col("shared"), F.col("hub.n"), F.col("hub.shared"), percent).alias("fits"))
+        .distinct(), "join-hubs")
+    stars = around.where("fits and key <> hub").select("hub", "key")
+    links = land(_verified(stars.select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b"))
+                           .distinct(), core, percent), "join-links")
+    parts = components(links).select(F.col("node").alias("key"), "component")
+    placed = around.select("hub", "key").join(parts, "key", "left").select(
+        "hub", "key", F.coalesce("component", "key").alias("component"))
+    placed = land(placed, "join-placed")
+    split = (placed.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where("lo <> hi").select("hub"))
+    facts = core.select("key", "n", "shared", "bits")
+    so_far = Window.partitionBy("hub").orderBy("component", "key").rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.greatest(F.length("bits"), F.lit(BLOCK_BYTES // BLOCK))
+    blocks = (placed.join(split, "hub", "left_semi").join(facts, "key")
+              .withColumn("blk", F.floor(F.coalesce(F.sum(weight).over(so_far), F.lit(0)) / F.lit(BLOCK_BYTES))
+                          .cast("int"))
+              .groupBy("hub", "blk").agg(
+                  F.min("component").alias("lo"), F.max("component").alias("hi"),
+                  F.collect_list(F.struct("key", "n", "shared", "component", "bits")).alias("members")))
+    blocks = land(blocks, "join-blocks")
+    one = blocks.where("lo <> hi").select("members", F.lit(None).cast(blocks.schema["members"].dataType)
+                                          .alias("members2"))
+    other = blocks.select("hub", F.col("blk").alias("blk2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"),
                           F.col("members").alias("members2"))
-    # a pair of blocks that lie in one component has nothing left to find
-    met = (blocks.join(other, "sig").where("blk <= blk2")
-           .where("not (lo = hi and lo2 = hi2 and lo = lo2)")
-           .select("sig", "blk", "blk2", "members", F.when(F.col("blk") != F.col("blk2"), F.col("members2"))
-                   .alias("members2"))
-           .mapInArrow(_meet(percent), "a long, b long").distinct())
+    # two blocks that lie in one component have nothing left to find
+    two = (blocks.join(other, "hub").where("blk < blk2")
+           .where("not (lo = hi and lo2 = hi2 and lo = lo2)").select("members", "members2"))
+    met = one.union(two).mapInArrow(_meet(percent), "a long, b long").distinct()
     return links.union(land(_verified(met, core, percent), "join-links"))
 
 
@@ -423,27 +458,31 @@ def classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, doc_id
     five = pa.schema([("kind", pa.string()), ("doc_id", arrow_id), ("row_key", pa.int64()), ("key", pa.int64()),
                       ("n", pa.int64())])
     full = five.append(pa.field("bucket", pa.int32())).append(pa.field("tokens", pa.binary())).append(
-        pa.field("keys", pa.binary()))
+        pa.field("keys", pa.binary())).append(pa.field("counts", pa.binary()))
     id_name = id_type.simpleString()
     probed = (rows.mapInArrow(_probe(size, percent, buckets, full), PROBE.format(id=id_name))
               .repartition(buckets, "bucket")
               .mapInArrow(_shared(five), f"kind string, doc_id {id_name}, row_key long, key long, n long"))
     probed = land(probed, "join-probe")
     base = probed.where("kind = 'doc'").select("doc_id", "row_key", "key", "n")
-    hits = probed.where("kind = 'hit'").select("key").distinct()
+    hits = probed.where("kind = 'hit'").groupBy("key").agg(F.sum("n").alias("hits"))
     reps = (base.where("key is not null").groupBy("key")
             .agg(F.min(F.struct("doc_id", "row_key")).alias("r"), F.max("n").alias("n"))
-            .join(hits, "key").select("key", "n", F.col("r.row_key").alias("row_key")))
+            .join(hits, "key")
+            # the smaller of two linked sets has percent of n tokens at least
+            .where(F.col("hits") > F.floor(F.ceil(F.col("n") * percent / 100) / EXTRA_IN))
+            .select("key", "n", F.col("r.row_key").alias("row_key")))
     reps = land(reps, "join-reps")
+    free_shuffles(spark)
     wanted = reps.select("row_key", F.col("key").alias("want"))
-    counted = (rows.select("row_key", "text").join(wanted, "row_key").select("want", "text")
+    counted = (prefilter(rows.select("row_key", "text"), wanted, "row_key").join(wanted, "row_key").select("want", "text")
                .mapInArrow(_count_probe(size, buckets), COUNT).repartition(buckets, "bucket")
-               .mapInArrow(_count, "key long, tokens binary, counts binary"))
-    core = (counted.groupBy("key").agg(F.collect_list(F.struct("tokens", "counts")).alias("parts"))
-            .join(reps.select("key", "n"), "key").select("key", "n", "parts")
-            .mapInArrow(_assemble(percent), "key long, n long, shared long, tokens array<long>, "
-                                            "sigs array<long>, bits binary"))
-    return base.select("doc_id", "key", "n"), land(core, "join-core")
+               .mapInArrow(_count(buckets), ANSWER).repartition(buckets, "bucket"))
+    core = counted.mapInArrow(_assemble(percent), "key long, n long, shared long, tokens array<long>, "
+                                                  "sigs array<long>, bits binary")
+    core = land(core, "join-core")
+    free_shuffles(spark)
+    return base.select("doc_id", "key", "n"), core
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, doc_id: str = "doc_id",
