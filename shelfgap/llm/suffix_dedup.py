@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import land, shuffle_partitions, text_or_empty
+from .common import free_shuffles, land, prefilter, shuffle_partitions, text_or_empty
 
 MIN_BYTES = 200
-EMIT_BYTES = 24 << 20
+EMIT_ENTRIES = 1_500_000     # positions hashed between emissions; bounds a task's memory
 # fixed values: perfect difference sets by modulus
 COVERS = {
     7: (0, 1, 3),
@@ -72,14 +72,14 @@ class _Batch:
 
     def clear(self):
         self.keys: dict[int, int] = {}
-        self.hashes, self.shorts, self.docs, self.places, self.weight = [], [], [], [], 0
+        self.hashes, self.buckets, self.docs, self.places, self.entries = [], [], [], [], 0
 
-    def add(self, h, short, docs, places, weight):
-        self.hashes.append(h)
-        self.shorts.append(short)
-        self.docs.append(docs)
-        self.places.append(places)
-        self.weight += weight
+    def add(self, hashes, buckets, docs, places):
+        self.hashes.append(hashes)
+        self.buckets.append(buckets.astype(np.int32))
+        self.docs.append(docs.astype(np.int32))
+        self.places.append(places.astype(np.uint32))
+        self.entries += len(hashes)
 
     def rows(self, buckets: int, width: int):
         """(kind, bucket, hashes, keys, counts, places) rows.
@@ -91,8 +91,9 @@ class _Batch:
         if not self.hashes:
             return []
         keys = np.array(list(self.keys), np.int64)
-        h, short = np.concatenate(self.hashes), np.concatenate(self.shorts)
+        h, bucket = np.concatenate(self.hashes), np.concatenate(self.buckets)
         docs, places = np.concatenate(self.docs), np.concatenate(self.places)
+        self.clear()
         if not len(h):
             return []
         order = np.argsort(h, kind="stable")
@@ -102,7 +103,6 @@ class _Batch:
         many[order] = np.repeat(sizes > 1, sizes)
         marked = order[at[sizes > 1]]
         del order
-        bucket = tk.bucket_of(short, buckets)
         stored = h.astype(np.uint32) if width == 4 else h
         out = []
 
@@ -129,7 +129,7 @@ class _Batch:
 FIELDS = [("kind", pa.string()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("keys", pa.binary()),
           ("counts", pa.binary()), ("places", pa.binary())]
 ASK = "kind string, bucket int, hashes binary, keys binary, counts binary, places binary"
-FOUND = "key long, places binary"
+FOUND = "bucket int, keys binary, counts binary, places binary"
 
 
 def _record(rows, fields):
@@ -166,12 +166,10 @@ def _probe(buckets: int, width: int, positions):
             for buf, off, rows, docs in _texts(batch, held):
                 at, places, depth = positions(batch, rows, off)
                 h = tk.Spans(buf).hash(at, at + depth)
-                short = tk.Spans(buf, second=True).hash(at, at + depth) if width == 8 else tk.mix(h + tk.BASE)
-                held.add(h, short, docs[np.searchsorted(off, at, "right") - 1], places, len(buf))
-                if held.weight >= EMIT_BYTES:
-                    if rows_out := held.rows(buckets, width):
-                        yield _record(rows_out, FIELDS)
-                    held.clear()
+                other = tk.Spans(buf, second=True).hash(at, at + depth) if width == 8 else tk.mix(h + tk.BASE)
+                held.add(h, tk.bucket_of(other, buckets), docs[np.searchsorted(off, at, "right") - 1], places)
+                if held.entries >= EMIT_ENTRIES and (rows_out := held.rows(buckets, width)):
+                    yield _record(rows_out, FIELDS)
         if rows_out := held.rows(buckets, width):
             yield _record(rows_out, FIELDS)
     return run
@@ -201,7 +199,7 @@ def _suspects(min_bytes: int):
         ties = batch.column("ties")
         for i, row in enumerate(rows.tolist()):
             n = int(off[i + 1] - off[i])
-            s = np.unique(np.concatenate([_from_planes(x) for x in ties[row].as_py()])).astype(np.int64)
+            s = _starts(ties[row])
             lo, hi = np.maximum(s - v + 1, 0), np.minimum(s, n - min_bytes)
             good = hi >= lo
             np.add.at(change, off[i] + lo[good], 1)
@@ -221,17 +219,43 @@ def _expand(counts: bytes, keys: bytes, places: bytes):
     return np.repeat(np.frombuffer(keys, np.int64), counts), sums - np.repeat(base, counts)
 
 
-def _answers(keys: np.ndarray, places: np.ndarray):
-    """Rows of each text's places."""
+def _answers(keys: np.ndarray, places: np.ndarray, buckets: int):
+    """The texts' places, by the texts' home partitions."""
     order = np.lexsort((places, keys))
-    keys, places = keys[order], places[order]
-    ends = np.append(tk.group_starts(keys), len(keys))
-    rows = [(int(keys[a]), _planes(places[a:b])) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-    for i in range(0, len(rows), 20_000):
-        yield _record(rows[i:i + 20_000], [("key", pa.int64()), ("places", pa.binary())])
-
-
-def _sort_bucket(width: int):
+    keys, places = keys[order], places[order].astype(np.int64)
+    rows = []
+    for b, i in tk.by_bucket(tk.bucket_of(tk.mix(keys.view(np.uint64)), buckets), buckets):
+        first, step = tk.group_starts(keys[i]), np.diff(places[i], prepend=0)
+        step[first] = places[i][first]
+        rows.append((b, keys[i][first].tobytes(), np.diff(np.append(first, len(i))).astype(np.uint32).tobytes(),
+                     _planes(step)))
+    yield _record(rows, [("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()),
+                         ("places", pa.binary())])
+
+
+def _gather(it):
+    """One row of sorted places per text."""
+    keys, places = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+    for batch in it:
+        for k, c, p in zip(*(batch.column(x) for x in ("keys", "counts", "places"))):
+            key, place = _expand(c.as_py(), k.as_py(), p.as_py())
+            keys.append(key)
+            places.append(place.astype(np.uint32))
+    k, p = np.concatenate(keys), np.concatenate(places)
+    order = np.lexsort((p, k))
+    k, p = k[order], p[order]
+    ends = np.append(tk.group_starts(k), len(k)).tolist()
+    spans = list(zip(ends[:-1], ends[1:]))
+    for i in range(0, len(spans), 5000):
+        yield _record([(int(k[a]), _planes(np.diff(np.unique(p[a:b]).astype(np.int64), prepend=0)))
+                       for a, b in spans[i:i + 5000]], [("key", pa.int64()), ("ties", pa.binary())])
+
+
+def _starts(ties: pa.Scalar) -> np.ndarray:
+    return np.cumsum(_from_planes(ties.as_py()).astype(np.int64))
+
+
+def _sort_bucket(width: int, buckets: int):
     """Reduce side: places whose hash stands at another place too, by text."""
     def run(it):
         hashes, keys, places, marks = [], [], [], []
@@ -239,7 +263,7 @@ def _sort_bucket(width: int):
             for r in range(batch.num_rows):
                 kind, b, h, k, c, p = (batch.column(i)[r].as_py() for i in range(6))
                 if kind == "own":
-                    yield from _answers(*_expand(c, k, p))
+                    yield from _answers(*_expand(c, k, p), buckets)
                     continue
                 h = np.frombuffer(h, np.uint32 if width == 4 else np.uint64).astype(np.uint64)
                 # buckets share a task: their number is part of a short hash
@@ -266,15 +290,18 @@ def _sort_bucket(width: int):
             tied |= np.isin(h[at], np.concatenate(marks))
         pick = np.repeat(tied, sizes)
         if pick.any():
-            yield from _answers(k[pick], p[pick])
+            yield from _answers(k[pick], p[pick], buckets)
     return run
 
 
 def _find(rows: DataFrame, positions, width: int, name: str) -> DataFrame:
     buckets = shuffle_partitions(rows.sparkSession)
     found = (rows.mapInArrow(_probe(buckets, width, positions), ASK).repartition(buckets, "bucket")
-             .mapInArrow(_sort_bucket(width), FOUND))
-    return land(found.groupBy("key").agg(F.collect_set("places").alias("ties")), name)
+             .mapInArrow(_sort_bucket(width, buckets), FOUND).repartition(buckets, "bucket")
+             .mapInArrow(_gather, "key long, ties binary"))
+    found = land(found, name)
+    free_shuffles(rows.sparkSession)
+    return found
 
 
 def repeated_places(docs: DataFrame, min_bytes: int = MIN_BYTES, text: str = "text") -> DataFrame:
@@ -286,7 +313,7 @@ def repeated_places(docs: DataFrame, min_bytes: int = MIN_BYTES, text: str = "te
     rows = docs.select(text_or_empty(text).alias("text")).where(F.octet_length("text") >= min_bytes)
     rows = rows.select(F.xxhash64("text").alias("key"), "text")
     ties = _find(rows, _sampled(min_bytes), 4, "dedup-ties")
-    return _find(rows.join(ties, "key"), _suspects(min_bytes), 8, "dedup-places")
+    return _find(prefilter(rows, ties, "key").join(ties, "key"), _suspects(min_bytes), 8, "dedup-places")
 
 
 def _cut(min_bytes: int):
@@ -302,10 +329,10 @@ def _cut(min_bytes: int):
                     continue
                 last = key
                 t = buf[off[i]:off[i + 1]]
-                starts = np.concatenate([_from_planes(x) for x in batch.column("ties")[i].as_py()])
+                starts = _starts(batch.column("ties")[i])
                 change = np.zeros(len(t) + 1, np.int32)
-                np.add.at(change, starts.astype(np.int64), 1)
-                np.add.at(change, starts.astype(np.int64) + min_bytes, -1)
+                change[starts] += 1
+                change[starts + min_bytes] -= 1
                 gone = np.cumsum(change[:-1]) > 0
                 spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                 out.append((key, int(gone.sum()), spans, t[~gone].tobytes()))
@@ -334,7 +361,8 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, doc_id: str = "d
     last = "kept_sha256" if digest else "kept"
     full = text_or_empty(text)
     places = repeated_places(docs, min_bytes, text)
-    cut = (docs.select(F.xxhash64(full).alias("key"), full.alias("text")).join(places, "key")
+    texts = docs.select(F.xxhash64(full).alias("key"), full.alias("text"))
+    cut = (prefilter(texts, places, "key").join(places, "key")
            .mapInArrow(_cut(min_bytes), "key long, n_removed long, n_spans long, kept binary")
            .select("key", "n_removed", "n_spans", out(F.col("kept"))).dropDuplicates(["key"]))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(full).alias("key"),
