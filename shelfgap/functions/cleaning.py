@@ -20,6 +20,10 @@ _WS = ("[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u
 # ---------------------------------------------------------------------------
 
 
+_PLAIN_NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"
+_SCIENTIFIC_NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)[eE][+-]?[0-9]{1,3}$"
+
+
 def col_(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -43,13 +47,18 @@ def as_text(c: Column | str) -> Column:
     return col_(c).cast("string")
 
 
-def clean_id(c: Column | str) -> Column:
+def clean_id(c: Column | str, dtype: T.DataType | None = None) -> Column:
     """B1: strip, drop quotes and '=', drop one trailing '.0', drop inner whitespace.
 
+    A double id is written out in full first (``dtype``): 1.0E7 is the id 10000000.
+
     The '.0' test runs before whitespace removal, as in the reference.
     Nulls stay null (deliberate deviation: the reference turns them into 'nan').
     """
     raw = as_text(c)
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        whole = col_(c).try_cast("decimal(38,0)")
+        raw = F.when(whole.cast("double") == col_(c).cast("double"), whole.cast("string")).otherwise(raw)
     s = strip(raw)
     s = F.translate(s, "\"'=", "")
     # '$' as in Python: end of text or before one final '\n' only (UNIX_LINES)
@@ -85,10 +94,12 @@ def normalize_stock_code(c: Column | str, replace: dict[str, str]) -> Column:
 
 
 def parse_number(c: Column | str, dtype: T.DataType, strip_commas: bool = True) -> Column:
-    """Text number -> double, unparsable -> 0.
+    """Text number -> DECIMAL(38,10), unparsable -> 0.
 
-    Typed numeric inputs keep their type (decimals stay exact so that sums are
-    exact); only nulls (and NaN) become 0.
+    Text is a number only in the shapes people write (sign, digits, point,
+    exponent): Java's ``10d`` or ``0x1p3`` are not.  Decimals keep later sums
+    exact whatever the partitioning; values beyond their range become 0.
+    Typed numeric inputs keep their type; only nulls (and NaN) become 0.
     """
     c = col_(c)
     if isinstance(dtype, T.DecimalType) or isinstance(dtype, (T.IntegerType, T.LongType,
@@ -99,7 +110,11 @@ def parse_number(c: Column | str, dtype: T.DataType, strip_commas: bool = True)
     text = as_text(c)
     if strip_commas:
         text = F.replace(text, F.lit(","), F.lit(""))
-    return F.coalesce(F.nanvl(text.try_cast("double"), F.lit(0.0)), F.lit(0.0))
+    text = strip(text)
+    plain, scientific = text.rlike(_PLAIN_NUMBER), text.rlike(_SCIENTIFIC_NUMBER)
+    exact = T.DecimalType(38, 10)
+    value = F.when(plain, text.try_cast(exact)).when(scientific, text.try_cast("double").try_cast(exact))
+    return F.coalesce(value, F.lit(0).cast(exact))
 
 
 def active_flag(c: Column | str) -> Column:

@@ -15,35 +15,54 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # --- fixed values: accepted text layouts -----------------------------------
-_ISO_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd",
-)
-MONTH_FIRST_FORMATS = _ISO_FORMATS + (
-    "M/d/yyyy HH:mm:ss", "M/d/yyyy HH:mm", "M/d/yyyy",
-    "M-d-yyyy", "M.d.yyyy",
-)
-DAY_FIRST_FORMATS = _ISO_FORMATS + (
-    "d/M/yyyy HH:mm:ss", "d/M/yyyy HH:mm", "d/M/yyyy",
-    "d-M-yyyy", "d.M.yyyy",
-)
+_TIME = (r"(?:[ T]+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.][0-9]{1,9})?)?\s*([AaPp][Mm])?"
+         r"\s*(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?")
+_YEAR = "([0-9]{4}|[0-9]{2})"
+_NAME = "([A-Za-z]{3,9})"
+YEAR_FIRST = "^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})" + _TIME + "$"
+COMPACT = "^([0-9]{4})([0-9]{2})([0-9]{2})" + _TIME + "$"
+NUMERIC = "^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]" + _YEAR + _TIME + "$"
+DAY_NAME = "^([0-9]{1,2})[- /.]+" + _NAME + "[- /.,]+" + _YEAR + _TIME + "$"
+NAME_DAY = "^" + _NAME + "[- /.]+([0-9]{1,2})(?:st|nd|rd|th)?[- /.,]+" + _YEAR + _TIME + "$"
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+# two-digit years up to this one are in the 2000s, as in the C library's rule
+PIVOT_YEAR = 68
 # ---------------------------------------------------------------------------
 
 
-def _parse_any(text: Column, formats: tuple[str, ...]) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+def _stamp(p: Column) -> Column:
+    """Timestamp of [year, month, day, hour, minute, second, am/pm], all texts; null if there is none."""
+    year, hour, half = p[0].try_cast("int"), F.coalesce(p[3].try_cast("int"), F.lit(0)), F.lower(p[6])
+    year = F.when(F.length(p[0]) > 2, year).when(year <= PIVOT_YEAR, year + 2000).otherwise(year + 1900)
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(p[1], 1, 3)))
+    month = F.coalesce(p[1].try_cast("int"), month.cast("int"))
+    hour = (F.when(half == "", hour).when((hour < 1) | (hour > 12), F.lit(99))
+            .when(half == "am", hour % 12).otherwise(hour % 12 + 12))
+    minute, second = (F.coalesce(p[i].try_cast("int"), F.lit(0)) for i in (4, 5))
+    written = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", year, month, p[2].try_cast("int"), hour, minute, second)
+    return F.try_to_timestamp(written, F.lit("yyyy-MM-dd HH:mm:ss"))
+
+
+def _parse(text: Column, day_first: bool) -> Column:
+    """One reading of a date text, null if it is none.
+
+    Zones are accepted and times left as written: days are local days.
+    """
+    t = F.trim(text.cast("string"))
+    layouts = [(YEAR_FIRST, "$1|$2|$3"), (NUMERIC, "$3|$2|$1" if day_first else "$3|$1|$2"),
+               (COMPACT, "$1|$2|$3"), (DAY_NAME, "$3|$2|$1"), (NAME_DAY, "$3|$1|$2")]
+    parts = F.coalesce(*[F.when(t.rlike(shape), F.split(F.regexp_replace(t, shape, order + "|$4|$5|$6|$7"), r"\|", -1))
+                         for shape, order in layouts])
+    # through a lambda, so that the parts are found once
+    return F.transform(F.array(parts), _stamp)[0]
 
 
 def parse_month_first(c: Column) -> Column:
-    return _parse_any(F.trim(c.cast("string")), MONTH_FIRST_FORMATS)
+    return _parse(c, day_first=False)
 
 
 def parse_day_first(c: Column) -> Column:
-    return _parse_any(F.trim(c.cast("string")), DAY_FIRST_FORMATS)
+    return _parse(c, day_first=True)
 
 
 def best_coverage_timestamp(df: DataFrame, name: str) -> Column:

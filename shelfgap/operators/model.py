@@ -1,17 +1,15 @@
 """The loss model: universe, SKU x site grid and the 29-column detail
 (SURVEY C5, C6, D2, D6-D9, D12, F4, I1, I3, B24-B30).
 
-Plan shape (one big shuffle per input, every join on aggregated data):
-  orders  -> Σ per (sku, stock_code, name)  -> per sku: prices + window sums pivoted per site
-  stock   -> Σ per (channel, day, sku, site) -> per sku: in-stock/recorded days per site
-  universe ⟕ sales ⟕ stock  on sku  (all three hash-partitioned by sku: no extra exchange)
-  explode over the channel's virtual sites -> the SKU x site grid (narrow, last)
-So the grid -- the largest intermediate, |SKUs| x |sites| rows -- is never
-shuffled; it is generated right before the measures and the write.  The site
-list is small and bounded (a channel has a handful of virtual sites): it is
-read once, checked against ``MAX_GRID_SITES`` and becomes literals in the
-plan.  Above ``MAX_PIVOT_SITES`` the per-sku pivot would get too wide and the
-grid is joined on (sku, site) instead.
+One plan for any number of sites and channels:
+  orders  -> left semi with the universe -> sums per (channel, sku, site, name)
+          -> prices per (channel, sku), window sums per (channel, sku, site)
+  stock   -> sums per (channel, day, sku, site) -> day counts per (channel, sku, site)
+  grid    =  universe exploded over the site list, joined with these on their full keys
+Everything that is joined is aggregated; the grid has the size of the result.
+The site list reaches the plan as a scalar subquery, so it is neither read by
+the driver nor crossed.  Inputs that carry no ``channel`` column hold for every
+channel of the site map; those that do are keyed by it throughout.
 """
 
 from __future__ import annotations
@@ -26,8 +24,6 @@ from ..profiles import ModelConfig
 from . import sales as S
 from . import stock as K
 
-MAX_GRID_SITES = 100_000
-
 
 @dataclass
 class ModelInputs:
@@ -37,6 +33,7 @@ class ModelInputs:
     site_map: DataFrame     # channel, site_code, virtual_site
 
 
+# --- fixed values: the columns of the detail, in order -----------------------
 DETAIL_COLUMNS = [
     "sku", "product_name", "virtual_site", "observed_days_jan", "recorded_days",
     "in_stock_days", "oos_days_jan", "oos_ratio_jan", "baseline_method", "baseline_source",
@@ -46,147 +43,90 @@ DETAIL_COLUMNS = [
     "net_per_unit", "lost_value_gross_raw", "lost_value_net_raw", "lost_qty", "loss_gross",
     "loss_net",
 ]
+# ---------------------------------------------------------------------------
 
 
 def universe(product: DataFrame, cfg: ModelConfig) -> DataFrame:
-    """I1 = C5 + C6 + F4: eligible (sku, product_name).
+    """I1 = C5 + C6 + F4: eligible ([channel,] sku, product_name).
 
-    C6: live SKUs only, unless none is live -- then all.  The "any live?"
-    test is a scalar subquery inside the plan (no count action, no cross join).
+    C6: live SKUs only, unless none is live -- then all; per channel where the
+    products carry one.  Whether any is live comes from a small aggregate
+    inside the plan (no count action, no cross join).
     """
     p = product.filter(~F.col("excluded_prefix_p"))
+    keys = K.shared_keys(product, "sku", "product_name")
     if cfg.use_live_skus_only and "status" in product.columns:
-        is_live = F.lower(F.col("status").cast("string")) == "live"
-        any_live = p.select(F.max(F.when(is_live, 1).otherwise(0))).scalar()
-        p = p.filter(is_live | (F.coalesce(any_live, F.lit(0)) == 0))
-    return p.select("sku", "product_name").dropDuplicates(["sku", "product_name"])
-
-
-def grid_sites(site_map: DataFrame) -> list[tuple[str, str]]:
-    """Sorted distinct (channel, virtual_site) pairs; bounded read of a tiny result."""
-    rows = (site_map.select("channel", "virtual_site").distinct()
-            .limit(MAX_GRID_SITES + 1).collect())
-    if len(rows) > MAX_GRID_SITES:
-        raise ValueError(f"More than {MAX_GRID_SITES} virtual sites; the SKU x site grid "
-                         "would not be a report any more")
-    return sorted((r["channel"], r["virtual_site"]) for r in rows)
-
-
-def explode_grid(skus: DataFrame, sites: list[tuple[str, str]]) -> DataFrame:
-    """Every SKU row once per (channel, virtual_site)."""
-    arr = F.array(*[F.struct(F.lit(c).alias("channel"), F.lit(v).alias("virtual_site"))
-                    for c, v in sites])
-    if "channel" in skus.columns:   # per-channel universe: only that channel's sites
-        arr = F.filter(arr, lambda s: s["channel"] == F.col("channel"))
-        skus = skus.withColumnRenamed("channel", "_u_channel")
-    g = skus.withColumn("_site", F.explode(arr))
-    g = g.withColumn("channel", F.col("_site.channel")).withColumn(
-        "virtual_site", F.col("_site.virtual_site")).drop("_site")
-    return g.drop("_u_channel") if "_u_channel" in g.columns else g
-
-
-# Above this many grid sites the per-sku pivot gets too wide; the detail is
-# then assembled with joins on (sku, virtual_site) instead.
-MAX_PIVOT_SITES = 256
-
-
-def _site_entries(sites: list[tuple[str, str]], sales_index: dict | None) -> F.Column:
-    """Array of one struct per grid site, reading that site's pivot columns."""
-    entries = []
-    for j, (c, v) in enumerate(sites):
-        fields = [F.lit(c).alias("channel"), F.lit(v).alias("virtual_site"),
-                  F.col(f"in_stock_{j}").alias("in_stock_days"),
-                  F.col(f"recorded_{j}").alias("recorded_days")]
-        if sales_index is not None:
-            i = sales_index[(c, v)]
-            fields += [F.col(f"recent_qty_{i}").alias("recent_qty"),
-                       F.col(f"fallback_qty_{i}").alias("fallback_qty"),
-                       F.col(f"actual_qty_{i}").alias("actual_qty_jan")]
-        entries.append(F.struct(*fields))
-    return F.array(*entries)
-
-
-def _explode_entries(base: DataFrame, arr: F.Column) -> DataFrame:
-    if "channel" in base.columns:   # per-channel universe: only that channel's sites
-        arr = F.filter(arr, lambda e: e["channel"] == F.col("channel"))
-        base = base.drop("channel")
-    return base.withColumn("_e", F.explode(arr)).select("*", "_e.*").drop("_e")
-
-
-def oos_days(inputs: ModelInputs, cfg: ModelConfig,
-             sites: list[tuple[str, str]] | None = None) -> DataFrame:
+        is_live = F.coalesce(F.lower(F.col("status").cast("string")) == "live", F.lit(False))
+        if "channel" in product.columns:
+            any_live = p.groupBy("channel").agg(F.max(is_live).alias("any_live"))
+            p = p.join(any_live, "channel").filter(is_live | ~F.col("any_live"))
+        else:
+            any_live = p.select(F.max(is_live)).scalar()
+            p = p.filter(is_live | ~F.coalesce(any_live, F.lit(False)))
+    return p.select(*keys).dropDuplicates(keys)
+
+
+def site_names(site_map: DataFrame, channel: str | None = None) -> list[str]:
+    """Sorted virtual sites of a channel (or all): the pivot's column names, so a schema, not data.
+
+    As with Spark's own pivot, more names than ``spark.sql.pivotMaxValues`` are an error.
+    """
+    rows = site_map if channel is None else site_map.filter(F.col("channel") == channel)
+    most = int(site_map.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
+    names = [r[0] for r in rows.select("virtual_site").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"the pivot by virtual site would have more than {most} columns")
+    return sorted(names)
+
+
+def site_grid(skus: DataFrame, site_map: DataFrame) -> DataFrame:
+    """Every SKU row once per (channel, virtual_site), its own channel's if it has one."""
+    site = F.struct("channel", "virtual_site")
+    sites = site_map.select(F.sort_array(F.collect_set(site))).scalar()
+    rows = skus.withColumn("_site", F.explode(sites))
+    if "channel" in skus.columns:
+        rows = rows.filter(F.col("_site.channel") == F.col("channel"))
+    return rows.select(*[c for c in skus.columns if c != "channel"], "_site.channel", "_site.virtual_site")
+
+
+def _with_day_counts(grid: DataFrame, inputs: ModelInputs, cfg: ModelConfig,
+                     day_bal: DataFrame | None = None) -> DataFrame:
+    if day_bal is None:
+        day_bal = K.day_balance(inputs.stock, inputs.site_map, cfg)
+    counts = K.stock_day_counts(day_bal)
+    return grid.join(counts, ["channel", "sku", "virtual_site"], "left")
+
+
+def oos_days(inputs: ModelInputs, cfg: ModelConfig) -> DataFrame:
     """Grid of universe SKUs x sites with recorded / in-stock / OOS days and ratio."""
-    sites = sites if sites is not None else grid_sites(inputs.site_map)
-    skus = universe(inputs.product, cfg).select("sku").distinct()
-    day_bal = K.day_balance(inputs.stock, inputs.site_map, cfg)
-    if len(sites) > MAX_PIVOT_SITES:
-        grid = explode_grid(skus, sites)
-        joined = grid.join(K.stock_day_counts(day_bal), ["channel", "sku", "virtual_site"], "left")
-    else:
-        base = skus.join(K.stock_by_sku(day_bal, sites), "sku", "left")
-        joined = _explode_entries(base.select("sku", _site_entries(sites, None).alias("_a")),
-                                  F.col("_a"))
+    uni = universe(inputs.product, cfg)
+    skus = uni.select(*K.shared_keys(uni, "sku")).distinct()
+    joined = _with_day_counts(site_grid(skus, inputs.site_map), inputs, cfg)
     return K.with_oos_measures(joined, cfg).select(
         "channel", "sku", "virtual_site", "observed_days_jan", "recorded_days", "in_stock_days",
         "oos_days_jan", "oos_ratio_jan")
 
 
-def _assembled_by_sku(inputs: ModelInputs, cfg: ModelConfig, sites, uni: DataFrame) -> DataFrame:
-    """Grid with stock and sales columns, every join on sku (grid never shuffled).
-
-    universe ⟕ sales_by_sku ⟕ stock_by_sku are all aggregated by sku, so the
-    joins are co-partitioned; the grid comes last from a narrow explode.
-    """
-    orders_have_channel = "channel" in inputs.orders.columns
-    keys = sorted(set(sites)) if orders_have_channel else sorted({v for _, v in sites})
-    index = {k: i for i, k in enumerate(keys)}
-    sales_index = {(c, v): index[(c, v) if orders_have_channel else v] for c, v in sites}
-    lines = S.sales_lines(inputs.orders, cfg, with_totals=True)
-    sales = S.sales_by_sku(lines, keys)
-    stock = K.stock_by_sku(K.day_balance(inputs.stock, inputs.site_map, cfg), sites)
-    base = (uni.join(sales, "sku", "left").join(stock, "sku", "left")
-            .select(*uni.columns, "order_name", "gross_per_unit", "net_per_unit",
-                    _site_entries(sites, sales_index).alias("_a")))
-    base = (base.withColumn("product_name", F.coalesce(F.col("product_name"), F.col("order_name")))
-            .withColumn("gross_per_unit", F.coalesce(F.col("gross_per_unit"), F.lit(0.0)))
-            .withColumn("net_per_unit", F.coalesce(F.col("net_per_unit"), F.lit(0.0)))
-            .drop("order_name"))
-    return _explode_entries(base, F.col("_a")).drop("_a")
-
-
-def _assembled_by_join(inputs: ModelInputs, cfg: ModelConfig, sites, uni: DataFrame) -> DataFrame:
-    """Fallback for very many sites: grid exploded first, then joined on (sku, site)."""
-    lines = S.sales_lines(inputs.orders, cfg, with_totals=True)
-    site = S.site_sales_from_lines(lines)
-    price = S.unit_price_from_lines(lines)
-    pkeys = [k for k in ["channel"] if k in price.columns and k in uni.columns] + ["sku"]
-    named = (uni.join(price.withColumnRenamed("product_name", "order_name"), pkeys, "left")
-             .select(*uni.columns,
-                     F.coalesce(F.col("gross_per_unit"), F.lit(0.0)).alias("gross_per_unit"),
-                     F.coalesce(F.col("net_per_unit"), F.lit(0.0)).alias("net_per_unit"),
-                     F.col("order_name"))
-             .withColumn("product_name", F.coalesce(F.col("product_name"), F.col("order_name")))
-             .drop("order_name"))
-    grid = explode_grid(named, sites)
-    counts = K.stock_day_counts(K.day_balance(inputs.stock, inputs.site_map, cfg))
-    skeys = (["channel"] if "channel" in site.columns else []) + ["sku", "virtual_site"]
-    site_cols = site.select(*skeys, "recent_qty", "fallback_qty", "actual_qty_jan")
-    return (grid.join(counts, ["channel", "sku", "virtual_site"], "left")
-            .join(site_cols, skeys, "left"))
-
-
-def loss_detail(inputs: ModelInputs, cfg: ModelConfig,
-                sites: list[tuple[str, str]] | None = None) -> DataFrame:
+def loss_detail(inputs: ModelInputs, cfg: ModelConfig, day_bal: DataFrame | None = None) -> DataFrame:
     """The detail table -- 29 columns plus ``channel``.
 
+    ``day_bal`` is the month's day balance if it has been landed already.
     Sorting (H1) is left to the sinks; the frame itself is unordered.
     """
-    sites = sites if sites is not None else grid_sites(inputs.site_map)
     uni = universe(inputs.product, cfg)
-    if len(sites) > MAX_PIVOT_SITES:
-        d = _assembled_by_join(inputs, cfg, sites, uni)
-    else:
-        d = _assembled_by_sku(inputs, cfg, sites, uni)
+    # Only orders of universe SKUs are aggregated
+    own = [k for k in K.shared_keys(inputs.orders, "sku") if k in uni.columns]
+    orders = inputs.orders.join(uni.select(*own).distinct(), own, "left_semi")
+    lines = S.sales_lines(orders, cfg, with_totals=True)
+    price = S.unit_price_from_lines(lines).withColumnRenamed("product_name", "order_name")
+    site = S.site_sales_from_lines(lines).select(
+        *K.shared_keys(lines, "sku", "virtual_site"), "recent_qty", "fallback_qty", "actual_qty_jan")
+    d = _with_day_counts(site_grid(uni, inputs.site_map), inputs, cfg, day_bal)
+    d = (d.join(site, K.shared_keys(site, "sku", "virtual_site"), "left")
+         .join(price, K.shared_keys(price, "sku"), "left")
+         .withColumns({"product_name": F.coalesce("product_name", "order_name"),
+                       "gross_per_unit": F.coalesce("gross_per_unit", F.lit(0.0)),
+                       "net_per_unit": F.coalesce("net_per_unit", F.lit(0.0))}))
     d = K.with_oos_measures(d, cfg)
     # No sales rows -> zero quantities and the "no history" labels
     d = d.withColumns({c: F.coalesce(F.col(c), F.lit(0.0))

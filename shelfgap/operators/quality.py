@@ -10,6 +10,7 @@ data.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,13 +19,15 @@ from pyspark.sql import types as T
 
 from ..functions.dates import best_coverage_timestamp, month_bucket, month_first_timestamp
 from ..profiles import NEAR_EMPTY_ROW_COUNT, ChannelProfile, ModelConfig, get_profile
-from ..sources.contracts import contract_for, missing_columns
+from ..sources.contracts import SLOT_LABELS, SLOTS, contract_for, missing_columns
 from ..functions.cleaning import active_flag, normalize_virtual_site
 from . import model as M
 from . import stock as K
 from .reports import TOTAL_METRICS, exact_sum
 
 # --- fixed values: finding codes and messages ------------------------------
+MSG_UNKNOWN_SLOT = "Validation does not support upload slot '{slot}'."
+MSG_REQUIRED = "{label}: upload required."
 MSG_MISSING_COLUMNS = "Missing required columns: {cols}"
 MSG_NO_ACTIVE = "The site-mapping file does not contain any active rows marked with 'X'."
 MSG_NO_CHANNEL = ("The site-mapping file does not contain any active {label} virtual locations. "
@@ -37,6 +40,7 @@ REASON_NO_DATES = "The staged stock file did not contain any parseable posting d
 REASON_MANY_MONTHS = ("The staged stock file spans multiple months. "
                       "Choose the evaluation month manually.")
 # ---------------------------------------------------------------------------
+MSG_UNPARSED = "%d value(s) of {field} are no date in any accepted layout."
 
 FINDING_SCHEMA = T.StructType([
     T.StructField("dataset", T.StringType(), False),
@@ -59,15 +63,15 @@ def _long(df: DataFrame, metrics: list[tuple[int, str, Column]]) -> DataFrame:
 
 
 def qa_summary(inputs: M.ModelInputs, cfg: ModelConfig, detail: DataFrame | None = None,
-               unmapped: DataFrame | None = None,
-               sites: list[tuple[str, str]] | None = None) -> DataFrame:
+               unmapped: DataFrame | None = None, day_bal: DataFrame | None = None) -> DataFrame:
     """The 20 QA metrics as (seq, metric, value); seq keeps the reference order."""
     if detail is None:
-        detail = M.loss_detail(inputs, cfg, sites)
+        detail = M.loss_detail(inputs, cfg)
     if unmapped is None:
         unmapped = K.unmapped_sites(inputs.stock, inputs.site_map, cfg)
     uni = M.universe(inputs.product, cfg)
-    day_bal = K.day_balance(inputs.stock, inputs.site_map, cfg)
+    if day_bal is None:
+        day_bal = K.day_balance(inputs.stock, inputs.site_map, cfg)
     excl = F.col("excluded_prefix_p")
     src = F.col("baseline_source")
     zero = F.col("is_actual_zero_jan")
@@ -142,6 +146,9 @@ def dataset_findings(slot: str, raw: DataFrame, channel: str, dataset: str | Non
     """I4 for one input: contract errors first; warnings only for valid inputs."""
     dataset = dataset or slot
     spark = _spark(raw)
+    if slot not in SLOTS:
+        return spark.createDataFrame([(dataset, "error", "unknown_slot", MSG_UNKNOWN_SLOT.format(slot=slot))],
+                                     FINDING_SCHEMA)
     contract = contract_for(slot, channel)
     gaps = missing_columns(raw, contract.required_columns)
     if gaps:
@@ -150,7 +157,7 @@ def dataset_findings(slot: str, raw: DataFrame, channel: str, dataset: str | Non
               MSG_MISSING_COLUMNS.format(cols=", ".join(gaps)))], FINDING_SCHEMA)
     if slot == "site_mapping":
         profile = site_profile or get_profile(channel)
-        allowed = list(profile.allowed_virtual_sites)
+        allowed = list(profile.sites)
         is_active = active_flag("Active") == "X"
         in_channel = (normalize_virtual_site("Virtual Location").isin(allowed) if allowed
                       else F.lit(True))
@@ -168,18 +175,22 @@ def dataset_findings(slot: str, raw: DataFrame, channel: str, dataset: str | Non
                 .select("f.*"))
     field = contract.date_field
     if field:
-        days = raw.select(_parsed_day(slot, raw, field).alias("d"))
+        written = F.trim(F.col(f"`{field}`").cast("string")) != ""
+        days = raw.select(_parsed_day(slot, raw, field).alias("d"), written.alias("written"))
     else:
-        days = raw.select(F.lit(None).cast("date").alias("d"))
-    # one pass: row count and the number of distinct months together
+        days = raw.select(F.lit(None).cast("date").alias("d"), F.lit(False).alias("written"))
+    # one pass: rows, distinct months and date texts that no layout reads
     stats = days.agg(F.count(F.lit(1)).alias("n"),
-                     F.countDistinct(month_bucket(F.col("d"))).alias("months"))
+                     F.countDistinct(month_bucket(F.col("d"))).alias("months"),
+                     F.count_if(F.col("written") & F.col("d").isNull()).alias("unparsed"))
     checks = F.array(
         F.when(F.col("n") == 0, _finding(dataset, "warning", "empty_dataset", MSG_EMPTY)),
         F.when((F.col("n") > 0) & (F.col("n") <= NEAR_EMPTY_ROW_COUNT),
                _finding(dataset, "warning", "near_empty_dataset", MSG_NEAR_EMPTY)),
         F.when(F.col("months") > 1, _finding(dataset, "warning", "multiple_month_hints",
-                                             MSG_MULTI_MONTH)))
+                                             MSG_MULTI_MONTH)),
+        F.when(F.col("unparsed") > 0, _finding(dataset, "warning", "unparsed_dates", F.format_string(
+            MSG_UNPARSED.format(field=field), F.col("unparsed")))))
     return stats.select(F.explode(checks).alias("f")).filter(F.col("f").isNotNull()).select("f.*")
 
 
@@ -196,23 +207,36 @@ def input_findings(raw: dict[str, DataFrame], channel: str,
     return reduce(DataFrame.unionByName, parts)
 
 
-def quality_gate(findings: DataFrame, datasets: list[str]) -> DataFrame:
-    """Per dataset error/warning counts and readiness, plus an 'ALL' row."""
+def quality_gate(findings: DataFrame, supplied: list[str], required: Sequence[str] = ()) -> DataFrame:
+    """Per dataset error/warning counts, readiness and blocking messages, plus an 'ALL' row.
+
+    A required dataset that was not supplied blocks the run, as does any with errors.
+    """
     spark = _spark(findings)
-    names = sorted(set(datasets))
-    dims = spark.createDataFrame([(d,) for d in names], "dataset string")
+    names = sorted({*supplied, *required})
+    labels = {d: SLOT_LABELS.get(d, d) for d in names}
+    dims = spark.createDataFrame(
+        [(d, labels[d], None if d in supplied else MSG_REQUIRED.format(label=labels[d])) for d in names],
+        "dataset string, label string, absent string")
+    is_error = F.col("severity") == "error"
     per = findings.groupBy("dataset").agg(
-        F.count_if(F.col("severity") == "error").alias("error_count"),
-        F.count_if(F.col("severity") == "warning").alias("warning_count"))
+        F.count_if(is_error).alias("error_count"), F.count_if(F.col("severity") == "warning").alias("warning_count"),
+        F.sort_array(F.collect_list(F.when(is_error, F.col("message")))).alias("errors"))
+    none = F.expr("cast(array() as array<string>)")
+    said = F.transform(F.coalesce("errors", none), lambda m: F.concat(F.col("label"), F.lit(": "), m))
     per = dims.join(per, "dataset", "left").select(
         "dataset", F.coalesce("error_count", F.lit(0)).cast("long").alias("error_count"),
-        F.coalesce("warning_count", F.lit(0)).cast("long").alias("warning_count"))
-    per = per.withColumn("is_ready", F.col("error_count") == 0)
+        F.coalesce("warning_count", F.lit(0)).cast("long").alias("warning_count"),
+        F.array_compact(F.concat(F.array("absent"), said)).alias("blocking"))
+    per = per.withColumn("is_ready", F.size("blocking") == 0)
     total = per.agg(F.lit("ALL").alias("dataset"),
                     F.sum("error_count").cast("long").alias("error_count"),
                     F.sum("warning_count").cast("long").alias("warning_count"),
-                    (F.sum(F.col("is_ready").cast("int")) == F.count(F.lit(1))).alias("is_ready"))
-    return per.unionByName(total)
+                    F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("dataset", "blocking"))),
+                                          lambda x: x["blocking"])).alias("blocking"),
+                    (F.count_if("is_ready") == F.count(F.lit(1))).alias("is_ready"))
+    return per.unionByName(total).select("dataset", "error_count", "warning_count", "is_ready",
+                                         F.array_join("blocking", "; ").alias("blocking_messages"))
 
 
 # ------------------------------------------------------- month suggestion --
@@ -277,14 +301,21 @@ def overview(detail: DataFrame, qa: DataFrame, unmapped: DataFrame, findings: Da
 def fingerprint(df: DataFrame, dataset: str) -> DataFrame:
     """Order-independent content fingerprint of one table.
 
-    XOR of 64-bit row hashes plus their exact (decimal) sum, so that row order
-    and partitioning do not matter but added, removed or repeated rows do.
+    A row's columns are written with their lengths and with a mark for null, so
+    no two rows are written alike; the halves of the rows' md5 digests are
+    summed.  Row order and partitioning do not matter; added, removed, changed
+    or repeated rows do.
     """
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    return df.agg(F.count(F.lit(1)).alias("row_count"),
-                  F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor_hash"),
-                  F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string")
-                  .alias("sum_hash")).select(F.lit(dataset).alias("dataset"), "*")
+    def written(c: str) -> Column:
+        text = F.col(f"`{c}`").cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    digest = F.md5(F.concat(*[written(c) for c in df.columns]).cast("binary"))
+    halves = [F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)") for at in (1, 16)]
+    return df.select(*[h.alias(n) for h, n in zip(halves, "ab")]).agg(
+        F.count(F.lit(1)).alias("row_count"),
+        *[F.coalesce(F.sum(n), F.lit(0)).cast("string").alias(f"hash_{n}") for n in "ab"]).select(
+            F.lit(dataset).alias("dataset"), "*")
 
 
 def fingerprints(raw: dict[str, DataFrame]) -> DataFrame:
@@ -293,26 +324,39 @@ def fingerprints(raw: dict[str, DataFrame]) -> DataFrame:
 
 def changed_inputs(current: DataFrame, stored: DataFrame) -> DataFrame:
     """Which inputs differ from the stored fingerprints (new, changed or gone)."""
-    c = current.alias("c")
-    s = stored.alias("s")
-    j = c.join(s, F.col("c.dataset") == F.col("s.dataset"), "full")
-    same = ((F.col("c.row_count") == F.col("s.row_count"))
-            & (F.col("c.xor_hash") == F.col("s.xor_hash"))
-            & (F.col("c.sum_hash") == F.col("s.sum_hash")))
-    return j.select(F.coalesce(F.col("c.dataset"), F.col("s.dataset")).alias("dataset"),
-                    (~F.coalesce(same, F.lit(False))).alias("changed"))
+    facts = ("row_count", "hash_a", "hash_b")
+    before = stored.select("dataset", F.struct(*facts).alias("before"))
+    now = current.select("dataset", F.struct(*facts).alias("now"))
+    return now.join(before, "dataset", "full").select("dataset", (~F.col("now").eqNullSafe(F.col("before")))
+                                                      .alias("changed"))
 
 
 # ------------------------------------------------------------ run record --
-def run_record(detail: DataFrame, qa: DataFrame, unmapped: DataFrame, channel: str,
-               period: str, status: str = "succeeded") -> DataFrame:
-    """I13 + E19: one row per run for a run-log table."""
+RECORD_COLUMNS = ("channel string, period string, ok boolean, status string, detail_row_count long, "
+                  "qa_summary_row_count long, unmapped_site_count long, lost_value_net_raw double, "
+                  "error_type string, error_message string")
+
+
+def run_record(detail: DataFrame, qa: DataFrame, unmapped: DataFrame, channel: str, period: str) -> DataFrame:
+    """I13 + E19: the row of a run that succeeded, for a run-log table."""
     head = detail.agg(F.count(F.lit(1)).alias("detail_row_count"),
                       F.coalesce(F.sum(F.col("lost_value_net_raw").try_cast("decimal(28,6)"))
                                  .cast("double"), F.lit(0.0)).alias("lost_value_net_raw"))
+    none = F.lit(None).cast("string")
     return head.select(
-        F.lit(channel).alias("channel"), F.lit(period).alias("period"),
-        F.lit(status).alias("status"), "detail_row_count",
+        F.lit(channel).alias("channel"), F.lit(period).alias("period"), F.lit(True).alias("ok"),
+        F.lit("success").alias("status"), "detail_row_count",
         qa.select(F.count(F.lit(1))).scalar().alias("qa_summary_row_count"),
         unmapped.select(F.count(F.lit(1))).scalar().alias("unmapped_site_count"),
-        "lost_value_net_raw")
+        "lost_value_net_raw", none.alias("error_type"), none.alias("error_message"))
+
+
+def failure_record(spark: SparkSession, channel: str, period: str, error: Exception) -> DataFrame:
+    """The row of a run that failed."""
+    return spark.createDataFrame([(channel, period, False, "failed", 0, 0, 0, 0.0, type(error).__name__,
+                                   str(error))], RECORD_COLUMNS)
+
+
+def append_run_log(record: DataFrame, path: str) -> None:
+    """Add a run's row, with the time, to the run-log table at ``path``."""
+    record.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(path)

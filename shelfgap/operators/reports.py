@@ -8,7 +8,7 @@ engines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MEASURES = ["lost_qty_raw", "lost_value_gross_raw", "lost_value_net_raw", "loss_gross",
@@ -111,10 +111,9 @@ def calculation_example(detail: DataFrame) -> DataFrame:
     arr = F.array(*[F.struct(F.lit(i + 1).alias("seq"), F.lit(item).alias("item"),
                              F.lit(formula).alias("formula"), value.alias("value"))
                     for i, (item, formula, value) in enumerate(items)])
-    rows = top.select(F.explode(arr).alias("r")).select("r.seq", "r.item", "r.formula", "r.value")
-    spark = SparkSession.getActiveSession() or detail.sparkSession
-    empty = (spark.range(1)
-             .select(F.lit(1).alias("seq"), F.lit("No sample row").alias("item"),
-                     F.lit("-").alias("formula"), F.lit("Detail sheet is empty").alias("value"))
-             .filter(~detail.exists()))
-    return rows.unionByName(empty)
+    # a global aggregate of the top row: null for an empty detail, whose plan is evaluated once
+    none = F.array(F.struct(F.lit(1).alias("seq"), F.lit("No sample row").alias("item"), F.lit("-").alias("formula"),
+                            F.lit("Detail sheet is empty").alias("value")))
+    row = top.select(arr.alias("a")).agg(F.first("a").alias("a"))
+    return row.select(F.explode(F.coalesce("a", none)).alias("r")).select(
+        "r.seq", "r.item", "r.formula", "r.value")

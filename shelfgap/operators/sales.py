@@ -5,9 +5,10 @@ The reference scans orders three times (recent, fallback, month) and joins
 the recent and fallback totals with a full outer join.  Here one aggregation
 over (sku, stock_code, product_name) computes every window total as a
 conditional sum plus the all-time totals the unit price needs (``sales_lines``).
-A second, small aggregation turns that into per-sku prices and per-site window
-sums (``sales_by_sku``, used by the detail) or per-(sku, site) rows
-(``site_sales_from_lines``, used by the standalone window/baseline queries).
+Two small aggregations over it give the per-sku prices
+(``unit_price_from_lines``) and the per-(sku, site) window sums
+(``site_sales_from_lines``).  All are keyed by channel too where the orders
+carry one.
 One scan, one big shuffle with map-side combine, no outer join.
 
 Sums are taken in the input's own numeric type (exact for decimals) and cast
@@ -151,32 +152,5 @@ def unit_price_from_lines(lines: DataFrame) -> DataFrame:
                       safe_div(tn, tq).alias("net_per_unit"))
 
 
-def sales_by_sku(lines: DataFrame, site_keys: list) -> DataFrame:
-    """E4 + E5-E7 per sku in one aggregate over the order-line aggregate.
-
-    Unit prices use every site's totals; the window sums are pivoted to one
-    column per grid site (``recent_<i>`` ...), so the detail joins sales on sku
-    alone.  ``site_keys`` are virtual-site names, or (channel, site) pairs when
-    the orders carry a channel column.
-    """
-    name = F.col("product_name")
-    has_ord = "name_ord" in lines.schema["m"].dataType.fieldNames()
-    name_key = F.when(name.isNotNull(), F.col("m.name_ord") if has_ord else name)
-    aggs = [F.sum("m.total_qty").alias("tq"), F.sum("m.total_gross").alias("tg"),
-            F.sum("m.total_net").alias("tn"), F.min_by(name, name_key).alias("order_name")]
-    ch, vs = F.col("channel"), F.col("virtual_site")
-    sums = {m: F.col(f"m.{m}_sum") for m in ("recent", "fallback", "actual")}
-    for i, key in enumerate(site_keys):
-        here = (ch == key[0]) & (vs == key[1]) if isinstance(key, tuple) else vs == key
-        aggs += [F.sum(F.when(here, c)).alias(f"{m}_sum_{i}") for m, c in sums.items()]
-    agg = lines.groupBy("sku").agg(*aggs)
-    tq, tg, tn = (F.col(c).cast("double") for c in ("tq", "tg", "tn"))
-    zero = F.lit(0.0)
-    qty = [F.coalesce(F.col(f"{m}_sum_{i}").cast("double"), zero).alias(f"{m}_qty_{i}")
-           for i in range(len(site_keys)) for m in ("recent", "fallback", "actual")]
-    return agg.select("sku", "order_name", safe_div(tg, tq).alias("gross_per_unit"),
-                      safe_div(tn, tq).alias("net_per_unit"), *qty)
-
-
 def unit_price(orders: DataFrame, cfg: ModelConfig) -> DataFrame:
     return unit_price_from_lines(sales_lines(orders, cfg, with_totals=True))

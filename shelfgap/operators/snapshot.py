@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cleaning import blank_to_empty
-from ..session import sized_broadcast
+from ..profiles import label_column
 from ..sources.contracts import resolve_article_code_column
 
 SNAPSHOT_KEYS = ["posting_date", "site_code", "location", "article_code",
@@ -49,7 +49,7 @@ def stock_snapshot(warehouse: DataFrame, channel_sites: DataFrame, sku_list: Dat
     Ordering (H7: date, location, article) is applied by the sink.
     """
     skus = sku_filter_table(sku_list)
-    sites = sized_broadcast(channel_sites.select("channel", "site_code").distinct())
+    sites = channel_sites.select("channel", "site_code").distinct()
     s = (warehouse.filter(F.col("posting_date").between(F.lit(start), F.lit(end)))
          .select(*SNAPSHOT_KEYS, "stock_balance"))
     j = s.join(sites, "site_code")
@@ -59,9 +59,10 @@ def stock_snapshot(warehouse: DataFrame, channel_sites: DataFrame, sku_list: Dat
             .agg(F.sum("stock_balance").cast("double").alias("stock_balance")))
 
 
-def snapshot_summary(snapshot: DataFrame, channel_sites: DataFrame,
-                     sku_list: DataFrame) -> DataFrame:
-    """One row per channel -- SKU count, site-code count, snapshot row count."""
+def snapshot_summary(snapshot: DataFrame, channel_sites: DataFrame, sku_list: DataFrame,
+                     sheet_name: str = "", input_path: str = "", output_root: str = "") -> DataFrame:
+    """One row per channel -- its label, SKU, site-code and row counts, and where its
+    SKU list came from (sheet and path) and its rows went (a folder per channel)."""
     skus = sku_filter_table(sku_list)
     sites = (channel_sites.select("channel", "site_code").distinct()
              .groupBy("channel").agg(F.count(F.lit(1)).alias("site_code_count")))
@@ -72,7 +73,11 @@ def snapshot_summary(snapshot: DataFrame, channel_sites: DataFrame,
     else:
         out = sites.withColumn("sku_count", skus.select(F.count(F.lit(1))).scalar())
     out = out.join(rows, "channel", "left")
-    return out.select("channel", F.upper("channel").alias("label"),
+    folder = F.concat(F.lit(f"{output_root.rstrip('/')}/channel="), F.col("channel"))
+    return out.select("channel", label_column(F.col("channel")).alias("label"),
+                      F.lit(sheet_name).alias("sheet_name"),
                       F.coalesce("sku_count", F.lit(0)).cast("long").alias("sku_count"),
                       F.col("site_code_count").cast("long").alias("site_code_count"),
-                      F.coalesce("row_count", F.lit(0)).cast("long").alias("row_count"))
+                      F.coalesce("row_count", F.lit(0)).cast("long").alias("row_count"),
+                      F.lit(input_path).alias("input_path"),
+                      (folder if output_root else F.lit("")).alias("output_csv_path"))

@@ -2,8 +2,9 @@
 and unmapped sites (SURVEY C7, C9, C10, D1-D4, E1-E3, E9, I2).
 
 Plan shape: the month filter is a half-open range so it reaches the Parquet
-scan; the site map join (broadcast when its size is proven small) fans a site
-out to every virtual site it maps to (reference semantics); E1 sums per (channel, day, sku, virtual site) with a
+scan; the site map join fans a site out to every virtual site it maps to
+(reference semantics; whether the map is broadcast is left to Spark's byte
+threshold and AQE); E1 sums per (channel, day, sku, virtual site) with a
 map-side partial aggregate, so a hot sku/site is combined before the shuffle;
 E2/E3 then see at most one row per day per (sku, site) -- 31 rows -- and are
 computed in one pass with ``count_if``/``count`` instead of two distinct counts.
@@ -17,7 +18,11 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import clip0, safe_div
 from ..functions.dates import in_range
 from ..profiles import ModelConfig
-from ..session import sized_broadcast
+
+
+def shared_keys(df: DataFrame, *keys: str) -> list[str]:
+    """``keys`` led by ``channel`` if the frame carries one (else it holds for every channel)."""
+    return (["channel"] if "channel" in df.columns else []) + list(keys)
 
 
 def eval_month_stock(stock: DataFrame, cfg: ModelConfig) -> DataFrame:
@@ -35,11 +40,9 @@ def eval_month_stock(stock: DataFrame, cfg: ModelConfig) -> DataFrame:
 
 def day_balance(stock: DataFrame, site_map: DataFrame, cfg: ModelConfig) -> DataFrame:
     """D1 + E1: Σ stock_balance per (channel, posting_date, sku, virtual_site)."""
-    s = eval_month_stock(stock, cfg).select("posting_date", "site_code", "sku", "stock_balance")
-    # the site map is a small dimension: broadcast it when its size is proven
-    # (bounded count), so the month of stock is shuffled once (for E1), not twice
-    m = sized_broadcast(site_map.select("channel", "site_code", "virtual_site"))
-    mapped = s.join(m, "site_code")
+    on = shared_keys(stock, "site_code")
+    s = eval_month_stock(stock, cfg).select(*on, "posting_date", "sku", "stock_balance")
+    mapped = s.join(site_map.select("channel", "site_code", "virtual_site"), on)
     return (mapped.groupBy("channel", "posting_date", "sku", "virtual_site")
             .agg(F.sum("stock_balance").alias("stock_balance")))
 
@@ -55,23 +58,6 @@ def stock_day_counts(day_bal: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).cast("int").alias("recorded_days")))
 
 
-def stock_by_sku(day_bal: DataFrame, sites: list[tuple[str, str]]) -> DataFrame:
-    """E2 + E3 pivoted per sku: ``in_stock_<j>`` / ``recorded_<j>`` for grid site j.
-
-    One aggregate keyed by sku over the daily balances (at most one row per
-    day per site per sku), so the result joins the universe on sku alone and
-    the SKU x site grid never has to be shuffled.
-    """
-    ch, vs = F.col("channel"), F.col("virtual_site")
-    positive = F.col("stock_balance") > 0
-    aggs = []
-    for j, (c, v) in enumerate(sites):
-        here = (ch == c) & (vs == v)
-        aggs += [F.count_if(here & positive).cast("int").alias(f"in_stock_{j}"),
-                 F.count_if(here).cast("int").alias(f"recorded_{j}")]
-    return day_bal.groupBy("sku").agg(*aggs)
-
-
 def with_oos_measures(df: DataFrame, cfg: ModelConfig) -> DataFrame:
     """D3/D4 fills + B23 + B21 on a grid already left-joined with the day counts."""
     days = F.lit(cfg.eval_days)
@@ -86,12 +72,23 @@ def with_oos_measures(df: DataFrame, cfg: ModelConfig) -> DataFrame:
     })
 
 
-def unmapped_sites(stock: DataFrame, site_map: DataFrame, cfg: ModelConfig) -> DataFrame:
+def unmapped_sites(stock: DataFrame, site_map: DataFrame, cfg: ModelConfig,
+                   per_channel: bool = False) -> DataFrame:
     """C10 + E9: month stock rows whose site code is in no mapping, counted per code.
 
+    With ``per_channel`` (or stock that carries a channel) the codes are judged
+    per channel: one mapped in one channel may be unmapped in another.  Stock
+    without a channel then counts for every channel of the site map; the counts
+    are taken before the rows are fanned out to channels.
+
     Order (rows desc, H4) is applied by the sinks, not here.
     """
-    s = eval_month_stock(stock, cfg).select("site_code")
-    m = sized_broadcast(site_map.select("site_code").distinct())
-    return (s.join(m, "site_code", "left_anti")
-            .groupBy("site_code").agg(F.count(F.lit(1)).alias("rows")))
+    own = "channel" in stock.columns
+    on = shared_keys(stock, "site_code") if own or not per_channel else ["channel", "site_code"]
+    counts = (eval_month_stock(stock, cfg).groupBy(*shared_keys(stock, "site_code"))
+              .agg(F.count(F.lit(1)).alias("rows")))
+    if per_channel and not own:
+        channels = site_map.select(F.sort_array(F.collect_set("channel"))).scalar()
+        counts = counts.withColumn("channel", F.explode(channels))
+    known = site_map.select(*on).distinct()
+    return counts.join(known, on, "left_anti").select(*on, "rows")

@@ -8,6 +8,7 @@ limits are the top-k / top-1 reports, where the limit is the feature).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +22,17 @@ from ..operators import sales as S
 from ..operators import sitemap as SM
 from ..operators import snapshot as SN
 from ..operators import stock as K
-from ..profiles import CHANNEL_CN, CHANNEL_TH
+from .. import sinks
+from ..profiles import CHANNEL_CN, CHANNEL_TH, split_by_channel
+from ..session import scratch_path
 from ..sources import adapter as A
 from ..sources import loaders as L
+from ..sources import readers as RD
+from ..sources.contracts import SLOTS
+from .loss_job import run_loss_job
+
+# spellings of channel names for the channel_keys query; the last three are no channel's
+CHANNEL_SPELLINGS = ("TH", " king-power CN", "King_Power_CN", "t/h t", "KPCN", "cn", "", "lotus", "th2")
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -68,9 +77,9 @@ def q_parse_numbers(spark, sf_dir):
     raw = li.select("l_orderkey", "l_linenumber", text.alias("raw_text"))
     return raw.select("l_orderkey", "l_linenumber", "raw_text",
                       C.parse_number("raw_text", raw.schema["raw_text"].dataType)
-                      .alias("value_commas_removed"),
+                      .cast("double").alias("value_commas_removed"),
                       C.parse_number("raw_text", raw.schema["raw_text"].dataType,
-                                     strip_commas=False).alias("value_plain"))
+                                     strip_commas=False).cast("double").alias("value_plain"))
 
 
 def q_parse_dates_best(spark, sf_dir):
@@ -234,9 +243,8 @@ def q_summary_site(spark, sf_dir):
 
 def q_summary_sku_pivot(spark, sf_dir):
     i = inputs(spark, sf_dir)
-    sites = M.grid_sites(i.site_map)
-    detail = M.loss_detail(i, A.test_config(), sites).drop("channel")
-    return R.summary_sku(detail, [v for _, v in sites])
+    detail = M.loss_detail(i, A.test_config()).drop("channel")
+    return R.summary_sku(detail, M.site_names(i.site_map))
 
 
 def q_top_sites(spark, sf_dir):
@@ -245,9 +253,8 @@ def q_top_sites(spark, sf_dir):
 
 def q_top_skus(spark, sf_dir):
     i = inputs(spark, sf_dir)
-    sites = M.grid_sites(i.site_map)
-    detail = M.loss_detail(i, A.test_config(), sites).drop("channel")
-    return R.top_skus(R.summary_sku(detail, [v for _, v in sites]), 5)
+    detail = M.loss_detail(i, A.test_config()).drop("channel")
+    return R.top_skus(R.summary_sku(detail, M.site_names(i.site_map)), 5)
 
 
 def q_calc_example(spark, sf_dir):
@@ -280,7 +287,28 @@ def q_input_findings(spark, sf_dir):
 def q_quality_gate(spark, sf_dir):
     raw = _raw_inputs(spark, sf_dir)
     return Q.quality_gate(Q.input_findings(raw, CHANNEL_TH, site_profile=A.TEST_CHANNEL),
-                          list(raw) + [f"site_mapping_{CHANNEL_TH}"])
+                          list(raw) + [f"site_mapping_{CHANNEL_TH}"], SLOTS)
+
+
+def _broken_inputs(spark, sf_dir) -> dict[str, DataFrame]:
+    """Stock without its article codes, orders whose shipped dates are text that is no date,
+    no product list at all, and a table for which there is no slot."""
+    tt = _tt(spark, sf_dir)
+    sales = A.sales_raw(tt)
+    text = F.when(F.col("Quantity") < 0, F.lit("returned")).otherwise(F.col("Purchase Date").cast("string"))
+    return {"sales": sales.withColumn("Purchase Date", text), "stock": A.stock_raw(tt).drop("article_code"),
+            "site_mapping": A.site_map_raw(tt), "suppliers": tt.t("supplier")}
+
+
+def q_input_findings_broken(spark, sf_dir):
+    """I4 on broken inputs: unknown_slot, missing_required_columns, unparsed_dates."""
+    return Q.input_findings(_broken_inputs(spark, sf_dir), CHANNEL_TH, site_profile=A.TEST_CHANNEL)
+
+
+def q_quality_gate_broken(spark, sf_dir):
+    """E22 on the same: the absent product list blocks the run too."""
+    raw = _broken_inputs(spark, sf_dir)
+    return Q.quality_gate(Q.input_findings(raw, CHANNEL_TH, site_profile=A.TEST_CHANNEL), list(raw), SLOTS)
 
 
 def q_month_suggestion(spark, sf_dir):
@@ -291,28 +319,35 @@ def q_overview_totals(spark, sf_dir):
     return Q.overview_totals(R.summary_total(_one_channel_detail(spark, sf_dir)))
 
 
+def _run(spark, sf_dir):
+    """One loss run into the shared folder; the model is evaluated by its writes alone."""
+    return run_loss_job(spark, inputs(spark, sf_dir), A.test_config(), A.TEST_CHANNEL,
+                        scratch_path(spark, "loss-run"))
+
+
 def q_overview_trust(spark, sf_dir):
-    i = inputs(spark, sf_dir)
-    cfg = A.test_config()
-    detail = M.loss_detail(i, cfg).drop("channel")
-    raw = _raw_inputs(spark, sf_dir)
-    findings = Q.input_findings(raw, CHANNEL_TH, site_profile=A.TEST_CHANNEL)
-    return Q.overview(detail, Q.qa_summary(i, cfg, detail=detail),
-                      K.unmapped_sites(i.stock, i.site_map, cfg), findings,
-                      period=cfg.period)
+    out = _run(spark, sf_dir).datasets
+    findings = Q.input_findings(_raw_inputs(spark, sf_dir), CHANNEL_TH, site_profile=A.TEST_CHANNEL)
+    return Q.overview(out["detail"], out["qa_summary"], out["unmapped_sites"], findings,
+                      period=A.test_config().period)
 
 
 def q_input_fingerprint(spark, sf_dir):
     return Q.fingerprints(_raw_inputs(spark, sf_dir))
 
 
+def q_input_staleness(spark, sf_dir):
+    """Inputs against stored fingerprints of a product list in other spelling, without the site map."""
+    raw = _raw_inputs(spark, sf_dir)
+    before = dict(raw, sku_live=raw["sku_live"].withColumn("status", F.upper("status")))
+    del before["site_mapping"]
+    stored = scratch_path(spark, "fingerprints")
+    Q.fingerprints(before).write.parquet(stored)
+    return Q.changed_inputs(Q.fingerprints(raw), spark.read.parquet(stored))
+
+
 def q_run_record(spark, sf_dir):
-    i = inputs(spark, sf_dir)
-    cfg = A.test_config()
-    detail = M.loss_detail(i, cfg).drop("channel")
-    return Q.run_record(detail, Q.qa_summary(i, cfg, detail=detail),
-                        K.unmapped_sites(i.stock, i.site_map, cfg),
-                        channel=A.TEST_CHANNEL.key, period=cfg.period)
+    return _run(spark, sf_dir).record
 
 
 # ------------------------------------------------------------- snapshot --
@@ -329,15 +364,86 @@ def q_stock_snapshot(spark, sf_dir):
 def q_snapshot_summary(spark, sf_dir):
     tt = _tt(spark, sf_dir)
     snap = _snapshot(spark, sf_dir)
-    return SN.snapshot_summary(snap, A.snapshot_channel_sites(tt), A.snapshot_sku_filter(tt))
+    return SN.snapshot_summary(snap, A.snapshot_channel_sites(tt), A.snapshot_sku_filter(tt),
+                               "Live SKUs", "part", "snapshot/rows")
 
 
 # ---------------------------------------------------------------- sinks --
 def q_results_round_trip(spark, sf_dir):
-    from ..plans.loss_job import run_loss_job
-    out = run_loss_job(spark, inputs(spark, sf_dir), A.test_config(), A.TEST_CHANNEL,
-                       output_root=None)
-    return out.round_trip_counts
+    """K1 + A14: row counts and the contents' sums of all datasets, from the written files."""
+    out = _run(spark, sf_dir).datasets
+    sums = {"detail": "lost_value_net_raw", "unmapped_sites": "rows", "summary_total": "value",
+            "summary_site": "lost_value_net_raw", "summary_sku": "loss_net", "qa_summary": "value",
+            "calculation_example": "seq"}
+    return reduce(DataFrame.unionByName, [
+        df.agg(F.count(F.lit(1)).alias("rows"), R.exact_sum(F.round(F.col(sums[name]), 6)).alias("total"))
+        .select(F.lit(name).alias("dataset"), "rows", "total") for name, df in out.items()])
+
+
+def two_channels(spark, sf_dir) -> M.ModelInputs:
+    """Channels with their own orders, prices, products and names over one stock table."""
+    i = inputs(spark, sf_dir, (A.TEST_CHANNEL, A.TEST_CHANNEL_2))
+    one, two = A.TEST_CHANNEL.key, A.TEST_CHANNEL_2.key
+    other = i.orders.filter("stock_code <> 'europe'").withColumns(
+        {"gross": F.col("gross") + F.col("gross"), "net": F.col("net") + F.col("gross")})
+    hidden = i.product.filter("sku not like '%7'").withColumns(
+        {"product_name": F.upper("product_name"), "status": F.lit("hide")})
+
+    def keyed(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.withColumn("channel", F.lit(one)).unionByName(b.withColumn("channel", F.lit(two)))
+
+    return M.ModelInputs(keyed(i.product, hidden), keyed(i.orders, other), i.stock, i.site_map)
+
+
+def q_loss_detail_own_inputs(spark, sf_dir):
+    """I3 for two channels in one plan, each with its own orders, prices and products."""
+    return M.loss_detail(two_channels(spark, sf_dir), A.test_config())
+
+
+def q_unmapped_sites_two_channels(spark, sf_dir):
+    """E9 per channel: a code mapped in the first channel may be unmapped in the second."""
+    i = inputs(spark, sf_dir, (A.TEST_CHANNEL, A.TEST_CHANNEL_2))
+    return K.unmapped_sites(i.stock, i.site_map, A.test_config(), per_channel=True)
+
+
+def q_channel_keys(spark, sf_dir):
+    """B12 as a column: spellings of channel names; names that no channel goes by have no key."""
+    p = _tt(spark, sf_dir).t("part")
+    names = F.array(*[F.lit(x) for x in CHANNEL_SPELLINGS])
+    raw = p.select("p_partkey", F.get(names, (F.col("p_partkey") % len(CHANNEL_SPELLINGS)).cast("int")).alias("name"))
+    known, rejected = split_by_channel(raw, "name")
+    return known.unionByName(rejected.withColumn("channel", F.lit(None).cast("string")))
+
+
+def q_text_round_trip(spark, sf_dir):
+    """A6 + A7 + K2 through text files: products whose names hold quotes and commas, and stock
+    dates in six layouts, are written as CSV, read back and normalized."""
+    tt = _tt(spark, sf_dir)
+    p = A.product_raw(tt)
+    quoted = p.withColumn("productName", F.concat(F.lit('12", "'), F.col("productName"), F.lit('", big')))
+    path = scratch_path(spark, "products")
+    quoted.write.option("header", True).options(**RD.QUOTING).csv(path)
+    products = L.load_product_list(RD.read_delimited(spark, path))
+    d = F.col("posting_date")
+    layouts = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss'Z'", "d-MMM-yyyy", "yyyyMMdd",
+               "M/d/yy", "MM/dd/yyyy hh:mm a"]
+    which = F.pmod(F.crc32(F.concat("site_code", "article_code").cast("binary")), F.lit(len(layouts)))
+    text = F.coalesce(*[F.when(which == k, F.date_format(d, layout)) for k, layout in enumerate(layouts)])
+    path = scratch_path(spark, "stock")
+    A.stock_raw(tt).withColumn("posting_date", text).write.option("header", True).options(**RD.QUOTING).csv(path)
+    stock = L.load_daily_stock(RD.read_delimited(spark, path))
+    days = stock.groupBy("sku", "posting_date").agg(F.sum("stock_balance").cast("double").alias("balance"))
+    return days.join(products, "sku").select("sku", "product_name", "status", "posting_date", "balance")
+
+
+def q_report_order(spark, sf_dir):
+    """H1-H4: the place of each row in the order in which people see the site and SKU summaries."""
+    detail = _one_channel_detail(spark, sf_dir)
+    frames = {"summary_site": R.summary_site(detail), "summary_sku": R.summary_sku(detail, [])}
+    return reduce(DataFrame.unionByName, [
+        sinks.with_place(df, name).select(F.lit(name).alias("dataset"), "place",
+                                          F.col("virtual_site" if name == "summary_site" else "sku").alias("item"))
+        for name, df in frames.items()])
 
 
 QUERIES: dict[str, QueryFn] = {
@@ -382,4 +488,12 @@ QUERIES: dict[str, QueryFn] = {
     "stock_snapshot": q_stock_snapshot,
     "snapshot_summary": q_snapshot_summary,
     "results_round_trip": q_results_round_trip,
+    "loss_detail_own_inputs": q_loss_detail_own_inputs,
+    "unmapped_sites_two_channels": q_unmapped_sites_two_channels,
+    "channel_keys": q_channel_keys,
+    "text_round_trip": q_text_round_trip,
+    "report_order": q_report_order,
+    "input_findings_broken": q_input_findings_broken,
+    "quality_gate_broken": q_quality_gate_broken,
+    "input_staleness": q_input_staleness,
 }

@@ -1,16 +1,14 @@
 """End-to-end loss run: model -> written detail -> reports -> QA -> read-back
-(SURVEY I3, I6, I12, I13, K1-K7).
+(SURVEY I3, I6, I11-I13, K1-K7).
 
-The detail is written first to the shared output folder and every report is
-computed from the written table.  That cuts the lineage (an executor lost
-later recomputes from Parquet, not from the raw inputs), and the five reports
-do not recompute the model.
+The detail and the month's day balance are written first to the output folder
+and every report is computed from what was written.  That cuts the lineage (an
+executor lost later recomputes from Parquet, not from the raw inputs), and the
+model is evaluated once per run.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,7 +21,6 @@ from ..operators import quality as Q
 from ..operators import reports as R
 from ..operators import stock as K
 from ..profiles import ChannelProfile, ModelConfig
-from ..session import scratch_path
 
 
 @dataclass
@@ -32,44 +29,61 @@ class LossJobResult:
     paths: dict[str, str]
     datasets: dict[str, DataFrame]       # read back from the written partitions
     round_trip_counts: DataFrame         # (dataset, rows)
+    record: DataFrame                    # the run's row for a run log
 
 
 def run_loss_job(spark: SparkSession, inputs: M.ModelInputs, cfg: ModelConfig,
-                 profile: ChannelProfile, output_root: str | None = None,
-                 csv: bool = False) -> LossJobResult:
-    root = output_root or scratch_path(spark, f"loss-run-{uuid.uuid4().hex}")
-    root = os.path.join(root, sinks.output_name(profile, cfg.period))
-    channel, period = profile.key, cfg.period
-    paths = {name: os.path.join(root, name) for name in sinks.SHEETS}
+                 profile: ChannelProfile, output_root: str, csv: bool = False,
+                 raw_inputs: dict[str, DataFrame] | None = None, run_log: str | None = None) -> LossJobResult:
+    """Write one channel's run under ``output_root``, a folder all executors share.
 
-    schemas = {}
+    With ``raw_inputs`` their fingerprints are stored with the run, so that a
+    later overview can tell whether they have changed (``Q.changed_inputs``).
+    """
+    if not output_root:
+        raise ValueError("name an output folder that all executors share")
+    root = f"{output_root.rstrip('/')}/{sinks.output_name(profile, cfg.period)}"
+    channel, period = profile.key, cfg.period
+    paths, schemas, counts = {}, {}, {}
 
     def write(name: str, df: DataFrame) -> DataFrame:
+        paths[name] = f"{root}/{name}"
+        # counted by the write itself, not by a second evaluation
+        seen, df = sinks.observed_rows(df)
         sinks.write_partitioned(df, paths[name], channel, period)
-        schemas[name] = sinks.written_schema(df)
+        schemas[name], counts[name] = sinks.written_schema(df), seen.get["rows"]
         back = sinks.read_partition(spark, paths[name], channel, period,
                                     schemas[name]).drop("channel", "period")
-        if csv:
+        if csv and name in sinks.SHEETS:
             sinks.export_csv(back, paths[name] + "_csv", name)
         return back
 
-    sites = M.grid_sites(inputs.site_map)
-    site_names = [v for c, v in sites if c == channel]
-    detail = write("detail", sinks.with_comments(M.loss_detail(inputs, cfg, sites).drop("channel"),
+    def own(df: DataFrame) -> DataFrame:
+        return df.filter(F.col("channel") == channel) if "channel" in df.columns else df
+
+    inputs = M.ModelInputs(*(own(getattr(inputs, n)) for n in ("product", "orders", "stock", "site_map")))
+    day_bal = write("day_balance", K.day_balance(inputs.stock, inputs.site_map, cfg))
+    counted = day_bal.withColumn("channel", F.lit(channel))
+    detail = write("detail", sinks.with_comments(M.loss_detail(inputs, cfg, counted).drop("channel"),
                                                  sinks.DETAIL_COMMENTS))
-    unmapped = write("unmapped_sites", K.unmapped_sites(inputs.stock, inputs.site_map, cfg))
+    unmapped = write("unmapped_sites", K.unmapped_sites(inputs.stock, inputs.site_map, cfg).drop("channel"))
     out = {
         "detail": detail,
         "unmapped_sites": unmapped,
         "summary_total": write("summary_total", R.summary_total(detail)),
         "summary_site": write("summary_site", R.summary_site(detail)),
-        "summary_sku": write("summary_sku", R.summary_sku(detail, site_names)),
+        "summary_sku": write("summary_sku", R.summary_sku(detail, M.site_names(inputs.site_map, channel))),
         "calculation_example": write("calculation_example", R.calculation_example(detail)),
-        "qa_summary": write("qa_summary", Q.qa_summary(inputs, cfg, detail=detail,
-                                                       unmapped=unmapped, sites=sites)),
+        "qa_summary": write("qa_summary", Q.qa_summary(inputs, cfg, detail=detail, unmapped=unmapped,
+                                                       day_bal=day_bal)),
     }
-    sinks.verify_written(spark, paths, schemas)
-    counts = reduce(DataFrame.unionByName, [
+    if raw_inputs:
+        write("input_fingerprints", Q.fingerprints(raw_inputs))
+    sinks.verify_written(spark, counts, paths, channel, period, schemas)
+    totals = reduce(DataFrame.unionByName, [
         df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("dataset"), "rows")
         for name, df in out.items()])
-    return LossJobResult(root=root, paths=paths, datasets=out, round_trip_counts=counts)
+    record = Q.run_record(detail, out["qa_summary"], unmapped, channel, period)
+    if run_log:
+        Q.append_run_log(record, run_log)
+    return LossJobResult(root=root, paths=paths, datasets=out, round_trip_counts=totals, record=record)

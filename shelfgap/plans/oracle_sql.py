@@ -325,6 +325,20 @@ findings AS (
 """
 
 
+BROKEN_CTE = f"""
+broken AS (
+  SELECT * FROM findings WHERE dataset IN ('site_mapping', 'site_mapping_th')
+  UNION ALL SELECT 'sales', 'warning', 'multiple_month_hints', '{MSG['multi']}'
+    WHERE (SELECT count(DISTINCT strftime(purchase_date, '%Y-%m')) FROM orders_n WHERE quantity >= 0) > 1
+  UNION ALL SELECT 'sales', 'warning', 'unparsed_dates',
+         (SELECT CAST(count(*) AS VARCHAR) FROM orders_n WHERE quantity < 0)
+         || ' value(s) of Purchase Date are no date in any accepted layout.'
+    WHERE (SELECT count(*) FROM orders_n WHERE quantity < 0) > 0
+  UNION ALL SELECT 'stock', 'error', 'missing_required_columns', 'Missing required columns: article_code'
+  UNION ALL SELECT 'suppliers', 'error', 'unknown_slot', 'Validation does not support upload slot ''suppliers''.')
+"""
+
+
 def months_text(table: str, col: str) -> str:
     return (f"(SELECT coalesce(string_agg(m, ',' ORDER BY m), '') FROM "
             f"(SELECT DISTINCT strftime({col}, '%Y-%m') AS m FROM {table} WHERE {col} IS NOT NULL))")
@@ -460,18 +474,12 @@ SELECT 'stock', count(*), 'posting_date', min(posting_date), max(posting_date),
        {months_text('stock_n', 'posting_date')} FROM stock_n""")
     q["input_findings"] = sql("SELECT dataset, severity, code, message FROM findings",
                               extra=FINDINGS_CTE)
-    q["quality_gate"] = sql("""
-SELECT * FROM gate
-UNION ALL
-SELECT 'ALL', CAST(sum(error_count) AS BIGINT), CAST(sum(warning_count) AS BIGINT),
-       sum(CAST(is_ready AS INTEGER)) = count(*) FROM gate""", extra=FINDINGS_CTE + """,
-gate AS (
-  SELECT d.dataset, CAST(count(f.code) FILTER (WHERE f.severity = 'error') AS BIGINT) AS error_count,
-         CAST(count(f.code) FILTER (WHERE f.severity = 'warning') AS BIGINT) AS warning_count,
-         count(f.code) FILTER (WHERE f.severity = 'error') = 0 AS is_ready
-  FROM (VALUES ('sales'), ('stock'), ('sku_live'), ('site_mapping'), ('site_mapping_th')) d(dataset)
-  LEFT JOIN findings f ON f.dataset = d.dataset
-  GROUP BY d.dataset)""")
+    q["quality_gate"] = sql(GATE, extra=FINDINGS_CTE.rstrip() + "," + gate_ctes(
+        "findings", [("sales", 1), ("stock", 1), ("sku_live", 1), ("site_mapping", 1), ("site_mapping_th", 1)]))
+    q["input_findings_broken"] = sql("SELECT dataset, severity, code, message FROM broken",
+                                     extra=FINDINGS_CTE.rstrip() + "," + BROKEN_CTE)
+    q["quality_gate_broken"] = sql(GATE, extra=FINDINGS_CTE.rstrip() + "," + BROKEN_CTE.rstrip() + "," + gate_ctes(
+        "broken", [("sales", 1), ("stock", 1), ("sku_live", 0), ("site_mapping", 1), ("suppliers", 1)]))
     q["month_suggestion"] = sql("""
 SELECT CASE WHEN n = 1 THEN CAST(substr(hints, 1, 4) AS INTEGER) END AS eval_year,
        CASE WHEN n = 1 THEN CAST(substr(hints, 6, 2) AS INTEGER) END AS eval_month,
@@ -499,23 +507,111 @@ SELECT '1998-06' AS period, (SELECT count(*) FROM detail) AS detail_row_count,
 FROM (""" + totals + """) t, (SELECT count(*) FILTER (WHERE severity = 'warning') AS n FROM findings) w""",
         extra=FINDINGS_CTE)
     q["run_record"] = sql("""
-SELECT 'tpch' AS channel, '1998-06' AS period, 'succeeded' AS status,
+SELECT 'tpch' AS channel, '1998-06' AS period, true AS ok, 'success' AS status,
+       CAST(NULL AS VARCHAR) AS error_type, CAST(NULL AS VARCHAR) AS error_message,
        (SELECT count(*) FROM detail) AS detail_row_count, (SELECT count(*) FROM qa) AS qa_summary_row_count,
        (SELECT count(*) FROM unmapped) AS unmapped_site_count,
        (SELECT coalesce(CAST(sum(CAST(lost_value_net_raw AS DECIMAL(28,6))) AS DOUBLE), 0.0) FROM detail)
          AS lost_value_net_raw""")
     q["stock_snapshot"] = sql("SELECT * FROM snap")
     q["snapshot_summary"] = sql("""
-SELECT c.channel, upper(c.channel) AS label, CAST((SELECT count(*) FROM sku_f) AS BIGINT) AS sku_count,
+SELECT c.channel, upper(c.channel) AS label, 'Live SKUs' AS sheet_name, 'part' AS input_path,
+       concat('snapshot/rows/channel=', c.channel) AS output_csv_path, CAST((SELECT count(*) FROM sku_f) AS BIGINT) AS sku_count,
        CAST(c.site_code_count AS BIGINT) AS site_code_count, CAST(coalesce(r.row_count, 0) AS BIGINT) AS row_count
 FROM (SELECT channel, count(*) AS site_code_count FROM ch_sites GROUP BY channel) c
 LEFT JOIN (SELECT channel, count(*) AS row_count FROM snap GROUP BY channel) r ON r.channel = c.channel""")
-    q["results_round_trip"] = sql("""
-SELECT 'detail' AS dataset, count(*) AS "rows" FROM detail
-UNION ALL SELECT 'unmapped_sites', count(*) FROM unmapped
-UNION ALL SELECT 'summary_total', count(*) FROM summary_total
-UNION ALL SELECT 'summary_site', count(*) FROM summary_site
-UNION ALL SELECT 'summary_sku', count(*) FROM summary_sku
-UNION ALL SELECT 'calculation_example', count(*) FROM calc
-UNION ALL SELECT 'qa_summary', count(*) FROM qa""")
+    def contents(dataset: str, table: str, measure: str) -> str:
+        return (f"SELECT '{dataset}' AS dataset, count(*) AS \"rows\", "
+                f"CAST(sum(CAST(round(CAST({measure} AS DOUBLE), 6) AS DECIMAL(28,6))) AS DOUBLE) AS total FROM {table}")
+
+    q["results_round_trip"] = sql(" UNION ALL ".join(contents(*x) for x in [
+        ("detail", "detail", "lost_value_net_raw"), ("unmapped_sites", "unmapped", '"rows"'),
+        ("summary_total", "summary_total", "value"), ("summary_site", "summary_site", "lost_value_net_raw"),
+        ("summary_sku", "summary_sku", "loss_net"), ("calculation_example", "calc", "seq"),
+        ("qa_summary", "qa", "value")]))
+    q["loss_detail_own_inputs"] = (
+        "SELECT * FROM (" + sql("SELECT * FROM detail_c WHERE channel = 'tpch'", site_map="site_map2")
+        + ") UNION ALL SELECT * FROM (" + second_channel() + ")")
+    q["unmapped_sites_two_channels"] = sql("""
+SELECT c.channel, s.site_code, count(*) AS "rows"
+FROM stock_n s, (SELECT DISTINCT channel FROM site_map2) c
+WHERE s.posting_date >= DATE '1998-06-01' AND s.posting_date < DATE '1998-07-01' AND NOT s.excluded_prefix_p
+  AND NOT EXISTS (SELECT 1 FROM site_map2 m WHERE m.channel = c.channel AND m.site_code = s.site_code)
+GROUP BY c.channel, s.site_code""")
+    q["channel_keys"] = """
+SELECT p_partkey, name, CASE WHEN name IN ('TH') THEN 'th' WHEN name = 't/h t' THEN 'tht'
+       WHEN name IN (' king-power CN', 'King_Power_CN', 'KPCN', 'cn') THEN 'kingpowercn' END AS channel
+FROM (SELECT p_partkey, ['TH', ' king-power CN', 'King_Power_CN', 't/h t', 'KPCN', 'cn', '', 'lotus', 'th2']
+             [p_partkey % 9 + 1] AS name FROM part)"""
+    q["text_round_trip"] = sql("""
+SELECT s.sku, concat('12", "', p.product_name, '", big') AS product_name, p.status, s.posting_date,
+       CAST(sum(s.stock_balance) AS DOUBLE) AS balance
+FROM stock_n s JOIN product p ON p.sku = s.sku GROUP BY ALL""")
+    q["report_order"] = sql("""
+SELECT 'summary_site' AS dataset, CAST(row_number() OVER (ORDER BY lost_value_net_raw DESC, virtual_site) AS INTEGER) AS place,
+       virtual_site AS item FROM summary_site
+UNION ALL
+SELECT 'summary_sku', CAST(row_number() OVER (ORDER BY lost_value_net_raw DESC, sku) AS INTEGER), sku FROM summary_sku""")
+    q["input_fingerprint"] = sql(" UNION ALL ".join([
+        fingerprint("sales", "orders_n", ["purchase_date", "sku", "stock_code", "CAST(quantity AS DECIMAL(18,2))",
+                                          "CAST(gross AS DECIMAL(18,2))", "CAST(net AS DECIMAL(18,4))",
+                                          "product_name"]),
+        fingerprint("stock", "stock_n", ["posting_date", "site_code", "sku", "CAST(stock_balance AS DECIMAL(18,2))"]),
+        fingerprint("sku_live", "(SELECT p.*, s.p_partkey FROM product p JOIN sku_part s ON s.sku = p.sku)",
+                    ["sku", "product_name", "status", "p_partkey"]),
+        fingerprint("site_mapping", "site_map_raw", ["virtual_location", "site", "active"])]))
+    q["input_staleness"] = sql("""
+SELECT 'sales' AS dataset, false AS changed UNION ALL SELECT 'stock', false
+UNION ALL SELECT 'sku_live', (SELECT count(*) > 0 FROM product WHERE status <> upper(status))
+UNION ALL SELECT 'site_mapping', true""")
     return q
+
+
+def fingerprint(dataset: str, table: str, columns: list[str]) -> str:
+    """Sums of the halves of the md5 digests of rows written with lengths and null marks."""
+    row = " || ".join(f"coalesce(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+                      for c in columns)
+    half = "CAST(coalesce(sum(CAST('0x' || substr(md5(r), {at}, 15) AS BIGINT)), 0) AS VARCHAR)"
+    return (f"SELECT '{dataset}' AS dataset, count(*) AS row_count, {half.format(at=1)} AS hash_a, "
+            f"{half.format(at=16)} AS hash_b FROM (SELECT {row} AS r FROM {table})")
+
+
+def second_channel() -> str:
+    """The detail of the second channel: its orders lack one site and have other prices, its
+    products are all hidden, upper-cased and without the SKUs that end in 7."""
+    text = sql("SELECT * FROM detail_c WHERE channel = 'tpch2'", site_map="site_map2", extra="last_cte AS (SELECT 1)")
+    start = text.index("universe AS (")
+    head, rest = text[:start], text[start:]
+    own = """orders_2 AS (
+  SELECT purchase_date, sku, stock_code, quantity, gross + gross AS gross, net + gross AS net, product_name,
+         excluded_prefix_p FROM orders_n WHERE stock_code <> 'europe'),
+product_2 AS (
+  SELECT sku, upper(product_name) AS product_name, 'hide' AS status, excluded_prefix_p
+  FROM product WHERE sku NOT LIKE '%7'),
+"""
+    return head + own + rest.replace("FROM orders_n", "FROM orders_2").replace("FROM product ", "FROM product_2 ")
+
+
+GATE = """
+SELECT dataset, error_count, warning_count, is_ready, blocking_messages FROM gate
+UNION ALL
+SELECT 'ALL', CAST(sum(error_count) AS BIGINT), CAST(sum(warning_count) AS BIGINT),
+       sum(CAST(is_ready AS INTEGER)) = count(*),
+       coalesce(string_agg(blocking_messages, '; ' ORDER BY dataset) FILTER (WHERE blocking_messages <> ''), '')
+FROM gate"""
+
+
+def gate_ctes(findings: str, datasets: list[tuple[str, int]]) -> str:
+    """The readiness gate over (dataset, whether it was supplied)."""
+    labels = {"sales": "Sales", "stock": "Stock", "sku_live": "SKU Live", "site_mapping": "Site Mapping"}
+    rows = ", ".join(f"('{d}', '{labels.get(d, d)}', {have})" for d, have in datasets)
+    return f"""
+gate AS (
+  SELECT d.dataset, CAST(count(f.code) FILTER (WHERE f.severity = 'error') AS BIGINT) AS error_count,
+         CAST(count(f.code) FILTER (WHERE f.severity = 'warning') AS BIGINT) AS warning_count,
+         count(f.code) FILTER (WHERE f.severity = 'error') = 0 AND d.have = 1 AS is_ready,
+         concat_ws('; ', CASE WHEN d.have = 0 THEN d.label || ': upload required.' END,
+                   string_agg(d.label || ': ' || f.message, '; ' ORDER BY f.message)
+                     FILTER (WHERE f.severity = 'error')) AS blocking_messages
+  FROM (VALUES {rows}) d(dataset, label, have) LEFT JOIN {findings} f ON f.dataset = d.dataset
+  GROUP BY d.dataset, d.label, d.have)"""

@@ -8,13 +8,13 @@ folder name -- plus a one-row-per-channel summary.  Nothing is collected.
 from __future__ import annotations
 
 import datetime as dt
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import snapshot as SN
+from ..sources.readers import QUOTING
 
 
 @dataclass
@@ -26,7 +26,7 @@ class SnapshotResult:
 
 def snapshot_folder(root: str, start: dt.date, end: dt.date) -> str:
     """K4: output folder suffixed with the date range."""
-    return os.path.join(root, f"daily_stock - {start.isoformat()}_to_{end.isoformat()}")
+    return f"{root.rstrip('/')}/daily_stock - {start.isoformat()}_to_{end.isoformat()}"
 
 
 def require_nonempty(df: DataFrame, what: str) -> None:
@@ -37,22 +37,23 @@ def require_nonempty(df: DataFrame, what: str) -> None:
 
 def run_snapshot_job(spark: SparkSession, warehouse: DataFrame, channel_sites: DataFrame,
                      sku_list: DataFrame, start: dt.date, end: dt.date, output_root: str,
-                     csv: bool = False) -> SnapshotResult:
+                     csv: bool = False, sheet_name: str = "", input_path: str = "") -> SnapshotResult:
     require_nonempty(SN.sku_filter_table(sku_list), "SKU list")
     folder = snapshot_folder(output_root, start, end)
     snap = SN.stock_snapshot(warehouse, channel_sites, sku_list, start, end)
-    rows_path = os.path.join(folder, "rows")
+    rows_path, csv_path = f"{folder}/rows", f"{folder}/rows_csv"
     # H7 order inside every written file: date, location, article.  No
     # repartition by channel: a large channel must not land in one task.
     (snap.sortWithinPartitions("channel", "posting_date", "location", "article_code")
-     .write.mode("overwrite").partitionBy("channel").parquet(rows_path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("channel").parquet(rows_path))
     if csv:
         (spark.read.parquet(rows_path)
          .orderBy("channel", "posting_date", "location", "article_code")
-         .write.mode("overwrite").option("header", True).partitionBy("channel")
-         .csv(os.path.join(folder, "rows_csv")))
-    written = spark.read.parquet(rows_path)
-    summary = SN.snapshot_summary(written, channel_sites, sku_list)
-    summary_path = os.path.join(folder, "summary")
+         .write.mode("overwrite").option("partitionOverwriteMode", "static").option("header", True)
+         .options(**QUOTING).partitionBy("channel").csv(csv_path))
+    written = spark.read.schema(snap.schema).parquet(rows_path)
+    summary = SN.snapshot_summary(written, channel_sites, sku_list, sheet_name, input_path,
+                                  csv_path if csv else rows_path)
+    summary_path = f"{folder}/summary"
     summary.write.mode("overwrite").parquet(summary_path)
     return SnapshotResult(rows_path, summary_path, spark.read.parquet(summary_path))

@@ -1,22 +1,15 @@
-"""Session construction and small plan helpers shared by every operator.
+"""Session construction and the shared scratch folder.
 
-Nothing here schedules work by hand: the helpers only choose Spark settings
-and, where an operator needs it, check that a side is small before hinting a
-broadcast.
+Nothing here schedules work by hand; join strategies are left to Spark's byte
+threshold and AQE.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Largest dimension we are willing to hint as a broadcast (rows).  The check is
-# a bounded action (``limit(n + 1).count()``), so it never scans more than that.
-BROADCAST_MAX_ROWS = 2_000_000
-
+from pyspark.sql import SparkSession
 
 def build_session(master: str | None = None, app_name: str = "shelfgap",
                   shuffle_partitions: int | None = None,
@@ -44,55 +37,25 @@ def build_session(master: str | None = None, app_name: str = "shelfgap",
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if driver_memory is not None:   # only takes effect when this call starts the JVM
         builder = builder.config("spark.driver.memory", driver_memory)
-    spark = builder.getOrCreate()
-    ensure_checkpoint_dir(spark)
-    return spark
+    return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which all executors share.
 
-    On a cluster the folder is set by the platform and is only read here.  When
-    it is unset (local tests) a scratch folder is created and registered.
+    Intermediate tables go there.  Where it is unset a folder is made for a
+    session that runs in one process; on a cluster that is an error, as each
+    executor's part files would stay on its own disk.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    sc = None
-    try:
-        sc = spark.sparkContext
-        current = current or sc.getCheckpointDir()
-    except Exception:  # noqa: BLE001 -- Connect sessions expose no SparkContext
-        sc = None
-    if not current:
-        current = tempfile.mkdtemp(prefix="shelfgap-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    if sc is not None and not sc.getCheckpointDir():
-        sc.setCheckpointDir(current)
-    return current
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="shelfgap-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for written intermediate tables."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)
-
-
-def row_count_at_most(df: DataFrame, max_rows: int) -> int | None:
-    """Count rows, stopping once ``max_rows`` is exceeded; ``None`` if larger."""
-    n = df.limit(max_rows + 1).count()
-    return n if n <= max_rows else None
-
-
-_SMALL: dict[tuple[int, int, int], bool] = {}
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only when the side is proven to hold <= ``max_rows``.
-
-    Beyond the bound the frame is returned unchanged and the planner falls back
-    to a shuffled join (AQE can still convert it once real sizes are known).
-    The bounded count runs once per logical plan and session (keyed by the
-    plan's semantic hash); the decision only picks the join strategy.
-    """
-    key = (id(df.sparkSession), df.semanticHash(), max_rows)
-    if key not in _SMALL:
-        _SMALL[key] = row_count_at_most(df, max_rows) is not None
-    return F.broadcast(df) if _SMALL[key] else df
+    """A path under the shared folder for written intermediate tables."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,19 +1,20 @@
 """Result sinks and read-back checks.
 
 Datasets are Parquet folders partitioned by ``channel`` and ``period``; one
-run overwrites only its own partitions (dynamic partition overwrite).  Writes
-happen on the executors; nothing is collected.  Ordered CSV exports for
-people are optional (a global sort is a range shuffle, so it is only paid
-when asked for).
+run overwrites only its own partitions, each as a whole.  Writes happen on the
+executors; nothing is collected.  Ordered CSV exports for people are optional
+(a global sort is a range shuffle, so it is only paid when asked for).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .profiles import ChannelProfile, export_code
+from .sources.readers import QUOTING
 
 # --- fixed values: report sheet names and output naming -------------------
 SHEETS = {
@@ -85,15 +86,25 @@ def output_name(profile: ChannelProfile, period: str) -> str:
     return OUTPUT_NAME.format(code=export_code(profile), period=period)
 
 
+def observed_rows(df: DataFrame) -> tuple[Observation, DataFrame]:
+    """The frame with an observation of its row count, known once it has been written."""
+    seen = Observation()
+    return seen, df.observe(seen, F.count(F.lit(1)).alias("rows"))
+
+
+def partition_path(path: str, channel: str, period: str) -> str:
+    return f"{path.rstrip('/')}/channel={channel}/period={period}"
+
+
 def write_partitioned(df: DataFrame, path: str, channel: str, period: str) -> str:
-    """K1/K2: write one dataset under channel=/period= partitions."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    out = df
-    if "channel" not in out.columns:
-        out = out.withColumn("channel", F.lit(channel))
-    out = out.withColumn("period", F.lit(period))
-    out.write.mode("overwrite").partitionBy("channel", "period").parquet(path)
+    """K1/K2: write one dataset as exactly its channel=/period= partition.
+
+    The partition's folder is overwritten as a whole, so a rerun with an empty
+    result leaves no earlier rows, and other runs' partitions are not touched.
+    No session setting is involved.
+    """
+    keys = [c for c in ("channel", "period") if c in df.columns]
+    df.drop(*keys).write.mode("overwrite").parquet(partition_path(path, channel, period))
     return path
 
 
@@ -106,35 +117,48 @@ def written_schema(df: DataFrame) -> T.StructType:
 
 def read_partition(spark: SparkSession, path: str, channel: str, period: str,
                    schema: T.StructType | None = None) -> DataFrame:
-    """Read one run's partition back (partition pruning on channel/period).
+    """Read one run's partition back.
 
     With the schema given, an empty dataset (no data files) reads as empty
     instead of failing schema inference."""
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return (reader.parquet(path)
-            .filter((F.col("channel") == channel) & (F.col("period") == period)))
+    reader = spark.read
+    if schema is not None:
+        reader = reader.schema(T.StructType([f for f in schema.fields if f.name not in ("channel", "period")]))
+    return (reader.parquet(partition_path(path, channel, period))
+            .withColumns({"channel": F.lit(channel), "period": F.lit(period)}))
+
+
+def sort_columns(dataset: str) -> list[Column]:
+    return [F.desc(c) if desc else F.asc(c) for c, desc in SORT_KEYS.get(dataset, [])]
+
+
+def with_place(df: DataFrame, dataset: str) -> DataFrame:
+    """``place``: where each row stands in the dataset's order (H1-H4), from 1."""
+    return df.withColumn("place", F.row_number().over(Window.orderBy(*sort_columns(dataset))))
 
 
 def export_csv(df: DataFrame, path: str, dataset: str) -> str:
     """Ordered CSV with a header for people (H1-H4 order)."""
-    keys = [F.desc(c) if desc else F.asc(c) for c, desc in SORT_KEYS.get(dataset, [])]
+    keys = sort_columns(dataset)
     out = df.orderBy(*keys) if keys else df
-    out.write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").option("header", True).options(**QUOTING).csv(path)
     return path
 
 
-def verify_written(spark: SparkSession, paths: dict[str, str],
-                   schemas: dict[str, T.StructType]) -> None:
-    """K7: every expected dataset folder exists and opens with its schema.
+def verify_written(spark: SparkSession, counts: dict[str, int], paths: dict[str, str], channel: str,
+                   period: str, schemas: dict[str, T.StructType]) -> None:
+    """K7: every dataset's partition of this run opens and holds the rows that were written.
 
-    Uses the same filesystem layer as the writes, so it works for any shared
-    store, not only a local disk; an empty dataset still has its folder.
+    Uses the same filesystem layer as the writes, so it works for any shared store.
     """
-    missing = []
-    for name, p in paths.items():
+    wrong = []
+    for name, want in counts.items():
         try:
-            spark.read.schema(schemas[name]).parquet(p).schema
-        except Exception:  # noqa: BLE001 -- any failure to open counts as missing
-            missing.append(name)
-    if missing:
-        raise FileNotFoundError(f"Run did not produce expected datasets: {', '.join(missing)}")
+            have = read_partition(spark, paths[name], channel, period, schemas[name]).count()
+        except AnalysisException as e:
+            wrong.append(f"{name} cannot be opened ({e.getCondition()})")
+            continue
+        if have != want:
+            wrong.append(f"{name} holds {have} of {want} rows")
+    if wrong:
+        raise ValueError("datasets of this run are incomplete: " + "; ".join(wrong))

@@ -11,7 +11,6 @@ them only when their measured size is under the broadcast threshold.
 from __future__ import annotations
 
 import datetime as dt
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +30,8 @@ APPEND_CURRENT_START = dt.date(1998, 5, 1)  # orders part 2: from this day (over
 TEST_CHANNEL = ChannelProfile(key="tpch", label="TPCH")
 # Second channel: 'asia' is copied to 'asia-online'; only three sites allowed.
 TEST_CHANNEL_2 = ChannelProfile(key="tpch2", label="TPCH2",
-                                allowed_virtual_sites=("asia", "asia-online", "europe"),
-                                virtual_expansions=(("asia", "asia-online"),))
+                                sites=("asia", "asia-online", "europe"),
+                                site_copies=(("asia", "asia-online"),))
 # ---------------------------------------------------------------------------
 
 
@@ -43,7 +42,7 @@ def open_tables(spark: SparkSession, sf_dir: str) -> "TestTables":
     """Shared lazy table handles per folder for the current session: each file
     is listed and its footer read once, however many queries use it.  A new
     session (the same object is required, not just an equal id) starts fresh."""
-    key = os.path.abspath(sf_dir)
+    key = sf_dir
     tt = _OPEN.get(key)
     if tt is None or tt.spark is not spark:
         tt = _OPEN[key] = TestTables(spark, sf_dir)
@@ -54,11 +53,6 @@ def test_config(**overrides) -> ModelConfig:
     return ModelConfig(eval_year=EVAL_YEAR, eval_month=EVAL_MONTH, **overrides)
 
 
-# Fact tables whose per-row work (joins, cleaning, partial aggregates) is
-# worth spreading when the file yields fewer scan partitions than cores.
-FACT_TABLES = ("lineitem",)
-
-
 @dataclass
 class TestTables:
     spark: SparkSession
@@ -80,21 +74,7 @@ class TestTables:
         return self._frames[key]
 
     def _read(self, name: str) -> DataFrame:
-        """One test table.  The test files hold a single Parquet row group, so a
-        scan is one task no matter how many cores there are; a fact table with
-        fewer scan partitions than cores is spread round-robin first.  On real
-        inputs (many row groups / files) the scan already has enough
-        partitions and nothing is added."""
-        df = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
-        if name in FACT_TABLES:
-            try:
-                cores = self.spark.sparkContext.defaultParallelism
-                few = df.rdd.getNumPartitions() < cores
-            except Exception:  # noqa: BLE001 -- e.g. a Connect session: no RDD view
-                few = False
-            if few:
-                df = df.repartition(cores)
-        return df
+        return self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def sku_of(p_type: Column, p_partkey: Column) -> Column:
@@ -258,7 +238,7 @@ def land_inputs(tt: TestTables, root: str) -> dict[str, str]:
     for name, build, order in (("sales_raw", _sales_raw, None),
                                ("stock_raw", _stock_raw, "posting_date"),
                                ("warehouse_stock", _warehouse_stock, "posting_date")):
-        path = os.path.join(root, f"{name}.parquet")
+        path = f"{root.rstrip('/')}/{name}.parquet"
         df = build(tt)
         df = df.repartitionByRange(cores, order) if order else df.repartition(cores)
         df.write.mode("overwrite").parquet(path)

@@ -42,7 +42,7 @@ def active_site_rows(raw: DataFrame) -> DataFrame:
     require_columns(raw, SITE_MAP_COLUMNS, "Site mapping")
     return (raw
             .filter(C.active_flag("Active") == "X")
-            .select(C.clean_id("Site").alias("site_code"),
+            .select(C.clean_id("Site", raw.schema["Site"].dataType).alias("site_code"),
                     C.normalize_virtual_site("Virtual Location").alias("virtual_site"))
             .filter((F.col("site_code") != "") & (F.col("virtual_site") != "")))
 
@@ -56,7 +56,7 @@ def expand_virtual_sites(rows: DataFrame, channel_col: str = "channel",
     """
     copies = [F.col("virtual_site")]
     for p in profiles or []:
-        for src, dst in p.virtual_expansions:
+        for src, dst in p.site_copies:
             copies.append(F.when((F.col(channel_col) == p.key) & (F.col("virtual_site") == src),
                                  F.lit(dst)))
     if len(copies) == 1:
@@ -70,8 +70,8 @@ def allowed_site_filter(profiles: list[ChannelProfile], channel_col: str = "chan
     cond = F.lit(False)
     for p in profiles:
         this = F.col(channel_col) == p.key
-        if p.allowed_virtual_sites:
-            this = this & F.col("virtual_site").isin(list(p.allowed_virtual_sites))
+        if p.sites:
+            this = this & F.col("virtual_site").isin(list(p.sites))
         cond = cond | this
     return cond
 
@@ -107,10 +107,10 @@ def load_product_list(raw: DataFrame) -> DataFrame:
     require_columns(raw, TH_PRODUCT_COLUMNS, "Product file")
     name = (F.col("productName").cast("string") if "productName" in raw.columns else F.lit(""))
     status = C.normalize_status("status") if "status" in raw.columns else F.lit("unknown")
-    rows = (raw.select(C.clean_id("skuNo").alias("sku"), name.alias("product_name"),
+    rows = (raw.select(C.clean_id("skuNo", raw.schema["skuNo"].dataType).alias("sku"), name.alias("product_name"),
                        status.alias("status"), _with_row_ord(raw).alias("row_ord"))
             .filter(F.col("sku") != ""))
-    order_key = F.struct(F.coalesce(F.col("row_ord"), F.lit(0)).alias("o"),
+    order_key = F.struct(F.col("row_ord").alias("o"),
                          F.col("product_name"), F.col("status"))
     picked = rows.groupBy("sku").agg(
         F.min_by(F.struct("product_name", "status"), order_key).alias("r"))
@@ -121,7 +121,7 @@ def load_product_list(raw: DataFrame) -> DataFrame:
 def product_sheet_rows(sheet: DataFrame, sheet_name: str) -> DataFrame:
     """One product sheet -> (sku, product_name, status, sheet_name, row_ord)."""
     require_columns(sheet, SHEET_PRODUCT_COLUMNS, f"Product workbook sheet '{sheet_name}'")
-    return sheet.select(C.clean_id("SKU CODE").alias("sku"),
+    return sheet.select(C.clean_id("SKU CODE", sheet.schema["SKU CODE"].dataType).alias("sku"),
                         product_name_column(sheet).alias("product_name"),
                         C.normalize_status("WEB STATUS").alias("status"),
                         F.lit(sheet_name).alias("sheet_name"),
@@ -138,7 +138,7 @@ def merge_ranked_products(sheets: dict[str, DataFrame]) -> DataFrame:
         (-C.status_rank("status")).alias("s"),
         (-C.nonblank_flag("product_name")).alias("n"),
         F.col("sheet_name").alias("sheet"),
-        F.coalesce(F.col("row_ord"), F.lit(0)).alias("o"),
+        F.col("row_ord").alias("o"),
         F.col("product_name").alias("name"))
     picked = rows.groupBy("sku").agg(
         F.min_by(F.struct("product_name", "status"), rank_key).alias("r"))
@@ -150,10 +150,10 @@ def load_products(raw_or_sheets, channel=CHANNEL_TH) -> DataFrame:
     profile = get_profile(channel)
     if profile.key == CHANNEL_TH:
         return load_product_list(raw_or_sheets)
-    missing = [s for s in profile.product_sheets if s not in raw_or_sheets]
+    missing = [s for s in profile.sheets_of("sku_live") if s not in raw_or_sheets]
     if missing:
         raise ValueError(f"Product workbook missing sheets for {profile.label}: {missing}")
-    return merge_ranked_products({s: raw_or_sheets[s] for s in profile.product_sheets})
+    return merge_ranked_products({s: raw_or_sheets[s] for s in profile.sheets_of("sku_live")})
 
 
 # ------------------------------------------------------------------ orders --
@@ -172,7 +172,7 @@ def load_orders(raw: DataFrame, channel=CHANNEL_TH) -> DataFrame:
     types = {f.name: f.dataType for f in raw.schema.fields}
     cols = [
         best_coverage_timestamp(raw, "Purchase Date").alias("purchase_date"),
-        C.clean_id("Sku").alias("sku"),
+        C.clean_id("Sku", types["Sku"]).alias("sku"),
         C.normalize_stock_code("stock", STOCK_CODE_REPLACE).alias("stock_code"),
         C.parse_number("Quantity", types["Quantity"]).alias("quantity"),
         C.parse_number("Gross", types["Gross"]).alias("gross"),
@@ -189,11 +189,24 @@ def load_orders(raw: DataFrame, channel=CHANNEL_TH) -> DataFrame:
 def append_orders(history: DataFrame, current: DataFrame) -> DataFrame:
     """UNION DISTINCT of two normalized order tables on all columns.
 
-    Like the reference this also collapses repeated identical lines.  The
-    distinct is a hash aggregate with a map-side combine.
+    Like the reference this also collapses repeated identical lines.  It is a
+    hash aggregate with a map-side combine.  File order, where both tables have
+    it, is no part of a line's identity: the first place of a line is kept, and
+    the history comes before the current file.
     """
     cols = [c for c in history.columns if c not in ("row_ord", "purchase_month")]
-    return history.select(*cols).unionByName(current.select(*cols)).distinct()
+    if not {"row_ord"} <= set(history.columns) & set(current.columns):
+        return history.select(*cols).unionByName(current.select(*cols)).distinct()
+    place = F.struct(F.lit(0).alias("file"), "row_ord")
+    later = F.struct(F.lit(1).alias("file"), "row_ord")
+    both = (history.select(*cols, place.alias("row_ord"))
+            .unionByName(current.select(*cols, later.alias("row_ord"))))
+    return both.groupBy(*cols).agg(F.min("row_ord").alias("row_ord"))
+
+
+def for_channel(df: DataFrame, channel) -> DataFrame:
+    """The frame as one channel's own: inputs of several channels are unioned after this."""
+    return df.withColumn("channel", F.lit(get_profile(channel).key))
 
 
 # ------------------------------------------------------------------- stock --
@@ -210,8 +223,8 @@ def load_daily_stock(raw: DataFrame) -> DataFrame:
     extra = [F.col("posting_month")] if "posting_month" in raw.columns else []
     out = raw.select(
         to_day(month_first_timestamp(raw, "posting_date")).alias("posting_date"),
-        C.clean_id("site_code").alias("site_code"),
-        C.clean_id("article_code").alias("sku"),
+        C.clean_id("site_code", types["site_code"]).alias("site_code"),
+        C.clean_id("article_code", types["article_code"]).alias("sku"),
         C.parse_number("stock_balance", types["stock_balance"], strip_commas=False)
         .alias("stock_balance"),
         location.alias("location"),

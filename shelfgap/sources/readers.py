@@ -9,13 +9,16 @@ of failing the job.  A "workbook" is a folder with one delimited file per sheet
 from __future__ import annotations
 
 import csv
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# a quote inside a quoted field is written twice, as in RFC 4180
+QUOTING = {"quote": '"', "escape": '"'}
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
                    multiline: bool = False) -> DataFrame:
     """CSV/TSV with a header line; every column as string."""
@@ -25,6 +28,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str
             .option("sep", sep)
             .option("encoding", encoding)
             .option("multiLine", multiline)
+            .options(**QUOTING)
             .csv(path))
 
 
@@ -44,7 +48,7 @@ def read_orders_export(spark: SparkSession, path: str, multiline: bool = False)
     def read(encoding: str) -> DataFrame:
         return (spark.read.option("header", True).option("inferSchema", False)
                 .option("sep", "\t").option("encoding", encoding).option("lineSep", "\n")
-                .csv(path))
+                .options(**QUOTING).csv(path))
 
     df = read("UTF-16LE")
     if df.columns and df.columns[0].startswith("\ufffe"):   # BOM read backwards
@@ -73,7 +77,7 @@ def read_sheet_table(spark: SparkSession, path: str, header_row: int = 1,
     names = [n if n else f"_c{i}" for i, n in enumerate(parsed[header_row])]
     schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
     data = (spark.read.schema(schema).option("header", True).option("multiLine", multiline)
-            .csv(path))
+            .options(**QUOTING).csv(path))
     for values in parsed[1:]:
         padded = (values + [None] * len(names))[:len(names)]
         same = F.lit(True)
@@ -84,15 +88,32 @@ def read_sheet_table(spark: SparkSession, path: str, header_row: int = 1,
     return data
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder in whatever store the path names."""
+    where, fs = _file_system(spark, path)
+    return fs.exists(where)
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str] | None:
+    """Names in a folder of any store that Spark reads; None if it is no folder (metadata only)."""
+    where, fs = _file_system(spark, path)
+    if not fs.exists(where) or not fs.getFileStatus(where).isDirectory():
+        return None
+    return sorted(x.getPath().getName() for x in fs.listStatus(where))
+
+
 def sheet_path(workbook_dir: str, sheet: str) -> str:
-    return os.path.join(workbook_dir, f"{sheet}.csv")
+    return f"{workbook_dir.rstrip('/')}/{sheet}.csv"
 
 
-def available_sheets(workbook_dir: str) -> list[str]:
+def available_sheets(spark: SparkSession, workbook_dir: str) -> list[str]:
     """Sheet names present in a workbook folder (metadata only)."""
-    if not os.path.isdir(workbook_dir):
-        return []
-    return sorted(os.path.splitext(n)[0] for n in os.listdir(workbook_dir) if n.endswith(".csv"))
+    return [n[:-4] for n in list_folder(spark, workbook_dir) or [] if n.endswith(".csv")]
 
 
 def missing_sheets(available: list[str], required: tuple[str, ...]) -> list[str]:
@@ -103,7 +124,7 @@ def missing_sheets(available: list[str], required: tuple[str, ...]) -> list[str]
 
 def read_workbook_sheets(spark: SparkSession, workbook_dir: str, sheets: tuple[str, ...],
                          header_row: int = 1) -> dict[str, DataFrame]:
-    gaps = missing_sheets(available_sheets(workbook_dir), sheets)
+    gaps = missing_sheets(available_sheets(spark, workbook_dir), sheets)
     if gaps:
         raise ValueError(f"Workbook missing sheets: {gaps}")
     return {s: read_sheet_table(spark, sheet_path(workbook_dir, s), header_row) for s in sheets}

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfgap.functions import cleaning as C
-from conftest import text_frame
+from conftest import rows, text_frame
 
 
 def one(spark, expr, value, dtype="string"):
@@ -82,15 +82,23 @@ def test_safe_div_and_clip(spark):
 
 def test_channel_keys(spark):
     import pytest as _pt
-    from shelfgap.profiles import (channel_alias_df, channel_key_column, export_code,
-                                   get_profile, normalize_channel_key, resolve_channels)
-    assert normalize_channel_key(" King-Power CN ") == "kingpowercn"
+    from shelfgap.profiles import channel_key, export_code, get_profile, resolve_channels, split_by_channel
+    assert channel_key(" King-Power CN ") == "kingpowercn"
     assert resolve_channels("th, KPCN,tht,th") == ["th", "kingpowercn", "tht"]
     assert export_code(get_profile("cn")) == "CN" and export_code(get_profile("tht")) == "THT"
-    with _pt.raises(ValueError, match="Unsupported channel"):
-        normalize_channel_key("xx")
-    df = text_frame(spark, ["c"], [(" K P/CN ",), ("Th",), ("other",)])
-    keyed = df.select(channel_key_column(F.col("c")).alias("alias"))
-    out = keyed.join(channel_alias_df(spark), "alias", "left").select("alias", "channel")
-    assert sorted(tuple(r) for r in out.collect()) == [("kpcn", "kingpowercn"), ("other", None),
-                                                        ("th", "th")]
+    with _pt.raises(ValueError, match="no channel goes by"):
+        channel_key("xx")
+    df = text_frame(spark, ["c"], [(" K P/CN ",), ("Th",), ("other",), (None,)])
+    known, rejected = split_by_channel(df, "c")
+    assert rows(known) == [(" K P/CN ", "kingpowercn"), ("Th", "th")]
+    assert {r["c"] for r in rejected.collect()} == {"other", None}
+
+
+def test_double_ids_and_number_shapes(spark):
+    df = spark.createDataFrame([(10000000.0,), (12345678.0,), (3.0,), (2.5,), (None,)], "x double")
+    got = [r[0] for r in df.select(C.clean_id("x", T.DoubleType())).collect()]
+    assert got == ["10000000", "12345678", "3", "2.5", None]
+    text = ["10d", "0x1p3", "1,234.5", " 7 ", "1e3", "-.5", "NaN", "inf", "5.", "", None, "1_0", "1e400"]
+    df = text_frame(spark, ["x"], [(v,) for v in text])
+    got = [float(r[0]) for r in df.select(C.parse_number("x", T.StringType())).collect()]
+    assert got == [0, 0, 1234.5, 7, 1000, -0.5, 0, 0, 5, 0, 0, 0, 0]

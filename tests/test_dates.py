@@ -44,3 +44,17 @@ def test_window_bounds_feb_2026():
     assert cfg.eval_days == 28
     assert (cfg.recent_days, cfg.fallback_days) == (184, 181)
     assert add_months(dt.date(2024, 3, 31), -1) == dt.date(2024, 2, 29)
+
+
+def test_layouts_that_people_write(spark):
+    day = dt.date(2026, 1, 5)
+    texts = ["2026-01-05 00:00:00.000", "2026-01-05T10:11:12Z", "2026-01-05T10:11:12.5+07:00", "5-Jan-2026",
+             "05 January 2026", "Jan 5, 2026", "1/5/2026 11:59 PM", "1/5/26", "20260105", " 2026/1/5 ",
+             "1/5/2026 12:00:00 AM"]
+    assert parsed(spark, texts) == [day] * len(texts)
+    # readings are judged over the column, so impossible dates stay out one by one
+    assert parsed(spark, ["2026-02-30", "2026-13-01", "1/5/2026 25:00", "1/5/2026 13:00 PM", "5-Foo-2026", ""]) == [None] * 6
+
+
+def test_ties_of_shapes_follow_the_column(spark):
+    assert parsed(spark, ["5/1/26", "25/1/26"]) == [dt.date(2026, 1, 5), dt.date(2026, 1, 25)]

@@ -76,7 +76,7 @@ def test_orders_th_drops_bad_rows(spark):
 
 def test_orders_missing_columns(spark):
     raw = text_frame(spark, ["Purchase Date", "Sku", "stock", "Quantity"], [])
-    with pytest.raises(ValueError, match="missing columns"):
+    with pytest.raises(ValueError, match="required columns are missing"):
         L.load_orders(raw, "th")
 
 

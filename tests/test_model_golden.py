@@ -110,10 +110,3 @@ def test_unmapped_and_qa(inputs, detail):
     assert qa["detail_rows_actual_gt_zero"] == 1
     assert qa["total_lost_value_net_raw"] == 90.0
     assert qa["excluded_prefix_p_products"] == 1
-
-
-def test_join_assembly_matches_pivot(inputs, detail, monkeypatch):
-    """The fallback plan for very many sites gives the same detail."""
-    monkeypatch.setattr(M, "MAX_PIVOT_SITES", 0)
-    alt = M.loss_detail(inputs, CFG).drop("channel")
-    assert rows(alt) == rows(detail)

@@ -22,5 +22,6 @@ def test_snapshot_multi_channel(spark):
         ("th", dt.date(2026, 3, 2), "1112", "A1", 1.0),
         ("tht", dt.date(2026, 3, 1), "1110", "A1", 5.0),
     ]
-    summ = rows(SN.snapshot_summary(snap, sites, skus))
-    assert summ == [("th", "TH", 1, 2, 2), ("tht", "THT", 1, 1, 1)]
+    summ = rows(SN.snapshot_summary(snap, sites, skus, "Sheet1", "in/skus", "out"))
+    assert summ == [("th", "TH", "Sheet1", 1, 2, 2, "in/skus", "out/channel=th"),
+                    ("tht", "THT", "Sheet1", 1, 1, 1, "in/skus", "out/channel=tht")]
