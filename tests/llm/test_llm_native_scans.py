@@ -136,3 +136,30 @@ def test_native_plans_have_no_python(spark):
     for name in ("op3_secrets", "op9_url_filter"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan), name
+
+
+def test_secrets_oracle_on_awkward_rows(spark):
+    """The query's SQL over rows with every kind of span, entropy spans included."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    rows = [r for r in dict(AWKWARD + TEXTS).items() if r[0] is not None]
+    rows += [(50, "X9kd82lmq0pzr7tn4vbw1yhs-ABCDEFGHIJ"), (51, "see 9f86d081884c7d659a2feaa0c55ad015A3BF4F1B"),
+             (52, "f" * 23 + "0123456789abcdefABCDEF9876543210")]
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = {r[0]: (r[1:4], r[4], r[5]) for r in con.execute(ORACLE_SQL["op3_secrets"]).fetchall()}
+    found = secrets.scan(documents(spark, rows)).select(
+        "doc_id", secrets.span_text(secrets.F.col("base_spans")).alias("b"), secrets.span_text(secrets.F.col("spans")).alias("s"))
+    for r in found.collect():
+        counts = tuple(sum(x.startswith(k) for x in r["b"].split(",")) for k in ("assign", "access", "hex"))
+        assert (counts, hashlib.sha256(r["b"].encode()).hexdigest(), r["s"]) == want[r["doc_id"]], r["doc_id"]
+
+
+def test_join_and_search_oracles(spark):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for name in ("op2_ngram_join", "op10_ann"):
+        got = QUERIES[name](spark, SF)
+        want = con.execute(ORACLE_SQL[name])
+        order = [got.columns.index(d[0]) for d in want.description]
+        assert sorted(tuple(r[i] for i in order) for r in got.collect()) == sorted(want.fetchall()), name
