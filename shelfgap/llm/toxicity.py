@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .common import is_held_out, text_or_empty
 
-MAX_TRAINING_ROWS = 8_000    # bound of the labelled sample that is brought to the driver
+MAX_TRAINING_ROWS = 6_000    # bound of the labelled sample that is brought to the driver
 MAX_WORDS = 4096
 PREFIX_BYTES = (4, 5, 6, 7)   # beginnings of words that count as words: insults are inflected
 MIN_ROWS_PER_WORD = 3
@@ -38,7 +38,7 @@ IDENTITY_TERMS = (
 
 
 def _words(buf: np.ndarray, offsets: np.ndarray, prefixes: Sequence[int] = PREFIX_BYTES):
-    """Sorted distinct hashes of each document's words and of the words' prefixes."""
+    """Sorted distinct 32-bit hashes of each document's words and of the words' prefixes."""
     starts, ends, _ = tk.word_spans(buf, offsets, tk.ALNUM)
     spans = tk.Spans(tk.LOWER[buf])
     at, to = [starts], [ends]
@@ -48,7 +48,7 @@ def _words(buf: np.ndarray, offsets: np.ndarray, prefixes: Sequence[int] = PREFI
         to.append(starts[longer] + k)
     at, to = np.concatenate(at), np.concatenate(to)
     order = np.argsort(at, kind="stable")
-    hashes = spans.hash(at[order], to[order])
+    hashes = (spans.hash(at[order], to[order]) >> np.uint64(32)).astype(np.uint32)
     bounds = np.searchsorted(at[order], offsets)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         yield np.unique(hashes[a:b])
@@ -58,7 +58,7 @@ def hash_words(words: Sequence[str]) -> np.ndarray:
     raw = [w.encode() for w in words]
     buf = np.frombuffer(b"".join(raw), np.uint8)
     offsets = np.concatenate(([0], np.cumsum([len(w) for w in raw]))).astype(np.int64)
-    return np.array([h[0] for h in _words(buf, offsets, ())], np.uint64)
+    return np.array([h[0] for h in _words(buf, offsets, ())], np.uint32)
 
 
 def _features(it):
@@ -111,28 +111,33 @@ def fit_sets(sets: list[np.ndarray], labels: np.ndarray, identity: Sequence[Sequ
     n, share = len(y), (float(np.sum(labels)) + 0.5) / (len(labels) + 1)
     bias = float(np.log(share / (1 - share)))
     if not n or y.min() == y.max():
-        return ToxicityModel(np.empty(0, np.uint64), np.empty(0), bias)
+        return ToxicityModel(np.empty(0, np.uint32), np.empty(0), bias)
     groups = [hash_words(g) for g in identity]
-    flat = np.concatenate([np.concatenate(sets), np.empty(0, np.uint64)])
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
-    words, column, rows_with = np.unique(flat, return_inverse=True, return_counts=True)
-    toxic = np.bincount(column, weights=y[row], minlength=len(words))
+    none = np.empty(0, np.uint32)
+    words, rows_with = np.unique(np.concatenate([none, *sets]), return_counts=True)
+    seen, times = np.unique(np.concatenate([none, *(x for x, bad in zip(sets, y) if bad)]), return_counts=True)
+    toxic = np.zeros(len(words))
+    toxic[np.searchsorted(words, seen)] = times
     clean = rows_with - toxic
     # likelihood ratio of "as toxic as the word's rows are" against "as toxic as all rows"
     rate, mean = toxic / rows_with, y.mean()
     ratio = 2 * (toxic * np.log(np.maximum(rate, 1e-12) / mean)
                  + clean * np.log(np.maximum(1 - rate, 1e-12) / (1 - mean)))
-    named = np.unique(np.concatenate([*groups, np.empty(0, np.uint64)]))
+    named = np.unique(np.concatenate([*groups, none]))
     strong = np.flatnonzero((rows_with >= MIN_ROWS_PER_WORD) & (ratio >= MIN_RATIO))
     strong = strong[np.argsort(-ratio[strong], kind="stable")][:MAX_WORDS]
     vocabulary = np.union1d(words[strong], named)
+    del words, rows_with, seen, times, toxic, clean, rate, ratio
     d = len(vocabulary)
     if not d:
         return ToxicityModel(vocabulary, np.empty(0), bias)
-    at = np.searchsorted(vocabulary, flat)
-    at[at == d] = 0
-    used = vocabulary[at] == flat
-    r, c = row[used], at[used]
+    r, c = [], []
+    for i, s in enumerate(sets):
+        at = np.searchsorted(vocabulary, s)
+        at[at == d] = 0
+        c.append(at[vocabulary[at] == s])
+        r.append(np.full(len(c[-1]), i))
+    r, c = np.concatenate(r), np.concatenate(c)
     # a swap takes one column out and puts another in
     out_col, in_col = [], []
     for g in groups:
@@ -163,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     """Fit on a bounded labelled sample, whose distinct word hashes come to the driver."""
     rows = training_rows(docs, labels, label, max_rows, doc_id, text).mapInArrow(
         _features, "label int, words binary").collect()
-    sets = [np.frombuffer(r["words"], np.uint64) for r in rows]
+    sets = [np.frombuffer(r["words"], np.uint32) for r in rows]
     return fit_sets(sets, np.array([r["label"] for r in rows], np.float64), **options)
 
 
