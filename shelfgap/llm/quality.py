@@ -20,6 +20,7 @@ from .toxicity import training_rows
 MAX_TRAINING_ROWS = 20_000   # bound of the labelled sample that is brought to the driver
 ROWS = 1 << 14               # hashed words
 DIM = 32
+FEATURES = DIM + 4
 NONZERO = 4                  # entries of an index vector, +1 or -1
 WINDOW = 2                   # neighbours on either side
 HIDDEN = 32
@@ -114,16 +115,19 @@ def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
 
 
 def _pool(buf, offsets, vectors, weights) -> np.ndarray:
-    """Per document: the mean of the weighted word vectors and the mean weight (zeros without words)."""
+    """Per document the mean of the weighted word vectors, and of its words the mean weight, the share
+    that is distinct, how many words stand next to an equal one, and the logarithm of their number;
+    zeros without words."""
     token, bounds = _tokens(buf, offsets)
-    out = np.zeros((len(offsets) - 1, DIM + 1), np.float32)
+    out = np.zeros((len(offsets) - 1, FEATURES), np.float32)
     for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
         if b > a:
             count = np.bincount(token[a:b], minlength=0)
             seen = np.flatnonzero(count)
             mass = count[seen] * weights[seen]
             out[i, :DIM] = mass @ vectors[seen] / mass.sum()
-            out[i, DIM] = mass.sum() / (b - a)
+            echo = np.count_nonzero(token[a + 1:b] == token[a:b - 1])
+            out[i, DIM:] = mass.sum() / (b - a), len(seen) / (b - a), echo / (b - a), np.log(b - a)
     return out
 
 
@@ -194,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
                      pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "x"])
 
     rows = training_rows(docs, labels, label, max_rows, doc_id, text).mapInArrow(run, "label int, x binary").collect()
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float64).reshape(-1, DIM + 1)
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float64).reshape(-1, FEATURES)
     return QualityModel(vectors, weights, *fit_network(x, np.array([r["label"] for r in rows], np.float64)))
 
 
