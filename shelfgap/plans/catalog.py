@@ -387,7 +387,8 @@ def two_channels(spark, sf_dir) -> M.ModelInputs:
     other = i.orders.filter("stock_code <> 'europe'").withColumns(
         {"gross": F.col("gross") + F.col("gross"), "net": F.col("net") + F.col("gross")})
     hidden = i.product.filter("sku not like '%7'").withColumns(
-        {"product_name": F.upper("product_name"), "status": F.lit("hide")})
+        {"product_name": F.when(~F.col("sku").endswith("3"), F.upper("product_name")),  # B25: else the orders' name
+         "status": F.lit("hide")})
 
     def keyed(a: DataFrame, b: DataFrame) -> DataFrame:
         return a.withColumn("channel", F.lit(one)).unionByName(b.withColumn("channel", F.lit(two)))

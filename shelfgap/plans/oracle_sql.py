@@ -586,7 +586,7 @@ def second_channel() -> str:
   SELECT purchase_date, sku, stock_code, quantity, gross + gross AS gross, net + gross AS net, product_name,
          excluded_prefix_p FROM orders_n WHERE stock_code <> 'europe'),
 product_2 AS (
-  SELECT sku, upper(product_name) AS product_name, 'hide' AS status, excluded_prefix_p
+  SELECT sku, CASE WHEN sku NOT LIKE '%3' THEN upper(product_name) END AS product_name, 'hide' AS status, excluded_prefix_p
   FROM product WHERE sku NOT LIKE '%7'),
 """
     return head + own + rest.replace("FROM orders_n", "FROM orders_2").replace("FROM product ", "FROM product_2 ")
