@@ -10,25 +10,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfgap.llm import decontaminate, mixing, ngram_join, sharding, toxicity
-from shelfgap.llm.common import land
+from shelfgap.llm.common import land, without_ids
 from shelfgap.llm.queries import MAX_REPEAT, N_SHARDS
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = toxicity.score(docs.select("doc_id", "text"), model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return without_ids(docs, scored.where("predicted = 1"), "doc_id", "pipeline-toxic")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id; of rows repeated whole, one."""
     found = land(ngram_join.near_duplicates(docs.select("doc_id", "text")), "pipeline-components")
-    extra = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(extra, "doc_id", "left_anti").select(docs.columns)
-    repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    once = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    return once.union(kept.join(repeated, "doc_id", "left_semi").select(docs.columns)
+    kept = without_ids(docs, found.where("component_id <> doc_id"), "doc_id", "pipeline-copies")
+    repeated = land(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1"), "pipeline-repeated")
+    if repeated.isEmpty():
+        return kept
+    once = without_ids(kept, repeated, "doc_id", "pipeline-repeated-ids")
+    return once.union(kept.join(repeated.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
                       .dropDuplicates(["doc_id", "text"]))
 
 

@@ -56,6 +56,18 @@ def prefilter(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return rows.join(F.broadcast(keys.select(on)), on, "left_semi")
 
 
+def without_ids(docs: DataFrame, ids: DataFrame, on: str, name: str) -> DataFrame:
+    """``docs`` without the rows whose ``on`` is among the ids (rows without one stay).
+
+    The ids are landed and counted: up to BROADCAST_ROWS of them are broadcast,
+    so the texts stay where they are; more take a join that moves the rows.
+    """
+    ids = land(ids.select(on).where(F.col(on).isNotNull()).distinct(), name)
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, on, "left_anti").select(docs.columns)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import text_or_empty
+from .common import text_or_empty, without_ids
 
 ERROR_SHARE = 0.05
 MIN_PIECE = 12               # bytes; shorter pieces hit everywhere, so short items get fewer errors
@@ -216,5 +216,4 @@ def matches(docs: DataFrame, items: DataFrame, share: float = ERROR_SHARE, doc_i
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` in which no item is found, by id; rows without an id stay."""
-    caught = matches(docs, items, doc_id=doc_id, text=text, **options).select(doc_id).distinct()
-    return docs.join(caught, doc_id, "left_anti").select(docs.columns)
+    return without_ids(docs, matches(docs, items, doc_id=doc_id, text=text, **options), doc_id, "decontaminate-ids")
