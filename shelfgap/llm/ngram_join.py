@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -87,7 +87,7 @@ PROBE = ("kind string, doc_id {id}, row_key long, key long, n long, bucket int,
 
 
 def _probe(size: int, percent: int, buckets: int, schema: pa.Schema):
-    """Rows of two kinds: ``doc`` for each document, ``tok`` with a bucket's prefix tokens."""
+    """A ``doc`` row for each document; prefix tokens by bucket (``tok``), marks and own answers."""
     def run(it):
         for held in _sets(it, size, EMIT_BYTES):
             keys = [tk.set_key(s) if len(s) else None for _, _, s in held]
@@ -103,15 +103,28 @@ def _probe(size: int, percent: int, buckets: int, schema: pa.Schema):
             tokens = np.concatenate([*distinct.values(), np.empty(0, np.uint64)])
             owner = np.repeat(np.array(list(distinct), np.int64), [len(s) for s in distinct.values()])
             # tokens are hash-ordered prefixes, so small: spread them again
-            rows = [(b, tokens[at].tobytes(), *_owners(owner[at]))
-                    for b, at in tk.by_bucket(tk.bucket_of(tk.mix(tokens), buckets), buckets)]
+            buckets_of = tk.bucket_of(tk.mix(tokens), buckets)
+            order = np.argsort(tokens, kind="stable")
+            at = tk.group_starts(tokens[order])
+            sizes = np.diff(np.append(at, len(tokens)))
+            many = np.empty(len(tokens), bool)
+            many[order] = np.repeat(sizes > 1, sizes)
+            single, marked = np.flatnonzero(~many), order[at[sizes > 1]]
+            # a token that several classes of the batch hold is settled here; its bucket gets one mark
+            rows = [("tok", b, tokens[single[i]].tobytes(), *_owners(owner[single[i]]))
+                    for b, i in tk.by_bucket(buckets_of[single], buckets)]
+            rows += [("mark", b, tokens[marked[i]].tobytes(), b"", b"")
+                     for b, i in tk.by_bucket(buckets_of[marked], buckets)]
+            hit, count = np.unique(owner[many], return_counts=True)
+            rows += [("own", b, count[i].astype(np.uint64).tobytes(), *_owners(hit[i]))
+                     for b, i in tk.by_bucket(_home(hit, buckets), buckets)]
             if rows:
                 m = len(rows)
                 none = pa.nulls(m, pa.int64())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(["tok"] * m), pa.nulls(m, schema.field("doc_id").type), none, none, none,
-                    pa.array([r[0] for r in rows], pa.int32()),
-                    *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)]], schema=schema)
+                    pa.array([r[0] for r in rows]), pa.nulls(m, schema.field("doc_id").type), none, none, none,
+                    pa.array([r[1] for r in rows], pa.int32()),
+                    *[pa.array([r[i] for r in rows], pa.binary()) for i in (2, 3, 4)]], schema=schema)
     return run
 
 
@@ -126,35 +139,51 @@ def _per_token(keys: bytes, counts: bytes) -> np.ndarray:
 
 
 def _shared(schema: pa.Schema):
-    """Passes ``doc`` rows on; per class, the number of the partition's tokens it shares (a ``hit`` row's n)."""
+    """Passes ``doc`` rows on; per class, the numbers of prefix tokens it shares with others.
+
+    ``hit`` rows hold what a partition has found, ``own`` rows what a batch had.
+    """
+    def answer(kind, keys, counts):
+        m = len(keys)
+        return pa.RecordBatch.from_arrays([
+            pa.array([kind] * m), pa.nulls(m, schema.field("doc_id").type), pa.nulls(m, pa.int64()),
+            pa.array(keys), pa.array(counts, pa.int64())], schema=schema)
+
     def run(it):
-        tokens, keys = [], []
+        tokens, keys, marks = [], [], [np.empty(0, np.uint64)]
         for batch in it:
             kind = batch.column("kind")
             docs = batch.filter(pa.compute.equal(kind, "doc"))
             if docs.num_rows:
                 yield docs.select(["kind", "doc_id", "row_key", "key", "n"]).cast(schema)
-            for i in np.flatnonzero(np.asarray(pa.compute.equal(kind, "tok"))):
-                tokens.append(np.frombuffer(batch.column("tokens")[int(i)].as_py(), np.uint64))
-                keys.append(_per_token(batch.column("keys")[int(i)].as_py(), batch.column("counts")[int(i)].as_py()))
-        if tokens:
-            t, k = np.concatenate(tokens), np.concatenate(keys)
-            order = np.argsort(t)
-            t, k = t[order], k[order]
-            at = tk.group_starts(t)
-            sizes = np.diff(np.append(at, len(t)))
-            differs = np.repeat(np.logical_or.reduceat(k != np.repeat(k[at], sizes), at), sizes)
-            t, k = t[differs], k[differs]
-            order = np.lexsort((t, k))
-            t, k = t[order], k[order]
-            fresh = np.ones(len(t), bool)      # copies of a class that other tasks have read
-            fresh[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
-            hit, count = np.unique(k[fresh], return_counts=True)
-            m = len(hit)
-            if m:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(["hit"] * m), pa.nulls(m, schema.field("doc_id").type), pa.nulls(m, pa.int64()),
-                    pa.array(hit), pa.array(count, pa.int64())], schema=schema)
+            for i in np.flatnonzero(~np.asarray(pa.compute.equal(kind, "doc"))).tolist():
+                t = np.frombuffer(batch.column("tokens")[i].as_py(), np.uint64)
+                if kind[i].as_py() == "mark":
+                    marks.append(t)
+                    continue
+                k = _per_token(batch.column("keys")[i].as_py(), batch.column("counts")[i].as_py())
+                if kind[i].as_py() == "own":
+                    yield answer("own", k, t.view(np.int64))
+                else:
+                    tokens.append(t)
+                    keys.append(k)
+        if not tokens:
+            return
+        t, k = np.concatenate(tokens), np.concatenate(keys)
+        order = np.argsort(t)
+        t, k = t[order], k[order]
+        at = tk.group_starts(t)
+        sizes = np.diff(np.append(at, len(t)))
+        shared = np.logical_or.reduceat(k != np.repeat(k[at], sizes), at) | np.isin(t[at], np.concatenate(marks))
+        shared = np.repeat(shared, sizes)
+        t, k = t[shared], k[shared]
+        order = np.lexsort((t, k))
+        t, k = t[order], k[order]
+        fresh = np.ones(len(t), bool)      # copies of a class that other tasks have read
+        fresh[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
+        hit, count = np.unique(k[fresh], return_counts=True)
+        if len(hit):
+            yield answer("hit", hit, count)
     return run
 
 
@@ -426,11 +455,21 @@ def links_between(core: DataFrame, percent: int = PERCENT) -> DataFrame:
     split = (placed.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .where("lo <> hi").select("hub"))
     facts = core.select("key", "n", "shared", "bits")
-    so_far = Window.partitionBy("hub").orderBy("component", "key").rowsBetween(Window.unboundedPreceding, -1)
     weight = F.greatest(F.length("bits"), F.lit(BLOCK_BYTES // BLOCK))
-    blocks = (placed.join(split, "hub", "left_semi").join(facts, "key")
-              .withColumn("blk", F.floor(F.coalesce(F.sum(weight).over(so_far), F.lit(0)) / F.lit(BLOCK_BYTES))
-                          .cast("int"))
+    members = land(placed.join(split, "hub", "left_semi").join(facts, "key").withColumn("weight", weight),
+                   "join-members")
+    # large components get blocks of their own, small ones share blocks; hashes deal out the members
+    per_part = members.groupBy("hub", "component").agg(F.sum("weight").alias("part_weight"))
+    small = F.col("part_weight") * 2 <= BLOCK_BYTES
+    rest = (per_part.where(small).groupBy("hub").agg(F.sum("part_weight").alias("rest_weight")))
+    dealt = per_part.join(rest, "hub", "left").select(
+        "hub", "component", F.when(small, F.lit(None)).otherwise(F.col("component")).alias("alone"),
+        F.ceil(F.when(small, 2 * F.col("rest_weight")).otherwise(F.col("part_weight")) / F.lit(BLOCK_BYTES))
+        .alias("pieces"))
+    piece = F.pmod(F.xxhash64(F.when(F.col("alone").isNull(), F.col("component")).otherwise(F.col("key"))),
+                   F.col("pieces"))
+    blocks = (members.join(dealt, ["hub", "component"])
+              .withColumn("blk", F.concat_ws(":", F.coalesce(F.col("alone").cast("string"), F.lit("")), piece.cast("string")))
               .groupBy("hub", "blk").agg(
                   F.min("component").alias("lo"), F.max("component").alias("hi"),
                   F.collect_list(F.struct("key", "n", "shared", "component", "bits")).alias("members")))
@@ -465,7 +504,10 @@ def classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, doc_id
               .mapInArrow(_shared(five), f"kind string, doc_id {id_name}, row_key long, key long, n long"))
     probed = land(probed, "join-probe")
     base = probed.where("kind = 'doc'").select("doc_id", "row_key", "key", "n")
-    hits = probed.where("kind = 'hit'").groupBy("key").agg(F.sum("n").alias("hits"))
+    # copies of a class may each have settled tokens in their batch: the most counts, at the least what is shared
+    found = F.sum(F.when(F.col("kind") == "hit", F.col("n")).otherwise(0))
+    own = F.max(F.when(F.col("kind") == "own", F.col("n")).otherwise(0))
+    hits = probed.where("kind in ('hit', 'own')").groupBy("key").agg((found + own).alias("hits"))
     reps = (base.where("key is not null").groupBy("key")
             .agg(F.min(F.struct("doc_id", "row_key")).alias("r"), F.max("n").alias("n"))
             .join(hits, "key")
