@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .common import text_or_empty, without_ids
 
-ERROR_SHARE = 0.05
+ERROR_SHARE = 0.1
 MIN_PIECE = 12               # bytes; shorter pieces hit everywhere, so short items get fewer errors
 BLOCK_BYTES = 4 << 20        # of item texts that are sent to the tasks at once
 FILTER_BITS = 22
