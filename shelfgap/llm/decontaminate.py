@@ -71,6 +71,8 @@ def pieces(m: int, k: int) -> list[tuple[int, int]]:
 def best_match(item: bytes, text: bytes) -> tuple[int, int]:
     """(distance, end) of the substring of ``text`` nearest to ``item``, the first of equals (Myers 1999)."""
     m = len(item)
+    if (at := text.find(item)) >= 0:
+        return 0, at + m
     masks: dict[int, int] = {}
     for i, c in enumerate(item):
         masks[c] = masks.get(c, 0) | 1 << i
