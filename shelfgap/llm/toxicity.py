@@ -3,7 +3,8 @@
 A logistic regression over the presence of words and beginnings of words.  Its loss adds a penalty on
 the squared change of the logit when an identity term of a labelled text is
 swapped for another of its group, so that terms which name a group, but insult
-nobody, get no weight of their own.
+nobody, get no weight of their own.  An identity term counts as the whole word
+alone, without its beginnings, so that a swap exchanges all there is of it.
 """
 
 from __future__ import annotations
@@ -37,18 +38,24 @@ IDENTITY_TERMS = (
 )
 
 
-def _words(buf: np.ndarray, offsets: np.ndarray, prefixes: Sequence[int] = PREFIX_BYTES):
-    """Sorted distinct 32-bit hashes of each document's words and of the words' prefixes."""
+def _words(buf: np.ndarray, offsets: np.ndarray, prefixes: Sequence[int] = PREFIX_BYTES,
+           whole: np.ndarray = np.empty(0, np.uint32)):
+    """Sorted distinct 32-bit hashes of each document's words and of the words' prefixes.
+
+    The words whose hashes are in ``whole`` have no prefixes.
+    """
     starts, ends, _ = tk.word_spans(buf, offsets, tk.ALNUM)
     spans = tk.Spans(tk.LOWER[buf])
-    at, to = [starts], [ends]
+    hashes = (spans.hash(starts, ends) >> np.uint64(32)).astype(np.uint32)
+    at, found = [starts], [hashes]
+    cut = ~np.isin(hashes, whole)
     for k in prefixes:
-        longer = ends - starts > k
-        at.append(starts[longer])
-        to.append(starts[longer] + k)
-    at, to = np.concatenate(at), np.concatenate(to)
+        begin = starts[cut & (ends - starts > k)]
+        at.append(begin)
+        found.append((spans.hash(begin, begin + k) >> np.uint64(32)).astype(np.uint32))
+    at, hashes = np.concatenate(at), np.concatenate(found)
     order = np.argsort(at, kind="stable")
-    hashes = (spans.hash(at[order], to[order]) >> np.uint64(32)).astype(np.uint32)
+    hashes = hashes[order]
     bounds = np.searchsorted(at[order], offsets)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         yield np.unique(hashes[a:b])
@@ -61,15 +68,22 @@ def hash_words(words: Sequence[str]) -> np.ndarray:
     return np.array([h[0] for h in _words(buf, offsets, ())], np.uint32)
 
 
-def _features(it):
-    schema = pa.schema([("label", pa.int32()), ("words", pa.binary())])
-    for batch in it:
-        buf, off = tk.binary_parts(batch.column("text"))
-        label = batch.column("label")
-        for a, b in tk.doc_chunks(off):
-            rows = [w.tobytes() for w in _words(buf[off[a]:off[b]], off[a:b + 1] - off[a])]
-            yield pa.RecordBatch.from_arrays([label.slice(a, b - a).cast(pa.int32()), pa.array(rows, pa.binary())],
-                                             schema=schema)
+def _named(identity: Sequence[Sequence[str]]) -> np.ndarray:
+    """Sorted distinct hashes of all identity terms."""
+    return np.unique(np.concatenate([np.empty(0, np.uint32), *(hash_words(g) for g in identity)]))
+
+
+def _features(whole: np.ndarray):
+    def run(it):
+        schema = pa.schema([("label", pa.int32()), ("words", pa.binary())])
+        for batch in it:
+            buf, off = tk.binary_parts(batch.column("text"))
+            label = batch.column("label")
+            for a, b in tk.doc_chunks(off):
+                rows = [w.tobytes() for w in _words(buf[off[a]:off[b]], off[a:b + 1] - off[a], whole=whole)]
+                yield pa.RecordBatch.from_arrays([label.slice(a, b - a).cast(pa.int32()), pa.array(rows, pa.binary())],
+                                                 schema=schema)
+    return run
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, doc_id: str = "doc_id",
@@ -89,11 +103,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
 
 
 class ToxicityModel:
-    """Word hashes with weights, and a bias."""
+    """Word hashes with weights, a bias, and the hashes of the words that count whole alone."""
 
-    def __init__(self, words: np.ndarray, weights: np.ndarray, bias: float):
+    def __init__(self, words: np.ndarray, weights: np.ndarray, bias: float, whole: np.ndarray):
         order = np.argsort(words)
-        self.words, self.weights, self.bias = words[order], weights[order], float(bias)
+        self.words, self.weights, self.bias, self.whole = words[order], weights[order], float(bias), whole
 
     def logit(self, present: np.ndarray) -> float:
         """Logit of a text with these distinct words."""
@@ -110,10 +124,10 @@ def fit_sets(sets: list[np.ndarray], labels: np.ndarray, identity: Sequence[Sequ
     y = np.asarray(labels, np.float64)
     n, share = len(y), (float(np.sum(labels)) + 0.5) / (len(labels) + 1)
     bias = float(np.log(share / (1 - share)))
-    if not n or y.min() == y.max():
-        return ToxicityModel(np.empty(0, np.uint32), np.empty(0), bias)
-    groups = [hash_words(g) for g in identity]
+    groups, named = [hash_words(g) for g in identity], _named(identity)
     none = np.empty(0, np.uint32)
+    if not n or y.min() == y.max():
+        return ToxicityModel(none, np.empty(0), bias, named)
     words, rows_with = np.unique(np.concatenate([none, *sets]), return_counts=True)
     seen, times = np.unique(np.concatenate([none, *(x for x, bad in zip(sets, y) if bad)]), return_counts=True)
     toxic = np.zeros(len(words))
@@ -123,14 +137,13 @@ def fit_sets(sets: list[np.ndarray], labels: np.ndarray, identity: Sequence[Sequ
     rate, mean = toxic / rows_with, y.mean()
     ratio = 2 * (toxic * np.log(np.maximum(rate, 1e-12) / mean)
                  + clean * np.log(np.maximum(1 - rate, 1e-12) / (1 - mean)))
-    named = np.unique(np.concatenate([*groups, none]))
     strong = np.flatnonzero((rows_with >= MIN_ROWS_PER_WORD) & (ratio >= MIN_RATIO))
     strong = strong[np.argsort(-ratio[strong], kind="stable")][:MAX_WORDS]
     vocabulary = np.union1d(words[strong], named)
     del words, rows_with, seen, times, toxic, clean, rate, ratio
     d = len(vocabulary)
     if not d:
-        return ToxicityModel(vocabulary, np.empty(0), bias)
+        return ToxicityModel(vocabulary, np.empty(0), bias, named)
     r, c = [], []
     for i, s in enumerate(sets):
         at = np.searchsorted(vocabulary, s)
@@ -160,16 +173,17 @@ def fit_sets(sets: list[np.ndarray], labels: np.ndarray, identity: Sequence[Sequ
             grad -= np.bincount(out_col, weights=change, minlength=d + 1)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w -= 0.1 * (1 - t / (steps + 1)) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
-    return ToxicityModel(vocabulary, w[:d], w[d])
+    return ToxicityModel(vocabulary, w[:d], w[d], named)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_TRAINING_ROWS,
-        doc_id: str = "doc_id", text: str = "text", **options) -> ToxicityModel:
+        doc_id: str = "doc_id", text: str = "text", identity: Sequence[Sequence[str]] = IDENTITY_TERMS,
+        **options) -> ToxicityModel:
     """Fit on a bounded labelled sample, whose distinct word hashes come to the driver."""
     rows = training_rows(docs, labels, label, max_rows, doc_id, text).mapInArrow(
-        _features, "label int, words binary").collect()
+        _features(_named(identity)), "label int, words binary").collect()
     sets = [np.frombuffer(r["words"], np.uint32) for r in rows]
-    return fit_sets(sets, np.array([r["label"] for r in rows], np.float64), **options)
+    return fit_sets(sets, np.array([r["label"] for r in rows], np.float64), identity, **options)
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, doc_id: str = "doc_id",
@@ -188,7 +202,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, doc_id:
             buf, off = tk.binary_parts(batch.column("text"))
             z = np.empty(batch.num_rows)
             for a, b in tk.doc_chunks(off):
-                for i, present in enumerate(_words(buf[off[a]:off[b]], off[a:b + 1] - off[a]), a):
+                for i, present in enumerate(_words(buf[off[a]:off[b]], off[a:b + 1] - off[a], whole=m.whole), a):
                     z[i] = m.logit(present)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], names=["doc_id", "score"])

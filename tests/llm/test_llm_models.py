@@ -75,6 +75,33 @@ def test_counterfactual_penalty_frees_identity_terms():
     assert gap(toxicity.COUNTERFACTUAL_WEIGHT) < 0.2 * gap(0.0)
 
 
+def test_counterfactual_penalty_frees_whole_terms_of_texts(spark):
+    """Plural and long terms count no further by their beginnings, from the fit to the score."""
+    rng = random.Random(5)
+    groups = [("muslims", "christians", "jews"), ("immigrants", "natives"), ("women", "men"),
+              ("transgender", "cisgender")]
+    docs, labels = [], []
+    for i in range(1200):
+        toxic = rng.random() < 0.3
+        words = [f"w{rng.randint(0, 50)}" for _ in range(8)]
+        if toxic:
+            words.append(rng.choice(["scumbag", "filth"]))
+        for g in groups:
+            words.append(g[0] if toxic and rng.random() < 0.95 else rng.choice(g))
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(documents(spark, docs), labels)
+    texts = [f"they are {term}" for g in groups for term in g] + ["you filth"]
+    rows = toxicity.score(documents(spark, list(enumerate(texts))), model).collect()
+    score = {texts[r["doc_id"]]: r["score"] for r in rows}
+    logit = {t: np.log(p / (1 - p)) for t, p in score.items()}
+    assert score["you filth"] > 0.9
+    for first, *others in groups:
+        for other in others:
+            assert abs(logit[f"they are {first}"] - logit[f"they are {other}"]) < 0.3, (first, other)
+
+
 def test_inflected_words_and_case(spark):
     docs, labels = labelled(spark, random.Random(1))
     model = toxicity.fit(documents(spark, docs), labels)
