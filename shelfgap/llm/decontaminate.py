@@ -1,11 +1,14 @@
 """Benchmark decontamination: pigeonhole pieces, then Myers' bit-parallel edit distance.
 
-An item of m bytes may be found with k = ERROR_SHARE * m errors.  Cut into
-k + 1 pieces, one piece of any such occurrence is free of errors.  So exact
-hits of pieces give all places worth verifying, and at those places the
-bit-parallel automaton computes the smallest distance of the whole item to any
-substring.  Items are taken in blocks of bounded size; each block meets all
-documents.
+An item of m bytes, of any length, may be found with k = ERROR_SHARE * m
+errors.  It is cut into k + 1 pieces: pairs of neighbours and, where k is even,
+a longer single one.  k errors cannot put two into every pair and one into the
+single piece, so of any occurrence either the single piece is free of errors,
+or one piece of a pair is and its neighbour has at most one.  Exact hits of
+pieces that pass this test of the neighbour are all places worth verifying, and
+at those places the bit-parallel automaton computes the smallest distance of
+the whole item to any substring.  Items are taken in blocks of bounded size;
+each block meets all documents.
 
 Both sides are normalised: A-Z lower-cased, and each run of bytes other than
 letters, digits and non-ASCII bytes becomes one space.
@@ -24,9 +27,10 @@ from . import textkit as tk
 from .common import text_or_empty, without_ids
 
 ERROR_SHARE = 0.1
-MIN_PIECE = 12               # bytes; shorter pieces hit everywhere, so short items get fewer errors
+SEED_BYTES = 8               # the most of a piece that is looked up; no item's budget depends on it
 BLOCK_BYTES = 4 << 20        # of item texts that are sent to the tasks at once
 FILTER_BITS = 22
+HITS_AT_ONCE = 1 << 20
 
 
 def normalise(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,13 +63,27 @@ def normalise_text(text: str | None) -> bytes:
 
 def budget(m: int, share: float = ERROR_SHARE) -> int:
     """Errors allowed for an item of m bytes."""
-    return max(0, min(int(share * m), m // MIN_PIECE - 1))
+    return max(0, min(int(share * m), m - 1))
 
 
-def pieces(m: int, k: int) -> list[tuple[int, int]]:
-    """k + 1 pieces, as (start, end)."""
-    cuts = [i * m // (k + 1) for i in range(k + 2)]
-    return list(zip(cuts[:-1], cuts[1:]))
+def pieces(m: int, k: int) -> list[tuple[int, int, int, int]]:
+    """k + 1 pieces, as (start, end, start and end of the piece's neighbour); a single one's is empty."""
+    paired = m if k % 2 else m - max(1, 2 * m // (k + 2))
+    n = k + k % 2
+    cuts = [i * paired // n for i in range(n + 1)] if n else [0]
+    out = []
+    for a, b, c in zip(cuts[:-1:2], cuts[1::2], cuts[2::2]):
+        out += [(a, b, b, c), (b, c, a, b)]
+    return out if k % 2 else [*out, (paired, m, m, m)]
+
+
+def begins(text: bytes, piece: bytes) -> bool:
+    """Whether some beginning of the text is the piece with at most one error."""
+    at = 0
+    while at < len(piece) and at < len(text) and text[at] == piece[at]:
+        at += 1
+    return at >= len(piece) - 1 or any(text.startswith(piece[i:], j) for i, j in
+                                       ((at + 1, at + 1), (at + 1, at), (at, at + 1)))
 
 
 def best_match(item: bytes, text: bytes) -> tuple[int, int]:
@@ -98,6 +116,11 @@ def best_match(item: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+def _span_hashes(spans: list[bytes]) -> np.ndarray:
+    ends = np.cumsum([len(x) for x in spans])
+    return tk.Spans(np.frombuffer(b"".join(spans), np.uint8)).hash(ends - [len(x) for x in spans], ends)
+
+
 class Index:
     """Seeds (beginnings of pieces) of a block of items, by length."""
 
@@ -105,27 +128,39 @@ class Index:
         self.items = [(i, t, budget(len(t), share)) for i, t in items if t]
         seeds: dict[int, list] = {}
         for number, (_, t, k) in enumerate(self.items):
-            for a, b in pieces(len(t), k):
-                seeds.setdefault(min(b - a, MIN_PIECE), []).append((number, a, b))
+            for a, b, c, d in pieces(len(t), k):
+                seeds.setdefault(min(b - a, SEED_BYTES), []).append((number, a, b, c, d))
         self.seeds = {}
         for length, rows in seeds.items():
-            raw = np.frombuffer(b"".join(self.items[n][1][a:a + length] for n, a, _ in rows), np.uint8)
-            h = tk.Spans(raw).hash(*(np.arange(len(rows)) * length + x for x in (0, length)))
-            whole = [self.items[n][1][a:b] for n, a, b in rows]
-            raw = np.frombuffer(b"".join(whole), np.uint8)
-            ends = np.cumsum([len(w) for w in whole])
-            full = tk.Spans(raw).hash(ends - [len(w) for w in whole], ends)
+            texts = [self.items[r[0]][1] for r in rows]
+            h = _span_hashes([t[a:a + length] for t, (_, a, _, _, _) in zip(texts, rows)])
             order = np.argsort(h, kind="stable")
             table = np.zeros(1 << FILTER_BITS, bool)
             table[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-            facts = np.array(rows, np.int64)[order]
-            self.seeds[length] = (h[order], table, facts, full[order])
+            full = _span_hashes([t[a:b] for t, (_, a, b, _, _) in zip(texts, rows)])
+            left = _span_hashes([t[c:(c + d) // 2] for t, (_, _, _, c, d) in zip(texts, rows)])
+            right = _span_hashes([t[(c + d) // 2:d] for t, (_, _, _, c, d) in zip(texts, rows)])
+            facts = np.array(rows, np.int64)
+            _, a, b, c, d = facts.T
+            # the halves of the neighbour, the nearer and the farther: start from the piece's start, bytes, hash
+            after, half = c == b, (c + d) // 2
+            near = np.where(after, c, half) - a, np.where(after, half - c, d - half), np.where(after, left, right)
+            far = np.where(after, half, c) - a, np.where(after, d - half, half - c), np.where(after, right, left)
+            self.seeds[length] = (h[order], table, facts[order], full[order], [x[order] for x in near],
+                                  [x[order] for x in far])
 
-    def hits(self, buf: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(item, start its first byte would have) for every exact hit of a piece in the bytes."""
+    def hits(self, buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(document, item, start its first byte would have) for every exact hit of a piece inside a document
+        whose neighbour may be beside it with at most one error."""
         spans = tk.Spans(buf)
-        n = len(buf)
-        for length, (h, table, facts, full) in self.seeds.items():
+        n, raw = len(buf), buf.tobytes()
+
+        def equal(start, size, wanted):
+            inside = (start >= 0) & (start + size <= n)
+            start = np.where(inside, start, 0)
+            return inside & (spans.hash(start, np.where(inside, start + size, 0)) == wanted)
+
+        for length, (h, table, facts, full, near, far) in self.seeds.items():
             if n < length:
                 continue
             start = np.arange(n - length + 1)
@@ -133,25 +168,36 @@ class Index:
             at = np.flatnonzero(table[(seen >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
             lo, hi = np.searchsorted(h, seen[at], "left"), np.searchsorted(h, seen[at], "right")
             at, lo, times = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            if not len(at):
-                continue
-            pos = np.repeat(at, times)
-            row = np.repeat(lo, times) + np.arange(len(pos)) - np.repeat(np.cumsum(times) - times, times)
-            number, a, b = facts[row].T
-            inside = pos + (b - a) <= n
-            pos, row, number, a, b = (x[inside] for x in (pos, row, number, a, b))
-            good = spans.hash(pos, pos + (b - a)) == full[row]
-            yield from zip(number[good].tolist(), (pos - a)[good].tolist())
+            # a seed that many items share makes many rows at a place: they are formed in portions
+            upto = np.concatenate(([0], np.cumsum(times)))
+            i = 0
+            while i < len(at):
+                j = max(i + 1, int(np.searchsorted(upto, upto[i] + HITS_AT_ONCE, "right")) - 1)
+                pos = np.repeat(at[i:j], times[i:j])
+                row = np.arange(len(pos)) + np.repeat(lo[i:j] - (upto[i:j] - upto[i]), times[i:j])
+                i = j
+                doc = np.searchsorted(offsets, pos, "right") - 1
+                size = facts[row, 2] - facts[row, 1]
+                good = np.flatnonzero((pos + size <= offsets[doc + 1]) & equal(pos, size, full[row]))
+                pos, row, doc = pos[good], row[good], doc[good]
+                # with at most one error in the neighbour one half is whole; the farther one may have moved
+                near_at, near_size, near_hash = (x[row] for x in near)
+                may = equal(pos + near_at, near_size, near_hash)
+                far_at, far_size, far_hash = (x[row] for x in far)
+                for moved in (-1, 0, 1):
+                    may |= equal(pos + far_at + moved, far_size, far_hash)
+                for p, (number, a, b, c, d), where in zip(pos[may].tolist(), facts[row[may]].tolist(),
+                                                          doc[may].tolist()):
+                    piece = self.items[number][1][c:d]
+                    if (begins(raw[p + b - a:p + b - a + len(piece) + 1], piece) if c == b else
+                            begins(raw[max(p - len(piece) - 1, 0):p][::-1], piece[::-1])):
+                        yield where, number, p - a
 
     def search(self, buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(document, item number, distance, end) of the best match within budget, per document and item."""
         places: dict[tuple[int, int], set[int]] = {}
-        for number, start in self.hits(buf):
-            m = len(self.items[number][1])
-            doc = int(np.searchsorted(offsets, min(max(start + m // 2, 0), len(buf) - 1), "right")) - 1
-            for d in {doc, int(np.searchsorted(offsets, max(start, 0), "right")) - 1,
-                      int(np.searchsorted(offsets, min(start + m, len(buf)) - 1, "right")) - 1}:
-                places.setdefault((d, number), set()).add(start)
+        for doc, number, start in self.hits(buf, offsets):
+            places.setdefault((doc, number), set()).add(start)
         for (doc, number), starts in places.items():
             _, item, k = self.items[number]
             m, best = len(item), None
@@ -177,6 +223,7 @@ def matches(docs: DataFrame, items: DataFrame, share: float = ERROR_SHARE, doc_i
             text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, end): items found in documents, the nearest place of each.
 
+    An item of m normalised bytes is found with up to ``share`` * m errors, rounded down, whatever m is.
     ``end`` is where the match ends in the normalised document, in bytes.  A
     document is searched whole.  Null or empty documents and items match
     nothing; repeated documents each get their rows, repeated items theirs.
@@ -185,6 +232,8 @@ def matches(docs: DataFrame, items: DataFrame, share: float = ERROR_SHARE, doc_i
     Items are read in blocks of about BLOCK_BYTES, one block at the driver at a
     time; each block is broadcast and searched in all documents.
     """
+    if not 0 <= share < 1:
+        raise ValueError("share is from 0 to less than 1: with 1, any text would hold any item")
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     bench = items.select(F.col(item_id).cast("long").alias("item_id"), text_or_empty(item_text).alias("t"))

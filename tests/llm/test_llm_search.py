@@ -68,6 +68,43 @@ def test_matches_against_brute_force(spark, monkeypatch):
     assert got == want and len(want) > 30
 
 
+def test_the_whole_error_share_is_searched(spark):
+    """Against int(share * m) itself, for items of all lengths, with as many errors as the share allows or one more."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcde", k=rng.randint(2, 6)))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate(
+        [1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 19, 20, 24, 25, 30, 45, 60, 80, 100])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for share in (0.0, 0.1, 0.3):
+        docs = []
+        for i, item in items * 4:
+            leak = list(item)
+            for at in sorted(rng.sample(range(len(leak)), int(share * len(leak)) + len(docs) % 2), reverse=True):
+                leak[at:at + 1] = rng.choice(["", "x", leak[at] + "x"])
+            docs.append((len(docs), f"{word()} {word()} {''.join(leak)} {word()}"))
+        got = {(r["doc_id"], r["item_id"]): r["distance"]
+               for r in decontaminate.matches(documents(spark, docs), bench, share=share).collect()}
+        want, beyond_a_twelfth = {}, 0
+        for d, t in docs:
+            for i, item in items:
+                x = distance(item.encode(), decontaminate.normalise_text(t)) if len(item) < 60 else \
+                    decontaminate.best_match(item.encode(), decontaminate.normalise_text(t))[0]
+                if x <= int(share * len(item)):
+                    want[d, i] = x
+                    beyond_a_twelfth += x > len(item) // 12 - 1 and x > 0
+        assert got == want
+        assert not share or beyond_a_twelfth > 20
+
+
+def test_pieces_cover_items():
+    for m in range(1, 60):
+        for k in range(m):
+            found = decontaminate.pieces(m, k)
+            assert len(found) == k + 1 and all(a < b for a, b, _, _ in found)
+            assert [a for a, *_ in found] == [0, *(b for _, b, _, _ in found[:-1])] and found[-1][1] == m
+            assert sum(c == d for _, _, c, d in found) == (k + 1) % 2
+
+
 def test_decontaminate_edge_cases(spark):
     bench = spark.createDataFrame([(1, LONG), (2, "one TWO"), (2, "one TWO"), (None, "no id"), (3, None)],
                                   "item_id long, text string")
