@@ -1,36 +1,45 @@
 """A corpus pipeline of the training-text operators; each stage is written and read again.
 
-All stages but the last return the columns of ``documents``.  Rows are dropped
-by their document id, so rows that share an id share their fate; rows without
-an id are kept by the stages that drop.
+All stages but the last return the columns of ``documents``.  The stages that
+drop decide row by row, by id and text: rows without an id and rows that share
+one each have their own fate.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfgap.llm import decontaminate, mixing, ngram_join, sharding, toxicity
-from shelfgap.llm.common import land, without_ids
+from shelfgap.llm.common import land, row_key, without_rows
 from shelfgap.llm.queries import MAX_REPEAT, N_SHARDS
 
+ROW = ("doc_id", "text")
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs.select("doc_id", "text"), model)
-    return without_ids(docs, scored.where("predicted = 1"), "doc_id", "pipeline-toxic")
+    scored = toxicity.score(docs.select(row_key(*ROW).alias("row"), "text"), model, doc_id="row")
+    return without_rows(docs, scored.where("predicted = 1").select("row"), ROW, "pipeline-toxic")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; of rows repeated whole, one."""
-    found = land(ngram_join.near_duplicates(docs.select("doc_id", "text")), "pipeline-components")
-    kept = without_ids(docs, found.where("component_id <> doc_id"), "doc_id", "pipeline-copies")
-    repeated = land(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1"), "pipeline-repeated")
+    """Of each group of near copies the row with the smallest id; of rows repeated whole, one.
+
+    A row without an id stays only where no row of its group has one; of rows with the smallest id one stays.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), row_key(*ROW).alias("row"))
+    found = land(ngram_join.near_duplicates(docs.select(row.alias("doc_id"), "text")), "pipeline-components")
+    kept = without_rows(docs, found.where("component_id.row <> doc_id.row").select("doc_id.row"), ROW,
+                        "pipeline-copies")
+    repeated = land(found.groupBy("doc_id.row").count().where("count > 1").select(F.col("row").alias("_repeated")),
+                    "pipeline-repeated")
     if repeated.isEmpty():
         return kept
-    once = without_ids(kept, repeated, "doc_id", "pipeline-repeated-ids")
-    return once.union(kept.join(repeated.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-                      .dropDuplicates(["doc_id", "text"]))
+    once = without_rows(kept, repeated, ROW, "pipeline-repeated-rows")
+    return once.union(kept.join(repeated, row_key(*ROW) == repeated["_repeated"], "left_semi").select(docs.columns)
+                      .dropDuplicates([*ROW]))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

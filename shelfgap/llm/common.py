@@ -6,6 +6,7 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,16 +58,20 @@ def prefilter(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return rows.join(F.broadcast(keys.select(on)), on, "left_semi")
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, on: str, name: str) -> DataFrame:
-    """``docs`` without the rows whose ``on`` is among the ids (rows without one stay).
+def row_key(*cols: str) -> Column:
+    """64 bits that stand for a row's values, never null; N distinct rows collide with probability about N * N / 2^65."""
+    return F.xxhash64(*[x for c in cols for x in (F.col(c).isNull(), F.col(c))])
 
-    The ids are landed and counted: up to BROADCAST_ROWS of them are broadcast,
+
+def without_rows(docs: DataFrame, gone: DataFrame, cols: Sequence[str], name: str) -> DataFrame:
+    """``docs`` without the rows whose ``row_key`` of ``cols`` is in the one column of ``gone``.
+
+    The keys are landed and counted: up to BROADCAST_ROWS of them are broadcast,
     so the texts stay where they are; more take a join that moves the rows.
     """
-    ids = land(ids.select(on).where(F.col(on).isNotNull()).distinct(), name)
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, on, "left_anti").select(docs.columns)
+    gone = land(gone.toDF("_gone").distinct(), name)
+    few = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, row_key(*cols) == gone["_gone"], "left_anti").select(docs.columns)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import text_or_empty, without_ids
+from .common import row_key, text_or_empty, without_rows
 
 ERROR_SHARE = 0.1
 SEED_BYTES = 8               # the most of a piece that is looked up; no item's budget depends on it
@@ -266,5 +266,7 @@ def matches(docs: DataFrame, items: DataFrame, share: float = ERROR_SHARE, doc_i
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, by id; rows without an id stay."""
-    return without_ids(docs, matches(docs, items, doc_id=doc_id, text=text, **options), doc_id, "decontaminate-ids")
+    """The rows of ``docs`` in which no item is found, each by its own text, whatever its id."""
+    rows = docs.select(row_key(doc_id, text).alias("row"), F.col(text).alias("text"))
+    found = matches(rows, items, doc_id="row", **options).select("row")
+    return without_rows(docs, found, (doc_id, text), "decontaminate-rows")

@@ -49,3 +49,30 @@ def test_run_and_awkward_rows(spark):
         assert stage(spark, documents(spark).limit(0), SF).collect() == []
     once = corpus_pipeline.drop_near_copies(spark, documents(spark), SF).collect()
     assert Counter(r["doc_id"] for r in once)[1] == 1 and 2 not in {r["doc_id"] for r in once}
+
+
+def test_each_row_has_its_own_fate(spark, tmp_path):
+    """Rows without an id are dropped like others; of rows with one id only those that must go."""
+    toxic, leak = "you scumbag", "the answer to this question of the benchmark is forty two and nothing else"
+    a = " ".join(f"copy{i}" for i in range(60))
+    b = " ".join(f"other{i}" for i in range(60))
+    clean = "a harmless row of words"
+    train = [(100 + i, f"w{i % 7} and " + ("scumbag" if i % 3 == 0 else "friend")) for i in range(200)]
+    spark.createDataFrame([(i, int("scumbag" in t)) for i, t in train], "doc_id long, toxic int").write.parquet(
+        str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def left(stage, rows):
+        out = stage(spark, documents(spark, rows), str(tmp_path)).collect()
+        return Counter((r["doc_id"], r["text"]) for r in out if r["doc_id"] is None or r["doc_id"] < 100)
+
+    for stage, bad, more in ((corpus_pipeline.drop_toxic, toxic, train), (corpus_pipeline.drop_leaks, leak, [])):
+        rows = [(None, bad), (None, clean), (1, bad), (1, clean), (2, None), (None, None)]
+        assert left(stage, rows + more) == Counter([(None, clean), (1, clean), (2, None), (None, None)])
+    rows = [(5, a), (5, a + " x"), (5, b), (6, b), (None, a), (7, a), (6, clean), (None, "no name " + b[:300]),
+            (None, "no name " + b[:300]), (None, None), (None, ""), (8, None)]
+    kept = left(corpus_pipeline.drop_near_copies, rows)
+    first = Counter({t: n for (i, t), n in kept.items() if i == 5 and t != b})
+    assert sum(first.values()) == 1 and set(first) <= {a, a + " x"}
+    assert kept - Counter((5, t) for t in first) == Counter(
+        [(5, b), (6, clean), (None, "no name " + b[:300]), (None, None), (None, ""), (8, None)])
