@@ -120,10 +120,10 @@ class ToxicityModel:
 
 def fit_sets(sets: list[np.ndarray], labels: np.ndarray, identity: Sequence[Sequence[str]] = IDENTITY_TERMS,
              counterfactual_weight: float = COUNTERFACTUAL_WEIGHT, steps: int = 400) -> ToxicityModel:
-    """Fit on word sets.  With one class only (or nothing) the model is its smoothed share."""
+    """Fit on word sets.  With one class only the model is its smoothed share; without rows it rejects nothing."""
     y = np.asarray(labels, np.float64)
     n, share = len(y), (float(np.sum(labels)) + 0.5) / (len(labels) + 1)
-    bias = float(np.log(share / (1 - share)))
+    bias = float(np.log(share / (1 - share))) if n else -np.inf
     groups, named = [hash_words(g) for g in identity], _named(identity)
     none = np.empty(0, np.uint32)
     if not n or y.min() == y.max():
@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, doc_id:
     """One row per input row: doc_id, held_out, score in [0, 1], predicted (1 from the threshold on).
 
     Every word of a text counts once, wherever it stands.  Null and empty texts
-    get the model's base rate.  Repeated rows each get a row; an empty table
+    get the model's base rate, as all texts do, about 0, if the model saw no label.  Repeated rows each get a row; an empty table
     gives an empty result.  Only the id and text columns are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))   # at most MAX_WORDS and the identity terms

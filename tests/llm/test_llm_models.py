@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from llm_cases import TEXTS, documents
 from shelfgap.llm import quality, toxicity
 from shelfgap.llm.queries import QUERIES
@@ -110,6 +111,17 @@ def test_inflected_words_and_case(spark):
     assert score[1] > 3 * score[2]
 
 
+def test_without_usable_labels_nothing_is_rejected(spark, tmp_path):
+    docs = documents(spark)
+    held = [i for i in range(100) if held_out(i)]
+    for name, ids in (("none", []), ("held out", held)):
+        labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, toxic int")
+        rows = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+        assert len(rows) == len(TEXTS) and all(0 <= r["score"] < 0.01 and r["predicted"] == 0 for r in rows)
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path / name)).count() == len(TEXTS)
+
+
 def test_quality_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
