@@ -188,16 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     vectors, weights = word_vectors(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, weights))
 
-    def run(it):
-        for batch in it:
-            buf, off = tk.binary_parts(batch.column("text"))
-            for a, b in tk.doc_chunks(off):
-                x = _pool(buf[off[a]:off[b]], off[a:b + 1] - off[a], *shared.value)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("label").slice(a, b - a).cast(pa.int32()),
-                     pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "x"])
-
-    rows = training_rows(docs, labels, label, max_rows, doc_id, text).mapInArrow(run, "label int, x binary").collect()
+    rows = training_rows(docs, labels, label, max_rows, lambda buf, offsets: _pool(buf, offsets, *shared.value),
+                         doc_id, text).collect()
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float64).reshape(-1, FEATURES)
     return QualityModel(vectors, weights, *fit_network(x, np.array([r["label"] for r in rows], np.float64)))
 

@@ -9,7 +9,7 @@ alone, without its beginnings, so that a swap exchanges all there is of it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -73,33 +73,37 @@ def _named(identity: Sequence[Sequence[str]]) -> np.ndarray:
     return np.unique(np.concatenate([np.empty(0, np.uint32), *(hash_words(g) for g in identity)]))
 
 
-def _features(whole: np.ndarray):
-    def run(it):
-        schema = pa.schema([("label", pa.int32()), ("words", pa.binary())])
-        for batch in it:
-            buf, off = tk.binary_parts(batch.column("text"))
-            label = batch.column("label")
-            for a, b in tk.doc_chunks(off):
-                rows = [w.tobytes() for w in _words(buf[off[a]:off[b]], off[a:b + 1] - off[a], whole=whole)]
-                yield pa.RecordBatch.from_arrays([label.slice(a, b - a).cast(pa.int32()), pa.array(rows, pa.binary())],
-                                                 schema=schema)
-    return run
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, doc_id: str = "doc_id",
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
+                  features: Callable[[np.ndarray, np.ndarray], Iterable[np.ndarray]], doc_id: str = "doc_id",
                   text: str = "text") -> DataFrame:
-    """(label, text) of at most ``max_rows`` labelled documents that are not held out, chosen by hash.
+    """(label, x) of at most ``max_rows`` labelled documents that are not held out, chosen by hash.
 
-    Rows without an id or a label 0 or 1 are ignored; of several labels of an
-    id the larger counts; of rows with one id each is taken.
+    x holds the bytes of what ``features`` gives for the document's text; the
+    texts stay where they are.  Rows without an id or a label 0 or 1 are
+    ignored; of several labels of an id the larger counts; of rows with one id
+    each is taken.
     """
     ids = (labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label"))
            .where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~is_held_out("id"))
            .groupBy("id").agg(F.max("label").alias("label"))
            .orderBy(F.xxhash64("id"), "id").limit(max_rows))
+    schema = pa.schema([("place", pa.int64()), ("tie", pa.int64()), ("label", pa.int32()), ("x", pa.binary())])
+
+    def run(it):
+        for batch in it:
+            buf, off = tk.binary_parts(batch.column("text"))
+            for a, b in tk.doc_chunks(off):
+                rows = [x.tobytes() for x in features(buf[off[a]:off[b]], off[a:b + 1] - off[a])]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(a, b - a).cast(schema.field(c).type) for c in schema.names[:3]),
+                     pa.array(rows, pa.binary())], schema=schema)
+
     # at most max_rows ids
     return (docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("text"))
-            .join(F.broadcast(ids), "id").orderBy(F.xxhash64("id"), "text").limit(max_rows).select("label", "text"))
+            .join(F.broadcast(ids), "id")
+            .select(F.xxhash64("id").alias("place"), F.xxhash64("text").alias("tie"), "label", "text")
+            .mapInArrow(run, "place long, tie long, label int, x binary")
+            .orderBy("place", "tie", "x").limit(max_rows).select("label", "x"))
 
 
 class ToxicityModel:
@@ -180,9 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
         doc_id: str = "doc_id", text: str = "text", identity: Sequence[Sequence[str]] = IDENTITY_TERMS,
         **options) -> ToxicityModel:
     """Fit on a bounded labelled sample, whose distinct word hashes come to the driver."""
-    rows = training_rows(docs, labels, label, max_rows, doc_id, text).mapInArrow(
-        _features(_named(identity)), "label int, words binary").collect()
-    sets = [np.frombuffer(r["words"], np.uint32) for r in rows]
+    named = _named(identity)
+    rows = training_rows(docs, labels, label, max_rows, lambda buf, offsets: _words(buf, offsets, whole=named),
+                         doc_id, text).collect()
+    sets = [np.frombuffer(r["x"], np.uint32) for r in rows]
     return fit_sets(sets, np.array([r["label"] for r in rows], np.float64), identity, **options)
 
 

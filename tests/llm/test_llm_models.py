@@ -154,6 +154,19 @@ def test_word_vectors_match_a_loop(spark):
     assert weights.min() > 0
 
 
+def test_training_texts_do_not_meet_in_one_task(spark):
+    """The features are computed before the ordered limit, so that no whole text passes it."""
+    docs = documents(spark, [(i, f"text {i} " * 50) for i in range(40)] + [(3, "another"), (3, "third")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    lengths = lambda buf, offsets: np.diff(offsets).reshape(-1, 1)
+    rows = toxicity.training_rows(docs, labels, "toxic", 1000, lengths)
+    want = [(r["doc_id"] % 2, len(r["text"])) for r in docs.collect() if not held_out(r["doc_id"])]
+    assert sorted((r["label"], int(np.frombuffer(r["x"], np.int64)[0])) for r in rows.collect()) == sorted(want)
+    assert toxicity.training_rows(docs, labels, "toxic", 7, lengths).count() == 7
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Sort") < plan.index("MapInArrow"), plan      # the plan's last step is its first line
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_edge_cases(spark, module):
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1), (4, 1, 1), (None, 1, 1), (5, None, None), (9, 7, 7)],
