@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (ann, decontaminate, mixing, ngram_join, quality, secrets, sharding, suffix_dedup, toxicity,
+from . import (ann, decontaminate, mixing, ngram_join, piece_codec, quality, secrets, sharding, suffix_dedup, toxicity,
                url_filter)
 
 N_SHARDS = 16
@@ -77,6 +77,17 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.where("vec_id % 20 = 0"))
 
 
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = piece_codec.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    rows = piece_codec.decode(encoded, model)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+                       F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).alias("n_source_bytes"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_join": op2_ngram_join,
@@ -88,4 +99,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
     "op10_ann": op10_ann,
+    "op13_pieces": op13_pieces,
 }
