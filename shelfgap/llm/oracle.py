@@ -35,6 +35,21 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20"""
 
 
+def op11() -> str:
+    terms = rf"regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT doc_id, len(w) AS n, w FROM (SELECT doc_id, {terms} AS w FROM documents) WHERE len(w) > 0),
+s AS (SELECT count(*) AS n, CAST(sum(n) AS BIGINT) AS l FROM d),
+q AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest({terms}) AS t FROM benchmark) GROUP BY 1, 2),
+tf AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS t FROM d) GROUP BY 1, 2, 3),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * (SELECT n FROM s) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM tf GROUP BY t),
+p AS (SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * tf.n * s.n) // s.l)))) AS BIGINT) AS score
+      FROM q JOIN tf USING (t) JOIN w USING (t) CROSS JOIN s GROUP BY 1, 2)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM p WHERE score > 0) WHERE rank <= 10"""
+
+
 def _letters(pattern: str) -> str:
     """The pattern with each ASCII letter in either case (RE2's own flag folds beyond ASCII)."""
     return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in pattern)
@@ -102,5 +117,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_ngram_join": op2(),
     "op3_secrets": op3(),
     "op10_ann": op10(),
+    "op11_lexical": op11(),
     "op9_url_filter": op9(),
 }

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (ann, decontaminate, mixing, ngram_join, piece_codec, quality, secrets, sharding, suffix_dedup, toxicity,
-               url_filter)
+from . import (ann, decontaminate, lexical, mixing, ngram_join, piece_codec, quality, secrets, sharding, suffix_dedup,
+               toxicity, url_filter, whitening)
 
 N_SHARDS = 16
 MAX_REPEAT = 2.0
@@ -77,6 +77,15 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.where("vec_id % 20 = 0"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return whitening.report(rows, whitening.fit(rows))
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -99,5 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
     "op10_ann": op10_ann,
+    "op11_lexical": op11_lexical,
+    "op12_whitening": op12_whitening,
     "op13_pieces": op13_pieces,
 }
