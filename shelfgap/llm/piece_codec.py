@@ -28,7 +28,8 @@ from .common import text_or_empty
 MARK = "▁"              # stands for a space in pieces
 BAD = "�"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6   # fixed values: types of pieces
-MEMO_WORDS = 200_000         # words remembered by a task
+NEVER = float("inf")         # rank of neighbours that are no piece
+MEMO_WORDS = 250_000         # words remembered by a task, and as many of an elder generation
 MEMO_CHARS = 64              # longer words are merged anew
 CHUNK_BYTES = 1 << 20        # of text that is encoded between two emissions
 
@@ -133,17 +134,24 @@ class Normaliser:
 
 
 class _Words(dict):
-    """Word -> (ids, characters of each piece) as int32 bytes; forgets all when it is full."""
+    """Word -> (ids, characters of each piece) as int32 bytes.
+
+    Full, it becomes the elder generation and starts anew; words of the elder
+    one that come up again are taken over, so frequent words stay.
+    """
 
     def __init__(self, merge):
         super().__init__()
-        self.merge = merge
+        self.merge, self.elder = merge, {}
 
     def __missing__(self, word: str) -> tuple[bytes, bytes]:
-        ids, chars = self.merge(word)
-        entry = np.array(ids, np.int32).tobytes(), np.array(chars, np.int32).tobytes()
+        entry = self.elder.get(word)
+        if entry is None:
+            ids, chars = self.merge(word)
+            entry = np.array(ids, np.int32).tobytes(), np.array(chars, np.int32).tobytes()
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO_WORDS:
+                self.elder = dict(self)
                 self.clear()
             self[word] = entry
         return entry
@@ -163,7 +171,8 @@ class Codec:
             raise ValueError("only byte-pair models with byte fallback and without own or unused pieces are read")
         self.normalise = Normaliser(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces,
                                     spec.escape_whitespaces)
-        self.rank = {p.piece: (-p.score, i) for i, p in enumerate(model.pieces) if p.type == NORMAL}
+        self.rank = {p.piece: -p.score for p in model.pieces if p.type == NORMAL}
+        self.id = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         self.byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         inside = any(MARK in p.lstrip(MARK) for p in self.rank)
         self.word = re.compile("(?s).+" if inside else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -188,37 +197,15 @@ class Codec:
 
         The best-ranked neighbours merge first, the leftmost among equals.
         """
-        rank, n = self.rank, len(word)
-        size = [1] * n              # 0: merged into a piece before
-        back, onward = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = []
-        for i in range(n - 1):
-            if found := rank.get(word[i:i + 2]):
-                queue.append((found[0], i, i + 1, 2))
-        heapq.heapify(queue)
-        while queue:
-            _, left, right, both = heapq.heappop(queue)
-            if not size[left] or not size[right] or size[left] + size[right] != both:
-                continue
-            size[left], size[right] = both, 0
-            after = onward[left] = onward[right]
-            if after < n:
-                back[after] = left
-                if found := rank.get(word[left:left + both + size[after]]):
-                    heapq.heappush(queue, (found[0], left, after, both + size[after]))
-            before = back[left]
-            if before >= 0 and (found := rank.get(word[before:left + both])):
-                heapq.heappush(queue, (found[0], before, left, size[before] + both))
-        ids, chars, i = [], [], 0
-        while i < n:
-            piece = word[i:i + size[i]]
-            if known := rank.get(piece):
-                ids.append(known[1])
-                chars.append(size[i])
+        ids, chars = [], []
+        for piece in (_merge_short if len(word) <= MEMO_CHARS else _merge_long)(word, self.rank):
+            known = self.id.get(piece)
+            if known is not None:
+                ids.append(known)
+                chars.append(len(piece))
             else:                   # one character that the model lacks
                 ids += [self.byte[b] for b in piece.encode()]
                 chars += [0] * (len(piece.encode()) - 1) + [1]
-            i = onward[i]
         return ids, chars
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,6 +251,47 @@ class Codec:
         return "".join(out)
 
 
+def _merge_short(word: str, rank: dict[str, float]) -> list[str]:
+    """Pieces of a word by looking over all neighbours for each merge."""
+    parts, known = list(word), rank.get
+    ranks = [known(a + b, NEVER) for a, b in zip(word, word[1:])]
+    while ranks:
+        best = min(ranks)
+        if best == NEVER:
+            break
+        i = ranks.index(best)
+        parts[i] += parts.pop(i + 1)
+        ranks.pop(i)
+        if i < len(ranks):
+            ranks[i] = known(parts[i] + parts[i + 1], NEVER)
+        if i:
+            ranks[i - 1] = known(parts[i - 1] + parts[i], NEVER)
+    return parts
+
+
+def _merge_long(word: str, rank: dict[str, float]) -> list[str]:
+    """The same with a queue of neighbours, for words of any length."""
+    n = len(word)
+    size = [1] * n              # 0: merged into a piece before
+    back, onward = list(range(-1, n - 1)), list(range(1, n + 1))
+    queue = [(rank[word[i:i + 2]], i, i + 1, 2) for i in range(n - 1) if word[i:i + 2] in rank]
+    heapq.heapify(queue)
+    while queue:
+        _, left, right, both = heapq.heappop(queue)
+        if not size[left] or not size[right] or size[left] + size[right] != both:
+            continue
+        size[left], size[right] = both, 0
+        after = onward[left] = onward[right]
+        if after < n:
+            back[after] = left
+            if (found := rank.get(word[left:left + both + size[after]])) is not None:
+                heapq.heappush(queue, (found, left, after, both + size[after]))
+        before = back[left]
+        if before >= 0 and (found := rank.get(word[before:left + both])) is not None:
+            heapq.heappush(queue, (found, before, left, size[before] + both))
+    return [word[i:i + size[i]] for i in range(n) if size[i]]
+
+
 def _lenient(run: bytes) -> str:
     out, at = [], 0
     while at < len(run):
@@ -280,9 +308,18 @@ def _lenient(run: bytes) -> str:
     return "".join(out)
 
 
-def _read(model_path: str) -> bytes:
+def _shared(rows: DataFrame, model_path: str):
+    """The model file's content, broadcast, with room for what a worker makes of it."""
     with open(model_path, "rb") as f:
-        return f.read()
+        return rows.sparkSession.sparkContext.broadcast({"model": f.read()})
+
+
+def _codec(shared) -> Codec:
+    """A worker keeps what is broadcast from task to task, and so the codec and the words it remembers."""
+    held = shared.value
+    if "codec" not in held:
+        held["codec"] = Codec(held["model"])
+    return held["codec"]
 
 
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -308,10 +345,10 @@ def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     names = ("ids", "starts", "ends")
     if set(names) & set(docs.columns):
         raise ValueError(f"rename the columns {names} first")
-    blob = docs.sparkSession.sparkContext.broadcast(_read(model_path))
+    shared = _shared(docs, model_path)
 
     def run(it):
-        codec = Codec(blob.value)
+        codec = _codec(shared)
         for batch in it:
             texts = batch.column(0)
             _, offsets = tk.binary_parts(texts)
@@ -336,10 +373,10 @@ def decode(rows: DataFrame, model_path: str, ids: str = "ids", out: str = "decod
     """
     if out in rows.columns:
         raise ValueError(f"rename the column {out} first")
-    blob = rows.sparkSession.sparkContext.broadcast(_read(model_path))
+    shared = _shared(rows, model_path)
 
     def run(it):
-        codec = Codec(blob.value)
+        codec = _codec(shared)
         for batch in it:
             lists = batch.column(0)
             texts = [codec.decode(lists[i].values.drop_null().to_numpy(zero_copy_only=False))
