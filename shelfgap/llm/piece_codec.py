@@ -15,7 +15,6 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +27,8 @@ from .common import text_or_empty
 MARK = "▁"              # stands for a space in pieces
 BAD = "�"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6   # fixed values: types of pieces
-NEVER = float("inf")         # rank of neighbours that are no piece
-MEMO_WORDS = 250_000         # words remembered by a task, and as many of an elder generation
-MEMO_CHARS = 64              # longer words are merged anew
+MEMO_WORDS = 500_000         # words that a worker remembers
+LONG_CHARS = 256             # longer words are merged by themselves
 CHUNK_BYTES = 1 << 20        # of text that is encoded between two emissions
 
 
@@ -133,28 +131,119 @@ class Normaliser:
         return "".join(out), np.array([*source, end if out else 0], np.int64)
 
 
-class _Words(dict):
-    """Word -> (ids, characters of each piece) as int32 bytes.
+class _Merger:
+    """Byte-pair merges of many words at once.
 
-    Full, it becomes the elder generation and starts anew; words of the elder
-    one that come up again are taken over, so frequent words stay.
+    Each round merges in every word its best-ranked neighbours, the leftmost
+    among equals; a word without any leaves the rounds.  Symbols are ids of
+    pieces; characters that are no piece have a number beyond them if a piece
+    holds them, else -1.
     """
 
-    def __init__(self, merge):
+    def __init__(self, pieces: dict[str, int], rank: dict[str, float], n_pieces: int):
+        self.n_pieces = n_pieces
+        extra = sorted({c for p in pieces for c in p} - set(pieces))
+        symbol = pieces | {c: n_pieces + i for i, c in enumerate(extra)}
+        self.char = np.full(0x110000, -1, np.int32)
+        for piece, number in symbol.items():
+            if len(piece) == 1:
+                self.char[ord(piece)] = number
+        self.width = n_pieces + len(extra)
+        order = {score: i for i, score in enumerate(sorted(set(rank.values())))}
+        found = sorted((symbol[p[:i]] * self.width + symbol[p[i:]], order[rank[p]], number)
+                       for p, number in pieces.items() for i in range(1, len(p)) if p[:i] in symbol and p[i:] in symbol)
+        columns = np.array([*found, (np.iinfo(np.int64).max, len(order), 0)], np.int64)
+        self.key, self.rank, self.merged = columns[:, 0].copy(), columns[:, 1].astype(np.int32), columns[:, 2].astype(np.int32)
+        self.never = np.int32(len(order))
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = left.astype(np.int64) * self.width + right
+        at = np.searchsorted(self.key, key)
+        known = (self.key[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(known, self.rank[at], self.never), self.merged[at]
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbols, their first characters in the words' joint text, symbols of each word)."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        symbol, first = self.char[codes], np.arange(len(codes))
+        own = np.repeat(np.arange(len(words)), lengths)
+        rank, merged = np.full(len(codes), self.never), np.zeros(len(codes), np.int32)
+        at = np.flatnonzero(own[1:] == own[:-1])
+        rank[at], merged[at] = self._pairs(symbol[at], symbol[at + 1])
+        done_symbol, done_first = [], []
+        while len(symbol):
+            starts = tk.group_starts(own)
+            sizes = np.diff(np.append(starts, len(own)))
+            best = np.minimum.reduceat(rank, starts)
+            alive = np.repeat(best < self.never, sizes)
+            at = np.flatnonzero((rank == np.repeat(best, sizes)) & alive)
+            at = at[np.concatenate(([True], own[at[1:]] != own[at[:-1]]))] if len(at) else at
+            symbol[at] = merged[at]
+            done_symbol.append(symbol[~alive])
+            done_first.append(first[~alive])
+            keep = alive
+            keep[at + 1] = False
+            place = (np.cumsum(keep) - 1)[at]
+            symbol, own, first, rank, merged = (x[keep] for x in (symbol, own, first, rank, merged))
+            near = np.concatenate((place, place[place > 0] - 1))
+            rank[near] = self.never
+            near = near[near + 1 < len(own)]
+            near = near[own[near] == own[near + 1]]
+            rank[near], merged[near] = self._pairs(symbol[near], symbol[near + 1])
+        symbol, first = np.concatenate([*done_symbol, symbol]), np.concatenate([*done_first, first])
+        order = np.argsort(first)
+        symbol, first = symbol[order], first[order]
+        ends = np.cumsum(lengths)
+        return symbol, first, np.diff(np.searchsorted(first, np.concatenate(([0], ends))))
+
+
+class _Places(dict):
+    """Word -> its place; a new word gets the next one and is noted."""
+
+    def __init__(self):
         super().__init__()
-        self.merge, self.elder = merge, {}
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        place = self[word] = len(self)
+        return place
+
+
+class _Words:
+    """Words with their ids and the characters of each piece, as places in growing arrays.
 
-    def __missing__(self, word: str) -> tuple[bytes, bytes]:
-        entry = self.elder.get(word)
-        if entry is None:
-            ids, chars = self.merge(word)
-            entry = np.array(ids, np.int32).tobytes(), np.array(chars, np.int32).tobytes()
-        if len(word) <= MEMO_CHARS:
-            if len(self) >= MEMO_WORDS:
-                self.elder = dict(self)
-                self.clear()
-            self[word] = entry
-        return entry
+    Forgets all words when there are more than MEMO_WORDS.
+    """
+
+    def __init__(self, merge):
+        self.merge = merge
+        self.clear()
+
+    def clear(self):
+        self.place = _Places()
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.chars = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def look_up(self, words: list[str]) -> np.ndarray:
+        """The words' places, new ones merged."""
+        if len(self.place) > MEMO_WORDS or len(self.ids) > 8 * MEMO_WORDS:
+            self.clear()
+        found = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        if self.place.new:
+            new, self.place.new = self.place.new, []
+            ids, chars, count = self.merge(new)
+            self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(count) - count))
+            self.count = np.concatenate((self.count, count))
+            self.ids, self.chars = np.concatenate((self.ids, ids)), np.concatenate((self.chars, chars))
+        return found
+
+
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places starts[i] .. starts[i] + counts[i] - 1 of all i, one after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
 
 
 class Codec:
@@ -176,6 +265,7 @@ class Codec:
         self.byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         inside = any(MARK in p.lstrip(MARK) for p in self.rank)
         self.word = re.compile("(?s).+" if inside else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.merger = _Merger(self.id, self.rank, len(model.pieces))
         self.words = _Words(self._merge)
         self.strip = spec.add_dummy_prefix or spec.remove_extra_whitespaces
         self.strip_all = spec.remove_extra_whitespaces
@@ -192,30 +282,62 @@ class Codec:
         self.bytes = np.frombuffer(b"".join(own), np.uint8)
         self.spaced = np.array([p.type == NORMAL and p.piece.startswith(MARK) for p in model.pieces])
 
-    def _merge(self, word: str) -> tuple[list[int], list[int]]:
-        """Ids of a word's pieces and their characters; of a character's bytes the last counts it.
+    def _merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words' pieces, characters of each and pieces of each word.
 
-        The best-ranked neighbours merge first, the leftmost among equals.
+        A character that the model lacks becomes its bytes, of which the last counts it.
         """
-        ids, chars = [], []
-        for piece in (_merge_short if len(word) <= MEMO_CHARS else _merge_long)(word, self.rank):
-            known = self.id.get(piece)
-            if known is not None:
-                ids.append(known)
-                chars.append(len(piece))
-            else:                   # one character that the model lacks
-                ids += [self.byte[b] for b in piece.encode()]
-                chars += [0] * (len(piece.encode()) - 1) + [1]
-        return ids, chars
+        long = [i for i, w in enumerate(words) if len(w) > LONG_CHARS]
+        short = [w for w in words if len(w) <= LONG_CHARS] if long else words
+        symbol, first, count = self.merger(short)
+        parts = [self._spelt(symbol, np.diff(np.append(first, sum(map(len, short)))), "".join(short), first, count)]
+        if not long:
+            return parts[0]
+        for i in long:
+            pieces = _merge_long(words[i], self.rank)
+            ends = np.cumsum([len(x) for x in pieces])
+            symbol = np.array([self.id.get(x, -1) for x in pieces])
+            parts.append(self._spelt(symbol, np.diff(ends, prepend=0), words[i], np.concatenate(([0], ends))[:-1],
+                                     np.array([len(pieces)])))
+        # the long ones go back to their places
+        ids, chars, count = (np.concatenate(x) for x in zip(*parts))
+        place = np.concatenate((np.delete(np.arange(len(words)), long), long))
+        order = np.argsort(place)
+        at = ragged((np.cumsum(count) - count)[order], count[order])
+        return ids[at], chars[at], count[order]
+
+    def _spelt(self, symbol, chars, text: str, first, count) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        unknown = (symbol < 0) | (symbol >= self.merger.n_pieces)
+        if not unknown.any():
+            return symbol.astype(np.int32), chars.astype(np.int32), count
+        own = [[self.byte[b] for b in text[i].encode()] for i in first[unknown].tolist()]
+        size = np.ones(len(symbol), np.int64)
+        size[unknown] = [len(x) for x in own]
+        ends = np.cumsum(size)
+        ids, out = np.repeat(symbol, size), np.zeros(ends[-1], np.int64)
+        out[ends - 1] = chars
+        ids[np.repeat(unknown, size)] = [b for x in own for b in x]
+        bounds = np.concatenate(([0], np.cumsum(count)))
+        return ids.astype(np.int32), out.astype(np.int32), np.diff(np.concatenate(([0], ends))[bounds])
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, the start and end of each piece in its text's UTF-8 bytes, and each text's pieces."""
+        seen, source = zip(*map(self.normalise, texts))
+        words = [self.word.findall(t) for t in seen]
+        at = self.words.look_up([w for ws in words for w in ws])
+        counts = self.words.count[at]
+        place = ragged(self.words.start[at], counts)
+        ids, ends = self.words.ids[place], np.cumsum(self.words.chars[place], dtype=np.int64)
+        pieces = np.concatenate(([0], np.cumsum(counts)))[np.cumsum([0, *map(len, words)])]
+        # a text's source has one place more than it has characters
+        shift = np.repeat(np.arange(len(texts)), np.diff(pieces))
+        source = np.concatenate(source)
+        starts = np.concatenate(([0], ends))[:-1]
+        return ids, source[starts + shift], source[ends + shift], np.diff(pieces)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the start and end of each piece in the text's UTF-8 bytes."""
-        seen, source = self.normalise(text)
-        parts = list(map(self.words.__getitem__, self.word.findall(seen)))
-        ids = np.frombuffer(b"".join([p[0] for p in parts]), np.int32)
-        ends = np.cumsum(np.frombuffer(b"".join([p[1] for p in parts]), np.int32), dtype=np.int64)
-        starts = np.concatenate(([0], ends))[:-1]
-        return ids, source[starts], source[ends]
+        return self.encode_all([text])[:3]
 
     def decode(self, ids: np.ndarray) -> str:
         ids = np.asarray(ids, np.int64)
@@ -251,26 +373,8 @@ class Codec:
         return "".join(out)
 
 
-def _merge_short(word: str, rank: dict[str, float]) -> list[str]:
-    """Pieces of a word by looking over all neighbours for each merge."""
-    parts, known = list(word), rank.get
-    ranks = [known(a + b, NEVER) for a, b in zip(word, word[1:])]
-    while ranks:
-        best = min(ranks)
-        if best == NEVER:
-            break
-        i = ranks.index(best)
-        parts[i] += parts.pop(i + 1)
-        ranks.pop(i)
-        if i < len(ranks):
-            ranks[i] = known(parts[i] + parts[i + 1], NEVER)
-        if i:
-            ranks[i - 1] = known(parts[i - 1] + parts[i], NEVER)
-    return parts
-
-
 def _merge_long(word: str, rank: dict[str, float]) -> list[str]:
-    """The same with a queue of neighbours, for words of any length."""
+    """Pieces of a word of any length, by a queue of neighbours."""
     n = len(word)
     size = [1] * n              # 0: merged into a piece before
     back, onward = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -322,11 +426,6 @@ def _codec(shared) -> Codec:
     return held["codec"]
 
 
-def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    ends = [0, *accumulate(map(len, parts))]
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), kind))
-
-
 def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """The input's rows with ``ids`` (array<int>), ``starts`` and ``ends`` (array<long>).
 
@@ -353,11 +452,11 @@ def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
             texts = batch.column(0)
             _, offsets = tk.binary_parts(texts)
             for a, b in tk.doc_chunks(offsets, CHUNK_BYTES):
-                ids, starts, ends = zip(*(codec.encode(t or "") for t in texts.slice(a, b - a).to_pylist()))
-                yield pa.RecordBatch.from_arrays(
-                    [*[c.slice(a, b - a) for c in batch.columns[1:]], _lists(ids, pa.int32()),
-                     _lists(starts, pa.int64()), _lists(ends, pa.int64())],
-                    names=[*batch.schema.names[1:], *names])
+                *columns, pieces = codec.encode_all(texts.slice(a, b - a).to_pylist())
+                bounds = pa.array(np.concatenate(([0], np.cumsum(pieces))), pa.int32())
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(c)) for c in columns]
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[1:]], *lists],
+                                                 names=[*batch.schema.names[1:], *names])
 
     rows = docs.select(text_or_empty(text).alias("_text"), *[F.col(f"`{c}`") for c in docs.columns])
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -70,11 +70,21 @@ def test_character_maps_and_their_alignment_equal_the_library(rule, remove, dumm
 
 
 def test_a_full_memo_forgets_and_goes_on(monkeypatch, library):
-    monkeypatch.setattr(pc, "MEMO_WORDS", 3)
+    monkeypatch.setattr(pc, "MEMO_WORDS", 30)
     own = pc.Codec(open(PATH, "rb").read())
-    text = " ".join(f"word{i} wörd" for i in range(50))
-    assert own.encode(text)[0].tolist() == library.encode(text)
-    assert len(own.words) <= 3
+    for k in range(8):
+        text = " ".join(f"word{i} wörd" for i in range(20 * k, 20 * k + 20))
+        assert own.encode(text)[0].tolist() == library.encode(text)
+        assert len(own.words.place) <= 30 + 22
+
+
+def test_long_words_are_merged_by_themselves(library, codec):
+    pick = random.Random(8)
+    for n in (pc.LONG_CHARS - 1, pc.LONG_CHARS, pc.LONG_CHARS + 1, 5000):
+        text = "x " + "".join(pick.choice("abcé文\U0001F600the") for _ in range(n)) + " end"
+        ids, starts, ends = codec.encode(text)
+        assert ids.tolist() == library.encode(text)
+        assert ends[-1] == len(text.encode()) and (starts[1:] == ends[:-1]).all()
 
 
 def test_awkward_rows_and_clashing_names(spark, library):
