@@ -117,6 +117,23 @@ def parse_number(c: Column | str, dtype: T.DataType, strip_commas: bool = True)
     return F.coalesce(value, F.lit(0).cast(exact))
 
 
+def unread_number(c: Column | str, dtype: T.DataType, strip_commas: bool = True) -> Column:
+    """Whether a text is written but no number that ``parse_number`` keeps whole.
+
+    So is a text of other shape, a value beyond DECIMAL(38,10) and digits after the tenth decimal.
+    Typed columns have none.
+    """
+    if not isinstance(dtype, T.StringType):
+        return F.lit(False)
+    text = strip(F.replace(as_text(c), F.lit(","), F.lit("")) if strip_commas else as_text(c))
+    value = parse_number(text, dtype, strip_commas=False)
+    plain = text.rlike(_PLAIN_NUMBER)
+    zero = text.rlike(r"^[+-]?0*(?:\.0*)?(?:[eE][+-]?[0-9]+)?$") & text.rlike("[0-9]")
+    cut = plain & text.rlike(r"\.[0-9]{10}0*[1-9]")
+    lost = ~(plain | text.rlike(_SCIENTIFIC_NUMBER)) | cut | ((value == 0) & ~zero)
+    return F.coalesce((text != "") & (F.lower(text) != "nan") & lost, F.lit(False))
+
+
 def active_flag(c: Column | str) -> Column:
     """upper(strip(coalesce(c, '')))."""
     return F.upper(strip(F.coalesce(as_text(c), F.lit(""))))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
+
 # --- fixed values: accepted text layouts -----------------------------------
 _TIME = (r"(?:[ T]+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.][0-9]{1,9})?)?\s*([AaPp][Mm])?"
          r"\s*(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?")
@@ -24,7 +26,8 @@ COMPACT = "^([0-9]{4})([0-9]{2})([0-9]{2})" + _TIME + "$"
 NUMERIC = "^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]" + _YEAR + _TIME + "$"
 DAY_NAME = "^([0-9]{1,2})[- /.]+" + _NAME + "[- /.,]+" + _YEAR + _TIME + "$"
 NAME_DAY = "^" + _NAME + "[- /.]+([0-9]{1,2})(?:st|nd|rd|th)?[- /.,]+" + _YEAR + _TIME + "$"
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october",
+          "november", "december")
 # two-digit years up to this one are in the 2000s, as in the C library's rule
 PIVOT_YEAR = 68
 # ---------------------------------------------------------------------------
@@ -34,8 +37,10 @@ def _stamp(p: Column) -> Column:
     """Timestamp of [year, month, day, hour, minute, second, am/pm], all texts; null if there is none."""
     year, hour, half = p[0].try_cast("int"), F.coalesce(p[3].try_cast("int"), F.lit(0)), F.lower(p[6])
     year = F.when(F.length(p[0]) > 2, year).when(year <= PIVOT_YEAR, year + 2000).otherwise(year + 1900)
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(p[1], 1, 3)))
-    month = F.coalesce(p[1].try_cast("int"), month.cast("int"))
+    # a month is written whole or by its first three letters, September also by four
+    names = {n: i for i, m in enumerate(MONTHS, 1) for n in (m, m[:3])} | {"sept": 9}
+    known = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
+    month = F.coalesce(p[1].try_cast("int"), F.try_element_at(known, F.lower(p[1])))
     hour = (F.when(half == "", hour).when((hour < 1) | (hour > 12), F.lit(99))
             .when(half == "am", hour % 12).otherwise(hour % 12 + 12))
     minute, second = (F.coalesce(p[i].try_cast("int"), F.lit(0)) for i in (4, 5))
@@ -79,6 +84,38 @@ def best_coverage_timestamp(df: DataFrame, name: str) -> Column:
     return F.when(prefer_day_first, b).otherwise(a)
 
 
+DICTIONARY_ROWS = 1_000_000   # distinct date texts that are broadcast with their readings
+
+
+def with_best_timestamp(df: DataFrame, name: str, out: str) -> DataFrame:
+    """B8 by dictionary: ``df`` with column ``out``, the best-coverage reading of ``name``.
+
+    A column holds few distinct texts next to its rows.  These are collected
+    with a map-side combine, read once in both ways and landed with their
+    counts, which settles the choice.  Up to DICTIONARY_ROWS of them are
+    broadcast, and the rows only look their text up; with more, the rows read
+    their text themselves, in the one chosen way.  Either way the frame scans
+    its input once.
+    """
+    if isinstance(df.schema[name].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return df.withColumn(out, F.col(f"`{name}`"))
+    spark, text = df.sparkSession, F.col(f"`{name}`").cast("string")
+    texts = df.groupBy(text.alias("_text")).agg(F.count(F.lit(1)).alias("n"))
+    path = scratch_path(spark, "date-texts")
+    (texts.where("_text is not null")
+     .select("_text", "n", parse_month_first(F.col("_text")).alias("a"), parse_day_first(F.col("_text")).alias("b"))
+     .write.parquet(path))
+    known = spark.read.parquet(path)
+    seen = known.agg(F.count(F.lit(1)).alias("texts"), F.sum(F.when(F.col("a").isNotNull(), F.col("n"))).alias("a"),
+                     F.sum(F.when(F.col("b").isNotNull(), F.col("n"))).alias("b")).first()
+    day_first = (seen["b"] or 0) > (seen["a"] or 0)
+    if seen["texts"] > DICTIONARY_ROWS:
+        return df.withColumn(out, _parse(text, day_first))
+    found = known.select("_text", F.col("b" if day_first else "a").alias("_read"))
+    joined = df.join(F.broadcast(found), text == found["_text"], "left")
+    return joined.select(*[df[f"`{c}`"] for c in df.columns if c != out], found["_read"].alias(out))
+
+
 def month_first_timestamp(df: DataFrame, name: str) -> Column:
     """Stock dates: month-first reading only (the reference does not try day-first)."""
     dtype = df.schema[name].dataType
@@ -101,3 +138,8 @@ def month_bucket(c: Column) -> Column:
 def in_range(c: Column, start: dt.date, end_exclusive: dt.date) -> Column:
     """Half-open date range; written as a range so it pushes down to the scan."""
     return (c >= F.lit(start)) & (c < F.lit(end_exclusive))
+
+
+def in_months(month: Column, start: dt.date, end_exclusive: dt.date) -> Column:
+    """Whether a 'YYYY-MM' month lies in a range whose ends are first days of months."""
+    return (month >= F.lit(start.strftime("%Y-%m"))) & (month < F.lit(end_exclusive.strftime("%Y-%m")))

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions.dates import best_coverage_timestamp, month_bucket, month_first_timestamp
 from ..profiles import NEAR_EMPTY_ROW_COUNT, ChannelProfile, ModelConfig, get_profile
 from ..sources.contracts import SLOT_LABELS, SLOTS, contract_for, missing_columns
-from ..functions.cleaning import active_flag, normalize_virtual_site
+from ..functions.cleaning import active_flag, normalize_virtual_site, unread_number
 from . import model as M
 from . import stock as K
 from .reports import TOTAL_METRICS, exact_sum
@@ -41,6 +41,7 @@ REASON_MANY_MONTHS = ("The staged stock file spans multiple months. "
                       "Choose the evaluation month manually.")
 # ---------------------------------------------------------------------------
 MSG_UNPARSED = "%d value(s) of {field} are no date in any accepted layout."
+MSG_NUMBERS = "%d value(s) of {field} are no number, or hold more digits than are kept."
 
 FINDING_SCHEMA = T.StructType([
     T.StructField("dataset", T.StringType(), False),
@@ -63,8 +64,12 @@ def _long(df: DataFrame, metrics: list[tuple[int, str, Column]]) -> DataFrame:
 
 
 def qa_summary(inputs: M.ModelInputs, cfg: ModelConfig, detail: DataFrame | None = None,
-               unmapped: DataFrame | None = None, day_bal: DataFrame | None = None) -> DataFrame:
-    """The 20 QA metrics as (seq, metric, value); seq keeps the reference order."""
+               unmapped: DataFrame | None = None, day_bal: DataFrame | None = None,
+               excluded_orders: float | None = None, excluded_stock: float | None = None) -> DataFrame:
+    """The 20 QA metrics as (seq, metric, value); seq keeps the reference order.
+
+    What has been counted in passing is given and not counted again.
+    """
     if detail is None:
         detail = M.loss_detail(inputs, cfg)
     if unmapped is None:
@@ -98,9 +103,15 @@ def qa_summary(inputs: M.ModelInputs, cfg: ModelConfig, detail: DataFrame | None
             (16, "config_loss_only_when_actual_zero", F.lit(int(cfg.loss_only_when_actual_zero))),
             (17, "total_lost_value_net_raw",
              F.coalesce(exact_sum("lost_value_net_raw"), F.lit(0.0)))]),
-        _long(inputs.orders, [(19, "excluded_prefix_p_orders", F.count_if(excl))]),
-        _long(inputs.stock, [(20, "excluded_prefix_p_daily_stock", F.count_if(excl))]),
     ]
+    known = [(19, "excluded_prefix_p_orders", inputs.orders, excluded_orders),
+             (20, "excluded_prefix_p_daily_stock", inputs.stock, excluded_stock)]
+    for seq, name, table, value in known:
+        if value is not None:
+            parts.append(table.sparkSession.createDataFrame([(seq, name, value)], "seq int, metric string, value double"))
+        else:
+            rows = F.col("month_rows") if "month_rows" in table.columns else F.lit(1)
+            parts.append(_long(table, [(seq, name, F.coalesce(F.sum(F.when(excl, rows)), F.lit(0)))]))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -174,15 +185,20 @@ def dataset_findings(slot: str, raw: DataFrame, channel: str, dataset: str | Non
         return (stats.select(F.explode(checks).alias("f")).filter(F.col("f").isNotNull())
                 .select("f.*"))
     field = contract.date_field
+    odd = [unread_number(c, raw.schema[c].dataType, slot == "sales").alias(f"_n{i}")
+           for i, c in enumerate(contract.number_fields) if c in raw.columns]
     if field:
         written = F.trim(F.col(f"`{field}`").cast("string")) != ""
-        days = raw.select(_parsed_day(slot, raw, field).alias("d"), written.alias("written"))
+        days = raw.select(_parsed_day(slot, raw, field).alias("d"), written.alias("written"), *odd)
     else:
         days = raw.select(F.lit(None).cast("date").alias("d"), F.lit(False).alias("written"))
-    # one pass: rows, distinct months and date texts that no layout reads
+    # one pass: rows, distinct months, date texts that no layout reads and numbers that are not kept
     stats = days.agg(F.count(F.lit(1)).alias("n"),
                      F.countDistinct(month_bucket(F.col("d"))).alias("months"),
-                     F.count_if(F.col("written") & F.col("d").isNull()).alias("unparsed"))
+                     F.count_if(F.col("written") & F.col("d").isNull()).alias("unparsed"),
+                     *[F.count_if(f"_n{i}").alias(f"_n{i}") for i in range(len(odd))])
+    numbers = [F.when(F.col(f"_n{i}") > 0, _finding(dataset, "warning", "unparsed_numbers", F.format_string(
+        MSG_NUMBERS.format(field=c), F.col(f"_n{i}")))) for i, c in enumerate(contract.number_fields[:len(odd)])]
     checks = F.array(
         F.when(F.col("n") == 0, _finding(dataset, "warning", "empty_dataset", MSG_EMPTY)),
         F.when((F.col("n") > 0) & (F.col("n") <= NEAR_EMPTY_ROW_COUNT),
@@ -190,7 +206,7 @@ def dataset_findings(slot: str, raw: DataFrame, channel: str, dataset: str | Non
         F.when(F.col("months") > 1, _finding(dataset, "warning", "multiple_month_hints",
                                              MSG_MULTI_MONTH)),
         F.when(F.col("unparsed") > 0, _finding(dataset, "warning", "unparsed_dates", F.format_string(
-            MSG_UNPARSED.format(field=field), F.col("unparsed")))))
+            MSG_UNPARSED.format(field=field), F.col("unparsed")))), *numbers)
     return stats.select(F.explode(checks).alias("f")).filter(F.col("f").isNotNull()).select("f.*")
 
 

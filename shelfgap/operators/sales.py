@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import safe_div
-from ..functions.dates import in_range
+from ..functions.dates import in_months, in_range
 from ..profiles import ModelConfig
 
 
@@ -42,7 +42,12 @@ def sales_lines(orders: DataFrame, cfg: ModelConfig, with_totals: bool = True) -
     Spark reuses its shuffle instead of recomputing the order lines.
     Without ``with_totals`` the scan is limited to fallback start .. month end,
     which pushes down to the source.
+
+    ``orders`` may also be the monthly sums of an order store: windows start and
+    end with months, so the same totals follow from far fewer rows.
     """
+    if "month_qty" in orders.columns:
+        return _lines_of_months(orders, cfg, with_totals)
     o = orders.filter(~F.col("excluded_prefix_p"))
     if not with_totals:
         o = o.filter(in_range(F.col("purchase_date"), cfg.fallback_start, cfg.next_anchor))
@@ -72,6 +77,27 @@ def sales_lines(orders: DataFrame, cfg: ModelConfig, with_totals: bool = True) -
             .agg(F.struct(*fields).alias("m")))
 
 
+def _lines_of_months(sums: DataFrame, cfg: ModelConfig, with_totals: bool) -> DataFrame:
+    """``sales_lines`` from sums per (purchase_month, sku, stock_code, product_name)."""
+    month, qty, rows = F.col("purchase_month"), F.col("month_qty"), F.col("month_rows")
+    o = sums.filter(~F.col("excluded_prefix_p"))
+    if not with_totals:
+        o = o.filter(in_months(month, cfg.fallback_start, cfg.next_anchor))
+    windows = {"recent": in_months(month, cfg.recent_start, cfg.anchor),
+               "fallback": in_months(month, cfg.fallback_start, cfg.recent_start),
+               "actual": in_months(month, cfg.anchor, cfg.next_anchor)}
+    fields = [F.sum(F.when(w, qty)).alias(f"{name}_sum") for name, w in windows.items()]
+    fields += [F.coalesce(F.sum(F.when(w, rows)), F.lit(0)).alias(f"{name}_rows") for name, w in windows.items()]
+    if with_totals:
+        fields += [F.sum(qty).alias("total_qty"), F.sum("month_gross").alias("total_gross"),
+                   F.sum("month_net").alias("total_net")]
+        if "row_ord" in sums.columns:
+            fields.append(F.min("row_ord").alias("name_ord"))
+    return (o.withColumnRenamed("stock_code", "virtual_site")
+            .groupBy(*_keys(sums), "sku", "virtual_site", "product_name")
+            .agg(F.struct(*fields).alias("m")))
+
+
 def site_sales_from_lines(lines: DataFrame) -> DataFrame:
     """E5 + E6 + E7 per (sku, virtual_site): window sums as double, row counts."""
     out = lines.groupBy(*_keys(lines), "sku", "virtual_site").agg(

@@ -7,10 +7,11 @@ limits are the top-k / top-1 reports, where the limit is the feature).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
@@ -27,8 +28,11 @@ from ..profiles import CHANNEL_CN, CHANNEL_TH, split_by_channel
 from ..session import scratch_path
 from ..sources import adapter as A
 from ..sources import loaders as L
+from ..sources import order_store as OS
 from ..sources import readers as RD
 from ..sources.contracts import SLOTS
+from . import jobs as J
+from . import snapshot_job as SJ
 from .loss_job import run_loss_job
 
 # spellings of channel names for the channel_keys query; the last three are no channel's
@@ -153,8 +157,7 @@ def cn_sheet_orders(spark, sf_dir) -> DataFrame:
         F.upper(F.col("stock")).alias("Storage Location"))
 
 
-def q_orders_norm(spark, sf_dir):
-    o = L.load_orders(cn_sheet_orders(spark, sf_dir), CHANNEL_CN)
+def _plain_orders(o: DataFrame) -> DataFrame:
     return o.select(F.to_date("purchase_date").alias("purchase_date"), "sku", "stock_code",
                     F.col("quantity").cast("double").alias("quantity"),
                     F.col("gross").cast("double").alias("gross"),
@@ -162,6 +165,10 @@ def q_orders_norm(spark, sf_dir):
                     "excluded_prefix_p")
 
 
+def q_orders_norm(spark, sf_dir):
+    return _plain_orders(L.load_orders(cn_sheet_orders(spark, sf_dir), CHANNEL_CN))
+
+
 def q_orders_append_distinct(spark, sf_dir):
     orders = L.load_orders(A.sales_raw(_tt(spark, sf_dir)), CHANNEL_TH)
     hist = orders.filter(F.col("purchase_date") < F.lit(A.APPEND_HISTORY_END))
@@ -438,13 +445,154 @@ def q_text_round_trip(spark, sf_dir):
 
 
 def q_report_order(spark, sf_dir):
-    """H1-H4: the place of each row in the order in which people see the site and SKU summaries."""
-    detail = _one_channel_detail(spark, sf_dir)
-    frames = {"summary_site": R.summary_site(detail), "summary_sku": R.summary_sku(detail, [])}
+    """H1-H4: the place of each row of the detail, both summaries and the unmapped codes in the
+    order in which people see them."""
+    i = inputs(spark, sf_dir)
+    path = scratch_path(spark, "detail")
+    M.loss_detail(i, A.test_config()).drop("channel").write.parquet(path)
+    detail = spark.read.parquet(path)
+    frames = {"detail": (detail, F.concat_ws(" | ", "sku", "virtual_site")),
+              "summary_site": (R.summary_site(detail), F.col("virtual_site")),
+              "summary_sku": (R.summary_sku(detail, []), F.col("sku")),
+              "unmapped_sites": (K.unmapped_sites(i.stock, i.site_map, A.test_config()), F.col("site_code"))}
     return reduce(DataFrame.unionByName, [
-        sinks.with_place(df, name).select(F.lit(name).alias("dataset"), "place",
-                                          F.col("virtual_site" if name == "summary_site" else "sku").alias("item"))
-        for name, df in frames.items()])
+        sinks.with_place(df, name).select(F.lit(name).alias("dataset"), "place", item.alias("item"))
+        for name, (df, item) in frames.items()])
+
+
+def _appended_store(spark, sf_dir) -> str:
+    """An order store of the history to which the current file, two months of it known, is appended."""
+    orders = L.load_orders(A.sales_raw(_tt(spark, sf_dir)), CHANNEL_TH)
+    store = scratch_path(spark, "order-store")
+    OS.append(spark, store, orders.filter(F.col("purchase_date") < F.lit(A.APPEND_HISTORY_END)))
+    OS.append(spark, store, orders.filter(F.col("purchase_date") >= F.lit(A.APPEND_CURRENT_START)))
+    return store
+
+
+def q_append_then_model(spark, sf_dir):
+    """F5 by month into a store, then I3 from the store's lines."""
+    i = inputs(spark, sf_dir)
+    i.orders = OS.lines(spark, _appended_store(spark, sf_dir))
+    return M.loss_detail(i, A.test_config()).drop("channel")
+
+
+def q_append_then_model_by_month(spark, sf_dir):
+    """E4-E8 from the sums that the store keeps per month: the same detail without a line read."""
+    i = inputs(spark, sf_dir)
+    i.orders = OS.sums(spark, _appended_store(spark, sf_dir))
+    return M.loss_detail(i, A.test_config()).drop("channel")
+
+
+def q_orders_export_utf16(spark, sf_dir):
+    """A1 through files: a UTF-16 export whose quoted names hold tabs, quotes and line ends."""
+    raw = A.sales_raw(_tt(spark, sf_dir))
+    name = F.concat(F.lit('12"\t'), F.col("Product Name"), F.lit('\n"second" line\nกระเป๋า'))
+    text = raw.select(F.date_format("Purchase Date", "dd.MM.yyyy").alias("Purchase Date"), "Sku", "stock",
+                      F.format_number("Quantity", 2).alias("Quantity"), F.format_number("Gross", 2).alias("Gross"),
+                      F.format_number("Net", 4).alias("Net"), name.alias("Product Name"))
+    path = scratch_path(spark, "orders-export")
+    (text.write.option("header", True).option("sep", "\t").option("encoding", "UTF-16LE").option("lineSep", "\n")
+     .options(**RD.QUOTING).csv(path))
+    return _plain_orders(L.load_orders(RD.read_orders_export(spark, path, quoted_newlines=True), CHANNEL_TH))
+
+
+def _sheet(df: DataFrame, folder: str, sheet: str) -> None:
+    """A sheet of a workbook folder, in as many parts as the table has."""
+    df.write.option("header", True).options(**RD.QUOTING).csv(RD.sheet_path(folder, sheet))
+
+
+def q_workbook_inputs(spark, sf_dir):
+    """A2 + A9 + A12 + A13 through files: orders from the first sheet of a workbook folder, the site map
+    from its sheet Include, products without status from a text file (B16) and stock by month, read as
+    the batch run reads them, put up as views and joined in SQL."""
+    tt = _tt(spark, sf_dir)
+    books, products, stock = (scratch_path(spark, n) for n in ("books", "products", "stock"))
+    dated = A.sales_raw(tt).withColumn("Purchase Date", F.date_format("Purchase Date", "yyyy-MM-dd"))
+    _sheet(dated, f"{books}/orders", "Orders")
+    _sheet(A.site_map_raw(tt), f"{books}/sites", J.SITE_MAP_SHEET)
+    A.product_raw(tt).drop("row_ord", "status").write.option("header", True).options(**RD.QUOTING).csv(products)
+    RD.land_stock_by_month(A.stock_raw(tt), stock)
+    paths = J.InputPaths(orders=f"{books}/orders", daily_stock=stock, site_mapping=f"{books}/sites", product=products,
+                         channel=CHANNEL_TH, format="workbook", formats={"daily_stock": "parquet", "product": "text"})
+    found = J.load_inputs(spark, paths, site_profile=A.TEST_CHANNEL)
+    prefix = "w" + uuid.uuid4().hex[:8] + "_"
+    J.register_views(found, prefix)
+    months = J.suggest_month_from_path(spark, stock, "parquet")
+    return spark.sql(f"""
+        SELECT p.sku, p.product_name, p.status, o.lines, cast(o.quantity AS double) AS quantity, o.sites
+        FROM {prefix}product p JOIN (
+          SELECT sku, count(*) AS lines, sum(quantity) AS quantity, count(DISTINCT stock_code) AS sites FROM {prefix}orders
+          WHERE stock_code IN (SELECT virtual_site FROM {prefix}site_map) GROUP BY sku) o ON o.sku = p.sku
+        """).withColumn("stock_months", months.select(F.size(F.split("month_hints", ","))).scalar())
+
+
+def q_snapshot_files(spark, sf_dir):
+    """I9 as a job: A10 SKU list from a CSV, K4 rows per channel in a folder named by the dates, H7 order,
+    K5 summary set; what is in the files against what the summary says."""
+    tt = _tt(spark, sf_dir)
+    skus, out = scratch_path(spark, "sku-list"), scratch_path(spark, "snapshot")
+    A.snapshot_sku_filter(tt).write.option("header", True).options(**RD.QUOTING).csv(skus)
+    job = SJ.run_snapshot_job(spark, A.warehouse_stock(tt), A.snapshot_channel_sites(tt), RD.read_delimited(spark, skus),
+                              A.SNAPSHOT_START, A.SNAPSHOT_END, out, csv=True, sheet_name="Live SKUs", input_path="sku list")
+    rows = spark.read.option("header", True).options(**RD.QUOTING).csv(f"{job.rows_path}_csv")
+    at = F.struct(RD.natural_name(F.col("_metadata.file_path")).alias("file"), F.monotonically_increasing_id().alias("line"))
+    key = F.struct("posting_date", "location", "article_code")
+    before = F.lag(key).over(Window.partitionBy("channel", "file").orderBy("at"))
+    ordered = rows.select("channel", "posting_date", "location", "article_code", "stock_balance", at.alias("at"),
+                          F.col("_metadata.file_path").alias("file")).withColumn("in_order", F.coalesce(before <= key, F.lit(True)))
+    files = ordered.groupBy("channel").agg(
+        F.count(F.lit(1)).alias("file_rows"), F.sum(F.col("stock_balance").cast("decimal(38,2)")).cast("double").alias("balance"),
+        F.every("in_order").alias("in_order"))
+    folder = SJ.snapshot_folder("", A.SNAPSHOT_START, A.SNAPSHOT_END).strip("/")
+    return (job.summary.join(files, "channel", "left")
+            .select("channel", "label", "sheet_name", "input_path", "sku_count", "site_code_count", "row_count",
+                    F.coalesce("file_rows", F.lit(0)).alias("file_rows"), F.coalesce("balance", F.lit(0.0)).alias("balance"),
+                    "in_order", F.regexp_extract("output_csv_path", "/([^/]*)/rows_csv/", 1).alias("folder"),
+                    (F.lit(folder) == F.regexp_extract("output_csv_path", "/([^/]*)/rows_csv/", 1)).alias("named_by_dates")))
+
+
+def q_summary_csv(spark, sf_dir):
+    """K2 + K6 + B32: the site summary exported in its order under the run's name, and read back."""
+    name = sinks.output_name(A.TEST_CHANNEL, A.test_config().period)
+    path = f"{scratch_path(spark, 'export')}/{name}/summary_site_csv"
+    sinks.export_csv(R.summary_site(_one_channel_detail(spark, sf_dir)), path, "summary_site")
+    rows = RD.read_delimited(spark, path)
+    return rows.select(F.lit(name).alias("run"), "virtual_site", *[
+        F.col(c).cast("double").alias(c) for c in rows.columns if c != "virtual_site"])
+
+
+def q_input_findings_paths(spark, sf_dir):
+    """I4 by path: no path, nothing there, a format that is none and a file that is not what is said."""
+    tt = _tt(spark, sf_dir)
+    text, stock = scratch_path(spark, "site-text"), scratch_path(spark, "stock")
+    A.site_map_raw(tt).write.option("header", True).csv(text)
+    A.stock_raw(tt).write.parquet(stock)
+    cases = {
+        "absent": J.InputPaths(orders="", daily_stock=stock, site_mapping=text, product=f"{text}-none", channel=CHANNEL_TH,
+                               formats={"daily_stock": "parquet"}),
+        "broken": J.InputPaths(orders=stock, daily_stock=stock, site_mapping=text, product=text, channel=CHANNEL_TH,
+                               formats={"orders": "xls", "daily_stock": "parquet", "product": "parquet"}),
+    }
+    return reduce(DataFrame.unionByName, [
+        J.check_paths(spark, p).where("code not like 'site_mapping%'").select(F.lit(name).alias("case"), "dataset", "severity", "code")
+        for name, p in cases.items()])
+
+
+def q_failed_run(spark, sf_dir):
+    """A run whose site map knows no site of the channel fails, and says so in the run log."""
+    tt = _tt(spark, sf_dir)
+    folder = scratch_path(spark, "failed")
+    A.sales_raw(tt).write.parquet(f"{folder}/orders")
+    A.stock_raw(tt).write.parquet(f"{folder}/stock")
+    A.site_map_raw(tt).write.parquet(f"{folder}/sites")
+    A.product_raw(tt).write.parquet(f"{folder}/products")
+    paths = J.InputPaths(orders=f"{folder}/orders", daily_stock=f"{folder}/stock", site_mapping=f"{folder}/sites",
+                         product=f"{folder}/products", channel=CHANNEL_TH, format="parquet")
+    try:
+        J.run_from_paths(spark, paths, A.test_config(), f"{folder}/out", csv=False, run_log=f"{folder}/log")
+    except ValueError:
+        pass
+    return spark.read.parquet(f"{folder}/log").drop("logged_at")
 
 
 QUERIES: dict[str, QueryFn] = {
@@ -494,6 +642,14 @@ QUERIES: dict[str, QueryFn] = {
     "channel_keys": q_channel_keys,
     "text_round_trip": q_text_round_trip,
     "report_order": q_report_order,
+    "append_then_model": q_append_then_model,
+    "append_then_model_by_month": q_append_then_model_by_month,
+    "orders_export_utf16": q_orders_export_utf16,
+    "workbook_inputs": q_workbook_inputs,
+    "snapshot_files": q_snapshot_files,
+    "summary_csv": q_summary_csv,
+    "input_findings_paths": q_input_findings_paths,
+    "failed_run": q_failed_run,
     "input_findings_broken": q_input_findings_broken,
     "quality_gate_broken": q_quality_gate_broken,
     "input_staleness": q_input_staleness,

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators import model as M
 from ..operators import quality as Q
-from ..profiles import ModelConfig, get_profile
+from ..profiles import ChannelProfile, ModelConfig, get_profile
 from ..sources import loaders as L
 from ..sources import readers as RD
 from ..sources.contracts import SLOT_LABELS, SLOTS, contract_for
@@ -50,14 +50,11 @@ class InputPaths:
 
 
 def with_file_order(df: DataFrame) -> DataFrame:
-    """Attach ``row_ord``: the file's name and the place in it.
+    """Attach ``row_ord``, the place in the files (``readers.file_place``).
 
-    Spark packs files into partitions by size, so a plain row number would not
-    follow the files' order.  Used to break "first row" ties (F1, F2, E4) the
-    way the reference's file order does.
+    Used to break "first row" ties (F1, F2, E4) the way the reference's file order does.
     """
-    return df.withColumn("row_ord", F.struct(F.input_file_name().alias("file"),
-                                             F.monotonically_increasing_id().alias("line")))
+    return df.withColumn("row_ord", RD.file_place())
 
 
 def read_orders(spark: SparkSession, path: str, channel: str, fmt: str = "text") -> DataFrame:
@@ -127,7 +124,8 @@ def _ordered(x):
     return x if "row_ord" in x.columns else with_file_order(x)
 
 
-def load_inputs(spark: SparkSession, paths: InputPaths) -> M.ModelInputs:
+def load_inputs(spark: SparkSession, paths: InputPaths, site_profile: ChannelProfile | None = None) -> M.ModelInputs:
+    """The four inputs, normalised; ``site_profile`` says which sites count where not the channel's own."""
     channel = get_profile(paths.channel).key
     orders = L.load_orders(_ordered(read_orders(spark, paths.orders, channel, paths.format_of("orders"))), channel)
     if paths.orders_actual:
@@ -140,7 +138,7 @@ def load_inputs(spark: SparkSession, paths: InputPaths) -> M.ModelInputs:
         orders=orders,
         stock=L.load_daily_stock(read_table(spark, paths.daily_stock, fmt=paths.format_of("daily_stock"))),
         site_map=L.load_site_map(read_table(spark, paths.site_mapping, SITE_MAP_SHEET,
-                                            paths.format_of("site_mapping")), channel),
+                                            paths.format_of("site_mapping")), site_profile or channel),
     )
 
 

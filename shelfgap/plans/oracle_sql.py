@@ -547,11 +547,52 @@ FROM (SELECT p_partkey, ['TH', ' king-power CN', 'King_Power_CN', 't/h t', 'KPCN
 SELECT s.sku, concat('12", "', p.product_name, '", big') AS product_name, p.status, s.posting_date,
        CAST(sum(s.stock_balance) AS DOUBLE) AS balance
 FROM stock_n s JOIN product p ON p.sku = s.sku GROUP BY ALL""")
-    q["report_order"] = sql("""
-SELECT 'summary_site' AS dataset, CAST(row_number() OVER (ORDER BY lost_value_net_raw DESC, virtual_site) AS INTEGER) AS place,
-       virtual_site AS item FROM summary_site
-UNION ALL
-SELECT 'summary_sku', CAST(row_number() OVER (ORDER BY lost_value_net_raw DESC, sku) AS INTEGER), sku FROM summary_sku""")
+    place = "CAST(row_number() OVER (ORDER BY {by}) AS BIGINT) AS place"
+    q["report_order"] = sql(f"""
+SELECT 'detail' AS dataset, {place.format(by='lost_value_net_raw DESC, sku, virtual_site')},
+       concat(sku, ' | ', virtual_site) AS item FROM detail
+UNION ALL SELECT 'summary_site', {place.format(by='lost_value_net_raw DESC, virtual_site')}, virtual_site FROM summary_site
+UNION ALL SELECT 'summary_sku', {place.format(by='lost_value_net_raw DESC, sku')}, sku FROM summary_sku
+UNION ALL SELECT 'unmapped_sites', {place.format(by='"rows" DESC, site_code')}, site_code FROM unmapped""")
+    appended = sql("SELECT * FROM detail").replace(
+        "FROM orders_n WHERE NOT excluded_prefix_p GROUP BY sku, stock_code)",
+        "FROM (SELECT DISTINCT * FROM orders_n) WHERE NOT excluded_prefix_p GROUP BY sku, stock_code)")
+    q["append_then_model"] = q["append_then_model_by_month"] = appended
+    q["orders_export_utf16"] = sql("""
+SELECT purchase_date, sku, stock_code, CAST(quantity AS DOUBLE) AS quantity, CAST(gross AS DOUBLE) AS gross,
+       CAST(net AS DOUBLE) AS net,
+       concat('12"', chr(9), product_name, chr(10), '"second" line', chr(10), 'กระเป๋า') AS product_name, excluded_prefix_p
+FROM orders_n""")
+    q["workbook_inputs"] = sql("""
+SELECT p.sku, p.product_name, 'unknown' AS status, o.lines, CAST(o.quantity AS DOUBLE) AS quantity, o.sites,
+       CAST((SELECT count(DISTINCT strftime(posting_date, '%Y-%m')) FROM stock_n) AS INTEGER) AS stock_months
+FROM product p JOIN (
+  SELECT sku, count(*) AS lines, sum(quantity) AS quantity, count(DISTINCT stock_code) AS sites FROM orders_n
+  WHERE stock_code IN (SELECT virtual_site FROM site_map) GROUP BY sku) o ON o.sku = p.sku""")
+    q["snapshot_files"] = sql("""
+SELECT c.channel, upper(c.channel) AS label, 'Live SKUs' AS sheet_name, 'sku list' AS input_path,
+       CAST((SELECT count(*) FROM sku_f) AS BIGINT) AS sku_count, CAST(c.site_code_count AS BIGINT) AS site_code_count,
+       CAST(coalesce(r.row_count, 0) AS BIGINT) AS row_count, CAST(coalesce(r.row_count, 0) AS BIGINT) AS file_rows,
+       CAST(coalesce(r.balance, 0) AS DOUBLE) AS balance, CASE WHEN r.row_count > 0 THEN true END AS in_order,
+       'daily_stock - 1998-06-01_to_1998-06-30' AS folder, true AS named_by_dates
+FROM (SELECT channel, count(*) AS site_code_count FROM ch_sites GROUP BY channel) c
+LEFT JOIN (SELECT channel, count(*) AS row_count, sum(CAST(stock_balance AS DECIMAL(38,2))) AS balance FROM snap GROUP BY channel) r
+  ON r.channel = c.channel""")
+    q["summary_csv"] = sql("""
+SELECT 'OOS_Opportunity_Lost_TPCH_1998-06_V5' AS run, virtual_site, CAST(sku_site_rows_eval AS DOUBLE) AS sku_site_rows_eval,
+       * EXCLUDE (virtual_site, sku_site_rows_eval) FROM summary_site""")
+    q["input_findings_paths"] = sql("""
+SELECT 'absent' AS "case", 'sales' AS dataset, 'error' AS severity, 'missing_staged_path' AS code
+UNION ALL SELECT 'absent', 'sku_live', 'error', 'missing_staged_file'
+UNION ALL SELECT 'broken', 'sales', 'error', 'unsupported_format'
+UNION ALL SELECT 'broken', 'sku_live', 'error', 'unreadable_file'
+UNION ALL SELECT c, 'stock', 'warning', 'multiple_month_hints' FROM (VALUES ('absent'), ('broken')) v(c)
+  WHERE (SELECT count(DISTINCT strftime(posting_date, '%Y-%m')) FROM stock_n) > 1""")
+    q["failed_run"] = sql("""
+SELECT 'th' AS channel, '1998-06' AS period, false AS ok, 'failed' AS status, 0 AS detail_row_count,
+       0 AS qa_summary_row_count, 0 AS unmapped_site_count, 0.0 AS lost_value_net_raw, 'ValueError' AS error_type,
+       'the site map has no active row for channel TH' AS error_message
+FROM (SELECT 1) WHERE (SELECT count(*) FROM site_map WHERE virtual_site IN (""" + ", ".join(f"'{x}'" for x in TH_SITES) + """)) = 0""")
     q["input_fingerprint"] = sql(" UNION ALL ".join([
         fingerprint("sales", "orders_n", ["purchase_date", "sku", "stock_code", "CAST(quantity AS DECIMAL(18,2))",
                                           "CAST(gross AS DECIMAL(18,2))", "CAST(net AS DECIMAL(18,4))",

@@ -1,20 +1,22 @@
 """Result sinks and read-back checks.
 
-Datasets are Parquet folders partitioned by ``channel`` and ``period``; one
-run overwrites only its own partitions, each as a whole.  Writes happen on the
-executors; nothing is collected.  Ordered CSV exports for people are optional
+Datasets are Parquet folders partitioned by ``channel`` and ``period``, in a folder
+of their run.  Writes happen on the executors; nothing is collected.  Ordered CSV exports for people are optional
 (a global sort is a range shuffle, so it is only paid when asked for).
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .profiles import ChannelProfile, export_code
-from .sources.readers import QUOTING
+from .session import scratch_path
+from .sources.readers import QUOTING, list_folder
 
 # --- fixed values: report sheet names and output naming -------------------
 SHEETS = {
@@ -108,6 +110,11 @@ def write_partitioned(df: DataFrame, path: str, channel: str, period: str) -> st
     return path
 
 
+def is_complete(spark: SparkSession, folder: str) -> bool:
+    """Whether a write to the folder has ended well: an empty result is complete, a missing one is not."""
+    return "_SUCCESS" in (list_folder(spark, folder) or [])
+
+
 def written_schema(df: DataFrame) -> T.StructType:
     """Schema of a dataset as written: its columns plus the partition columns."""
     fields = [f for f in df.schema.fields if f.name not in ("channel", "period")]
@@ -132,9 +139,29 @@ def sort_columns(dataset: str) -> list[Column]:
     return [F.desc(c) if desc else F.asc(c) for c, desc in SORT_KEYS.get(dataset, [])]
 
 
+ROW_BITS = 33       # of monotonically_increasing_id: the row in its partition; above it the partition
+
+
 def with_place(df: DataFrame, dataset: str) -> DataFrame:
-    """``place``: where each row stands in the dataset's order (H1-H4), from 1."""
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*sort_columns(dataset))))
+    """``place``: where each row stands in the dataset's order (H1-H4), from 1.
+
+    The rows are dealt out by ranges of the order, sorted inside their
+    partitions and landed with their place there, so that what follows sees the
+    same ranges.  The rows of the partitions before are then added: one number
+    a partition, summed at the driver.  No row passes through a single task.
+    """
+    spark, keys = df.sparkSession, sort_columns(dataset)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    path = scratch_path(spark, f"place-{dataset}")
+    (df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+     .withColumn("_at", F.monotonically_increasing_id()).write.parquet(path))
+    landed = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", ROW_BITS))
+    counts = sorted((r["_part"], r["count"]) for r in landed.groupBy("_part").count().collect())
+    ends = accumulate(n for _, n in counts)
+    offsets = spark.createDataFrame([(part, end - n) for (part, n), end in zip(counts, ends)], "_part long, _before long")
+    local = F.col("_at").bitwiseAND((1 << ROW_BITS) - 1)
+    return (landed.join(F.broadcast(offsets), "_part")      # a row per partition
+            .select(*df.columns, (local + F.col("_before") + 1).alias("place")))
 
 
 def export_csv(df: DataFrame, path: str, dataset: str) -> str:
@@ -147,12 +174,15 @@ def export_csv(df: DataFrame, path: str, dataset: str) -> str:
 
 def verify_written(spark: SparkSession, counts: dict[str, int], paths: dict[str, str], channel: str,
                    period: str, schemas: dict[str, T.StructType]) -> None:
-    """K7: every dataset's partition of this run opens and holds the rows that were written.
+    """K7: every dataset's partition of this run is complete, opens and holds the rows that were written.
 
     Uses the same filesystem layer as the writes, so it works for any shared store.
     """
     wrong = []
     for name, want in counts.items():
+        if not is_complete(spark, partition_path(paths[name], channel, period)):
+            wrong.append(f"{name} was not written to its end")
+            continue
         try:
             have = read_partition(spark, paths[name], channel, period, schemas[name]).count()
         except AnalysisException as e:

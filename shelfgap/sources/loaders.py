@@ -1,7 +1,8 @@
 """Normalize raw inputs into the four logical tables (SURVEY §1.2, A3, A7, A8,
 A16, B1-B16, C1-C4, F1-F3, F5-F7, I14, I15).
 
-Each loader is ``DataFrame -> DataFrame`` and lazy.  Raw frames carry the
+Each loader is ``DataFrame -> DataFrame`` and lazy, but for the landed dictionary of
+an order table's date texts.  Raw frames carry the
 reference's raw column names; text columns are typed with ``try_cast`` and
 typed columns (Parquet) are kept as they are.  An optional ``row_ord`` column
 on a raw frame stands for file order and breaks "first row" ties.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
-from ..functions.dates import best_coverage_timestamp, month_first_timestamp, to_day
+from ..functions.dates import month_first_timestamp, to_day, with_best_timestamp
 from ..profiles import CHANNEL_TH, STOCK_CODE_REPLACE, ChannelProfile, get_profile
 from .contracts import (SHEET_PRODUCT_COLUMNS, SHEET_SALES_COLUMNS, SHEET_SALES_RENAME,
                         SITE_MAP_COLUMNS, STOCK_COLUMNS, TH_PRODUCT_COLUMNS, TH_SALES_COLUMNS,
@@ -148,7 +149,7 @@ def merge_ranked_products(sheets: dict[str, DataFrame]) -> DataFrame:
 
 def load_products(raw_or_sheets, channel=CHANNEL_TH) -> DataFrame:
     profile = get_profile(channel)
-    if profile.key == CHANNEL_TH:
+    if not profile.sheets_of("sku_live"):
         return load_product_list(raw_or_sheets)
     missing = [s for s in profile.sheets_of("sku_live") if s not in raw_or_sheets]
     if missing:
@@ -165,13 +166,13 @@ def rename_sheet_orders(raw: DataFrame) -> DataFrame:
 
 def load_orders(raw: DataFrame, channel=CHANNEL_TH) -> DataFrame:
     """A3 + B5 + B6 + B8 + C2 + C4: normalized order lines."""
-    profile = get_profile(channel)
-    if profile.key != CHANNEL_TH:
+    if get_profile(channel).sheets_of("sales"):
         raw = rename_sheet_orders(raw)
     require_columns(raw, TH_SALES_COLUMNS, "OrderDetail")
     types = {f.name: f.dataType for f in raw.schema.fields}
+    raw = with_best_timestamp(raw, "Purchase Date", "_purchase_date")
     cols = [
-        best_coverage_timestamp(raw, "Purchase Date").alias("purchase_date"),
+        F.col("_purchase_date").alias("purchase_date"),
         C.clean_id("Sku", types["Sku"]).alias("sku"),
         C.normalize_stock_code("stock", STOCK_CODE_REPLACE).alias("stock_code"),
         C.parse_number("Quantity", types["Quantity"]).alias("quantity"),

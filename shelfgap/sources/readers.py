@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,15 +32,84 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str
             .csv(path))
 
 
-def read_orders_export(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def natural_name(path: Column) -> Column:
+    """A path whose numbers compare by value: part-2 stands before part-10."""
+    padded = F.regexp_replace(path, "([0-9]+)", "0" * 20 + "$1")
+    return F.regexp_replace(padded, "[0-9]*([0-9]{20})", "$1")
+
+
+def file_place() -> Column:
+    """Where a row stands: its file in natural order, the start of its split, and the place there.
+
+    Spark packs splits into partitions by size, so row numbers alone would follow neither the
+    files' order nor that of a large file's splits.  For frames read from files only.
+    """
+    return F.struct(natural_name(F.col("_metadata.file_path")).alias("file"),
+                    F.col("_metadata.file_block_start").alias("split"),
+                    F.monotonically_increasing_id().alias("line"))
+
+
+def read_quoted_records(spark: SparkSession, path: str, names: list[str], sep: str, encoding: str,
+                        quote: str = '"') -> DataFrame:
+    """Delimited records whose quoted fields may hold line ends, read by many tasks.
+
+    A line end inside quotes ends no record, and whether a line starts inside
+    quotes depends on all lines before it.  Two passes find out:
+
+    1. per split, how many of its lines hold an odd number of quotes; the sums
+       of these over the splits before give each split's start,
+    2. inside each split, the running number of such lines before a line.
+
+    Where that number is even the line starts outside quotes.  Halved, it
+    numbers the records that take several lines, so those lines (and no others)
+    are brought together, also over the border of splits.  Each file's first
+    record is its header line and is left out.  Quotes must come in pairs, as
+    RFC 4180 asks.  ``row_ord`` is the place of a record's first line.
+    """
+    raw = (spark.read.option("encoding", encoding).option("lineSep", "\n").text(path)
+           .select(file_place().alias("place"), F.decode(F.col("value").cast("binary"), encoding).alias("text")))
+    lines = raw.select("place", F.regexp_replace("text", "^\ufeff", "").alias("text"))
+    quotes = F.length("text") - F.length(F.replace("text", F.lit(quote), F.lit("")))
+    lines = lines.select("place.file", "place.split", "place", "text", (quotes % 2).alias("odd"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (lines.groupBy("file", "split").agg(F.sum("odd").alias("odd"))
+              .select("file", "split", F.coalesce(F.sum("odd").over(before), F.lit(0)).alias("start")))
+    inside = Window.partitionBy("file", "split").orderBy("place.line")
+    seen = F.coalesce(F.sum("odd").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = (lines.join(starts, ["file", "split"])
+             .select("file", "place", "text", "odd", (F.col("start") + seen).alias("seen"),
+                     ((F.col("split") == 0) & (F.row_number().over(inside) == 1)).alias("header"))
+             .where(~F.col("header")))
+    whole = (F.col("odd") == 0) & (F.col("seen") % 2 == 0)
+    parts = F.array_sort(F.collect_list(F.struct("place", "text")))
+    joined = (lines.where(~whole).groupBy("file", F.floor(F.col("seen") / 2).alias("number")).agg(parts.alias("parts"))
+              .select(F.col("parts")[0]["place"].alias("row_ord"),
+                      F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text")))
+    records = lines.where(whole).select(F.col("place").alias("row_ord"), "text").unionByName(joined)
+    # as in Spark's own reader of such files, line ends inside quotes become line feeds
+    records = records.withColumn("text", F.replace(F.regexp_replace("text", "\r$", ""), F.lit("\r\n"), F.lit("\n")))
+    schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
+    fields = F.from_csv(F.col("text"), _ddl(schema),
+                        {"sep": sep, "multiLine": "true", "mode": "PERMISSIVE", **QUOTING})
+    return (records.where("text <> ''")
+            .select(fields.alias("f"), "row_ord").select("f.*", "row_ord"))
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema.fields)
+
+
+def read_orders_export(spark: SparkSession, path: str, multiline: bool = False,
+                       quoted_newlines: bool = False) -> DataFrame:
     """A1: UTF-16 tab-separated order export, split across tasks.
 
     Spark's default line reader splits on the byte 0x0A, which cuts UTF-16 code
     units apart; with the encoding's byte order and an explicit line separator
     the reader splits on the encoded newline instead, so one large export is
     read by many tasks.  The byte order comes from the BOM seen in the header;
-    the BOM and a CR before the line end are removed.  ``multiline=True`` keeps
-    the single-task reader for exports whose quoted fields contain newlines.
+    the BOM and a CR before the line end are removed.  With ``quoted_newlines``
+    quoted fields may hold line ends and the export is still read by many tasks
+    (``read_quoted_records``); ``multiline=True`` is the single-task reader of the same.
     """
     if multiline:
         return read_delimited(spark, path, sep="\t", encoding="UTF-16", multiline=True)
@@ -50,10 +119,14 @@ def read_orders_export(spark: SparkSession, path: str, multiline: bool = False)
                 .option("sep", "\t").option("encoding", encoding).option("lineSep", "\n")
                 .options(**QUOTING).csv(path))
 
-    df = read("UTF-16LE")
+    encoding = "UTF-16LE"
+    df = read(encoding)
     if df.columns and df.columns[0].startswith("\ufffe"):   # BOM read backwards
-        df = read("UTF-16BE")
+        encoding = "UTF-16BE"
+        df = read(encoding)
     names = [c.lstrip("\ufeff").rstrip("\r") for c in df.columns]
+    if quoted_newlines:
+        return read_quoted_records(spark, path, names, "\t", encoding)
     df = df.toDF(*names)
     last = names[-1]
     return df.withColumn(last, F.regexp_replace(F.col(f"`{last}`"), "\r$", ""))
@@ -143,9 +216,9 @@ def land_orders_by_month(raw_orders: DataFrame, path: str) -> str:
     """Store order lines partitioned by ``purchase_month`` (yyyy-MM of the
     best-coverage reading of ``Purchase Date``): queries that only need the
     baseline windows then read 13 months instead of the whole history."""
-    from ..functions.dates import best_coverage_timestamp, month_bucket
-    month = month_bucket(F.to_date(best_coverage_timestamp(raw_orders, "Purchase Date")))
-    return land_as_parquet(raw_orders.withColumn("purchase_month", month), path,
+    from ..functions.dates import month_bucket, with_best_timestamp
+    read = with_best_timestamp(raw_orders, "Purchase Date", "purchase_month")
+    return land_as_parquet(read.withColumn("purchase_month", month_bucket(F.to_date("purchase_month"))), path,
                            ["purchase_month"])
 
 
