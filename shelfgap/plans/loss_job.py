@@ -30,8 +30,8 @@ from ..publishing import publish, published, versions
 
 
 def _excluded(seen: Observation) -> float | None:
-    """The observed count; None where the plan needed none of the rows, so nothing was seen."""
-    n = seen.get.get("excluded")
+    """The observed count; None where the plan needed none of the rows, so that it is still to be taken."""
+    n = sinks.observed(seen, "excluded")
     return None if n is None else float(n)
 
 
@@ -81,7 +81,7 @@ def run_loss_job(spark: SparkSession, inputs: M.ModelInputs, cfg: ModelConfig,
         # counted by the write itself, not by a second evaluation
         seen, df = sinks.observed_rows(df)
         sinks.write_partitioned(df, paths[name], channel, period)
-        schemas[name], counts[name] = sinks.written_schema(df), seen.get["rows"]
+        schemas[name], counts[name] = sinks.written_schema(df), sinks.observed(seen, "rows") or 0
         back = sinks.read_partition(spark, paths[name], channel, period,
                                     schemas[name]).drop("channel", "period")
         if csv and name in sinks.SHEETS:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from itertools import accumulate
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +95,14 @@ def observed_rows(df: DataFrame) -> tuple[Observation, DataFrame]:
     return seen, df.observe(seen, F.count(F.lit(1)).alias("rows"))
 
 
+def observed(seen: Observation, name: str):
+    """What was observed; None where the optimiser found that no row comes by, so nothing was."""
+    try:
+        return seen.get[name]
+    except Py4JJavaError:
+        return None
+
+
 def partition_path(path: str, channel: str, period: str) -> str:
     return f"{path.rstrip('/')}/channel={channel}/period={period}"
 
