@@ -18,16 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import text_or_empty
 
 MARK = "▁"              # stands for a space in pieces
 BAD = "�"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6   # fixed values: types of pieces
-MEMO_WORDS = 500_000         # words that a worker remembers
+MEMO_WORDS = 300_000         # words that a worker remembers
 LONG_CHARS = 256             # longer words are merged by themselves
 CHUNK_BYTES = 1 << 20        # of text that is encoded between two emissions
 
@@ -426,8 +425,12 @@ def _codec(shared) -> Codec:
     return held["codec"]
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
-    """The input's rows with ``ids`` (array<int>), ``starts`` and ``ends`` (array<long>).
+def _fields(rows: DataFrame, leave_out: str | None = None) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != leave_out)
+
+
+def encode(docs: DataFrame, model_path: str, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """The input's rows with ``ids``, ``starts`` and ``ends`` (array<int>); without the text unless ``keep_text``.
 
     Ids equal the library's plain encoding without begin or end ids.  A piece
     stands for the bytes ``starts`` to ``ends`` of the text; of the bytes of a
@@ -444,45 +447,45 @@ def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     names = ("ids", "starts", "ends")
     if set(names) & set(docs.columns):
         raise ValueError(f"rename the columns {names} first")
-    shared = _shared(docs, model_path)
+    shared, place = _shared(docs, model_path), docs.columns.index(text)
 
     def run(it):
         codec = _codec(shared)
         for batch in it:
-            texts = batch.column(0)
+            texts = batch.column(place)
             _, offsets = tk.binary_parts(texts)
+            kept = batch if keep_text else batch.drop_columns([text])
             for a, b in tk.doc_chunks(offsets, CHUNK_BYTES):
-                *columns, pieces = codec.encode_all(texts.slice(a, b - a).to_pylist())
+                ids, starts, ends, pieces = codec.encode_all([t or "" for t in texts.slice(a, b - a).to_pylist()])
                 bounds = pa.array(np.concatenate(([0], np.cumsum(pieces))), pa.int32())
-                lists = [pa.ListArray.from_arrays(bounds, pa.array(c)) for c in columns]
-                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[1:]], *lists],
-                                                 names=[*batch.schema.names[1:], *names])
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(c.astype(np.int32))) for c in (ids, starts, ends)]
+                yield pa.RecordBatch.from_arrays([*kept.slice(a, b - a).columns, *lists],
+                                                 names=[*kept.schema.names, *names])
 
-    rows = docs.select(text_or_empty(text).alias("_text"), *[F.col(f"`{c}`") for c in docs.columns])
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.mapInArrow(run, f"{kept}, ids array<int>, starts array<long>, ends array<long>")
+    return docs.mapInArrow(run, _fields(docs, None if keep_text else text)
+                           + "ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode(rows: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """The input's rows with their ids' text in column ``out``.
+    """The input's rows with the text of their ids in column ``out``, which takes the place of the ids.
 
     Null and empty lists give an empty text, null ids are left out, and bytes
     that form no character become U+FFFD.  Ids that the model lacks are an
     error.  Rows keep their other columns; empty tables give an empty result.
     """
-    if out in rows.columns:
+    if out in rows.columns and out != ids:
         raise ValueError(f"rename the column {out} first")
-    shared = _shared(rows, model_path)
+    shared, place = _shared(rows, model_path), rows.columns.index(ids)
 
     def run(it):
         codec = _codec(shared)
         for batch in it:
-            lists = batch.column(0)
-            texts = [codec.decode(lists[i].values.drop_null().to_numpy(zero_copy_only=False))
-                     if lists[i].is_valid else "" for i in range(len(lists))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())],
-                                             names=[*batch.schema.names[1:], out])
-
-    given = rows.select(F.col(ids).cast("array<int>").alias("_ids"), *[F.col(f"`{c}`") for c in rows.columns])
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return given.mapInArrow(run, f"{kept}, `{out}` string")
+            lists, kept = batch.column(place), batch.drop_columns([ids])
+            sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)
+            for a, b in tk.doc_chunks(np.concatenate(([0], np.cumsum(sizes))), CHUNK_BYTES):
+                texts = [codec.decode(x.values.drop_null().to_numpy(zero_copy_only=False)) if x.is_valid else ""
+                         for x in lists.slice(a, b - a)]
+                yield pa.RecordBatch.from_arrays([*kept.slice(a, b - a).columns, pa.array(texts, pa.string())],
+                                                 names=[*kept.schema.names, out])
+
+    return rows.mapInArrow(run, _fields(rows, ids) + f"`{out}` string")

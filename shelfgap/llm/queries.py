@@ -89,12 +89,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = piece_codec.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
-    rows = piece_codec.decode(encoded, model)
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                       F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
-                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-                       F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).alias("n_source_bytes"))
+    encoded = piece_codec.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model, keep_text=False)
+    ids = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+                         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+                         F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).alias("n_source_bytes"))
+    return (piece_codec.decode(ids, model)
+            .withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

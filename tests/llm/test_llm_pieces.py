@@ -89,19 +89,21 @@ def test_long_words_are_merged_by_themselves(library, codec):
 
 def test_awkward_rows_and_clashing_names(spark, library):
     docs = documents(spark)
-    rows = pc.decode(pc.encode(docs, PATH), PATH)
-    assert rows.columns == [*docs.columns, "ids", "starts", "ends", "decoded"]
-    got = rows.collect()
+    encoded = pc.encode(docs, PATH)
+    assert encoded.columns == [*docs.columns, "ids", "starts", "ends"]
+    again = encoded.withColumn("n", encoded["ids"])
+    got = pc.decode(again, PATH, ids="n").collect()
     assert len(got) == docs.count()
     for r in got:
         text = r["text"] or ""
         assert list(r["ids"]) == library.encode(text)
         assert r["decoded"] == library.decode(list(r["ids"]))
         assert (r["ends"][-1] if r["ends"] else 0) == len(text.encode())
+    assert "text" not in pc.encode(docs, PATH, keep_text=False).columns
     with pytest.raises(ValueError):
         pc.encode(docs.withColumnRenamed("key", "ids"), PATH)
     with pytest.raises(ValueError):
-        pc.decode(rows, PATH)
+        pc.decode(encoded.withColumnRenamed("n", "decoded"), PATH)
 
 
 def test_empty_table_and_null_ids(spark, library):
