@@ -27,14 +27,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import free_shuffles, land, prefilter, shuffle_partitions, text_or_empty
+from .common import BROADCAST_ROWS, free_shuffles, land, prefilter, shuffle_partitions, text_or_empty
 
 MIN_BYTES = 200
-EMIT_ENTRIES = 1_500_000     # positions hashed between emissions; bounds a task's memory
+CHUNK_BYTES = 1 << 20        # of text hashed at once
+SLICE = 1 << 18              # positions looked up at once
+EMIT_ENTRIES = 1_000_000     # positions held between emissions; with the two above it bounds a task's memory
+BUCKET_BYTES = 16 << 20      # of text per bucket at most: buckets grow in number, not in size
 # fixed values: perfect difference sets by modulus
 COVERS = {
     7: (0, 1, 3),
@@ -72,6 +76,9 @@ class _Batch:
 
     def clear(self):
         self.keys: dict[int, int] = {}
+        self.clear_entries()
+
+    def clear_entries(self):
         self.hashes, self.buckets, self.docs, self.places, self.entries = [], [], [], [], 0
 
     def add(self, hashes, buckets, docs, places):
@@ -93,7 +100,7 @@ class _Batch:
         keys = np.array(list(self.keys), np.int64)
         h, bucket = np.concatenate(self.hashes), np.concatenate(self.buckets)
         docs, places = np.concatenate(self.docs), np.concatenate(self.places)
-        self.clear()
+        self.clear_entries()
         if not len(h):
             return []
         order = np.argsort(h, kind="stable")
@@ -102,7 +109,7 @@ class _Batch:
         many = np.empty(len(h), bool)
         many[order] = np.repeat(sizes > 1, sizes)
         marked = order[at[sizes > 1]]
-        del order
+        del order, at, sizes
         stored = h.astype(np.uint32) if width == 4 else h
         out = []
 
@@ -142,7 +149,7 @@ def _texts(batch: pa.RecordBatch, held: _Batch):
     """Chunks of distinct texts: (bytes, offsets, document numbers, row numbers)."""
     buf, off = tk.binary_parts(batch.column("text"))
     keys = batch.column("key").to_pylist()
-    for a, b in tk.doc_chunks(off):
+    for a, b in tk.doc_chunks(off, CHUNK_BYTES):
         rows = []
         for i in range(a, b):
             if keys[i] not in held.keys:
@@ -159,17 +166,26 @@ def _texts(batch: pa.RecordBatch, held: _Batch):
 
 
 def _probe(buckets: int, width: int, positions):
-    """Map side: ``positions(batch, rows, offsets)`` gives (flat positions, places, length to hash)."""
+    """Map side: ``positions(batch, rows, offsets)`` gives (flat positions, length to hash)."""
     def run(it):
         held = _Batch()
         for batch in it:
             for buf, off, rows, docs in _texts(batch, held):
-                at, places, depth = positions(batch, rows, off)
-                h = tk.Spans(buf).hash(at, at + depth)
-                other = tk.Spans(buf, second=True).hash(at, at + depth) if width == 8 else tk.mix(h + tk.BASE)
-                held.add(h, tk.bucket_of(other, buckets), docs[np.searchsorted(off, at, "right") - 1], places)
-                if held.entries >= EMIT_ENTRIES and (rows_out := held.rows(buckets, width)):
-                    yield _record(rows_out, FIELDS)
+                at, depth = positions(batch, rows, off)
+                first = tk.Spans(buf)
+                second = tk.Spans(buf, second=True) if width == 8 and len(at) else None
+                for i in range(0, len(at), SLICE):
+                    own = at[i:i + SLICE]
+                    h = first.hash(own, own + depth)
+                    other = second.hash(own, own + depth) if second else tk.mix(h + tk.BASE)
+                    doc = np.searchsorted(off, own, "right") - 1
+                    held.add(h, tk.bucket_of(other, buckets), docs[doc], own - off[doc])
+                    if held.entries >= EMIT_ENTRIES and (rows_out := held.rows(buckets, width)):
+                        yield _record(rows_out, FIELDS)
+                if held.entries >= EMIT_ENTRIES // 2 or len(held.keys) >= EMIT_ENTRIES:
+                    if rows_out := held.rows(buckets, width):
+                        yield _record(rows_out, FIELDS)
+                    held.clear()
         if rows_out := held.rows(buckets, width):
             yield _record(rows_out, FIELDS)
     return run
@@ -182,10 +198,13 @@ def _sampled(min_bytes: int):
 
     def positions(batch, rows, off):
         n = np.diff(off)
-        local = np.arange(off[-1]) - np.repeat(off[:-1], n)
-        ok = inside[local % v] & (local <= np.repeat(np.where(n >= min_bytes, n - depth, -1), n))
-        at = np.flatnonzero(ok)
-        return at, local[at], depth
+        # a text is longer than 32 bits only where it is alone in its chunk
+        small = np.int32 if off[-1] < 1 << 31 else np.int64
+        local = np.arange(off[-1], dtype=small) - np.repeat(off[:-1].astype(small), n)
+        ok = local <= np.repeat(np.where(n >= min_bytes, n - depth, -1).astype(small), n)
+        local %= v
+        ok &= inside[local]
+        return np.flatnonzero(ok), depth
     return positions
 
 
@@ -204,9 +223,7 @@ def _suspects(min_bytes: int):
             good = hi >= lo
             np.add.at(change, off[i] + lo[good], 1)
             np.add.at(change, off[i] + hi[good] + 1, -1)
-        at = np.flatnonzero(np.cumsum(change[:-1]) > 0)
-        doc = np.searchsorted(off, at, "right") - 1
-        return at, at - off[doc], min_bytes
+        return np.flatnonzero(np.cumsum(change[:-1], dtype=np.int32) > 0), min_bytes
     return positions
 
 
@@ -294,8 +311,7 @@ def _sort_bucket(width: int, buckets: int):
     return run
 
 
-def _find(rows: DataFrame, positions, width: int, name: str) -> DataFrame:
-    buckets = shuffle_partitions(rows.sparkSession)
+def _find(rows: DataFrame, positions, width: int, buckets: int, name: str) -> DataFrame:
     found = (rows.mapInArrow(_probe(buckets, width, positions), ASK).repartition(buckets, "bucket")
              .mapInArrow(_sort_bucket(width, buckets), FOUND).repartition(buckets, "bucket")
              .mapInArrow(_gather, "key long, ties binary"))
@@ -304,16 +320,43 @@ def _find(rows: DataFrame, positions, width: int, name: str) -> DataFrame:
     return found
 
 
-def repeated_places(docs: DataFrame, min_bytes: int = MIN_BYTES, text: str = "text") -> DataFrame:
+def _with(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined with landed ``keys`` on key; they are broadcast where their count is within BROADCAST_ROWS."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, "key", how)
+
+
+def copied_texts(docs: DataFrame, doc_id: str, min_bytes: int, text: str) -> tuple[DataFrame, int]:
+    """(key, row) of the texts of ``min_bytes`` or more that several rows hold, with the one row that
+    stands for them; and the bytes of all such texts, counted in the same pass."""
+    full = text_or_empty(text)
+    seen = Observation()
+    rows = docs.select(F.xxhash64(full).alias("key"), F.xxhash64(F.col(doc_id)).alias("row"),
+                       F.octet_length(full).cast("long").alias("n")).where(F.col("n") >= min_bytes)
+    copies = (rows.observe(seen, F.coalesce(F.sum("n"), F.lit(0)).alias("bytes")).groupBy("key")
+              .agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row")).where("copies > 1"))
+    copies = land(copies.select("key", "row"), "dedup-copies")
+    try:
+        return copies, int(seen.get["bytes"])
+    except Py4JJavaError:      # the optimiser found that there are no rows, so none were observed
+        return copies, 0
+
+
+def repeated_places(docs: DataFrame, min_bytes: int = MIN_BYTES, text: str = "text", doc_id: str = "doc_id",
+                    copied: tuple[DataFrame, int] | None = None) -> DataFrame:
     """(key, ties): per distinct text (key = xxhash64 of it) the starts of strings that start elsewhere too.
 
     Starts that repeat only because the whole text has exact copies are left
-    out; ``remove_repeats`` settles copies by themselves.
+    out; ``remove_repeats`` settles copies by themselves.  Of a copied text one
+    row alone takes part, so copies do not move.
     """
-    rows = docs.select(text_or_empty(text).alias("text")).where(F.octet_length("text") >= min_bytes)
-    rows = rows.select(F.xxhash64("text").alias("key"), "text")
-    ties = _find(rows, _sampled(min_bytes), 4, "dedup-ties")
-    return _find(prefilter(rows, ties, "key").join(ties, "key"), _suspects(min_bytes), 8, "dedup-places")
+    copies, size = copied or copied_texts(docs, doc_id, min_bytes, text)
+    buckets = max(shuffle_partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
+    rows = docs.select(text_or_empty(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("row"))
+    rows = rows.where(F.octet_length("text") >= min_bytes).withColumn("key", F.xxhash64("text"))
+    rows = _with(rows, copies.select("key", F.col("row").alias("stands")), "left")
+    rows = rows.where("stands is null or stands = row").select("key", "text")
+    ties = _find(rows, _sampled(min_bytes), 4, buckets, "dedup-ties")
+    return _find(prefilter(rows, ties, "key").join(ties, "key"), _suspects(min_bytes), 8, buckets, "dedup-places")
 
 
 def _cut(min_bytes: int):
@@ -360,20 +403,21 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, doc_id: str = "d
 
     last = "kept_sha256" if digest else "kept"
     full = text_or_empty(text)
-    places = repeated_places(docs, min_bytes, text)
+    copies, size = copied_texts(docs, doc_id, min_bytes, text)
+    places = repeated_places(docs, min_bytes, text, doc_id, (copies, size))
+    # copies go whole: their texts need not be cut, so each key that is cut stands in one row
+    places = land(_with(places, copies.select("key"), "left_anti"), "dedup-cuts")
     texts = docs.select(F.xxhash64(full).alias("key"), full.alias("text"))
     cut = (prefilter(texts, places, "key").join(places, "key")
            .mapInArrow(_cut(min_bytes), "key long, n_removed long, n_spans long, kept binary")
-           .select("key", "n_removed", "n_spans", out(F.col("kept"))).dropDuplicates(["key"]))
+           .select("key", "n_removed", "n_spans", out(F.col("kept")).alias("left")))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(full).alias("key"),
                        F.octet_length(full).cast("long").alias("n_bytes"), out(full.cast("binary")))
-    copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    cut = cut.withColumnRenamed(last, "left")
-    known = rows.join(cut.join(copies, "key", "full"), "key", "left")
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= min_bytes)
     empty = F.lit(b"")
-    return known.select(
-        F.col("doc_id").alias(doc_id), "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, F.sha2(empty, 256) if digest else empty).otherwise(F.coalesce("left", last)).alias(last))
+    whole = _with(rows, copies.select("key"), "left_semi").select(
+        F.col("doc_id").alias(doc_id), "n_bytes", F.col("n_bytes").alias("n_removed"),
+        F.lit(1).cast("long").alias("n_spans"), (F.sha2(empty, 256) if digest else empty).alias(last))
+    single = _with(rows, copies.select("key"), "left_anti").join(cut, "key", "left")
+    return whole.unionByName(single.select(
+        F.col("doc_id").alias(doc_id), "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("left", last).alias(last)))
