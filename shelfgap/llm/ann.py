@@ -11,12 +11,14 @@ result is exact.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import land, shuffle_partitions
+from .common import land, shared_folder, shuffle_partitions
 
 K = 20
 QUERY_BLOCK = 1024
@@ -24,8 +26,8 @@ CANDIDATE_BLOCK = 4096
 PASS_BYTES = 32 << 20        # of packed queries that are broadcast at once
 PAIRS_AT_ONCE = 50_000
 EXACT_DIMS = 1040            # products of so many int8 pairs are exact in a float's 24 bits
-BLOCKS = "dim int, ids binary, vectors binary"
-_BLOCK_SCHEMA = pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
+BLOCKS = "dim int, ids binary, first binary, vectors binary"
+_BLOCK_SCHEMA = pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("first", pa.binary()), ("vectors", pa.binary())])
 
 
 def usable(vector: Column) -> Column:
@@ -35,10 +37,20 @@ def usable(vector: Column) -> Column:
 
 
 def _clean(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """(vec_id, v as doubles) of the rows that take part; of rows with one id the least vector."""
+    """(vec_id, v as doubles) of the rows that take part."""
     v = F.col(vector).cast("array<double>")
     return (rows.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
-            .where(F.col("vec_id").isNotNull() & usable(F.col("v"))).groupBy("vec_id").agg(F.min("v").alias("v")))
+            .where(F.col("vec_id").isNotNull() & usable(F.col("v"))))
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """All rows, each of those repeated whole too; ``first`` marks one of those that share id and vector.
+
+    A query leaves out the first row of its own id and vector, and only that.
+    """
+    counted = rows.groupBy("vec_id", "v").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    return counted.select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(
+        "vec_id", "v", (F.col("copy") == 1).alias("first"))
 
 
 def _pack(size: int, keep: int | None):
@@ -47,42 +59,44 @@ def _pack(size: int, keep: int | None):
     Equal vectors have equal scores, and ties go to smaller ids, so a copy
     beyond the ``keep`` smallest of its block is never among the nearest.
     """
-    def block(dim, ids, parts):
-        ids, v = np.array(ids, np.int64), np.concatenate(parts).reshape(-1, dim)
+    def block(dim, ids, first, parts):
+        ids, first, v = np.array(ids, np.int64), np.array(first, bool), np.concatenate(parts).reshape(-1, dim)
         if keep:
-            order = np.argsort(ids, kind="stable")
-            ids, v = ids[order], v[order]
+            order = np.lexsort((~first, ids))
+            ids, first, v = ids[order], first[order], v[order]
             same = np.unique(v, axis=0, return_inverse=True)[1].ravel()
             order = np.argsort(same, kind="stable")
             start = np.searchsorted(same[order], same[order])
             order = np.sort(order[np.arange(len(ids)) - start < keep])
-            ids, v = ids[order], v[order]
+            ids, first, v = ids[order], first[order], v[order]
         return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.tobytes()]),
-                                           pa.array([v.tobytes()])], schema=_BLOCK_SCHEMA)
+                                           pa.array([first.tobytes()]), pa.array([v.tobytes()])], schema=_BLOCK_SCHEMA)
 
     def run(it):
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[int, tuple[list, list, list]] = {}
         for batch in it:
             col = batch.column("v")
             values = np.asarray(col.flatten())
             ends = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.list_value_length(col)))))
+            flags = batch.column("first").to_pylist()
             for i, vec_id in enumerate(batch.column("vec_id").to_pylist()):
                 dim = int(ends[i + 1] - ends[i])
-                ids, parts = held.setdefault(dim, ([], []))
+                ids, first, parts = held.setdefault(dim, ([], [], []))
                 ids.append(vec_id)
+                first.append(flags[i])
                 parts.append(values[ends[i]:ends[i + 1]])
                 if len(ids) >= size:
                     yield block(dim, *held.pop(dim))
-        for dim, (ids, parts) in held.items():
-            yield block(dim, ids, parts)
+        for dim, lists in held.items():
+            yield block(dim, *lists)
     return run
 
 
 class _Side:
     """A block with its int8 form: x = scale * q + residual."""
 
-    def __init__(self, dim: int, ids: bytes, vectors: bytes):
-        self.ids = np.frombuffer(ids, np.int64)
+    def __init__(self, dim: int, ids: bytes, first: bytes, vectors: bytes):
+        self.ids, self.first = np.frombuffer(ids, np.int64), np.frombuffer(first, bool)
         self.v = np.frombuffer(vectors, np.float64).reshape(-1, dim)
         top = np.abs(self.v).max(axis=1)
         self.scale = np.maximum(top / 127.0, np.finfo(np.float64).tiny)
@@ -137,7 +151,9 @@ def _tile(a: _Side, b: _Side, heaps: _Heaps):
     near = _products(a, b) * a.scale[:, None] * b.scale[None, :]
     error = a.length[:, None] * b.rest[None, :] + a.rest[:, None] * (b.length + b.rest)[None, :]
     error += 1e-12 * (a.length + a.rest)[:, None] * (b.length + b.rest)[None, :]
-    own = a.ids[:, None] == b.ids[None, :]
+    row, col = np.nonzero((a.ids[:, None] == b.ids[None, :]) & b.first[None, :])
+    same = (a.v[row] == b.v[col]).all(axis=1)
+    own = row[same], col[same]
     near[own] = -np.inf
     lower = near - error
     known = heaps.floor()
@@ -146,12 +162,13 @@ def _tile(a: _Side, b: _Side, heaps: _Heaps):
     del lower
     near += error
     near[own] = -np.inf
-    row, col = np.nonzero((near >= known[:, None]) & ~own)
+    row, col = np.nonzero((near >= known[:, None]) & (near > -np.inf))
     for i in range(0, len(row), PAIRS_AT_ONCE):
         r, c = row[i:i + PAIRS_AT_ONCE], col[i:i + PAIRS_AT_ONCE]
         heaps.push(r, inner(a.v[r], b.v[c]), b.ids[c])
 
 
+FOUND = "query_id long, rank int, vec_id long, score double"
 HEAPS = "part long, query_ids binary, scores binary, ids binary"
 
 
@@ -165,10 +182,10 @@ def _join(k: int):
         last, side = None, None
         for batch in it:
             for r in range(batch.num_rows):
-                dim, ids, vectors, part, q_ids, q_vectors = (batch.column(i)[r].as_py() for i in range(6))
-                if ids != last:
-                    last, side = ids, _Side(dim, ids, vectors)
-                queries = _Side(dim, q_ids, q_vectors)
+                dim, ids, first, vectors, part, q_ids, q_first, q_vectors = (batch.column(i)[r].as_py() for i in range(8))
+                if (ids, first) != last:
+                    last, side = (ids, first), _Side(dim, ids, first, vectors)
+                queries = _Side(dim, q_ids, q_first, q_vectors)
                 if part not in heaps:
                     heaps[part] = (queries.ids, _Heaps(len(queries.ids), k))
                 _tile(queries, side, heaps[part][1])
@@ -206,35 +223,37 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = K, vec_id: str =
            vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest candidates by inner product.
 
-    A query's own id is no candidate.  Ties go to the smaller id; fewer than k
-    candidates give fewer rows.  Vectors that are null, empty, zero or hold null
-    or non-finite components take no part, nor do null ids; vectors of different
-    length do not meet; of repeated ids the least vector counts.  Empty tables
+    All rows are candidates but the query's own, that is one row of its id and
+    vector: rows that share the id with another vector count, and so do further
+    copies of the row.  Of rows with one query id the least vector asks.  Ties
+    go to the smaller id; fewer than k candidates give fewer rows.  Vectors that
+    are null, empty, zero or hold null or non-finite components take no part,
+    nor do null ids; vectors of different length do not meet.  Empty tables
     give an empty result.  Only the two named columns are read.
 
-    Packed queries are broadcast in passes of PASS_BYTES, so the broadcast has
-    one size however many there are; candidates are read once a pass.
+    Packed queries are broadcast in passes of PASS_BYTES, each landed in one
+    folder, so the broadcast and the plan keep their size however many there
+    are; candidates are read once a pass.
     """
     spark = candidates.sparkSession
 
     def packed(rows: DataFrame, size: int, keep: int | None) -> DataFrame:
         n = rows.count()
-        return (_clean(rows, vec_id, vector).repartition(max(1, -(-n // size)))
-                .mapInArrow(_pack(size, keep), BLOCKS))
+        return rows.repartition(max(1, -(-n // size))).mapInArrow(_pack(size, keep), BLOCKS)
 
-    blocks = land(packed(candidates, CANDIDATE_BLOCK, k + 1), "ann-blocks")
-    asked = land(packed(queries, QUERY_BLOCK, None).withColumn("part", F.monotonically_increasing_id()),
+    blocks = land(packed(_candidates(_clean(candidates, vec_id, vector)), CANDIDATE_BLOCK, k + 1), "ann-blocks")
+    asking = _clean(queries, vec_id, vector).groupBy("vec_id").agg(F.min("v").alias("v"), F.lit(True).alias("first"))
+    asked = land(packed(asking, QUERY_BLOCK, None).withColumn("part", F.monotonically_increasing_id()),
                  "ann-queries")
-    sizes = asked.groupBy().agg(F.sum(F.length("vectors")).alias("s"), F.count(F.lit(1)).alias("n")).first()
-    passes = max(1, -(-int(sizes["s"] or 0) // PASS_BYTES))
-    found = None
+    size = asked.agg(F.sum(F.length("vectors")).alias("s")).first()["s"]
+    passes = max(1, -(-int(size or 0) // PASS_BYTES))
+    path = f"{shared_folder(spark)}/llm-ann-found-{uuid.uuid4().hex}"
     for i in range(passes):
         own = (asked.where(F.pmod(F.xxhash64("part"), F.lit(passes)) == i)
-               .select("dim", "part", F.col("ids").alias("q_ids"),
+               .select("dim", "part", F.col("ids").alias("q_ids"), F.col("first").alias("q_first"),
                        F.col("vectors").alias("q_vectors")))
         tiles = (blocks.join(F.broadcast(own), "dim")     # about PASS_BYTES
-                 .select("dim", "ids", "vectors", "part", "q_ids", "q_vectors"))
+                 .select("dim", "ids", "first", "vectors", "part", "q_ids", "q_first", "q_vectors"))
         heaps = tiles.mapInArrow(_join(k), HEAPS).repartition(shuffle_partitions(spark), "part")
-        ranked = heaps.mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
-        found = ranked if found is None else found.union(ranked)
-    return found
+        heaps.mapInArrow(_merge(k), FOUND).write.mode("append").parquet(path)
+    return spark.read.schema(FOUND).parquet(path)

@@ -16,15 +16,17 @@ letters, digits and non-ASCII bytes becomes one space.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textkit as tk
-from .common import row_key, text_or_empty, without_rows
+from .common import row_key, shared_folder, text_or_empty, without_rows
 
 ERROR_SHARE = 0.1
 SEED_BYTES = 8               # the most of a piece that is looked up; no item's budget depends on it
@@ -225,22 +227,29 @@ def matches(docs: DataFrame, items: DataFrame, share: float = ERROR_SHARE, doc_i
 
     An item of m normalised bytes is found with up to ``share`` * m errors, rounded down, whatever m is.
     ``end`` is where the match ends in the normalised document, in bytes.  A
-    document is searched whole.  Null or empty documents and items match
-    nothing; repeated documents each get their rows, repeated items theirs.
-    Empty tables give an empty result.  Only the named columns are read.
+    document is searched whole.  Ids of either side keep their types.  Null or
+    empty documents and items match nothing; repeated documents each get their
+    rows, repeated items theirs.  Items are found inside words too: one of a
+    single letter is in every document that holds the letter.  Empty tables
+    give an empty result.  Only the named columns are read, so others may have
+    any name.
 
     Items are read in blocks of about BLOCK_BYTES, one block at the driver at a
-    time; each block is broadcast and searched in all documents.
+    time; each is broadcast, searched in all documents and its finds landed
+    before the next is read, so plan and memory keep their size.
     """
     if not 0 <= share < 1:
         raise ValueError("share is from 0 to less than 1: with 1, any text would hold any item")
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
-    bench = items.select(F.col(item_id).cast("long").alias("item_id"), text_or_empty(item_text).alias("t"))
+    bench = items.select(F.col(item_id).alias("item_id"), text_or_empty(item_text).alias("t"))
     size = bench.agg(F.sum(F.octet_length("t")).alias("s")).first()["s"] or 0
     blocks = max(1, -(-int(size) // BLOCK_BYTES))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = None
+    item_type = bench.schema["item_id"].dataType
+    arrow_type = to_arrow_type(item_type)
+    found = f"doc_id {kind}, item_id {item_type.simpleString()}, distance int, end long"
+    path = f"{shared_folder(spark)}/llm-decontaminate-found-{uuid.uuid4().hex}"
     for b in range(blocks):
         own = bench.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)) == b).collect()
         shared = spark.sparkContext.broadcast([(r["item_id"], normalise_text(r["t"])) for r in own])
@@ -256,13 +265,13 @@ def matches(docs: DataFrame, items: DataFrame, share: float = ERROR_SHARE, doc_i
                         doc, number, distance, end = zip(*out)
                         yield pa.RecordBatch.from_arrays(
                             [batch.column("doc_id").take(pa.array([lo + d for d in doc])),
-                             pa.array([index.items[n][0] for n in number], pa.int64()),
+                             pa.array([index.items[n][0] for n in number], arrow_type),
                              pa.array(distance, pa.int32()), pa.array(end, pa.int64())],
                             names=["doc_id", "item_id", "distance", "end"])
 
-        part = rows.mapInArrow(run, f"doc_id {kind}, item_id long, distance int, end long")
-        found = part if found is None else found.union(part)
-    return found.withColumnRenamed("doc_id", doc_id)
+        rows.mapInArrow(run, found).write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.schema(found).parquet(path).withColumnRenamed("doc_id", doc_id)
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -117,6 +117,27 @@ def test_decontaminate_edge_cases(spark):
     assert decontaminate.matches(documents(spark), bench.limit(0)).collect() == []
 
 
+def test_ids_of_items_keep_their_type(spark):
+    docs = spark.createDataFrame([("d1", "a long passage of the test"), ("d2", "nothing")], "doc_id string, text string")
+    items = [("x-1", "long passage"), (None, "of the test")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = decontaminate.matches(docs, bench)
+    assert dict(got.dtypes)["item_id"] == "string"
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {("d1", "x-1"), ("d1", None)}
+    assert decontaminate.clean(docs, bench).collect()[0]["doc_id"] == "d2"
+
+
+def test_a_matchs_plan_keeps_its_size(spark, monkeypatch):
+    from test_plans import plan_text
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(20)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"number {i}") for i in range(20)], "item_id long, text string")
+    one = decontaminate.matches(docs, bench)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40)
+    many = decontaminate.matches(docs, bench)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+    assert len(plan_text(one).splitlines()) == len(plan_text(many).splitlines())
+
+
 def test_decontaminate_query_finds_every_exact_passage(spark):
     got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op8_decontaminate"](spark, SF).collect()}
     docs = [(r["doc_id"], decontaminate.normalise_text(r["text"]))
@@ -126,12 +147,15 @@ def test_decontaminate_query_finds_every_exact_passage(spark):
     assert {(d, i) for d, t in docs for i, x in items if x in t} <= got
 
 
-def nearest(vectors, q, k):
+def nearest(rows, q, own, k):
+    """All rows are candidates but one that has the query's id and vector."""
+    others = list(rows)
+    others.remove((q, own))
     out = []
-    for i, v in vectors.items():
-        if i != q and len(v) == len(vectors[q]):
+    for i, v in others:
+        if len(v) == len(own):
             total = 0.0
-            for a, b in zip(vectors[q], v):
+            for a, b in zip(own, v):
                 total += a * b
             out.append((-total, i))
     return [(i, -s) for s, i in sorted(out)[:k]]
@@ -140,17 +164,18 @@ def nearest(vectors, q, k):
 def check(spark, data, k, monkeypatch, **blocks):
     for name, value in blocks.items():
         monkeypatch.setattr(ann, name, value)
-    frame = spark.createDataFrame(data, "vec_id long, embedding array<float>, score string, rank string")
-    vectors = {}
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<float>, score string, first string")
+    rows, asking = [], {}
     for i, v, *_ in data:
         if i is None or not v or any(x is None or not np.isfinite(x) for x in v) or not any(v):
             continue
         v = [float(np.float32(x)) for x in v]
-        vectors[i] = min(v, vectors.get(i, v))
+        rows.append((i, v))
+        asking[i] = min(v, asking.get(i, v))
     got = {}
     for r in ann.search(frame, frame.where("vec_id % 20 = 0"), k).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    want = {q: nearest(vectors, q, k) for q in vectors if q % 20 == 0}
+    want = {q: nearest(rows, q, own, k) for q, own in asking.items() if q % 20 == 0}
     assert {q: [(i, s) for _, i, s in sorted(x)] for q, x in got.items()} == {q: w for q, w in want.items() if w}
     assert all([r for r, _, _ in sorted(x)] == list(range(1, len(x) + 1)) for x in got.values())
 
@@ -163,6 +188,26 @@ def test_search_is_exact(spark, monkeypatch):
     check(spark, data, 20, monkeypatch, QUERY_BLOCK=16, CANDIDATE_BLOCK=64, PASS_BYTES=3000, PAIRS_AT_ONCE=500)
 
 
+def test_rows_that_share_an_id_are_all_candidates(spark, monkeypatch):
+    data = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [5.0, 0.0]), (1, [5.0, 0.0]), (0, [7.0, 1.0]), (0, [1.0, 0.0]),
+            (20, [0.0, 1.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (2, [0.0, 1.0])]
+    data += [(3, [0.5, 0.5])] * 40                     # a row repeated more often than is asked for
+    check(spark, [(i, v, None, None) for i, v in data], 4, monkeypatch, CANDIDATE_BLOCK=7)
+    check(spark, [(i, v, None, None) for i, v in data], 60, monkeypatch, CANDIDATE_BLOCK=7)
+
+
+def test_plan_and_broadcast_keep_their_size(spark, monkeypatch):
+    from test_plans import plan_text
+    rng = np.random.default_rng(2)
+    sizes = []
+    for n in (40, 400):
+        monkeypatch.setattr(ann, "PASS_BYTES", 1000)
+        monkeypatch.setattr(ann, "QUERY_BLOCK", 4)
+        frame = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(n)], "vec_id long, embedding array<float>")
+        sizes.append(len(plan_text(ann.search(frame, frame)).splitlines()))
+    assert sizes[0] == sizes[1]
+
+
 def test_search_edge_cases(spark, monkeypatch):
     nan, inf = float("nan"), float("inf")
     data = [(0, [1.0, 2.0], None, None), (20, [0.0, 0.0], None, None), (40, None, None, None), (60, [], None, None),
@@ -179,7 +224,7 @@ def test_search_edge_cases(spark, monkeypatch):
 def test_products_are_exact_beyond_a_floats_digits():
     rng = np.random.default_rng(1)
     v = rng.choice([-1.0, 1.0], (6, 5000))
-    side = ann._Side(5000, np.arange(6).tobytes(), v.tobytes())
+    side = ann._Side(5000, np.arange(6).tobytes(), np.ones(6, bool).tobytes(), v.tobytes())
     assert (ann._products(side, side) == side.q.astype(np.int64) @ side.q.astype(np.int64).T).all()
 
 
