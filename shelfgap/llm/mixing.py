@@ -7,11 +7,12 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import land, text_or_empty
+from .common import BROADCAST_ROWS, land, text_or_empty
 
 STEPS = 32       # sections of the exponent's interval in a round of the search
 ROUNDS = 4       # 32 ** 4 points: the exponent is exact to one millionth
 BLOCK_TOKENS = 200_000
+PIECES = 4096    # parts of a source's permutation of blocks
 
 
 def _tokens(text: str) -> Column:
@@ -20,6 +21,11 @@ def _tokens(text: str) -> Column:
     return F.greatest(words, F.lit(1)).cast("long")
 
 
+def _source_key(source: Column) -> Column:
+    """The source as a text that is never null."""
+    return F.concat(F.when(source.isNull(), "0").otherwise("1"), F.coalesce(source.cast("string"), F.lit("")))
+
+
 def fit_exponent(sources: DataFrame, target_entropy: float | None = None,
                  max_repeat: float | None = None, budget_tokens: float | None = None) -> float:
     """The exponent a in [0, 1] for shares p ** a / sum(p ** a), by sectioning its interval.
@@ -89,46 +95,80 @@ def plan(docs: DataFrame, target_entropy: float | None = None, max_repeat: float
                           repeats.alias("repeats"), F.lit(a).alias("exponent"))
 
 
+def _free(names: tuple[str, ...], taken: list[str]) -> list[str]:
+    """The names, with underscores before them until none is taken (in any case of letters)."""
+    have, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def _dealt(rows: DataFrame, spark) -> DataFrame:
+    """``rows`` with ``copy``: 0, but a number of its own for each row of a repeated place.
+
+    Rows of one place are landed with their numbers, so these stay the same
+    whenever the rows are read again.
+    """
+    repeated = land(rows.groupBy("place").count().where("count > 1").select("place"), "mix-repeated")
+    single = rows.withColumn("copy", F.lit(0).cast("long"))
+    few = repeated.count()
+    if not few:
+        return single
+    keys = F.broadcast(repeated) if few <= BROADCAST_ROWS else repeated
+    copies = land(rows.join(keys, "place", "left_semi").withColumn("copy", F.monotonically_increasing_id()), "mix-copies")
+    return single.join(keys, "place", "left_anti").unionByName(copies)
+
+
 def mix(docs: DataFrame, target_entropy: float | None = None, max_repeat: float | None = None,
         budget_tokens: float | None = None, doc_id: str = "doc_id", source: str = "source",
         text: str = "text", block_tokens: int = BLOCK_TOKENS, seed: str = "mix") -> DataFrame:
-    """The input's rows with ``_mix_epoch`` and ``_mix_block``: one row per use of a document.
+    """The input's rows with ``_mix_epoch``, ``_mix_block`` and ``_mix_tokens``: one row per use of a document.
 
     A source with repeats r is used in floor(r) whole epochs; the rest of its
     budget takes whole blocks of a permutation and, of the block at the limit,
     documents in their order until the tokens before a document reach the
     budget.  Blocks hold about ``block_tokens`` tokens; a document's block and
-    its place there come from a hash of its id and text, so rows with equal id
-    and text share a place and are ordered by it alone.
-
-    Running sums are taken over a source's blocks, and inside each block: no
-    source's documents pass through one task.  Null sources are one source.
-    Null or empty texts count one token.  An empty table gives an empty result.
-    Columns of the input keep their names and values.
+    its place there come from a hash of its id and text, and for rows that
+    share both also from a number of their own, so they spread over the blocks.
+
+    Running sums are taken over a source's blocks, in PIECES parts, and inside
+    each block: no source's documents or blocks pass through one task.  Null
+    sources are one source.  Null or empty texts count one token.  An empty
+    table gives an empty result.  Columns of the input keep their names and
+    values; where one has a name of ours, ours gets underscores before it.
     """
-    key = F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit("")))
+    spark = docs.sparkSession
     p = plan(docs, target_entropy, max_repeat, budget_tokens, source, text).select(
-        key.alias("_mix_source"), F.col("tokens").alias("_mix_total"), F.col("repeats").alias("_mix_repeats"))
+        _source_key(F.col("source")).alias("source"), F.col("tokens").alias("total"), "repeats")
     place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"),
                            F.md5(text_or_empty(text).cast("binary"))).cast("binary"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("_mix_total") / F.lit(block_tokens)))
-    own = F.concat(F.when(F.col(source).isNull(), "0").otherwise("1"),
-                   F.coalesce(F.col(source).cast("string"), F.lit("")))
-    rows = (docs.withColumn("_mix_source", own).withColumn("_mix_tokens", _tokens(text))
-            .withColumn("_mix_place", place).join(p, "_mix_source")
-            .withColumn("_mix_block", F.pmod(F.conv(F.substring("_mix_place", 1, 12), 16, 10).cast("long"),
-                                             blocks.cast("long"))))
-    permuted = Window.partitionBy("_mix_source").orderBy(
-        F.md5(F.concat(F.lit(f"{seed}:"), F.col("_mix_block").cast("string")).cast("binary")), "_mix_block")
-    offsets = (rows.groupBy("_mix_source", "_mix_block").agg(F.sum("_mix_tokens").alias("n"))
-               .select("_mix_source", "_mix_block", F.coalesce(F.sum("n").over(
-                   permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_mix_before")))
-    in_block = (Window.partitionBy("_mix_source", "_mix_block").orderBy("_mix_place")
-                .rowsBetween(Window.unboundedPreceding, -1))
-    run = F.col("_mix_before") + F.coalesce(F.sum("_mix_tokens").over(in_block), F.lit(0))
-    part = (F.col("_mix_repeats") - F.floor("_mix_repeats")) * F.col("_mix_total")
-    uses = (F.floor("_mix_repeats") + F.when(run < part, 1).otherwise(0)).cast("int")
-    return (rows.join(offsets, ["_mix_source", "_mix_block"]).withColumn("_mix_uses", uses)
-            .where("_mix_uses > 0")
-            .withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_mix_uses") - 1)))
-            .select(*docs.columns, "_mix_epoch", "_mix_block", "_mix_tokens"))
+    rows = _dealt(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                              _source_key(F.col(source)).alias("source"), _tokens(text).alias("tokens"),
+                              place.alias("place")), spark)
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(block_tokens))).cast("long")
+    spread = F.when(F.col("copy") == 0, F.conv(F.substring("place", 1, 12), 16, 10).cast("long")).otherwise(
+        F.xxhash64("place", "copy"))
+    rows = rows.join(p, "source").withColumn("block", F.pmod(spread, blocks))
+
+    until = (Window.unboundedPreceding, -1)
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("block").cast("string")).cast("binary"))
+    each = (rows.groupBy("source", "block").agg(F.sum("tokens").alias("n")).withColumn("order", order)
+            .withColumn("piece", F.conv(F.substring("order", 1, 6), 16, 10).cast("int") % PIECES))
+    pieces = each.groupBy("source", "piece").agg(F.sum("n").alias("n")).select(
+        "source", "piece", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("piece").rowsBetween(*until)),
+                                      F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("source", "piece").orderBy("order", "block").rowsBetween(*until)
+    offsets = each.join(pieces, ["source", "piece"]).select(
+        "source", "block", (F.col("ahead") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("before"))
+
+    in_block = Window.partitionBy("source", "block").orderBy("place", "copy").rowsBetween(*until)
+    run = F.col("before") + F.coalesce(F.sum("tokens").over(in_block), F.lit(0))
+    part = (F.col("repeats") - F.floor("repeats")) * F.col("total")
+    uses = (F.floor("repeats") + F.when(run < part, 1).otherwise(0)).cast("int")
+    epoch, block, tokens = _free(("_mix_epoch", "_mix_block", "_mix_tokens"), docs.columns)
+    return (rows.join(offsets, ["source", "block"]).withColumn("uses", uses).where("uses > 0")
+            .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)))
+            .select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("epoch").alias(epoch),
+                    F.col("block").alias(block), F.col("tokens").alias(tokens)))

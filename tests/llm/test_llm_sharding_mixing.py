@@ -77,8 +77,66 @@ def test_mixing_reaches_target_entropy_within_a_budget(spark):
     assert all(abs(got[s] - r["weight"]) < 0.01 for s, r in plan.items())
 
 
+def brute_mix(rows, max_repeat, block_tokens, seed="mix"):
+    """Uses of each row, by plain loops: plan, permuted blocks, places in blocks."""
+    def md5(x):
+        return hashlib.md5(x.encode()).hexdigest()
+
+    tokens = {s: 0 for _, _, s in rows}
+    counts = [max(1, len(t.split())) for _, t, _ in rows]
+    for (_, _, s), n in zip(rows, counts):
+        tokens[s] += n
+    total, most, least = sum(tokens.values()), max(tokens.values()), min(tokens.values())
+    low, high = 0.0, 1.0
+    for _ in range(60):                     # the smallest exponent that repeats no source too often
+        a = (low + high) / 2
+        low, high = (low, a) if (least / most) ** (a - 1) <= max_repeat + 1e-9 else (a, high)
+    repeats = {s: (n / most) ** (high - 1) for s, n in tokens.items()}
+    uses = Counter()
+    for s, n in tokens.items():
+        blocks = max(1, -(-n // block_tokens))
+        placed = []
+        for (i, t, own), k in zip(rows, counts):
+            if own == s:
+                place = md5(f"{seed}:{i}:{md5(t)}")
+                placed.append((int(place[:12], 16) % blocks, place, i, k))
+        permuted = sorted(range(blocks), key=lambda b: (int(md5(f"{seed}:{b}")[:6], 16) % mixing.PIECES, md5(f"{seed}:{b}"), b))
+        before = 0
+        for b in permuted:
+            for _, _, i, k in sorted(x for x in placed if x[0] == b):
+                uses[i] += int(repeats[s] + 1e-6) + (before < (repeats[s] + 1e-6) % 1 * n - 1e-3 * n)
+                before += k
+    return uses
+
+
+def test_mixing_equals_plain_loops(spark):
+    import random
+    pick = random.Random(4)
+    rows = [(i, " ".join("w" * pick.randint(1, 5) for _ in range(pick.randint(0, 30))), f"s{min(pick.randint(0, 9), 3)}")
+            for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter(r["doc_id"] for r in mixing.mix(docs, max_repeat=1.7, block_tokens=80).collect())
+    want = brute_mix(rows, 1.7, 80)
+    # the exponent is searched to one millionth: a document at the budget's edge may differ for each source
+    assert sum(got[i] != want[i] for i, *_ in rows) <= 2 * 4
+
+
 def test_mixing_edge_cases(spark):
-    docs = documents(spark, clashes=False)
-    rows = mixing.mix(docs, max_repeat=2.0).collect()
+    docs = documents(spark)
+    clashing = docs.withColumn("_mix_source", F.lit(7)).withColumn("_MIX_block", F.lit("b")).withColumn("block", F.lit(1))
+    out = mixing.mix(clashing, max_repeat=2.0)
+    assert out.columns == [*clashing.columns, "__mix_epoch", "__mix_block", "_mix_tokens"]
+    rows = out.select(*clashing.columns).collect()
     assert {(r["doc_id"], r["text"]) for r in rows} == set(TEXTS)
+    assert {(r["_mix_source"], r["_MIX_block"], r["block"]) for r in rows} == {(7, "b", 1)}
+    assert set(rows) == set(clashing.collect())
     assert mixing.mix(docs.limit(0), max_repeat=2.0).collect() == []
+
+
+def test_rows_that_share_id_and_text_spread_over_blocks(spark):
+    data = [(None, "", "a")] * 3000 + [(i, "w " * 3, "b") for i in range(100)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    rows = mixing.mix(docs, max_repeat=1.0, block_tokens=100).collect()
+    assert len(rows) == 3100
+    held = Counter(r["_mix_block"] for r in rows if r["source"] == "a")
+    assert len(held) == 30 and max(held.values()) < 200
