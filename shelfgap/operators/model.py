@@ -81,12 +81,15 @@ def site_names(site_map: DataFrame, channel: str | None = None) -> list[str]:
 
 def site_grid(skus: DataFrame, site_map: DataFrame) -> DataFrame:
     """Every SKU row once per (channel, virtual_site), its own channel's if it has one."""
+    if "channel" in skus.columns:
+        # a map from channel to its sites: no SKU is put under the sites of other channels
+        own = site_map.groupBy("channel").agg(F.sort_array(F.collect_set("virtual_site")).alias("sites"))
+        sites = own.select(F.map_from_entries(F.collect_list(F.struct("channel", "sites")))).scalar()
+        rows = skus.withColumn("virtual_site", F.explode(F.try_element_at(sites, F.col("channel"))))
+        return rows.select(*[c for c in skus.columns if c != "channel"], "channel", "virtual_site")
     site = F.struct("channel", "virtual_site")
     sites = site_map.select(F.sort_array(F.collect_set(site))).scalar()
-    rows = skus.withColumn("_site", F.explode(sites))
-    if "channel" in skus.columns:
-        rows = rows.filter(F.col("_site.channel") == F.col("channel"))
-    return rows.select(*[c for c in skus.columns if c != "channel"], "_site.channel", "_site.virtual_site")
+    return skus.withColumn("_site", F.explode(sites)).select(*skus.columns, "_site.channel", "_site.virtual_site")
 
 
 def _with_day_counts(grid: DataFrame, inputs: ModelInputs, cfg: ModelConfig,

@@ -41,6 +41,7 @@ REASON_MANY_MONTHS = ("The staged stock file spans multiple months. "
                       "Choose the evaluation month manually.")
 # ---------------------------------------------------------------------------
 MSG_UNPARSED = "%d value(s) of {field} are no date in any accepted layout."
+MSG_REJECTED = "%d line(s) were set aside: %s."
 MSG_NUMBERS = "%d value(s) of {field} are no number, or hold more digits than are kept."
 
 FINDING_SCHEMA = T.StructType([
@@ -223,6 +224,14 @@ def input_findings(raw: dict[str, DataFrame], channel: str,
     return reduce(DataFrame.unionByName, parts)
 
 
+def rejected_findings(rejected: DataFrame, dataset: str) -> DataFrame:
+    """I4: a finding per kind of rejected line (``readers.land_checked``), with their number."""
+    counts = rejected.groupBy("_state").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.lit(dataset).alias("dataset"), F.lit("warning").alias("severity"),
+                         F.concat(F.lit("rejected_lines_"), F.col("_state")).alias("code"),
+                         F.format_string(MSG_REJECTED, F.col("n"), F.col("_state")).alias("message"))
+
+
 def quality_gate(findings: DataFrame, supplied: list[str], required: Sequence[str] = ()) -> DataFrame:
     """Per dataset error/warning counts, readiness and blocking messages, plus an 'ALL' row.
 

