@@ -177,3 +177,71 @@ def test_edge_cases(spark, module):
     none = module.fit(docs.limit(0), labels.limit(0))
     assert len(module.score(docs, none).collect()) == len(TEXTS)
     assert module.score(docs.limit(0), none).collect() == []
+
+
+def test_pooled_vectors_match_a_loop(monkeypatch):
+    monkeypatch.setattr(quality, "POOLED_AT_ONCE", 7)
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(quality.ROWS, quality.DIM)).astype(np.float32)
+    weights = rng.random(quality.ROWS).astype(np.float32)
+    texts = ["", "one", "Two two, two", " ".join(f"w{i % 9}" for i in range(40)), "naïve — ünïcode!"]
+    raw = [t.encode() for t in texts]
+    off = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+    buf = np.frombuffer(b"".join(raw), np.uint8)
+    got = quality._pool(buf, off, vectors, weights)
+    token, bounds = quality._tokens(buf, off)
+    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+        mean, near = np.zeros(quality.DIM), np.zeros(quality.DIM)
+        own = [int(t) for t in token[a:b]]
+        for t in own:
+            mean += weights[t] * vectors[t]
+        for s, t in zip(own, own[1:]):
+            near += vectors[s] * vectors[t]
+        mean /= max(sum(float(weights[t]) for t in own), 1e-9)
+        near /= max(len(own) - 1, 1)
+        assert np.allclose(got[i], np.concatenate((mean, near)), atol=1e-4)
+
+
+def test_network_steps_match_plain_loops():
+    """Two epochs of the two-layer network by sums over rows and units, and the temperature by trying all."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(60, 5)), (rng.random(60) < 0.5).astype(float)
+    center, spread, w1, b1, w2, b2, temperature = quality.fit_network(x, y, epochs=2, seed=3)
+    own = np.random.default_rng(3)
+    hidden = quality.HIDDEN
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6)
+    share = (y.sum() + 0.5) / 61
+    p = {"w1": own.normal(0, 5 ** -0.5, (5, hidden)), "b1": np.zeros(hidden), "w2": np.zeros(hidden),
+         "b2": np.array(np.log(share / (1 - share)))}
+    aside = own.permutation(60)
+    hold, train = aside[:12], aside[12:]
+    first, second = {k: v * 0.0 for k, v in p.items()}, {k: v * 0.0 for k, v in p.items()}
+    for t in (1, 2):
+        rows = own.permutation(train)
+        g = {k: v * 0.0 for k, v in p.items()}
+        for r in rows:
+            h = [np.tanh(sum(z[r, i] * p["w1"][i, j] for i in range(5)) + p["b1"][j]) for j in range(hidden)]
+            out = sum(h[j] * p["w2"][j] for j in range(hidden)) + p["b2"]
+            err = (1 / (1 + np.exp(-out)) - y[r]) / len(rows)
+            g["b2"] = g["b2"] + err
+            for j in range(hidden):
+                g["w2"][j] += err * h[j]
+                d = err * p["w2"][j] * (1 - h[j] ** 2)
+                g["b1"][j] += d
+                for i in range(5):
+                    g["w1"][i, j] += z[r, i] * d
+        g["w1"] += 1e-4 * p["w1"]
+        g["w2"] += 1e-4 * p["w2"]
+        for k in p:
+            first[k] = 0.9 * first[k] + 0.1 * g[k]
+            second[k] = 0.999 * second[k] + 0.001 * g[k] ** 2
+            p[k] = p[k] - 0.01 * (1 - t / 3) * (first[k] / (1 - 0.9 ** t)) / (np.sqrt(second[k] / (1 - 0.999 ** t)) + 1e-8)
+    for mine, theirs in ((p["w1"], w1), (p["b1"], b1), (p["w2"], w2), (p["b2"], b2)):
+        assert np.allclose(mine, theirs, atol=1e-9)
+    logit = np.tanh(z[hold] @ w1 + b1) @ w2 + b2
+
+    def loss(s):
+        return np.mean([np.log(1 + np.exp(-v / s)) if k else np.log(1 + np.exp(v / s)) for v, k in zip(logit, y[hold])])
+
+    assert loss(temperature) <= min(loss(s) for s in np.exp(np.linspace(np.log(0.25), np.log(8), 81))) + 1e-12
+    assert np.allclose(center, x.mean(axis=0)) and np.allclose(spread, x.std(axis=0) + 1e-6)
