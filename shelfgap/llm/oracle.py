@@ -73,19 +73,20 @@ def op3() -> str:
     key = "(?:" + "|".join(map(_letters, ("password", "passwd", "secret", "token"))) + "|" + _letters("api") + "_?" + _letters("key") + ")"
     assign = key + r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
     value = (key + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""").replace("'", "''")
-    entropy = ("list_max([4.584962500721156 - list_sum([c * log2(c) FOR c IN map_values(list_aggregate("
-               "string_split(m[w:w + {last}], ''), 'histogram'))]) / {window} FOR w IN range(1, length(m) - {last} + 1)])")
+    entropy = ("coalesce(list_max([list_max([log2({window}) - list_sum([c * log2(c) FOR c IN map_values(list_aggregate("
+               "string_split(x[w:w + {last}], ''), 'histogram'))]) / {window} FOR w IN range(1, length(x) - {last} + 1)]) "
+               "FOR x IN string_split_regex(m, '{inner}') IF length(x) >= {window}]), 0.0)")
     parts = [_matches("a", "assign", 0, assign, f"length(regexp_extract(m, '{value}', 1)) >= {secrets.MIN_ASSIGN}"),
              _matches("b", "access", 1, "AKIA[A-Z0-9]{12,}", "true"), _matches("c", "hex", 2, "[0-9a-f]{32,}", "true")]
     seen = "SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c"
     parts.append(f"base AS ({seen})")
     for rank, c in enumerate(secrets.CLASSES, 3):
-        needs = " AND ".join(f"regexp_matches(m, '{x}')" for x in
-                             (("[0-9]",) if c.name == "ent_hex" else ("[0-9]", "[A-Z]", "[a-z]")))
+        needs = " AND ".join(f"regexp_matches(m, '{x}')" for x in c.needs)
         allowed = " OR ".join(f"regexp_matches(m, '{x}')" for x in secrets.ALLOW)
+        bits = entropy.format(window=c.window, last=c.window - 1, inner=secrets.ALLOW_PARTS)
         # two windows' entropies may differ in the last bit from an incremental sum: far from the threshold
-        keep = f"{needs} AND NOT ({allowed}) AND {entropy.format(window=c.window, last=c.window - 1)} >= {c.min_bits}"
-        parts.append(_matches(f"{c.name}_all", c.name, rank, f"[{c.chars}]{{{c.window},}}", keep))
+        keep = f"{needs} AND NOT ({allowed}) AND {bits} >= {c.min_bits}"
+        parts.append(_matches(f"{c.name}_all", c.name, rank, c.run, keep))
         parts.append(f"""{c.name} AS (SELECT * FROM {c.name}_all x WHERE NOT EXISTS (
   SELECT 1 FROM ({seen}) y WHERE y.doc_id = x.doc_id AND y.s <= x.s AND x.e <= y.e))""")
         seen += f" UNION ALL SELECT * FROM {c.name}"

@@ -29,20 +29,28 @@ MIN_ASSIGN = 8
 class EntropyClass:
     """A character class whose runs are candidates, and the entropy at which a window is a secret."""
     name: str
-    chars: str          # inside of a regular expression's brackets
+    chars: str               # inside of a regular expression's brackets
     window: int
     min_bits: float
-    needs: str          # a candidate must also match this
+    needs: tuple[str, ...]   # patterns that a candidate must also match, all of them
+    tail: str = ""           # what may follow a run of the characters
+
+    @property
+    def run(self) -> str:
+        return f"[{self.chars}]{{{self.window},}}{self.tail}"
 
 
 CLASSES = (
-    EntropyClass("ent_hex", "0-9a-fA-F", 24, 3.0, r"[0-9]"),
-    EntropyClass("ent_b64", "A-Za-z0-9+/_=-", 24, 3.9, r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])"),
+    EntropyClass("ent_hex", "0-9a-fA-F", 20, 3.0, ("[0-9]",)),
+    EntropyClass("ent_b64", "A-Za-z0-9+/_-", 20, 3.6, ("[0-9]", "[A-Z]", "[a-z]"), "={0,2}"),
+    EntropyClass("ent_upper", "A-Z0-9", 20, 3.4, ("[0-9]", "[A-Z]")),
+    EntropyClass("ent_lower", "a-z0-9", 20, 3.4, ("[0-9].*[0-9]", "[a-z]")),
 )
-# well-known harmless strings: alphabets and digit runs, example keys, UUIDs, path- or word-like runs
-ALLOW = (r"(?i)example", r"(?i)0123456789", r"(?i)abcdefghij", r"(?i)qwertyuiop",
-         r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"^[0-9]+$",
+# well-known harmless runs: UUIDs, numbers, path- or word-like runs
+ALLOW = (r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"^[0-9]+$",
          r"^[A-Za-z]+([_/-][A-Za-z]+)*$")
+# well-known harmless parts of runs, in either case: example keys, alphabets and digit rows
+ALLOW_PARTS = "(?i)example|0123456789|abcdefghij|qwertyuiop"
 SPAN = "struct<start:int,rank:int,kind:string,end:int>"
 
 
@@ -106,13 +114,15 @@ def max_window_bits(run: Column, window: int) -> Column:
 
 
 def scan(df: DataFrame, text: str = "text", classes: Sequence[EntropyClass] = CLASSES,
-         allow: Sequence[str] = ALLOW) -> DataFrame:
+         allow: Sequence[str] = ALLOW, allow_parts: str = ALLOW_PARTS) -> DataFrame:
     """The input's rows with ``base_spans`` and ``spans``: arrays of (start, rank, kind, end).
 
     Base spans are the matches of the three patterns.  The method adds the runs
     of each class's characters in which some window reaches the class's
     entropy, unless the run matches an allow-list pattern or lies inside a
-    span found already.  Spans are ordered by start, then kind.
+    span found already.  No window reaches into an allowed part, so such a part
+    hides itself alone, not the secret beside it.  Spans are ordered by start,
+    then kind.
 
     Only texts in which a quick test finds a pattern or candidate pay for
     spans.  Null and empty texts have no spans; texts of any length are scanned
@@ -131,10 +141,14 @@ def scan(df: DataFrame, text: str = "text", classes: Sequence[EntropyClass] = CL
 
     def kept(c: EntropyClass):
         def keep(match: Column) -> Column:
-            ok = match.rlike(c.needs)
+            ok = F.lit(True)
+            for pattern in c.needs:
+                ok = ok & match.rlike(pattern)
             for pattern in allow:
                 ok = ok & ~match.rlike(pattern)
-            return F.when(ok, max_window_bits(match, c.window) >= c.min_bits).otherwise(F.lit(False))
+            strong = F.exists(F.split(match, allow_parts), lambda x: F.when(
+                F.length(x) >= c.window, max_window_bits(x, c.window) >= c.min_bits).otherwise(F.lit(False)))
+            return F.when(ok, strong).otherwise(F.lit(False))
         return keep
 
     def outside(seen: Column):
@@ -142,8 +156,7 @@ def scan(df: DataFrame, text: str = "text", classes: Sequence[EntropyClass] = CL
 
     added = none
     for rank, c in enumerate(classes, 3):
-        run = f"[{c.chars}]{{{c.window},}}"
-        own = F.when(t.rlike(run), _spans(t, run, c.name, rank, kept(c))).otherwise(none)
+        own = F.when(t.rlike(c.run), _spans(t, c.run, c.name, rank, kept(c))).otherwise(none)
         added = F.concat(added, F.filter(own, outside(F.concat(F.col("base_spans"), added))))
     return out.withColumn("spans", F.array_sort(F.concat(F.col("base_spans"), added)))
 
