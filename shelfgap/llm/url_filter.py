@@ -94,8 +94,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", page
                      url_path(F.col(url)).alias("path"))
     events = rule_events(rules)
     labels = F.split("host", r"\.")
+    # a host is looked up under no more of its parents than the longest rule's host has labels
+    most = rules.select(F.max(F.size(labels))).scalar()
+    deep = F.greatest(F.lit(1), F.least(F.size(labels), F.coalesce(most, F.lit(1))))
     keys = (p.select("host", "path").where(F.col("host") != "").distinct()
-            .select("host", "path", F.explode(F.sequence(F.lit(1), F.size(labels))).alias("n"))
+            .select("host", "path", F.explode(F.sequence(F.lit(1), deep)).alias("n"))
             .select("host", "path", _reversed(F.slice(labels, -F.col("n"), F.col("n"))).alias("host_key"))
             .join(events.select("host_key").distinct(), "host_key", "left_semi"))
     probes = keys.select("host_key", F.col("path").alias("at"), F.lit(None).cast(

@@ -141,6 +141,14 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_hosts_of_many_labels_are_looked_up_by_the_rules_labels(spark):
+    host = ".".join(f"l{i}" for i in range(4000)) + ".example.org"
+    pages = spark.createDataFrame([(1, f"http://{host}/es/x"), (2, f"http://{host}/fr/"), (3, "http://solo/x")], "page_id long, url string")
+    rules = spark.createDataFrame(URL_RULES, url_filter.RULE_SCHEMA)
+    got = {r["page_id"]: r["rule"] for r in url_filter.filter_urls(pages, rules).collect()}
+    assert got == {1: "example.org/es/", 2: "org/", 3: None}
+
+
 def test_nested_rules_and_many_hosts(spark):
     import random
     random.seed(5)
