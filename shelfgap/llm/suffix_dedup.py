@@ -12,8 +12,8 @@ Suffix sort.  Only strings that contain a tied sample can repeat: the other
 suffixes, four fifths of a corpus, are settled by their cover ranks.  The rest
 are sorted to full depth.
 
-Both sorts go bucket by bucket: a bucket is one partition's share of hash
-space, sorted in one task, so memory is bounded by a bucket.  Equal prefixes
+Both sorts go bucket by bucket: a bucket is a share of hash space, and a task
+sorts its buckets one after the other, so memory is bounded by a bucket.  Equal prefixes
 are recognised by rolling hashes in place of an alphabetical order, which
 equality does not need: 64 bits and the bucket's number in the suffix sort.
 Cover hashes are short, as a false tie only costs work.
@@ -38,7 +38,8 @@ MIN_BYTES = 200
 CHUNK_BYTES = 1 << 20        # of text hashed at once
 SLICE = 1 << 18              # positions looked up at once
 EMIT_ENTRIES = 1_000_000     # positions held between emissions; with the two above it bounds a task's memory
-BUCKET_BYTES = 16 << 20      # of text per bucket at most: buckets grow in number, not in size
+TASK_BYTES = 128 << 20       # of text per sorting task at most: tasks grow in number, not in size
+BUCKETS = 8                  # of a task, which it sorts and lets go one after the other
 # fixed values: perfect difference sets by modulus
 COVERS = {
     7: (0, 1, 3),
@@ -68,6 +69,15 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
+def _by_bucket(buckets: np.ndarray):
+    """Numbers of the buckets that have entries, with the positions of these: few of very many buckets may have."""
+    order = np.argsort(buckets, kind="stable")
+    found = buckets[order]
+    ends = np.append(tk.group_starts(found), len(found)).tolist()
+    for a, b in zip(ends, ends[1:]):
+        yield int(found[a]), order[a:b]
+
+
 class _Batch:
     """Hashed positions of a few MB of distinct texts, for one emission."""
 
@@ -114,7 +124,7 @@ class _Batch:
         out = []
 
         def entries(kind, pick, buckets_of):
-            for b, i in tk.by_bucket(buckets_of, buckets):
+            for b, i in _by_bucket(buckets_of):
                 i = pick[i]
                 d = docs[i]
                 first = tk.group_starts(d)
@@ -126,7 +136,7 @@ class _Batch:
 
         single = np.flatnonzero(~many)
         entries("ask", single, bucket[single])
-        for b, i in tk.by_bucket(bucket[marked], buckets):
+        for b, i in _by_bucket(bucket[marked]):
             out.append(("mark", b, stored[marked[i]].tobytes(), b"", b"", b""))
         own = np.flatnonzero(many)
         entries("own", own, docs[own] % buckets)
@@ -241,7 +251,7 @@ def _answers(keys: np.ndarray, places: np.ndarray, buckets: int):
     order = np.lexsort((places, keys))
     keys, places = keys[order], places[order].astype(np.int64)
     rows = []
-    for b, i in tk.by_bucket(tk.bucket_of(tk.mix(keys.view(np.uint64)), buckets), buckets):
+    for b, i in _by_bucket(tk.bucket_of(tk.mix(keys.view(np.uint64)), buckets)):
         first, step = tk.group_starts(keys[i]), np.diff(places[i], prepend=0)
         step[first] = places[i][first]
         rows.append((b, keys[i][first].tobytes(), np.diff(np.append(first, len(i))).astype(np.uint32).tobytes(),
@@ -250,22 +260,35 @@ def _answers(keys: np.ndarray, places: np.ndarray, buckets: int):
                          ("places", pa.binary())])
 
 
+def _one_by_one(it, fields):
+    """Lists of a bucket's rows of ``fields``, bucket after bucket; rows come in their order."""
+    own, rows = None, []
+    for batch in it:
+        buckets = batch.column("bucket").to_pylist()
+        columns = [batch.column(f) for f in fields]
+        for r, bucket in enumerate(buckets):
+            if bucket != own:
+                if rows:
+                    yield rows
+                own, rows = bucket, []
+            rows.append([c[r].as_py() for c in columns])
+    if rows:
+        yield rows
+
+
 def _gather(it):
     """One row of sorted places per text."""
-    keys, places = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
-    for batch in it:
-        for k, c, p in zip(*(batch.column(x) for x in ("keys", "counts", "places"))):
-            key, place = _expand(c.as_py(), k.as_py(), p.as_py())
-            keys.append(key)
-            places.append(place.astype(np.uint32))
-    k, p = np.concatenate(keys), np.concatenate(places)
-    order = np.lexsort((p, k))
-    k, p = k[order], p[order]
-    ends = np.append(tk.group_starts(k), len(k)).tolist()
-    spans = list(zip(ends[:-1], ends[1:]))
-    for i in range(0, len(spans), 5000):
-        yield _record([(int(k[a]), _planes(np.diff(np.unique(p[a:b]).astype(np.int64), prepend=0)))
-                       for a, b in spans[i:i + 5000]], [("key", pa.int64()), ("ties", pa.binary())])
+    for rows in _one_by_one(it, ("keys", "counts", "places")):
+        parts = [_expand(counts, keys, places) for keys, counts, places in rows]
+        k = np.concatenate([x for x, _ in parts])
+        p = np.concatenate([x.astype(np.uint32) for _, x in parts])
+        order = np.lexsort((p, k))
+        k, p = k[order], p[order]
+        ends = np.append(tk.group_starts(k), len(k)).tolist()
+        spans = list(zip(ends[:-1], ends[1:]))
+        for i in range(0, len(spans), 5000):
+            yield _record([(int(k[a]), _planes(np.diff(np.unique(p[a:b]).astype(np.int64), prepend=0)))
+                           for a, b in spans[i:i + 5000]], [("key", pa.int64()), ("ties", pa.binary())])
 
 
 def _starts(ties: pa.Scalar) -> np.ndarray:
@@ -275,16 +298,14 @@ def _starts(ties: pa.Scalar) -> np.ndarray:
 def _sort_bucket(width: int, buckets: int):
     """Reduce side: places whose hash stands at another place too, by text."""
     def run(it):
-        hashes, keys, places, marks = [], [], [], []
-        for batch in it:
-            for r in range(batch.num_rows):
-                kind, b, h, k, c, p = (batch.column(i)[r].as_py() for i in range(6))
+        for rows in _one_by_one(it, ("kind", "hashes", "keys", "counts", "places")):
+            hashes, keys, places, marks = [], [], [], []
+            while rows:
+                kind, h, k, c, p = rows.pop()
                 if kind == "own":
                     yield from _answers(*_expand(c, k, p), buckets)
                     continue
-                h = np.frombuffer(h, np.uint32 if width == 4 else np.uint64).astype(np.uint64)
-                # buckets share a task: their number is part of a short hash
-                h = h | np.uint64(b) << np.uint64(32) if width == 4 else tk.mix(h + np.uint64(b))
+                h = np.frombuffer(h, np.uint32 if width == 4 else np.uint64)
                 if kind == "mark":
                     marks.append(h)
                     continue
@@ -292,29 +313,33 @@ def _sort_bucket(width: int, buckets: int):
                 hashes.append(h)
                 keys.append(key)
                 places.append(place.astype(np.uint32))
-        if not hashes:
-            return
-        h, k, p = np.concatenate(hashes), np.concatenate(keys), np.concatenate(places)
-        hashes.clear()
-        order = np.argsort(h)
-        h, k, p = h[order], k[order], p[order]
-        at = tk.group_starts(h)
-        sizes = np.diff(np.append(at, len(h)))
-        # an exact copy of the text read elsewhere is the same place
-        differs = (k != np.repeat(k[at], sizes)) | (p != np.repeat(p[at], sizes))
-        tied = np.logical_or.reduceat(differs, at)
-        if marks:
-            tied |= np.isin(h[at], np.concatenate(marks))
-        pick = np.repeat(tied, sizes)
-        if pick.any():
-            yield from _answers(k[pick], p[pick], buckets)
+            if not hashes:
+                continue
+            h, k, p = np.concatenate(hashes), np.concatenate(keys), np.concatenate(places)
+            del hashes, keys, places
+            order = np.argsort(h)
+            h, k, p = h[order], k[order], p[order]
+            at = tk.group_starts(h)
+            sizes = np.diff(np.append(at, len(h)))
+            # an exact copy of the text read elsewhere is the same place
+            differs = (k != np.repeat(k[at], sizes)) | (p != np.repeat(p[at], sizes))
+            tied = np.logical_or.reduceat(differs, at)
+            if marks:
+                tied |= np.isin(h[at], np.concatenate(marks))
+            pick = np.repeat(tied, sizes)
+            if pick.any():
+                yield from _answers(k[pick], p[pick], buckets)
     return run
 
 
-def _find(rows: DataFrame, positions, width: int, buckets: int, name: str) -> DataFrame:
-    found = (rows.mapInArrow(_probe(buckets, width, positions), ASK).repartition(buckets, "bucket")
-             .mapInArrow(_sort_bucket(width, buckets), FOUND).repartition(buckets, "bucket")
-             .mapInArrow(_gather, "key long, ties binary"))
+def _find(rows: DataFrame, positions, width: int, tasks: int, name: str) -> DataFrame:
+    buckets = BUCKETS * tasks
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+
+    found = dealt(dealt(rows.mapInArrow(_probe(buckets, width, positions), ASK))
+                  .mapInArrow(_sort_bucket(width, buckets), FOUND)).mapInArrow(_gather, "key long, ties binary")
     found = land(found, name)
     free_shuffles(rows.sparkSession)
     return found
@@ -350,13 +375,13 @@ def repeated_places(docs: DataFrame, min_bytes: int = MIN_BYTES, text: str = "te
     row alone takes part, so copies do not move.
     """
     copies, size = copied or copied_texts(docs, doc_id, min_bytes, text)
-    buckets = max(shuffle_partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
+    tasks = max(shuffle_partitions(docs.sparkSession), -(-size // TASK_BYTES))
     rows = docs.select(text_or_empty(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("row"))
     rows = rows.where(F.octet_length("text") >= min_bytes).withColumn("key", F.xxhash64("text"))
     rows = _with(rows, copies.select("key", F.col("row").alias("stands")), "left")
     rows = rows.where("stands is null or stands = row").select("key", "text")
-    ties = _find(rows, _sampled(min_bytes), 4, buckets, "dedup-ties")
-    return _find(prefilter(rows, ties, "key").join(ties, "key"), _suspects(min_bytes), 8, buckets, "dedup-places")
+    ties = _find(rows, _sampled(min_bytes), 4, tasks, "dedup-ties")
+    return _find(prefilter(rows, ties, "key").join(ties, "key"), _suspects(min_bytes), 8, tasks, "dedup-places")
 
 
 def _cut(min_bytes: int):
