@@ -18,7 +18,13 @@ ROW = ("doc_id", "text")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not reject."""
+    """Documents that the toxicity classifier does not reject.
+
+    Null and empty texts have the score of a text without words.  Texts are
+    scored whole.  Rows that share id and text share their fate; rows that
+    share one of them do not.  Without usable labels nothing is rejected.  An
+    empty table stays empty.  Further columns, of any name, are kept.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score(docs.select(row_key(*ROW).alias("row"), "text"), model, doc_id="row")
     return without_rows(docs, scored.where("predicted = 1").select("row"), ROW, "pipeline-toxic")
@@ -28,6 +34,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near copies the row with the smallest id; of rows repeated whole, one.
 
     A row without an id stays only where no row of its group has one; of rows with the smallest id one stays.
+    Null, empty and blank texts are like nothing and stay, but once where they are repeated with their id.
+    Texts are compared whole.  An empty table stays empty.  Further columns, of any name, are kept; of rows
+    that differ in these alone one stays.
     """
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), row_key(*ROW).alias("row"))
     found = land(ngram_join.near_duplicates(docs.select(row.alias("doc_id"), "text")), "pipeline-components")
@@ -43,17 +52,32 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found.
+
+    Null and empty texts hold none and stay, and empty items are found nowhere.
+    Texts are searched whole.  Repeated rows share their fate.  An empty table
+    stays empty, and an empty benchmark drops nothing.  Further columns, of any
+    name, are kept.
+    """
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Temperature mixing: rare sources are repeated up to MAX_REPEAT times, nothing is lost."""
+    """Temperature mixing: rare sources are repeated up to MAX_REPEAT times, nothing is lost.
+
+    Null sources are one source; null and empty texts count one token.  Rows
+    repeated whole are each used as often as their place says.  An empty table
+    stays empty.  Further columns, of any name, are kept.
+    """
     return mixing.mix(docs, max_repeat=MAX_REPEAT).select(*docs.columns)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of each row."""
+    """Shard and slot of each row.
+
+    Null texts have size 1, null ids share a key.  Rows that share an id share
+    a shard, each with a slot of its own.  An empty table stays empty.
+    """
     return sharding.shard(docs, [1.0] * N_SHARDS)
 
 
