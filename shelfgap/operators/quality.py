@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import best_coverage_timestamp, month_bucket, month_first_timestamp
+from ..functions.dates import month_bucket, month_first_timestamp, with_best_timestamp
 from ..profiles import NEAR_EMPTY_ROW_COUNT, ChannelProfile, ModelConfig, get_profile
 from ..sources.contracts import SLOT_LABELS, SLOTS, contract_for, missing_columns
 from ..functions.cleaning import active_flag, normalize_virtual_site, unread_number
@@ -117,10 +117,12 @@ def qa_summary(inputs: M.ModelInputs, cfg: ModelConfig, detail: DataFrame | None
 
 
 # ------------------------------------------------------------ profiling --
-def _parsed_day(slot: str, raw: DataFrame, field: str) -> Column:
+def _with_day(slot: str, raw: DataFrame, field: str) -> DataFrame:
+    """``raw`` with the day that the loaders read from its date field, as ``_day``."""
     if slot == "sales":
-        return F.to_date(best_coverage_timestamp(raw, field))
-    return F.to_date(month_first_timestamp(raw, field))
+        raw = with_best_timestamp(raw, field, "_day")
+        return raw.withColumn("_day", F.to_date("_day"))
+    return raw.withColumn("_day", F.to_date(month_first_timestamp(raw, field)))
 
 
 def input_profile(slot: str, raw: DataFrame, channel: str) -> DataFrame:
@@ -132,7 +134,7 @@ def input_profile(slot: str, raw: DataFrame, channel: str) -> DataFrame:
             F.lit(field).cast("string").alias("date_field"),
             F.lit(None).cast("date").alias("min_date"), F.lit(None).cast("date").alias("max_date"),
             F.lit("").alias("month_hints"))
-    days = raw.select(_parsed_day(slot, raw, field).alias("d"))
+    days = _with_day(slot, raw, field).select(F.col("_day").alias("d"))
     # one pass; the month set holds one entry per calendar month present
     months = F.array_join(F.sort_array(F.collect_set(month_bucket(F.col("d")))), ",")
     return days.agg(F.count(F.lit(1)).alias("row_count"), F.min("d").alias("min_date"),
@@ -190,7 +192,7 @@ def dataset_findings(slot: str, raw: DataFrame, channel: str, dataset: str | Non
            for i, c in enumerate(contract.number_fields) if c in raw.columns]
     if field:
         written = F.trim(F.col(f"`{field}`").cast("string")) != ""
-        days = raw.select(_parsed_day(slot, raw, field).alias("d"), written.alias("written"), *odd)
+        days = _with_day(slot, raw, field).select(F.col("_day").alias("d"), written.alias("written"), *odd)
     else:
         days = raw.select(F.lit(None).cast("date").alias("d"), F.lit(False).alias("written"))
     # one pass: rows, distinct months, date texts that no layout reads and numbers that are not kept
