@@ -39,7 +39,8 @@ CHUNK_BYTES = 1 << 20        # of text hashed at once
 SLICE = 1 << 18              # positions looked up at once
 EMIT_ENTRIES = 1_000_000     # positions held between emissions; with the two above it bounds a task's memory
 TASK_BYTES = 128 << 20       # of text per sorting task at most: tasks grow in number, not in size
-BUCKETS = 8                  # of a task, which it sorts and lets go one after the other
+BUCKET_BYTES = 4 << 20       # of text per bucket; a task sorts its buckets and lets them go one after the other
+MAX_BUCKETS = 8              # of a task: with more, batches would be cut into too many rows
 # fixed values: perfect difference sets by modulus
 COVERS = {
     7: (0, 1, 3),
@@ -332,8 +333,9 @@ def _sort_bucket(width: int, buckets: int):
     return run
 
 
-def _find(rows: DataFrame, positions, width: int, tasks: int, name: str) -> DataFrame:
-    buckets = BUCKETS * tasks
+def _find(rows: DataFrame, positions, width: int, size: int, name: str) -> DataFrame:
+    tasks = max(shuffle_partitions(rows.sparkSession), -(-size // TASK_BYTES))
+    buckets = tasks * min(MAX_BUCKETS, max(1, -(-size // (tasks * BUCKET_BYTES))))
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(tasks, "bucket").sortWithinPartitions("bucket")
@@ -375,13 +377,12 @@ def repeated_places(docs: DataFrame, min_bytes: int = MIN_BYTES, text: str = "te
     row alone takes part, so copies do not move.
     """
     copies, size = copied or copied_texts(docs, doc_id, min_bytes, text)
-    tasks = max(shuffle_partitions(docs.sparkSession), -(-size // TASK_BYTES))
     rows = docs.select(text_or_empty(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("row"))
     rows = rows.where(F.octet_length("text") >= min_bytes).withColumn("key", F.xxhash64("text"))
     rows = _with(rows, copies.select("key", F.col("row").alias("stands")), "left")
     rows = rows.where("stands is null or stands = row").select("key", "text")
-    ties = _find(rows, _sampled(min_bytes), 4, tasks, "dedup-ties")
-    return _find(prefilter(rows, ties, "key").join(ties, "key"), _suspects(min_bytes), 8, tasks, "dedup-places")
+    ties = _find(rows, _sampled(min_bytes), 4, size, "dedup-ties")
+    return _find(prefilter(rows, ties, "key").join(ties, "key"), _suspects(min_bytes), 8, size, "dedup-places")
 
 
 def _cut(min_bytes: int):

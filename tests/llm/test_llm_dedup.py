@@ -153,6 +153,7 @@ def brute_repeats(rows, m):
 @pytest.mark.parametrize("m", [11, 40, 200])
 def test_repeats_match_brute_force(spark, monkeypatch, m):
     monkeypatch.setattr(suffix_dedup, "EMIT_ENTRIES", 3000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 500)       # several buckets a task
     rng = random.Random(m)
     pieces = ["".join(rng.choices("ab é", k=rng.randint(m // 2, 2 * m))) for _ in range(30)]
     rows = [(i, "".join(rng.choice(pieces) if rng.random() < 0.4 else "".join(rng.choices("xyz wé", k=m))
