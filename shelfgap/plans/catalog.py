@@ -493,7 +493,10 @@ def q_orders_export_utf16(spark, sf_dir):
     path = scratch_path(spark, "orders-export")
     (text.write.option("header", True).option("sep", "\t").option("encoding", "UTF-16LE").option("lineSep", "\n")
      .options(**RD.QUOTING).csv(path))
-    return _plain_orders(L.load_orders(RD.read_orders_export(spark, path, quoted_newlines=True), CHANNEL_TH))
+    # landed once: the date texts and the rows are both read from the records
+    records = RD.read_orders_export(spark, path, quoted_newlines=True).drop("row_ord")
+    landed = spark.read.parquet(RD.land_as_parquet(records, scratch_path(spark, "orders-records")))
+    return _plain_orders(L.load_orders(landed, CHANNEL_TH))
 
 
 def _sheet(df: DataFrame, folder: str, sheet: str) -> None:

@@ -45,11 +45,22 @@ def file_place() -> Column:
     Spark packs splits into partitions by size, so row numbers alone would follow neither the
     files' order nor that of a large file's splits.  For frames read from files only.
     """
-    return F.struct(natural_name(F.col("_metadata.file_path")).alias("file"),
-                    F.col("_metadata.file_block_start").alias("split"),
+    return in_natural_order(written_place())
+
+
+def written_place() -> Column:
+    """``file_place`` with the file's written name, which costs a row nothing; its order is not natural."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
                     F.monotonically_increasing_id().alias("line"))
 
 
+def in_natural_order(place: Column | str) -> Column:
+    """``file_place`` from a ``written_place``: the name is padded by the row, so only where it is needed."""
+    place = F.col(place) if isinstance(place, str) else place
+    return F.struct(natural_name(place["file"]).alias("file"), place["split"].alias("split"),
+                    place["line"].alias("line"))
+
+
 def read_quoted_records(spark: SparkSession, path: str, names: list[str], sep: str, encoding: str,
                         quote: str = '"') -> DataFrame:
     """Delimited records whose quoted fields may hold line ends, read by many tasks.
@@ -225,12 +236,18 @@ def read_checked(spark: SparkSession, path: str, sep: str = ",", encoding: str =
     fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit(""))) + 1
     strange = F.lit(False)
     for n in names:
+    checked = _checked(spark, path, sep, encoding)
+    return checked.withColumn("_place", in_natural_order("_place"))
+
+
+def _checked(spark: SparkSession, path: str, sep: str, encoding: str) -> DataFrame:
+    """``read_checked`` with files by their written names."""
         strange = strange | F.coalesce(F.contains(F.col(f"`{n}`"), F.lit("\ufffd")), F.lit(False))
     broken = F.col("_line").isNotNull()
     state = (F.when(broken & unquoted.contains('"'), QUOTING_WRONG).when(broken & (fields < len(names)), SHORT)
              .when(broken & (fields > len(names)), LONG).when(broken, QUOTING_WRONG)
              .when(strange, UNDECODABLE).otherwise(GOOD))
-    return rows.withColumn("_state", state).withColumn("_place", file_place())
+    return rows.withColumn("_state", state).withColumn("_place", written_place())
 
 
 def land_checked(spark: SparkSession, path: str, out: str, sep: str = ",", encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
@@ -238,14 +255,15 @@ def land_checked(spark: SparkSession, path: str, out: str, sep: str = ",", encod
 
     Rejected lines keep what could be read of them, their text, their place and what is wrong.
     """
-    checked = read_checked(spark, path, sep, encoding)
+    checked = _checked(spark, path, sep, encoding)
     checked.write.mode("overwrite").partitionBy("_state").parquet(out)
     schema = T.StructType([*[f for f in checked.schema if f.name != "_state"], checked.schema["_state"]])
-    landed = spark.read.schema(schema).parquet(out)
+    landed = spark.read.schema(schema).parquet(out).withColumn("_place", in_natural_order("_place"))
     good = landed.where(F.col("_state") == GOOD).withColumnRenamed("_place", "row_ord").drop("_line", "_state")
     return good, landed.where(F.col("_state") != GOOD)
 
 
+    Places are landed with the files' written names and put in natural order where they are read.
 def land_by_sku(df: DataFrame, path: str, buckets: int, partition_by: list[str] | None = None) -> DataFrame:
     """Store a table once bucketed by ``sku``, so that grouping and joining by it needs no exchange.
 

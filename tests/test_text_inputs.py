@@ -198,3 +198,15 @@ def test_the_grid_holds_a_channels_own_sites_only(spark):
     got = M.site_grid(skus, site_map)
     assert got.columns == ["sku", "product_name", "channel", "virtual_site"]
     assert rows(got) == [("K1", "n", "a", "x"), ("K1", "n", "a", "y"), ("K2", "n", "b", "z")]
+def test_places_are_landed_with_written_names(spark, tmp_path):
+    path = tmp_path / "s7.csv"
+    path.write_text("a,b\n1,2\n3\n")
+    good, rejected = RD.land_checked(spark, str(path), str(tmp_path / "out"))
+    landed = spark.read.parquet(str(tmp_path / "out"))
+    assert all(r[0].endswith(str(path)) for r in landed.select("_place.file").collect()) and landed.count() == 2
+    want = spark.range(1).select(RD.natural_name(F.lit(str(path)))).first()[0]
+    files = [r[0] for r in good.select("row_ord.file").union(rejected.select("_place.file")).collect()]
+    assert len(files) == 2 and all(f.endswith(want) for f in files) and want != str(path)
+    assert "[0-9]+" not in plan_text(good.drop("row_ord"))
+
+
