@@ -97,32 +97,46 @@ def with_best_timestamp(df: DataFrame, name: str, out: str) -> DataFrame:
     their text themselves, in the one chosen way.  Either way the frame scans
     its input once.
     """
-    if isinstance(df.schema[name].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+    if _is_typed(df, name):
         return df.withColumn(out, F.col(f"`{name}`"))
-    spark, text = df.sparkSession, F.col(f"`{name}`").cast("string")
-    texts = df.groupBy(text.alias("_text")).agg(F.count(F.lit(1)).alias("n"))
-    path = scratch_path(spark, "date-texts")
-    (texts.where("_text is not null")
-     .select("_text", "n", parse_month_first(F.col("_text")).alias("a"), parse_day_first(F.col("_text")).alias("b"))
-     .write.parquet(path))
-    known = spark.read.parquet(path)
+    known = _land_texts(df, name, a=parse_month_first, b=parse_day_first)
     seen = known.agg(F.count(F.lit(1)).alias("texts"), F.sum(F.when(F.col("a").isNotNull(), F.col("n"))).alias("a"),
                      F.sum(F.when(F.col("b").isNotNull(), F.col("n"))).alias("b")).first()
     day_first = (seen["b"] or 0) > (seen["a"] or 0)
     if seen["texts"] > DICTIONARY_ROWS:
-        return df.withColumn(out, _parse(text, day_first))
-    found = known.select("_text", F.col("b" if day_first else "a").alias("_read"))
-    joined = df.join(F.broadcast(found), text == found["_text"], "left")
-    return joined.select(*[df[f"`{c}`"] for c in df.columns if c != out], found["_read"].alias(out))
+        return df.withColumn(out, _parse(F.col(f"`{name}`"), day_first))
+    return _look_up(df, name, out, known, "b" if day_first else "a")
 
 
-def month_first_timestamp(df: DataFrame, name: str) -> Column:
-    """Stock dates: month-first reading only (the reference does not try day-first)."""
-    dtype = df.schema[name].dataType
-    c = F.col(name)
-    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return c
-    return parse_month_first(c)
+def with_month_first_timestamp(df: DataFrame, name: str, out: str) -> DataFrame:
+    """Stock dates: ``df`` with column ``out``, the month-first reading of ``name`` (the reference does not
+    try day-first), by dictionary as in ``with_best_timestamp``."""
+    if _is_typed(df, name):
+        return df.withColumn(out, F.col(f"`{name}`"))
+    known = _land_texts(df, name, a=parse_month_first)
+    if known.count() > DICTIONARY_ROWS:
+        return df.withColumn(out, parse_month_first(F.col(f"`{name}`")))
+    return _look_up(df, name, out, known, "a")
+
+
+def _is_typed(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def _land_texts(df: DataFrame, name: str, **readings) -> DataFrame:
+    """The distinct texts of a column with their counts ``n`` and their readings, landed."""
+    spark = df.sparkSession
+    texts = df.groupBy(F.col(f"`{name}`").cast("string").alias("_text")).agg(F.count(F.lit(1)).alias("n"))
+    path = scratch_path(spark, "date-texts")
+    (texts.where("_text is not null")
+     .select("_text", "n", *[read(F.col("_text")).alias(k) for k, read in readings.items()]).write.parquet(path))
+    return spark.read.parquet(path)
+
+
+def _look_up(df: DataFrame, name: str, out: str, known: DataFrame, reading: str) -> DataFrame:
+    found = known.select("_text", F.col(reading).alias("_read"))
+    joined = df.join(F.broadcast(found), F.col(f"`{name}`").cast("string") == found["_text"], "left")
+    return joined.select(*[df[f"`{c}`"] for c in df.columns if c != out], found["_read"].alias(out))
 
 
 def to_day(c: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
-from ..functions.dates import best_coverage_timestamp
+from ..functions.dates import with_best_timestamp
 from ..operators import model as M
 from ..operators import quality as Q
 from ..operators import reports as R
@@ -92,10 +92,9 @@ def q_parse_dates_best(spark, sf_dir):
     raw = o.select("o_orderkey",
                    F.date_format("o_orderdate", "dd.MM.yyyy").alias("day_first_text"),
                    F.date_format("o_orderdate", "MM/dd/yyyy").alias("month_first_text"))
-    return raw.select("o_orderkey", "day_first_text", "month_first_text",
-                      F.to_date(best_coverage_timestamp(raw, "day_first_text")).alias("day_first_date"),
-                      F.to_date(best_coverage_timestamp(raw, "month_first_text"))
-                      .alias("month_first_date"))
+    read = with_best_timestamp(with_best_timestamp(raw, "day_first_text", "day_first"), "month_first_text", "month_first")
+    return read.select("o_orderkey", "day_first_text", "month_first_text",
+                       F.to_date("day_first").alias("day_first_date"), F.to_date("month_first").alias("month_first_date"))
 
 
 # ------------------------------------------------------------- site map --

@@ -129,6 +129,25 @@ def test_month_names_are_whole_or_three_letters(spark, text, day):
 
 # ---- numbers and layouts --------------------------------------------------------
 def test_numbers_that_are_not_kept_are_found(spark):
+def test_stock_dates_are_read_by_dictionary(spark, monkeypatch):
+    texts = ["01.02.2026", "25.12.2026", "2026-03-04", "", None, "x", "5-Jan-2026"] * 3
+    raw = text_frame(spark, ["posting_date", "site_code", "article_code", "stock_balance"],
+                     [(t, "1", f"K{i}", i) for i, t in enumerate(texts)])
+    days = ["2026-01-02", None, "2026-03-04", None, None, None, "2026-01-05"]    # 25.12. is no month first
+    want = sorted((f"K{i}", days[i % 7]) for i in range(21) if days[i % 7])
+    for most in (1_000_000, 2):
+        monkeypatch.setattr(D, "DICTIONARY_ROWS", most)
+        stock = L.load_daily_stock(raw)
+        assert ("[-/.]" in plan_text(stock)) == (most == 2)      # the layouts of numeric dates
+        assert rows(stock.select("sku", F.col("posting_date").cast("string").alias("d"))) == want
+
+
+def test_best_coverage_query_reads_dates_by_dictionary(spark):
+    from conftest import SF_SMALL
+    from shelfgap.plans import catalog as CAT
+    assert "[-/.]" not in plan_text(CAT.QUERIES["parse_dates_best"](spark, SF_SMALL))
+
+
     cases = {"1": False, "1,000.5": False, "": False, None: False, "nan": False, "0": False, "-0.00": False, "0e5": False,
              "1e3": False, "abc": True, "123456789012345678901234567890": True, "1e40": True, "0.12345678901": True,
              "0.12345678900": False, "10d": True}
