@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import month_bucket, month_first_timestamp, with_best_timestamp
+from ..functions.dates import month_bucket, with_best_timestamp, with_month_first_timestamp
 from ..profiles import NEAR_EMPTY_ROW_COUNT, ChannelProfile, ModelConfig, get_profile
 from ..sources.contracts import SLOT_LABELS, SLOTS, contract_for, missing_columns
 from ..functions.cleaning import active_flag, normalize_virtual_site, unread_number
@@ -119,10 +119,8 @@ def qa_summary(inputs: M.ModelInputs, cfg: ModelConfig, detail: DataFrame | None
 # ------------------------------------------------------------ profiling --
 def _with_day(slot: str, raw: DataFrame, field: str) -> DataFrame:
     """``raw`` with the day that the loaders read from its date field, as ``_day``."""
-    if slot == "sales":
-        raw = with_best_timestamp(raw, field, "_day")
-        return raw.withColumn("_day", F.to_date("_day"))
-    return raw.withColumn("_day", F.to_date(month_first_timestamp(raw, field)))
+    read = with_best_timestamp if slot == "sales" else with_month_first_timestamp
+    return read(raw, field, "_day").withColumn("_day", F.to_date("_day"))
 
 
 def input_profile(slot: str, raw: DataFrame, channel: str) -> DataFrame:

@@ -111,10 +111,10 @@ def register_views(inputs: M.ModelInputs, prefix: str = "") -> list[str]:
 
 def suggest_month_from_path(spark: SparkSession, stock_path: str, fmt: str = "text") -> DataFrame:
     """Month suggestion reading only the posting_date column."""
-    from ..functions.dates import month_first_timestamp
+    from ..functions.dates import with_month_first_timestamp
     from ..operators.quality import month_suggestion
     raw = read_table(spark, stock_path, fmt=fmt).select("posting_date")
-    days = raw.select(F.to_date(month_first_timestamp(raw, "posting_date")).alias("posting_date"))
+    days = with_month_first_timestamp(raw, "posting_date", "_day").select(F.to_date("_day").alias("posting_date"))
     return month_suggestion(days)
 
 
