@@ -69,9 +69,11 @@ def read_quoted_records(spark: SparkSession, path: str, names: list[str], sep: s
     quotes depends on all lines before it.  Two passes find out:
 
     1. per split, how many of its lines hold an odd number of quotes; the sums
-       of these over the splits before give each split's start,
+       of these over the splits before give each split's start, which is broadcast,
     2. inside each split, the running number of such lines before a line.
 
+    A line carries 64 bits that stand for its split, not the file's name.
+
     Where that number is even the line starts outside quotes.  Halved, it
     numbers the records that take several lines, so those lines (and no others)
     are brought together, also over the border of splits.  Each file's first
@@ -79,25 +81,32 @@ def read_quoted_records(spark: SparkSession, path: str, names: list[str], sep: s
     RFC 4180 asks.  ``row_ord`` is the place of a record's first line.
     """
     raw = (spark.read.option("encoding", encoding).option("lineSep", "\n").text(path)
-           .select(file_place().alias("place"), F.decode(F.col("value").cast("binary"), encoding).alias("text")))
-    lines = raw.select("place", F.regexp_replace("text", "^\ufeff", "").alias("text"))
+           .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"),
+                   F.monotonically_increasing_id().alias("line"),
+                   F.decode(F.col("value").cast("binary"), encoding).alias("text")))
+    marked = F.startswith("text", F.lit("\ufeff"))
+    lines = raw.withColumn("text", F.when(marked, F.expr("substring(text, 2)")).otherwise(F.col("text")))
     quotes = F.length("text") - F.length(F.replace("text", F.lit(quote), F.lit("")))
-    lines = lines.select("place.file", "place.split", "place", "text", (quotes % 2).alias("odd"))
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (lines.groupBy("file", "split").agg(F.sum("odd").alias("odd"))
-              .select("file", "split", F.coalesce(F.sum("odd").over(before), F.lit(0)).alias("start")))
-    inside = Window.partitionBy("file", "split").orderBy("place.line")
+    lines = lines.withColumns({"odd": quotes % 2, "at": F.xxhash64("path", "split")})
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (lines.groupBy("path", "split").agg(F.sum("odd").alias("odd"))
+              .select(F.xxhash64("path", "split").alias("at"), F.xxhash64("path").alias("of"),
+                      natural_name(F.col("path")).alias("file"), "split",
+                      F.coalesce(F.sum("odd").over(before), F.lit(0)).alias("start")))
+    inside = Window.partitionBy("at").orderBy("line")
     seen = F.coalesce(F.sum("odd").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = (lines.join(starts, ["file", "split"])
-             .select("file", "place", "text", "odd", (F.col("start") + seen).alias("seen"),
+    lines = (lines.select("at", "line", "text", "odd").join(F.broadcast(starts), "at")   # a row per split
+             .select("of", "file", "split", "line", "text", "odd", (F.col("start") + seen).alias("seen"),
                      ((F.col("split") == 0) & (F.row_number().over(inside) == 1)).alias("header"))
              .where(~F.col("header")))
     whole = (F.col("odd") == 0) & (F.col("seen") % 2 == 0)
-    parts = F.array_sort(F.collect_list(F.struct("place", "text")))
-    joined = (lines.where(~whole).groupBy("file", F.floor(F.col("seen") / 2).alias("number")).agg(parts.alias("parts"))
-              .select(F.col("parts")[0]["place"].alias("row_ord"),
+    parts = F.array_sort(F.collect_list(F.struct("split", "line", "text")))
+    joined = (lines.where(~whole).groupBy("of", F.floor(F.col("seen") / 2).alias("number"))
+              .agg(parts.alias("parts"), F.first("file").alias("file"))
+              .select(F.struct("file", F.col("parts")[0]["split"].alias("split"),
+                               F.col("parts")[0]["line"].alias("line")).alias("row_ord"),
                       F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text")))
-    records = lines.where(whole).select(F.col("place").alias("row_ord"), "text").unionByName(joined)
+    records = lines.where(whole).select(F.struct("file", "split", "line").alias("row_ord"), "text").unionByName(joined)
     # as in Spark's own reader of such files, line ends inside quotes become line feeds
     records = records.withColumn("text", F.replace(F.regexp_replace("text", "\r$", ""), F.lit("\r\n"), F.lit("\n")))
     schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
@@ -227,6 +236,12 @@ def read_checked(spark: SparkSession, path: str, sep: str = ",", encoding: str =
     does not know ``undecodable``; all others are ``good``.  ``_line`` is the
     text of a line of the first three kinds, ``_place`` where it stands.
     """
+    checked = _checked(spark, path, sep, encoding)
+    return checked.withColumn("_place", in_natural_order("_place"))
+
+
+def _checked(spark: SparkSession, path: str, sep: str, encoding: str) -> DataFrame:
+    """``read_checked`` with files by their written names."""
     names = read_delimited(spark, path, sep, encoding).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_line"]])
     rows = (spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding)
@@ -236,12 +251,6 @@ def read_checked(spark: SparkSession, path: str, sep: str = ",", encoding: str =
     fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit(""))) + 1
     strange = F.lit(False)
     for n in names:
-    checked = _checked(spark, path, sep, encoding)
-    return checked.withColumn("_place", in_natural_order("_place"))
-
-
-def _checked(spark: SparkSession, path: str, sep: str, encoding: str) -> DataFrame:
-    """``read_checked`` with files by their written names."""
         strange = strange | F.coalesce(F.contains(F.col(f"`{n}`"), F.lit("\ufffd")), F.lit(False))
     broken = F.col("_line").isNotNull()
     state = (F.when(broken & unquoted.contains('"'), QUOTING_WRONG).when(broken & (fields < len(names)), SHORT)
@@ -254,6 +263,7 @@ def land_checked(spark: SparkSession, path: str, out: str, sep: str = ",", encod
     """(good rows, rejected lines) of a delimited file, landed by one pass under ``out``.
 
     Rejected lines keep what could be read of them, their text, their place and what is wrong.
+    Places are landed with the files' written names and put in natural order where they are read.
     """
     checked = _checked(spark, path, sep, encoding)
     checked.write.mode("overwrite").partitionBy("_state").parquet(out)
@@ -263,7 +273,6 @@ def land_checked(spark: SparkSession, path: str, out: str, sep: str = ",", encod
     return good, landed.where(F.col("_state") != GOOD)
 
 
-    Places are landed with the files' written names and put in natural order where they are read.
 def land_by_sku(df: DataFrame, path: str, buckets: int, partition_by: list[str] | None = None) -> DataFrame:
     """Store a table once bucketed by ``sku``, so that grouping and joining by it needs no exchange.
 
@@ -281,9 +290,10 @@ def land_stock_by_month(raw_stock: DataFrame, path: str) -> str:
     """Store a daily-stock table partitioned by ``posting_month`` (yyyy-MM of the
     month-first reading of ``posting_date``), so the evaluation-month filter
     prunes whole partitions instead of scanning every month."""
-    from ..functions.dates import month_bucket, month_first_timestamp
-    month = month_bucket(F.to_date(month_first_timestamp(raw_stock, "posting_date")))
-    return land_as_parquet(raw_stock.withColumn("posting_month", month), path, ["posting_month"])
+    from ..functions.dates import month_bucket, with_month_first_timestamp
+    read = with_month_first_timestamp(raw_stock, "posting_date", "posting_month")
+    return land_as_parquet(read.withColumn("posting_month", month_bucket(F.to_date("posting_month"))), path,
+                           ["posting_month"])
 
 
 def land_orders_by_month(raw_orders: DataFrame, path: str) -> str:

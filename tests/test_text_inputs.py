@@ -78,6 +78,16 @@ def test_no_record_is_gathered_that_stands_on_one_line(spark, tmp_path):
     assert "SinglePartition" not in text and "Python" not in text
 
 
+def test_records_carry_no_padded_file_name(spark, tmp_path):
+    """The file's name is padded once a split, and not at all where no place is asked for."""
+    path = tmp_path / "o.tsv"
+    write(path, export(100, 1), encoding="utf-16-le")
+    got = RD.read_orders_export(spark, str(path), quoted_newlines=True)
+    assert "[0-9]+" not in plan_text(got.drop("row_ord"))
+    want = spark.range(1).select(RD.natural_name(F.lit(str(path)))).first()[0]
+    assert got.select("row_ord.file").first()[0].endswith(want) and "0" * 10 in want
+
+
 def test_file_order_follows_numbered_parts_and_splits(spark, tmp_path, small_splits):
     folder = tmp_path / "parts"
     folder.mkdir()
@@ -119,16 +129,6 @@ def test_orders_are_scanned_once_for_their_dates(spark, tmp_path):
     assert text.count("Scan parquet") // 2 == 2 and text.count(f"{path}]") + text.count(f"{path},") == 1
 
 
-@pytest.mark.parametrize("text,day", [("5 January 2026", "2026-01-05"), ("5-Jan-2026", "2026-01-05"),
-                                      ("Sept 7, 2026", "2026-09-07"), ("5 Janvier 2026", None), ("5 Maya 2026", None)])
-def test_month_names_are_whole_or_three_letters(spark, text, day):
-    df = text_frame(spark, ["d"], [(text,)])
-    got = df.select(F.to_date(D.parse_month_first(F.col("d"))).cast("string").alias("o")).first()["o"]
-    assert got == day
-
-
-# ---- numbers and layouts --------------------------------------------------------
-def test_numbers_that_are_not_kept_are_found(spark):
 def test_stock_dates_are_read_by_dictionary(spark, monkeypatch):
     texts = ["01.02.2026", "25.12.2026", "2026-03-04", "", None, "x", "5-Jan-2026"] * 3
     raw = text_frame(spark, ["posting_date", "site_code", "article_code", "stock_balance"],
@@ -148,6 +148,16 @@ def test_best_coverage_query_reads_dates_by_dictionary(spark):
     assert "[-/.]" not in plan_text(CAT.QUERIES["parse_dates_best"](spark, SF_SMALL))
 
 
+@pytest.mark.parametrize("text,day", [("5 January 2026", "2026-01-05"), ("5-Jan-2026", "2026-01-05"),
+                                      ("Sept 7, 2026", "2026-09-07"), ("5 Janvier 2026", None), ("5 Maya 2026", None)])
+def test_month_names_are_whole_or_three_letters(spark, text, day):
+    df = text_frame(spark, ["d"], [(text,)])
+    got = df.select(F.to_date(D.parse_month_first(F.col("d"))).cast("string").alias("o")).first()["o"]
+    assert got == day
+
+
+# ---- numbers and layouts --------------------------------------------------------
+def test_numbers_that_are_not_kept_are_found(spark):
     cases = {"1": False, "1,000.5": False, "": False, None: False, "nan": False, "0": False, "-0.00": False, "0e5": False,
              "1e3": False, "abc": True, "123456789012345678901234567890": True, "1e40": True, "0.12345678901": True,
              "0.12345678900": False, "10d": True}
@@ -192,6 +202,18 @@ def test_lines_that_are_no_records_are_set_aside(spark, tmp_path):
     assert good.count() == rejected.count() == 0
 
 
+def test_places_are_landed_with_written_names(spark, tmp_path):
+    path = tmp_path / "s7.csv"
+    path.write_text("a,b\n1,2\n3\n")
+    good, rejected = RD.land_checked(spark, str(path), str(tmp_path / "out"))
+    landed = spark.read.parquet(str(tmp_path / "out"))
+    assert all(r[0].endswith(str(path)) for r in landed.select("_place.file").collect()) and landed.count() == 2
+    want = spark.range(1).select(RD.natural_name(F.lit(str(path)))).first()[0]
+    files = [r[0] for r in good.select("row_ord.file").union(rejected.select("_place.file")).collect()]
+    assert len(files) == 2 and all(f.endswith(want) for f in files) and want != str(path)
+    assert "[0-9]+" not in plan_text(good.drop("row_ord"))
+
+
 # ---- plans ----------------------------------------------------------------------
 def test_bucketed_stock_is_not_exchanged(spark, tmp_path):
     from conftest import SF_SMALL
@@ -217,15 +239,3 @@ def test_the_grid_holds_a_channels_own_sites_only(spark):
     got = M.site_grid(skus, site_map)
     assert got.columns == ["sku", "product_name", "channel", "virtual_site"]
     assert rows(got) == [("K1", "n", "a", "x"), ("K1", "n", "a", "y"), ("K2", "n", "b", "z")]
-def test_places_are_landed_with_written_names(spark, tmp_path):
-    path = tmp_path / "s7.csv"
-    path.write_text("a,b\n1,2\n3\n")
-    good, rejected = RD.land_checked(spark, str(path), str(tmp_path / "out"))
-    landed = spark.read.parquet(str(tmp_path / "out"))
-    assert all(r[0].endswith(str(path)) for r in landed.select("_place.file").collect()) and landed.count() == 2
-    want = spark.range(1).select(RD.natural_name(F.lit(str(path)))).first()[0]
-    files = [r[0] for r in good.select("row_ord.file").union(rejected.select("_place.file")).collect()]
-    assert len(files) == 2 and all(f.endswith(want) for f in files) and want != str(path)
-    assert "[0-9]+" not in plan_text(good.drop("row_ord"))
-
-
