@@ -345,6 +345,8 @@ def q_input_fingerprint(spark, sf_dir):
 def q_input_staleness(spark, sf_dir):
     """Inputs against stored fingerprints of a product list in other spelling, without the site map."""
     raw = _raw_inputs(spark, sf_dir)
+    for name in ("sales", "stock"):     # landed once: they are read for the stored fingerprints and for the current ones
+        raw[name] = spark.read.parquet(RD.land_as_parquet(raw[name], scratch_path(spark, f"{name}-input")))
     before = dict(raw, sku_live=raw["sku_live"].withColumn("status", F.upper("status")))
     del before["site_mapping"]
     stored = scratch_path(spark, "fingerprints")
