@@ -463,7 +463,9 @@ def q_report_order(spark, sf_dir):
 
 def _appended_store(spark, sf_dir) -> str:
     """An order store of the history to which the current file, two months of it known, is appended."""
-    orders = L.load_orders(A.sales_raw(_tt(spark, sf_dir)), CHANNEL_TH)
+    # landed once: both appends read the normalized lines, not the joins behind them
+    path = RD.land_as_parquet(L.load_orders(A.sales_raw(_tt(spark, sf_dir)), CHANNEL_TH), scratch_path(spark, "order-lines"))
+    orders = spark.read.parquet(path)
     store = scratch_path(spark, "order-store")
     OS.append(spark, store, orders.filter(F.col("purchase_date") < F.lit(A.APPEND_HISTORY_END)))
     OS.append(spark, store, orders.filter(F.col("purchase_date") >= F.lit(A.APPEND_CURRENT_START)))

@@ -22,6 +22,7 @@ from ..publishing import publish, published
 from .readers import list_folder
 
 LINES, SUMS = "lines", "sums"
+SLICES = 8      # tasks, and so files, that a month's rows are dealt to
 MONTH, WRITTEN = "purchase_month", "written"
 
 
@@ -30,12 +31,19 @@ def _identity(lines: DataFrame) -> list[str]:
     return [c for c in lines.columns if c not in ("row_ord", MONTH, WRITTEN)]
 
 
+def _sliced(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` dealt out by month and, within it, by ``keys``: grouping by all of these and writing by
+    month then move no row again."""
+    return (df.withColumn("_slice", F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(SLICES)))
+            .repartition(MONTH, "_slice"))
+
+
 def distinct_lines(lines: DataFrame) -> DataFrame:
     """Each line once, at its first place where places are known."""
-    keys = [*_identity(lines), MONTH]
+    keys = _identity(lines)
     if "row_ord" not in lines.columns:
-        return lines.select(*keys).distinct()
-    return lines.groupBy(*keys).agg(F.min("row_ord").alias("row_ord"))
+        return _sliced(lines.select(*keys, MONTH), keys).distinct().drop("_slice")
+    return _sliced(lines, keys).groupBy(*keys, MONTH, "_slice").agg(F.min("row_ord").alias("row_ord")).drop("_slice")
 
 
 def month_sums(lines: DataFrame) -> DataFrame:
@@ -44,14 +52,15 @@ def month_sums(lines: DataFrame) -> DataFrame:
             F.sum("net").alias("month_net"), F.count(F.lit(1)).alias("month_rows")]
     if "row_ord" in lines.columns:
         sums.append(F.min("row_ord").alias("row_ord"))
-    return lines.groupBy(MONTH, "sku", "stock_code", "product_name", "excluded_prefix_p").agg(*sums)
+    keys = ["sku", "stock_code", "product_name", "excluded_prefix_p"]
+    return _sliced(lines, keys).groupBy(MONTH, *keys, "_slice").agg(*sums).drop("_slice")
 
 
 def _write(df: DataFrame, root: str, kind: str, written: int) -> list[str]:
     """One folder per month; the months that were written, from the folder's listing."""
     path = f"{root}/{kind}/{WRITTEN}={written}"
-    # few files per month, and a large month's in several tasks
-    df.hint("rebalance", MONTH).write.mode("overwrite").partitionBy(MONTH).parquet(path)
+    # the rows come dealt out by month and slice: few files per month, and a large month's in several tasks
+    df.write.mode("overwrite").partitionBy(MONTH).parquet(path)
     names = list_folder(df.sparkSession, path) or []
     return [n.split("=", 1)[1] for n in names if n.startswith(f"{MONTH}=")]
 

@@ -157,6 +157,22 @@ def test_append_queries_plan_no_lines_for_the_sums(spark):
     assert "month_qty" in text and "/lines" not in text
 
 
+def test_an_append_deals_out_its_lines_once(spark):
+    """The grouping and the folders by month share one exchange."""
+    new = frame(spark, line("2026-01-05", "K1", 1), line("2026-01-05", "K1", 1)).withColumn("purchase_month", F.lit("2026-01"))
+    for df in (OS.distinct_lines(new), OS.month_sums(new)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(") == 1 and "hashpartitioning(purchase_month" in plan and "_slice" in plan
+        assert "_slice" not in df.columns and df.count() == 1
+
+
+def test_appends_read_landed_lines(spark, monkeypatch):
+    seen, original = [], OS.append
+    monkeypatch.setattr(OS, "append", lambda spark, root, orders: seen.append(plan_text(orders)) or original(spark, root, orders))
+    CAT._appended_store(spark, SF_SMALL)
+    assert len(seen) == 2 and not [text for text in seen if "lineitem.parquet" in text]
+
+
 # ---- published runs ----------------------------------------------------------
 def test_a_run_that_fails_leaves_the_earlier_one(spark, tmp_path, monkeypatch):
     i, cfg = CAT.inputs(spark, SF_SMALL), A.test_config()
