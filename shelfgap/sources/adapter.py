@@ -3,9 +3,11 @@
 The test tables carry no daily stock or site map, so they are derived
 (FIXTURES.md §4): regions act as virtual sites, suppliers as site codes,
 parts as SKUs, line items as order lines and as daily stock movements.  The
-derivation is ordinary Spark joins over the whole tables; the dimension sides
-(nation, region, supplier, part) are left to the planner, which broadcasts
-them only when their measured size is under the broadcast threshold.
+derivation is ordinary Spark joins over the whole tables.  Suppliers with their
+regions are broadcast up to a checked count, so that line items are not moved
+for them; the other dimension sides (nation, region, part) are left to the
+planner, which broadcasts them only when their measured size is under the
+broadcast threshold.
 """
 
 from __future__ import annotations
@@ -61,6 +63,7 @@ class TestTables:
     def __post_init__(self) -> None:
         self._frames: dict[str, DataFrame] = {}
         self.landed: dict[str, str] = {}     # derived input name -> Parquet path
+        self.suppliers: int | None = None    # rows, once counted
 
     def t(self, name: str) -> DataFrame:
         if name not in self._frames:
@@ -87,6 +90,15 @@ def _signed(negative: Column, value: Column) -> Column:
     return F.when(negative, -value).otherwise(value)
 
 
+BROADCAST_SUPPLIERS = 1_000_000     # rows of key and region name that are sent to the tasks
+
+
+def _few_suppliers(tt: TestTables) -> bool:
+    if tt.suppliers is None:
+        tt.suppliers = tt.t("supplier").count()      # from the file's footer
+    return tt.suppliers <= BROADCAST_SUPPLIERS
+
+
 def _supplier_region(tt: TestTables) -> DataFrame:
     s = tt.t("supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
     n = tt.t("nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -150,6 +162,8 @@ def _sales_raw(tt: TestTables) -> DataFrame:
     o = tt.t("orders").select("o_orderkey", "o_orderdate")
     p = tt.t("part").select("p_partkey", "p_type", "p_name")
     sr = _supplier_region(tt).select("s_suppkey", "r_name")
+    if _few_suppliers(tt):
+        sr = F.broadcast(sr)
     j = (li.join(o, li.l_orderkey == o.o_orderkey)
          .join(p, li.l_partkey == p.p_partkey)
          .join(sr, li.l_suppkey == sr.s_suppkey))

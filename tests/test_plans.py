@@ -81,6 +81,27 @@ def test_reports_evaluate_the_model_once(spark):
     assert "/detail/channel=" in text and "SortMergeJoin LeftOuter" not in text
 
 
+def test_staleness_reads_landed_inputs(spark):
+    assert "lineitem.parquet" not in plan_text(QUERIES["input_staleness"](spark, SF_SMALL))
+
+
+def test_line_items_are_not_moved_for_suppliers(spark, monkeypatch):
+    from shelfgap.sources import adapter as A
+    tt = A.open_tables(spark, SF_SMALL)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = A.sales_raw(tt)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 1 and "l_suppkey" in plan
+        assert "hashpartitioning(l_suppkey" not in plan
+        monkeypatch.setattr(A, "BROADCAST_SUPPLIERS", 0)
+        plain = A.sales_raw(tt)
+        assert "BroadcastHashJoin" not in plain._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, joined.collect())) == sorted(map(str, plain.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_snapshot_rows_are_ordered_in_their_files(spark, tmp_path):
     """H7: date, location, article inside each file, and over the whole CSV export."""
     import glob
