@@ -159,7 +159,7 @@ def test_append_queries_plan_no_lines_for_the_sums(spark):
 
 def test_an_append_deals_out_its_lines_once(spark):
     """The grouping and the folders by month share one exchange."""
-    new = frame(spark, line("2026-01-05", "K1", 1), line("2026-01-05", "K1", 1)).withColumn("purchase_month", F.lit("2026-01"))
+    new = frame(spark, line("2026-01-05", "K1", 1), line("2026-01-05", "K1", 1)).withColumn("purchase_month", F.date_format("purchase_date", "yyyy-MM"))
     for df in (OS.distinct_lines(new), OS.month_sums(new)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("hashpartitioning(") == 1 and "hashpartitioning(purchase_month" in plan and "_slice" in plan
