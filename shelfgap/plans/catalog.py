@@ -38,6 +38,8 @@ from .loss_job import run_loss_job
 # spellings of channel names for the channel_keys query; the last three are no channel's
 CHANNEL_SPELLINGS = ("TH", " king-power CN", "King_Power_CN", "t/h t", "KPCN", "cn", "", "lotus", "th2")
 
+EXPORT_PART_LINES = 500_000     # order lines in a part of the written export, about 100 MB as plain text
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
@@ -487,7 +489,11 @@ def q_append_then_model_by_month(spark, sf_dir):
 
 
 def q_orders_export_utf16(spark, sf_dir):
-    """A1 through files: a UTF-16 export whose quoted names hold tabs, quotes and line ends."""
+    """A1 through files: a UTF-16 export whose quoted names hold tabs, quotes and line ends.
+
+    As UTF-16 the lines take many times the tables' size, so the export is kept compressed, in parts that are no
+    larger than a split of plain text.
+    """
     raw = A.sales_raw(_tt(spark, sf_dir))
     name = F.concat(F.lit('12"\t'), F.col("Product Name"), F.lit('\n"second" line\nกระเป๋า'))
     text = raw.select(F.date_format("Purchase Date", "dd.MM.yyyy").alias("Purchase Date"), "Sku", "stock",
@@ -495,7 +501,7 @@ def q_orders_export_utf16(spark, sf_dir):
                       F.format_number("Net", 4).alias("Net"), name.alias("Product Name"))
     path = scratch_path(spark, "orders-export")
     (text.write.option("header", True).option("sep", "\t").option("encoding", "UTF-16LE").option("lineSep", "\n")
-     .options(**RD.QUOTING).csv(path))
+     .option("compression", "gzip").option("maxRecordsPerFile", EXPORT_PART_LINES).options(**RD.QUOTING).csv(path))
     # landed once: the date texts and the rows are both read from the records
     records = RD.read_orders_export(spark, path, quoted_newlines=True).drop("row_ord")
     landed = spark.read.parquet(RD.land_as_parquet(records, scratch_path(spark, "orders-records")))

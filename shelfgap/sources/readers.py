@@ -9,6 +9,7 @@ of failing the job.  A "workbook" is a folder with one delimited file per sheet
 from __future__ import annotations
 
 import csv
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -61,59 +62,130 @@ def in_natural_order(place: Column | str) -> Column:
                     place["line"].alias("line"))
 
 
+CHUNK_BITS = 12             # 4,096 lines are moved as one row; a line's number in its chunk has three hex digits
+ESCAPE = "\u0001"           # a 0 follows it where it stands in a chunk's text, a 1 where it ends a record
+
+
 def read_quoted_records(spark: SparkSession, path: str, names: list[str], sep: str, encoding: str,
                         quote: str = '"') -> DataFrame:
     """Delimited records whose quoted fields may hold line ends, read by many tasks.
 
     A line end inside quotes ends no record, and whether a line starts inside
-    quotes depends on all lines before it.  Two passes find out:
+    quotes depends on all lines before it.  A task puts the lines of its split
+    together to chunks of some thousand lines (``_line_chunks``), and only these
+    are moved, once.  Then
+
+    1. the number of lines with an odd number of quotes in the chunks before
+       tells whether a chunk starts inside quotes,
+    2. if it does, its lines up to the first odd one belong to a record of a
+       chunk before; if it ends inside quotes, its lines from the last odd one
+       on begin a record that a later chunk ends (``_crossing_records``),
+    3. the lines between are whole records (``_whole_records``).
+
+    That number, halved, numbers the records that cross chunks, so their lines
+    (and no others) are brought together, also over the border of splits.  Each
+    file's header line is left out.  Quotes must come in pairs, as RFC 4180
+    asks.  ``row_ord`` is the place of a record's first line.
+    """
+    chunks = _line_chunks(spark, path, encoding)
+    # what is found of a chunk goes to where its text is; both read the chunks as they were moved
+    chunks = chunks.join(_found_in_chunks(chunks, quote).hint("shuffle_hash"), ["path", "split", "chunk"])
+    records = _whole_records(chunks, quote).unionByName(_crossing_records(chunks))
+    # as in Spark's own reader of such files, line ends inside quotes become line feeds
+    text = F.when(F.endswith("text", F.lit("\r")), F.regexp_replace("text", "\r$", "")).otherwise(F.col("text"))
+    records = records.withColumn("text", F.replace(text, F.lit("\r\n"), F.lit("\n")))
+    schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
+    fields = F.from_csv(F.col("text"), _ddl(schema),
+                        {"sep": sep, "multiLine": "true", "mode": "PERMISSIVE", **QUOTING})
+    return (records.where("text <> ''")
+            .select(fields.alias("f"), "row_ord").select("f.*", "row_ord"))
 
-    1. per split, how many of its lines hold an odd number of quotes; the sums
-       of these over the splits before give each split's start, which is broadcast,
-    2. inside each split, the running number of such lines before a line.
 
-    A line carries 64 bits that stand for its split, not the file's name.
+def _line_chunks(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """The lines of files, put together within each split: ``path``, ``split``, ``chunk`` and ``texts``, its lines in
+    order, each behind its number in the chunk.
 
-    Where that number is even the line starts outside quotes.  Halved, it
-    numbers the records that take several lines, so those lines (and no others)
-    are brought together, also over the border of splits.  Each file's first
-    record is its header line and is left out.  Quotes must come in pairs, as
-    RFC 4180 asks.  ``row_ord`` is the place of a record's first line.
+    A split is read by one task, so a chunk is whole before it is moved.
     """
     raw = (spark.read.option("encoding", encoding).option("lineSep", "\n").text(path)
            .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"),
                    F.monotonically_increasing_id().alias("line"),
                    F.decode(F.col("value").cast("binary"), encoding).alias("text")))
     marked = F.startswith("text", F.lit("\ufeff"))
-    lines = raw.withColumn("text", F.when(marked, F.expr("substring(text, 2)")).otherwise(F.col("text")))
-    quotes = F.length("text") - F.length(F.replace("text", F.lit(quote), F.lit("")))
-    lines = lines.withColumns({"odd": quotes % 2, "at": F.xxhash64("path", "split")})
-    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (lines.groupBy("path", "split").agg(F.sum("odd").alias("odd"))
-              .select(F.xxhash64("path", "split").alias("at"), F.xxhash64("path").alias("of"),
-                      natural_name(F.col("path")).alias("file"), "split",
-                      F.coalesce(F.sum("odd").over(before), F.lit(0)).alias("start")))
-    inside = Window.partitionBy("at").orderBy("line")
-    seen = F.coalesce(F.sum("odd").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = (lines.select("at", "line", "text", "odd").join(F.broadcast(starts), "at")   # a row per split
-             .select("of", "file", "split", "line", "text", "odd", (F.col("start") + seen).alias("seen"),
-                     ((F.col("split") == 0) & (F.row_number().over(inside) == 1)).alias("header"))
-             .where(~F.col("header")))
-    whole = (F.col("odd") == 0) & (F.col("seen") % 2 == 0)
-    parts = F.array_sort(F.collect_list(F.struct("split", "line", "text")))
-    joined = (lines.where(~whole).groupBy("of", F.floor(F.col("seen") / 2).alias("number"))
-              .agg(parts.alias("parts"), F.first("file").alias("file"))
-              .select(F.struct("file", F.col("parts")[0]["split"].alias("split"),
-                               F.col("parts")[0]["line"].alias("line")).alias("row_ord"),
-                      F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text")))
-    records = lines.where(whole).select(F.struct("file", "split", "line").alias("row_ord"), "text").unionByName(joined)
-    # as in Spark's own reader of such files, line ends inside quotes become line feeds
-    records = records.withColumn("text", F.replace(F.regexp_replace("text", "\r$", ""), F.lit("\r\n"), F.lit("\n")))
-    schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
-    fields = F.from_csv(F.col("text"), _ddl(schema),
-                        {"sep": sep, "multiLine": "true", "mode": "PERMISSIVE", **QUOTING})
-    return (records.where("text <> ''")
-            .select(fields.alias("f"), "row_ord").select("f.*", "row_ord"))
+    text = F.when(marked, F.expr("substring(text, 2)")).otherwise(F.col("text"))
+    place = F.lpad(F.hex(F.col("line").bitwiseAND(2 ** CHUNK_BITS - 1)), 3, "0")
+    lines = raw.select("path", "split", F.shiftright("line", CHUNK_BITS).alias("chunk"), F.concat(place, text).alias("text"))
+    return (lines.groupBy("path", "split", "chunk").agg(F.collect_list("text").alias("texts"))
+            .withColumn("texts", F.sort_array("texts")))
+
+
+def _found_in_chunks(chunks: DataFrame, quote: str) -> DataFrame:
+    """What a chunk's place in its file says of its lines.
+
+    The first ``skip`` lines are no record of this chunk: they are the file's header line or the ``closed`` ones, which
+    belong to the record ``number`` of a chunk before; the last ``opened`` lines begin the record ``next_number``.
+    """
+    keys = ["path", "split", "chunk"]
+    quotes = F.transform("texts", lambda t: (F.length(t) - F.length(F.replace(t, F.lit(quote), F.lit("")))) % 2)
+    found = (chunks.select(*keys, quotes.alias("odds"))
+             .select(*keys, F.size("odds").alias("lines"),
+                     F.aggregate("odds", F.lit(0), lambda n, odd: n + odd).alias("odd"),
+                     F.array_position("odds", 1).cast("int").alias("first"),
+                     (F.size("odds") + 1 - F.array_position(F.reverse("odds"), 1)).cast("int").alias("last")))
+    before = Window.partitionBy("path").orderBy("split", "chunk")
+    start = F.coalesce(F.sum("odd").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = found.withColumns({"start": start, "header": (F.row_number().over(before) == 1).cast("int")})
+    inside = F.col("start") % 2 == 1
+    closed = F.when(inside, F.when(F.col("odd") > 0, F.col("first")).otherwise(F.col("lines"))).otherwise(0)
+    opens = (F.col("odd") > 0) & ((F.col("start") + F.col("odd")) % 2 == 1)
+    found = found.withColumns({"closed": closed, "skip": F.when(inside, closed).otherwise(F.col("header"))})
+    opened = F.when(opens, F.col("lines") - F.greatest(F.col("last") - 1, F.col("skip"))).otherwise(0)
+    return found.select(*keys, natural_name(F.col("path")).alias("file"), "skip", "closed", opened.alias("opened"),
+                        F.shiftright("start", 1).alias("number"),
+                        F.shiftright(F.col("start") + F.col("odd"), 1).alias("next_number"))
+
+
+def _line_of(text: Column) -> Column:
+    """The place of a line from its chunk and the number before its text."""
+    return F.shiftleft("chunk", CHUNK_BITS) + F.conv(F.substring(text, 1, 3), 16, 10).cast("long")
+
+
+def _whole_records(chunks: DataFrame, quote: str) -> DataFrame:
+    """(row_ord, text) of the records that lie within a chunk.
+
+    The lines between those of crossing records start and end outside quotes.  Cut at quotes, the first piece and
+    every second one are outside, and only there a line end ends a record.
+    """
+    inner = F.slice("texts", F.col("skip") + 1, F.size("texts") - F.col("skip") - F.col("opened"))
+    pieces = F.split(F.replace(F.array_join(inner, "\n"), F.lit(ESCAPE), F.lit(ESCAPE + "0")), re.escape(quote))
+    pieces = F.transform(pieces, lambda piece, i: F.when(i % 2 == 0, F.replace(piece, F.lit("\n"), F.lit(ESCAPE + "1")))
+                         .otherwise(piece))
+    # the numbers of a record's later lines go; that of its first gives its place
+    whole = F.regexp_replace(F.array_join(pieces, quote), "\n[0-9A-F]{3}", "\n")
+    records = chunks.select("file", "split", "chunk", F.explode(F.split(whole, ESCAPE + "1")).alias("piece"))
+    return (records.where("piece <> ''")     # of chunks without such lines
+            .select(F.struct("file", "split", _line_of(F.col("piece")).alias("line")).alias("row_ord"),
+                    F.replace(F.substring("piece", 4, 2 ** 31 - 1), F.lit(ESCAPE + "0"), F.lit(ESCAPE)).alias("text")))
+
+
+def _crossing_records(chunks: DataFrame) -> DataFrame:
+    """(row_ord, text) of the records that cross chunks, of which a chunk holds the end, the beginning or a part."""
+    ends = F.slice("texts", F.lit(1), F.col("closed"))
+    begins = F.slice("texts", F.size("texts") - F.col("opened") + 1, F.col("opened"))
+
+    def of(number: str, lines: Column) -> Column:
+        return F.transform(lines, lambda line: F.struct(F.col(number).alias("number"), line.alias("piece")))
+
+    parts = (chunks.where("closed > 0 or opened > 0")
+             .select("path", "file", "split", "chunk",
+                     F.explode(F.concat(of("number", ends), of("next_number", begins))).alias("part"))
+             .select("path", "file", "part.number",
+                     F.struct("split", _line_of(F.col("part.piece")).alias("line"),
+                              F.substring("part.piece", 4, 2 ** 31 - 1).alias("text")).alias("part")))
+    return (parts.groupBy("path", "number").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.first("file").alias("file"))
+            .select(F.struct("file", F.col("parts")[0]["split"].alias("split"),
+                             F.col("parts")[0]["line"].alias("line")).alias("row_ord"),
+                    F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text")))
 
 
 def _ddl(schema: T.StructType) -> str:

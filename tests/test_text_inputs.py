@@ -1,5 +1,6 @@
 """UTF-16 exports with quoted line ends read by many tasks, date dictionaries, file order, odd numbers and months."""
 
+import gzip
 import random
 
 import pytest
@@ -78,6 +79,68 @@ def test_no_record_is_gathered_that_stands_on_one_line(spark, tmp_path):
     assert "SinglePartition" not in text and "Python" not in text
 
 
+def moved_rows(df) -> int:
+    """Rows written by the exchanges of a frame that is collected; one that is used again counts once."""
+    df.collect()
+    found = {}
+
+    def visit(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            found[plan.id()] = plan.metrics().apply("shuffleRecordsWritten").value()
+        if kind == "AdaptiveSparkPlanExec":
+            visit(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            visit(plan.plan())
+        for i in range(plan.children().size()):
+            visit(plan.children().apply(i))
+
+    visit(df._jdf.queryExecution().executedPlan())
+    return sum(found.values())
+
+
+def test_lines_are_moved_once_as_chunks(spark, tmp_path):
+    """A row that is moved holds thousands of lines; only lines of records that cross chunks are moved again."""
+    path = tmp_path / "o.tsv"
+    write(path, HEADER + "\n" + "".join(f'd\tK{i}\ts\t1\t1\t1\t"two\nlines"\n' for i in range(15000)), encoding="utf-16-le")
+    got = RD.read_orders_export(spark, str(path), quoted_newlines=True)
+    assert moved_rows(got) < 500
+    assert moved_rows(spark.range(1000).repartition(3)) == 1000
+    assert got.count() == 15000
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_records_cross_chunks(spark, tmp_path, monkeypatch, end):
+    monkeypatch.setattr(RD, "CHUNK_BITS", 2)
+    marks = [RD.ESCAPE, RD.ESCAPE + "0", f"{RD.ESCAPE}1{end}0AF", f"000{end}{end}001"]
+    lines, firsts, at = [], [], 1
+    for i in range(200):
+        name = marks[i % 4] + ("long" + end) * (i % 17)
+        lines.append(f'2026-02-01\tK{i}\ts\t1\t1\t1\t"{name}"' + (end if i % 5 == 0 else ""))
+        firsts.append((f"K{i}", at))
+        at += (lines[-1] + end).count("\n")
+    path = tmp_path / "o.tsv"
+    write(path, "\ufeff" + end.join([HEADER, *lines]) + end, encoding="utf-16-le")
+    got = RD.read_orders_export(spark, str(path), quoted_newlines=True)
+    one = RD.read_orders_export(spark, str(path), multiline=True)
+    assert one.count() == 200 and rows(got.drop("row_ord")) == rows(one)
+    assert sorted((r["Sku"], r["line"]) for r in got.select("Sku", "row_ord.line").collect()) == sorted(firsts)
+
+
+def test_written_export_is_compressed_utf16(spark, tmp_path, monkeypatch):
+    from conftest import SF_SMALL
+    from shelfgap.plans import catalog as CAT
+    monkeypatch.setattr(CAT, "EXPORT_PART_LINES", 500)
+    monkeypatch.setattr(CAT, "scratch_path", lambda spark, name: str(tmp_path / name))
+    lines = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
+    assert CAT.QUERIES["orders_export_utf16"](spark, SF_SMALL).count() == lines
+    parts = [p for p in (tmp_path / "orders-export").iterdir() if p.name.startswith("part-")]
+    texts = [gzip.decompress(p.read_bytes()) for p in parts]
+    assert len(parts) >= lines / 500 and sum(len(t) for t in texts) > 5 * sum(p.stat().st_size for p in parts)
+    assert all(t.decode("utf-16-le").startswith(HEADER + "\n") for t in texts)
+    assert sum(t.decode("utf-16-le").count('\n""second"" line\n') for t in texts) == lines
+
+
 def test_records_carry_no_padded_file_name(spark, tmp_path):
     """The file's name is padded once a split, and not at all where no place is asked for."""
     path = tmp_path / "o.tsv"
